@@ -59,7 +59,9 @@ def summarize(p: DataFrame, dataset_description: DataFrame | None = None) -> Dat
     pr = properties(p)
     field = F.struct(F.col("column_name").alias("column"), F.col("properties"))
     g = pr.groupBy("table_name").agg(
-        F.array_sort(F.collect_list(F.struct("ordinal", field.alias("f")))).alias("_fs"))
+        F.array_sort(F.collect_list(F.struct("ordinal", field.alias("f"))),
+                     lambda a, b: F.when(a["ordinal"] < b["ordinal"], -1)
+                     .when(a["ordinal"] > b["ordinal"], 1).otherwise(0)).alias("_fs"))
     g = g.select(
         F.col("table_name").alias("name"),
         F.col("table_name").alias("file_name"),
