@@ -27,6 +27,28 @@ GRAM = 3
 MODEL_ID = f"hash3gram-{HASH_DIM}"
 
 
+def text_partitions(spark) -> int:
+    """Tasks for text-heavy work: at least the shuffle partitions and 2x the cores."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    return max(n, 2 * spark.sparkContext.defaultParallelism)
+
+
+# The characters a gram can hold (token characters and the pad).
+GRAM_ALPHABET = "#0123456789abcdefghijklmnopqrstuvwxyz"
+
+
+def gram_buckets(spark):
+    """(g, bucket) for every possible 3-gram over ``GRAM_ALPHABET``: built from
+    the rule, 37^3 = 50,653 rows, so its broadcast size is bounded (~2 MB)."""
+    n = len(GRAM_ALPHABET)
+    chars = F.lit(GRAM_ALPHABET)
+    idx = F.col("id")
+    g = F.concat(F.substring(chars, (idx / (n * n)).cast("int") + 1, 1),
+                 F.substring(chars, (F.pmod(idx / n, F.lit(n))).cast("int") + 1, 1),
+                 F.substring(chars, F.pmod(idx, F.lit(n)).cast("int") + 1, 1))
+    return spark.range(n ** 3).select(g.alias("g")).select("g", bucket_of(F.col("g")).alias("bucket"))
+
+
 def bucket_of(gram) -> F.Column:
     """First 32 bits of md5(gram) modulo the dimension."""
     return F.pmod(F.conv(F.substring(F.md5(gram), 1, 8), 16, 10).cast("long"), F.lit(HASH_DIM))
@@ -34,17 +56,28 @@ def bucket_of(gram) -> F.Column:
 
 def hashed_terms(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, bucket, tf, weight): sparse V4 vector per row, L2-normalised weights."""
-    words = (df.select(F.col(id_col).alias("id"),
-                       F.explode(F.split(F.lower(F.col(text_col)), TOKEN_SPLIT)).alias("w"))
+    # Hash-partition the texts by id once: every aggregation below groups by
+    # id (plus gram or bucket), which that partitioning already satisfies, so
+    # the plan has a single exchange instead of one per aggregation.
+    # The partition count is explicit: AQE would otherwise coalesce this small
+    # (in bytes) but CPU-heavy exchange into a handful of tasks.
+    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).repartition(
+        text_partitions(df.sparkSession), "id")
+    words = (docs.select("id", F.explode(F.split(F.lower(F.col("t")), TOKEN_SPLIT)).alias("w"))
              .filter(F.col("w") != ""))
-    grams = words.select("id", F.explode(F.expr(
-        f"transform(sequence(1, length(w)), i -> substr(concat('#', w, '#'), i, {GRAM}))")).alias("g"))
-    # count grams first (cheap key), hash each distinct (id, gram) once
-    per_gram = grams.groupBy("id", "g").agg(F.count(F.lit(1)).alias("c"))
-    tf = per_gram.groupBy("id", bucket_of(F.col("g")).alias("bucket")).agg(F.sum("c").alias("tf"))
-    norm = tf.groupBy("id").agg(F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("norm"))
-    return tf.join(norm, "id").select("id", "bucket", F.col("tf").cast("long").alias("tf"),
-                                      (F.col("tf") / F.col("norm")).alias("weight"))
+    # words repeat within a text: count them first, expand grams of distinct words
+    per_word = words.groupBy("id", "w").agg(F.count(F.lit(1)).alias("c"))
+    pos = per_word.select("id", "w", "c", F.explode(F.sequence(F.lit(1), F.length("w"))).alias("i"))
+    grams = pos.select("id", "c", F.expr(f"substr(concat('#', w, '#'), i, {GRAM})").alias("g"))
+    # bucket lookup: a broadcast join against the (bounded) table of all grams
+    tf = (grams.join(F.broadcast(gram_buckets(df.sparkSession)), "g")
+          .groupBy("id", "bucket").agg(F.sum("c").alias("tf")))
+    # pack per id (at most HASH_DIM entries) and normalise inside the row
+    packed = tf.groupBy("id").agg(F.collect_list(F.struct("bucket", "tf")).alias("e"))
+    norm = F.sqrt(F.aggregate("e", F.lit(0.0), lambda acc, x: acc + x["tf"] * x["tf"]))
+    return (packed.select("id", F.inline(F.transform("e", lambda x: F.struct(
+        x["bucket"].alias("bucket"), x["tf"].cast("long").alias("tf"),
+        (x["tf"] / norm).alias("weight"))))))
 
 
 def hashed_embedding(df: DataFrame, id_col: str, text_col: str) -> DataFrame:

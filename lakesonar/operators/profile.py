@@ -84,22 +84,39 @@ def cells(tables, sample_rows: int | None = None) -> DataFrame:
     return out
 
 
-def column_stats(cell_df: DataFrame, approx: bool = False) -> DataFrame:
-    aggs = [F.count(F.lit(1)).alias("n_rows"),
-            F.count("text").alias("n_non_null"),
-            F.stddev_samp("num").alias("std"),
-            F.min("num").alias("min_num"), F.max("num").alias("max_num"),
-            F.min("ts").alias("min_ts"), F.max("ts").alias("max_ts")]
-    if approx:
-        aggs.append(F.approx_count_distinct("text").alias("approx_distinct"))
-    return cell_df.groupBy(*KEYS).agg(*aggs)
+def value_counts(cell_df: DataFrame) -> DataFrame:
+    """(table_name, ordinal, value, n, num, ts): one row per distinct value of
+    each column, NULL included. The only aggregation over the raw data: map-side
+    partial aggregation collapses repeated values before the exchange, and
+    every statistic below reads this (small) result."""
+    return (cell_df.groupBy("table_name", "ordinal", F.col("text").alias("value"))
+            .agg(F.count(F.lit(1)).alias("n"), F.min("num").alias("num"), F.min("ts").alias("ts")))
+
+
+def column_stats(vc: DataFrame, approx: bool = False) -> DataFrame:
+    """Row count, non-null count, exact distinct count, min/max and the sample
+    standard deviation (two-pass over distinct values: mean first, then the
+    weighted sum of squared deviations) per column."""
+    nn = F.when(F.col("value").isNotNull(), F.col("n"))
+    wn = F.when(F.col("num").isNotNull(), F.col("n"))
+    first = vc.groupBy(*KEYS).agg(
+        F.sum("n").alias("n_rows"), F.coalesce(F.sum(nn), F.lit(0)).alias("n_non_null"),
+        F.count("value").alias("num_unique_values"),
+        F.min("num").alias("min_num"), F.max("num").alias("max_num"),
+        F.min("ts").alias("min_ts"), F.max("ts").alias("max_ts"),
+        F.sum(wn).alias("_wn"), F.sum(F.col("num") * F.col("n")).alias("_sx"))
+    mean = first.select(*KEYS, (F.col("_sx") / F.col("_wn")).alias("_mean"))
+    dev = (vc.filter(F.col("num").isNotNull()).join(F.broadcast(mean), KEYS)
+           .groupBy(*KEYS).agg(F.sum(F.col("n") * (F.col("num") - F.col("_mean")) ** 2).alias("_ss")))
+    std = F.when(F.col("_wn") > 1, F.sqrt(F.col("_ss") / (F.col("_wn") - 1)))
+    return first.join(dev, KEYS, "left").select(
+        *KEYS, "n_rows", "n_non_null", "num_unique_values", std.alias("std"),
+        "min_num", "max_num", "min_ts", "max_ts")
 
 
 def distinct_values(cell_df: DataFrame) -> DataFrame:
     """(table_name, ordinal, value, n): one row per distinct non-null value."""
-    return (cell_df.filter(F.col("text").isNotNull())
-            .groupBy("table_name", "ordinal", F.col("text").alias("value"))
-            .agg(F.count(F.lit(1)).alias("n")))
+    return value_counts(cell_df).filter(F.col("value").isNotNull())
 
 
 def sample_values(distinct: DataFrame, n_samples: int = 3) -> DataFrame:
@@ -144,19 +161,21 @@ def profile(tables, n_samples: int = 3, exact: bool = True,
     items = _as_items(tables)
     catalog = column_catalog(items)
     cell_df = cells(items, sample_rows)
-    stats = column_stats(cell_df, approx=not exact)
-    distinct = distinct_values(cell_df)
+    vc = value_counts(cell_df)
+    stats = column_stats(vc)
+    distinct = vc.filter(F.col("value").isNotNull()).select(*KEYS, "value", "n")
     string_keys = F.broadcast(catalog.filter(F.col("kind") == "string").select(*KEYS))
     dates = date_detection(distinct.join(string_keys, KEYS, "left_semi"))
     out = (catalog.join(stats, KEYS, "left")
            .join(sample_values(distinct, n_samples), KEYS, "left")
            .join(dates, KEYS, "left"))
     if exact:
-        counts = distinct.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("num_unique_values"))
-        out = out.join(counts, KEYS, "left").withColumn(
-            "num_unique_values", F.coalesce("num_unique_values", F.lit(0)).cast("long"))
+        out = out.withColumn("num_unique_values",
+                             F.coalesce("num_unique_values", F.lit(0)).cast("long"))
     else:
-        out = out.withColumn("num_unique_values", F.col("approx_distinct"))
+        approx = cell_df.groupBy(*KEYS).agg(F.approx_count_distinct("text").alias("approx_distinct"))
+        out = out.drop("num_unique_values").join(approx, KEYS, "left").withColumn(
+            "num_unique_values", F.col("approx_distinct").cast("long"))
     kind = F.col("kind")
     ratio = F.col("num_unique_values") / F.col("n_rows")
     dtype = (F.when(kind == "number", "number")

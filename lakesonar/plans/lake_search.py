@@ -76,10 +76,27 @@ def answer(questions: DataFrame, index: DataFrame, k: int = 3, metric: str = "co
             .withColumn("in_candidates", F.exists("top_k", lambda h: h["id"] == F.col("best_table_name"))))
 
 
-def lake_search(tables, questions: DataFrame | None = None, k: int = 3) -> DataFrame:
-    """Index the given tables in memory of the plan and answer the questions
-    (one per table when none are given)."""
+def build_index(spark, tables, path: str | None = None, mode: str = "upsert",
+                sample_rows: int | None = None) -> DataFrame:
+    """Profile, summarise, embed and store the tables; returns the stored index.
+
+    The index is a written Parquet table under ``path`` (default: a new folder
+    in the shared checkpoint folder), so later steps read it instead of
+    recomputing profiles and embeddings.
+    """
+    from lakesonar.operators.index import insert_if_absent, open_index, upsert
+    from lakesonar.session import new_table_path
+    path = path or new_table_path(spark, "lake-index")
+    recs = index_records(build_summaries(tables, sample_rows=sample_rows))
+    (upsert if mode == "upsert" else insert_if_absent)(spark, path, recs, batch=1)
+    return open_index(spark, path)
+
+
+def lake_search(spark, tables, questions: DataFrame | None = None, k: int = 3,
+                index_path: str | None = None) -> DataFrame:
+    """Index the given tables and answer the questions (one per table when
+    none are given)."""
     if questions is None:
         questions = table_questions(tables)
-    idx = index_records(build_summaries(tables))
+    idx = build_index(spark, tables, index_path)
     return answer(questions, idx, k=k)

@@ -8,7 +8,8 @@ from lakesonar.operators.embed import hashed_embedding
 from lakesonar.operators.index import insert_if_absent, open_index, reindex_delta, upsert
 from lakesonar.operators.rerank import coverage_scores, snippet
 from lakesonar.operators.retrieve import top_k
-from lakesonar.plans.lake_search import answer, build_summaries, index_records, table_questions
+from lakesonar.plans.lake_search import (answer, build_index, build_summaries, index_records,
+                                          table_questions)
 from lakesonar.plans.registry import LAKE_TABLES, query, read_lake
 from lakesonar.session import new_table_path
 from lakesonar.sources.inventory import inventory
@@ -202,7 +203,7 @@ FROM best b JOIN tops t USING (query_id)"""
 def q_rerank_coverage(spark, sf_dir):
     tabs = read_lake(spark, sf_dir)
     qs = table_questions(tabs)
-    idx = index_records(build_summaries(tabs))
+    idx = build_index(spark, tabs)
     q_emb = hashed_embedding(qs, "query_id", "query").withColumnRenamed("id", "query_id")
     hits = top_k(q_emb, idx.select("id", "embedding"), k=3)
     hits = hits.join(qs, "query_id").join(idx.select("id", "enriched_text"), "id")
@@ -214,7 +215,7 @@ def q_rerank_coverage(spark, sf_dir):
 def q_lake_search(spark, sf_dir):
     tabs = read_lake(spark, sf_dir)
     qs = table_questions(tabs)
-    idx = index_records(build_summaries(tabs))
+    idx = build_index(spark, tabs)
     a = answer(qs, idx, k=3).join(qs.select("query_id", "expected_table"), "query_id")
     return a.select("query_id", "query", "expected_table", "best_table_name",
                     F.array_join(F.transform("top_k", lambda x: x["id"]), ",").alias("top_ids"),
