@@ -25,8 +25,16 @@ def build_summaries(tables, sample_rows: int | None = None, n_samples: int = 3,
                     exact: bool = True) -> DataFrame:
     """(name, file_name, dataset_description, fields, field_names, json_summary, enriched_text)."""
     p = offline_enrich(profile(tables, n_samples=n_samples, exact=exact, sample_rows=sample_rows))
-    s = summarize(p, offline_dataset_description(p))
-    return s.withColumn("enriched_text", index_text())
+    s = summarize(p, offline_dataset_description(p)).withColumn("enriched_text", index_text())
+    return materialize(s)
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Cut lineage with a reliable checkpoint in the shared folder (one row per
+    table here): later steps read it instead of re-profiling the lake."""
+    from lakesonar.session import shared_dir
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
 
 
 def index_text() -> F.Column:

@@ -192,3 +192,73 @@ def q_hash_embedding(spark, sf_dir):
     t = hashed_terms(d, "doc_id", "text")
     return t.select(F.col("id").alias("doc_id"), F.col("bucket").cast("int").alias("bucket"), "tf",
                     F.round("weight", 6).alias("weight"))
+
+
+# --- structured and prose enrichment through a model (E1-E4) -----------------
+
+# The structured-enrichment instruction (its slots are what matter).
+ENRICH_INSTRUCTION = ("Annotate and enrich the dataset summary: generate the dataset name and a "
+                      "description, a description and a one-word semantic type per field. "
+                      "Return the updated JSON only.")
+
+
+def fake_enricher(prompts):
+    """Stand-in model for enrichment: wraps a JSON reply in prose with a trailing
+    comma; fails when the summary's table name has a length divisible by 3."""
+    import json as _json
+    out = []
+    for p in prompts:
+        body = p[p.index("{"):]
+        name = _json.loads(body)["name"]
+        if len(name) % 3 == 0:
+            raise RuntimeError("rate limited")
+        out.append(f'Sure! {{"name": "{name}_enriched", "dataset_description": "table {name}",}} Done.')
+    return out
+
+
+def _enrich_oracle():
+    tabs = ", ".join(f"'{t}'" for t in LAKE_TABLES)
+    return f"""
+SELECT table_name AS name,
+  CASE WHEN length(table_name) % 3 = 0 THEN 'failed' ELSE 'ok' END AS status,
+  CASE WHEN length(table_name) % 3 = 0 THEN NULL ELSE table_name || '_enriched' END AS display_name,
+  CASE WHEN length(table_name) % 3 = 0 THEN NULL ELSE 'table ' || table_name END AS model_description,
+  CASE WHEN length(table_name) % 3 = 0 THEN 'failed' ELSE 'ok' END AS prose_status,
+  CASE WHEN length(table_name) % 3 = 0 THEN 'LLM call failed; no enriched summary generated. Error details: RuntimeError: rate limited'
+       ELSE 'Sure! {{"name": "' || table_name || '_enriched", "dataset_description": "table ' || table_name || '",}} Done.' END AS enriched_text
+FROM (SELECT DISTINCT table_name FROM information_schema.columns WHERE table_name IN ({tabs}))"""
+
+
+@query("enrich_model", _enrich_oracle())
+def q_enrich_model(spark, sf_dir):
+    from lakesonar.operators.enrich import enrich_prose, enrich_structured
+    from lakesonar.operators.summary import summarize, summary_json
+    from lakesonar.plans.lake_search import materialize
+    s = materialize(summarize(profile(read_lake(spark, sf_dir))))
+    st = enrich_structured(s, fake_enricher, ENRICH_INSTRUCTION, on_error="keep_base")
+    st = st.withColumn("model_description", F.get_json_object(
+        F.when(F.col("status") == "ok", F.col("enriched_json")), "$.dataset_description"))
+    pr = enrich_prose(s.withColumn("json_pretty", summary_json(s, pretty=True)), fake_enricher,
+                      "Enrich this summary:\n{json_summary}")
+    return (st.select("name", "status", "display_name", "model_description")
+            .join(pr.select("name", F.col("status").alias("prose_status"), "enriched_text"), "name"))
+
+
+# --- catalog listing (S1, C1) --------------------------------------------------
+
+@query("catalog_tables", """
+SELECT table_name, count(*) AS n_columns FROM information_schema.columns
+WHERE table_name IN ('region', 'nation', 'customer', 'supplier', 'part', 'orders', 'lineitem', 'events',
+  'documents', 'embeddings', 'pages', 'benchmark', 'labels', 'conversations') GROUP BY table_name""")
+def q_catalog_tables(spark, sf_dir):
+    from lakesonar.operators.schema import catalog_columns
+    from lakesonar.sources.inventory import list_tables
+    for name, df in read_lake(spark, sf_dir).items():
+        df.createOrReplaceTempView(f"lake_{name}")
+    names = [r["table_name"] for r in list_tables(spark).filter(F.col("table_name").startswith("lake_")).collect()]
+    cols = None
+    for n in names:                          # catalog metadata only: one schema per table
+        c = catalog_columns(spark, n)
+        cols = c if cols is None else cols.unionByName(c)
+    return cols.groupBy(F.regexp_replace("table_name", "^lake_", "").alias("table_name")).agg(
+        F.count(F.lit(1)).alias("n_columns"))
