@@ -220,3 +220,19 @@ def q_lake_search(spark, sf_dir):
     return a.select("query_id", "query", "expected_table", "best_table_name",
                     F.array_join(F.transform("top_k", lambda x: x["id"]), ",").alias("top_ids"),
                     "in_candidates", (F.col("best_table_name") == F.col("expected_table")).alias("is_correct"))
+
+
+# --- approximate search (K5) -------------------------------------------------
+
+@query("topk_ivf")
+def q_topk_ivf(spark, sf_dir):
+    from lakesonar.operators.ann import build_ivf, recall_at_k, top_k_ivf
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    idx = e.select(F.col("vec_id").cast("string").alias("id"), "embedding")
+    celled, cents = build_ivf(idx, n_cells=8, path=new_table_path(spark, "ivf"))
+    qs = e.select(F.col("vec_id").alias("query_id"), "embedding")
+    approx = top_k_ivf(qs, celled, cents, k=3, n_probe=2)
+    exact = top_k(qs, idx, k=3)
+    r = recall_at_k(approx, exact)
+    return approx.join(r, "query_id").select("query_id", "rank", "id", F.round("score", 6).alias("score"),
+                                             F.round("recall", 6).alias("recall"))

@@ -116,3 +116,16 @@ def test_lake_search_end_to_end(spark):
     assert len(rows) == 14
     assert all(r["in_candidates"] for r in rows)
     assert sum(r["best_table_name"] == r["expected_table"] for r in rows) >= 10
+
+
+def test_ivf_recall_and_full_probe_is_exact(spark):
+    from lakesonar.operators.ann import build_ivf, recall_at_k, top_k_ivf
+    e = spark.read.parquet(f"{SF}/embeddings.parquet")
+    idx = e.select(F.col("vec_id").cast("string").alias("id"), "embedding")
+    qs = e.filter(F.col("label") == 1).select(F.col("vec_id").alias("query_id"), "embedding")
+    celled, cents = build_ivf(idx, n_cells=4, path=new_table_path(spark, "t-ivf"))
+    exact = top_k(qs, idx, k=3)
+    part = recall_at_k(top_k_ivf(qs, celled, cents, k=3, n_probe=1), exact).collect()
+    assert all(0.0 <= r["recall"] <= 1.0 for r in part)
+    full = recall_at_k(top_k_ivf(qs, celled, cents, k=3, n_probe=4), exact).collect()
+    assert all(r["recall"] == 1.0 for r in full)      # probing every cell is exact search
