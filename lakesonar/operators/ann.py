@@ -11,13 +11,12 @@ probed. Exact search stays the default; report recall against it.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakesonar.operators.retrieve import HIT_SCHEMA, TIE_DECIMALS
+from lakesonar.operators.retrieve import MAX_BROADCAST_BYTES, top_k
 
 
 def build_ivf(index: DataFrame, n_cells: int = 16, seed: int = 42, path: str | None = None,
@@ -41,47 +40,21 @@ def build_ivf(index: DataFrame, n_cells: int = 16, seed: int = 42, path: str | N
 
 
 def top_k_ivf(questions: DataFrame, celled: DataFrame, centroids: np.ndarray, k: int = 3,
-              n_probe: int = 2, q_id: str = "query_id", q_vec: str = "embedding") -> DataFrame:
-    """(query_id, rank, id, score, distance) by cosine over the probed cells."""
-    spark = SparkSession.getActiveSession()
-    rows = questions.select(F.col(q_id).cast("long").alias("qid"), F.col(q_vec).alias("v")).collect()
-    q_ids = [r["qid"] for r in rows]
-    q = np.stack([np.asarray(r["v"], dtype=np.float64) for r in rows])
-    q = q / np.where(np.linalg.norm(q, axis=1) == 0, 1.0, np.linalg.norm(q, axis=1))[:, None]
+              n_probe: int = 2, q_id: str = "query_id", q_vec: str = "embedding",
+              max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """(query_id, rank, id, score, distance) by cosine over the probed cells.
+
+    Same machinery as exact search (size-checked question chunks, per-partition
+    partial top-k, group-limited window) plus a probe mask per question.
+    """
     c = centroids / np.where(np.linalg.norm(centroids, axis=1) == 0, 1.0,
                              np.linalg.norm(centroids, axis=1))[:, None]
-    probes = np.argsort(-(q @ c.T), axis=1)[:, :n_probe]
-    cells = sorted({int(x) for x in probes.reshape(-1)})
-    bc = spark.sparkContext.broadcast((q_ids, q, probes))
 
-    def run(batches):
-        ids_, mat, pr = bc.value
-        best = {}
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            x = np.stack([np.asarray(v, dtype=np.float64) for v in pdf["embedding"]])
-            xn = np.linalg.norm(x, axis=1)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                d = np.round(1.0 - (mat @ x.T) / xn[None, :], TIE_DECIMALS)
-            mask = (pr[:, :, None] == pdf["cell"].to_numpy()[None, None, :]).any(axis=1)
-            d = np.where(mask, d, np.inf)
-            rid = pdf["id"].astype(str).to_numpy(dtype=object)
-            for j in range(len(ids_)):
-                ok = np.nonzero(np.isfinite(d[j]))[0]
-                if ok.size == 0:
-                    continue
-                cand = list(best.get(j, [])) + [(d[j, i], rid[i]) for i in ok]
-                best[j] = sorted(cand)[:k]
-        out = [(ids_[j], i, 1.0 - dist, dist) for j, hs in best.items() for dist, i in hs]
-        if out:
-            yield pd.DataFrame(out, columns=["query_id", "id", "score", "distance"])
+    def probe(q_mat):                      # q_mat rows are unit vectors (cosine)
+        return np.argsort(-(q_mat @ c.T), axis=1)[:, :n_probe]
 
-    scanned = celled.filter(F.col("cell").isin(cells))          # partition pruning
-    hits = scanned.select("id", "embedding", "cell").mapInPandas(run, HIT_SCHEMA)
-    w = Window.partitionBy("query_id").orderBy("distance", "id")
-    return hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k) \
-        .withColumnRenamed("query_id", q_id)
+    return top_k(questions, celled, k=k, metric="cosine", q_id=q_id, q_vec=q_vec,
+                 probe_fn=probe, cell_col="cell", max_broadcast_bytes=max_broadcast_bytes)
 
 
 def recall_at_k(approx: DataFrame, exact: DataFrame, q_id: str = "query_id") -> DataFrame:
