@@ -54,8 +54,8 @@ def bucket_of(gram) -> F.Column:
     return F.pmod(F.conv(F.substring(F.md5(gram), 1, 8), 16, 10).cast("long"), F.lit(HASH_DIM))
 
 
-def hashed_terms(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, bucket, tf, weight): sparse V4 vector per row, L2-normalised weights."""
+def _packed_terms(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, e array<struct<bucket, tf>>, m map<bucket, tf>, norm) per text."""
     # Hash-partition the texts by id once: every aggregation below groups by
     # id (plus gram or bucket), which that partitioning already satisfies, so
     # the plan has a single exchange instead of one per aggregation.
@@ -72,12 +72,19 @@ def hashed_terms(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     # bucket lookup: a broadcast join against the (bounded) table of all grams
     tf = (grams.join(F.broadcast(gram_buckets(df.sparkSession)), "g")
           .groupBy("id", "bucket").agg(F.sum("c").alias("tf")))
-    # pack per id (at most HASH_DIM entries) and normalise inside the row
-    packed = tf.groupBy("id").agg(F.collect_list(F.struct("bucket", "tf")).alias("e"))
-    norm = F.sqrt(F.aggregate("e", F.lit(0.0), lambda acc, x: acc + x["tf"] * x["tf"]))
-    return (packed.select("id", F.inline(F.transform("e", lambda x: F.struct(
+    # pack per id (at most HASH_DIM entries); the norm and the map are aggregate
+    # outputs, so the lambdas below read attributes instead of re-evaluating them
+    return tf.groupBy("id").agg(
+        F.collect_list(F.struct("bucket", "tf")).alias("e"),
+        F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("norm"))
+
+
+def hashed_terms(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, bucket, tf, weight): sparse V4 vector per row, L2-normalised weights."""
+    packed = _packed_terms(df, id_col, text_col)
+    return packed.select("id", F.inline(F.transform("e", lambda x: F.struct(
         x["bucket"].alias("bucket"), x["tf"].cast("long").alias("tf"),
-        (x["tf"] / norm).alias("weight"))))))
+        (x["tf"] / F.col("norm")).alias("weight")))))
 
 
 def hashed_embedding(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -85,11 +92,21 @@ def hashed_embedding(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     Rows whose text has no token get no vector.
     """
-    terms = hashed_terms(df, id_col, text_col)
-    packed = terms.groupBy("id").agg(
-        F.map_from_entries(F.collect_list(F.struct("bucket", "weight"))).alias("m"))
-    dense = F.expr(f"transform(sequence(0, {HASH_DIM - 1}), i -> coalesce(m[i], 0D))")
-    return packed.select(F.col("id"), dense.alias("embedding"))
+    packed = _packed_terms(df, id_col, text_col)
+    return packed.select(F.col("id"), _densify(F.col("e.bucket"), F.col("e.tf"), F.col("norm"))
+                         .alias("embedding"))
+
+
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def _densify(buckets: pd.Series, tfs: pd.Series, norms: pd.Series) -> pd.Series:
+    """Scatter sparse (bucket, tf) into a dense unit vector, one Arrow batch at
+    a time (SQL has no scatter; a map lookup per slot would be quadratic)."""
+    out = []
+    for b, t, n in zip(buckets, tfs, norms):
+        v = np.zeros(HASH_DIM)
+        v[np.asarray(b, dtype=np.int64)] = np.asarray(t, dtype=np.float64) / n
+        out.append(v)
+    return pd.Series(out)
 
 
 def embed_with(df: DataFrame, text_col: str, embed_fn: Callable[[list[str]], list],
