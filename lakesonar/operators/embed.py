@@ -92,6 +92,8 @@ def hashed_embedding(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     Rows whose text has no token get no vector.
     """
+    from lakesonar.session import ship_package
+    ship_package(df.sparkSession)
     packed = _packed_terms(df, id_col, text_col)
     return packed.select(F.col("id"), _densify(F.col("e.bucket"), F.col("e.tf"), F.col("norm"))
                          .alias("embedding"))
@@ -113,6 +115,8 @@ def embed_with(df: DataFrame, text_col: str, embed_fn: Callable[[list[str]], lis
                out_col: str = "embedding", factory: bool = False) -> DataFrame:
     """V1/V2: ``embed_fn(list[str]) -> list[vector]`` on Arrow batches; with
     ``factory=True`` the model is built once per task. Errors propagate (V2)."""
+    from lakesonar.session import ship_package
+    ship_package(df.sparkSession)
     schema = T.StructType(df.schema.fields + [T.StructField(out_col, T.ArrayType(T.FloatType()))])
 
     def run(batches):

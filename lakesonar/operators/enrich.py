@@ -37,6 +37,8 @@ def call_model(df: DataFrame, prompt_col: str, model_fn: ModelFn,
     build). Output is deterministic for a deterministic model, so task retries
     are safe.
     """
+    from lakesonar.session import ship_package
+    ship_package(df.sparkSession)
     schema = T.StructType(df.schema.fields + [T.StructField(reply_col, T.StringType()),
                                               T.StructField(error_col, T.StringType())])
 

@@ -22,9 +22,10 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lakesonar.functions.dates import DATE_FORMATS, sql_parse_with
-from lakesonar.functions.render import (INTEGRAL, iso_text, kind_of, quote,
+from lakesonar.functions.render import (INTEGRAL, iso_text, kind_of, quote, sql_iso_text,
                                         sql_nan_to_null, sql_value_text)
 
 # The cardinality ratio under which a string column is a category.
@@ -58,23 +59,37 @@ def column_catalog(tables) -> DataFrame:
 
 
 def cells(tables, sample_rows: int | None = None) -> DataFrame:
-    """(table_name, ordinal, num, ts, text): one row per cell of every table.
+    """(table_name, ordinal, num, lnum, ts, text): one row per cell of every table.
 
-    ``num`` holds numbers as double (NaN → NULL), ``ts`` temporals, ``text``
-    the canonical text of any non-null value (``sql_value_text``).
+    Values keep a cheap native key: integers in ``lnum``, doubles in ``num``
+    (NaN → NULL, -0.0 → 0.0), temporals in ``ts``; strings, floats, decimals,
+    booleans and nested values in ``text`` (``sql_value_text``). Text is
+    rendered for numbers and temporals only later, for distinct values.
+    Decimals also fill ``num`` (for std/min/max).
     """
+    from lakesonar.session import spread
     parts = []
     for name, df in _as_items(tables):
         if sample_rows is not None:
             df = df.limit(sample_rows)
+        df = spread(df)
         structs = []
         for i, f in enumerate(df.schema.fields):
             c = quote(f.name)
-            k = kind_of(f.dataType)
-            num = f"CAST({sql_nan_to_null(c, f.dataType)} AS DOUBLE)" if k == "number" else "CAST(NULL AS DOUBLE)"
-            ts = f"CAST({c} AS TIMESTAMP)" if k == "temporal" else "CAST(NULL AS TIMESTAMP)"
-            structs.append(f"named_struct('ordinal', {i}, 'num', {num}, 'ts', {ts}, "
-                           f"'text', {sql_value_text(c, f.dataType)})")
+            dt = f.dataType
+            k = kind_of(dt)
+            num, lnum, ts, text = "NULL", "NULL", "NULL", sql_value_text(c, dt)
+            if isinstance(dt, INTEGRAL):
+                lnum, text = f"CAST({c} AS BIGINT)", "NULL"
+            elif isinstance(dt, T.DoubleType):
+                num, text = sql_nan_to_null(c, dt), "NULL"
+            elif k == "number":
+                num = f"CAST({sql_nan_to_null(c, dt)} AS DOUBLE)"
+            elif k == "temporal":
+                ts, text = f"CAST({c} AS TIMESTAMP)", "NULL"
+            structs.append(f"named_struct('ordinal', {i}, 'num', CAST({num} AS DOUBLE), "
+                           f"'lnum', CAST({lnum} AS BIGINT), 'ts', CAST({ts} AS TIMESTAMP), "
+                           f"'text', CAST({text} AS STRING))")
         lit_name = name.replace("\\", "\\\\").replace("'", "\\'")
         parts.append(df.selectExpr(f"'{lit_name}' AS table_name",
                                    f"inline(array({', '.join(structs)}))"))
@@ -84,39 +99,57 @@ def cells(tables, sample_rows: int | None = None) -> DataFrame:
     return out
 
 
-def value_counts(cell_df: DataFrame) -> DataFrame:
-    """(table_name, ordinal, value, n, num, ts): one row per distinct value of
-    each column, NULL included. The only aggregation over the raw data: map-side
-    partial aggregation collapses repeated values before the exchange, and
-    every statistic below reads this (small) result."""
-    return (cell_df.groupBy("table_name", "ordinal", F.col("text").alias("value"))
-            .agg(F.count(F.lit(1)).alias("n"), F.min("num").alias("num"), F.min("ts").alias("ts")))
+VALUE_TEXT = ("coalesce(text, CAST(lnum AS STRING), CAST(num AS STRING), "
+              + sql_iso_text("ts") + ")")
 
 
-def column_stats(vc: DataFrame, approx: bool = False) -> DataFrame:
+def value_counts(cell_df: DataFrame, materialize: bool = True) -> DataFrame:
+    """(table_name, ordinal, num, lnum, ts, text, n, value): one row per distinct
+    value of each column, NULL included, with its rendered ``value`` text.
+
+    The only aggregation over raw data: map-side partial aggregation collapses
+    repeated values (a flag, a constant, a value holding a third of the rows)
+    before the exchange. With ``materialize`` the result is written once to the
+    shared folder, because its consumers prune it differently and Spark could
+    not reuse one shuffle for all of them.
+    """
+    vc = (cell_df.groupBy("table_name", "ordinal", "lnum", "num", "ts", "text")
+          .agg(F.count(F.lit(1)).alias("n")))
+    if materialize:
+        from lakesonar.session import new_table_path
+        path = new_table_path(cell_df.sparkSession, "profile-values")
+        vc.write.parquet(path)
+        vc = cell_df.sparkSession.read.parquet(path)
+    return vc.withColumn("value", F.expr(VALUE_TEXT))
+
+
+def column_stats(vc: DataFrame) -> DataFrame:
     """Row count, non-null count, exact distinct count, min/max and the sample
     standard deviation (two-pass over distinct values: mean first, then the
     weighted sum of squared deviations) per column."""
+    numv = F.coalesce(F.col("num"), F.col("lnum").cast("double"))
     nn = F.when(F.col("value").isNotNull(), F.col("n"))
-    wn = F.when(F.col("num").isNotNull(), F.col("n"))
+    wn = F.when(numv.isNotNull(), F.col("n"))
     first = vc.groupBy(*KEYS).agg(
         F.sum("n").alias("n_rows"), F.coalesce(F.sum(nn), F.lit(0)).alias("n_non_null"),
         F.count("value").alias("num_unique_values"),
-        F.min("num").alias("min_num"), F.max("num").alias("max_num"),
+        F.min(numv).alias("min_num"), F.max(numv).alias("max_num"),
+        F.min("lnum").alias("min_lnum"), F.max("lnum").alias("max_lnum"),
         F.min("ts").alias("min_ts"), F.max("ts").alias("max_ts"),
-        F.sum(wn).alias("_wn"), F.sum(F.col("num") * F.col("n")).alias("_sx"))
+        F.sum(wn).alias("_wn"), F.sum(numv * F.col("n")).alias("_sx"))
     mean = first.select(*KEYS, (F.col("_sx") / F.col("_wn")).alias("_mean"))
-    dev = (vc.filter(F.col("num").isNotNull()).join(F.broadcast(mean), KEYS)
-           .groupBy(*KEYS).agg(F.sum(F.col("n") * (F.col("num") - F.col("_mean")) ** 2).alias("_ss")))
+    dev = (vc.filter(numv.isNotNull()).join(F.broadcast(mean), KEYS)
+           .groupBy(*KEYS).agg(F.sum(F.col("n") * (numv - F.col("_mean")) ** 2).alias("_ss")))
     std = F.when(F.col("_wn") > 1, F.sqrt(F.col("_ss") / (F.col("_wn") - 1)))
     return first.join(dev, KEYS, "left").select(
         *KEYS, "n_rows", "n_non_null", "num_unique_values", std.alias("std"),
-        "min_num", "max_num", "min_ts", "max_ts")
+        "min_num", "max_num", "min_lnum", "max_lnum", "min_ts", "max_ts")
 
 
 def distinct_values(cell_df: DataFrame) -> DataFrame:
     """(table_name, ordinal, value, n): one row per distinct non-null value."""
-    return value_counts(cell_df).filter(F.col("value").isNotNull())
+    return value_counts(cell_df, materialize=False).filter(F.col("value").isNotNull()) \
+        .select(*KEYS, "value", "n")
 
 
 def sample_values(distinct: DataFrame, n_samples: int = 3) -> DataFrame:
@@ -151,7 +184,7 @@ def date_detection(values: DataFrame) -> DataFrame:
 
 
 def profile(tables, n_samples: int = 3, exact: bool = True,
-            sample_rows: int | None = None) -> DataFrame:
+            sample_rows: int | None = None, materialize: bool = True) -> DataFrame:
     """Profile every column of every table (the ``profile`` schema).
 
     ``tables`` is a dict or list of (name, DataFrame). ``sample_rows=None``
@@ -161,7 +194,7 @@ def profile(tables, n_samples: int = 3, exact: bool = True,
     items = _as_items(tables)
     catalog = column_catalog(items)
     cell_df = cells(items, sample_rows)
-    vc = value_counts(cell_df)
+    vc = value_counts(cell_df, materialize=materialize)
     stats = column_stats(vc)
     distinct = vc.filter(F.col("value").isNotNull()).select(*KEYS, "value", "n")
     string_keys = F.broadcast(catalog.filter(F.col("kind") == "string").select(*KEYS))
@@ -173,7 +206,7 @@ def profile(tables, n_samples: int = 3, exact: bool = True,
         out = out.withColumn("num_unique_values",
                              F.coalesce("num_unique_values", F.lit(0)).cast("long"))
     else:
-        approx = cell_df.groupBy(*KEYS).agg(F.approx_count_distinct("text").alias("approx_distinct"))
+        approx = cell_df.groupBy(*KEYS).agg(F.approx_count_distinct(F.expr(VALUE_TEXT)).alias("approx_distinct"))
         out = out.drop("num_unique_values").join(approx, KEYS, "left").withColumn(
             "num_unique_values", F.col("approx_distinct").cast("long"))
     kind = F.col("kind")
@@ -187,12 +220,12 @@ def profile(tables, n_samples: int = 3, exact: bool = True,
              .when(kind == "string", "string")
              .otherwise(F.col("spark_type")))
     min_text = (F.when(kind == "number",
-                       F.when(F.col("integral"), F.col("min_num").cast("long").cast("string"))
+                       F.when(F.col("integral"), F.col("min_lnum").cast("string"))
                        .otherwise(F.col("min_num").cast("string")))
                 .when(kind == "temporal", iso_text("min_ts"))
                 .when(F.col("date_format").isNotNull(), iso_text("date_min")))
     max_text = (F.when(kind == "number",
-                       F.when(F.col("integral"), F.col("max_num").cast("long").cast("string"))
+                       F.when(F.col("integral"), F.col("max_lnum").cast("string"))
                        .otherwise(F.col("max_num").cast("string")))
                 .when(kind == "temporal", iso_text("max_ts"))
                 .when(F.col("date_format").isNotNull(), iso_text("date_max")))

@@ -37,9 +37,12 @@ def properties(p: DataFrame) -> DataFrame:
     is_date = F.col("dtype") == "date"
     integral_full = F.col("integral") & (F.col("n_non_null") == F.col("n_rows"))
     std = F.when(is_num, _variant_number("std_json", integral_full))
-    mn = (F.when(is_num, _variant_number("min_json", F.col("integral")))
+    # integers from their exact text, other numbers from the double
+    mn = (F.when(is_num & F.col("integral"), F.expr("CAST(CAST(min AS BIGINT) AS VARIANT)"))
+          .when(is_num, F.expr("CAST(min_json AS VARIANT)"))
           .when(is_date, F.expr("CAST(min AS VARIANT)")))
-    mx = (F.when(is_num, _variant_number("max_json", F.col("integral")))
+    mx = (F.when(is_num & F.col("integral"), F.expr("CAST(CAST(max AS BIGINT) AS VARIANT)"))
+          .when(is_num, F.expr("CAST(max_json AS VARIANT)"))
           .when(is_date, F.expr("CAST(max AS VARIANT)")))
     samples = F.when(is_num, F.expr("transform(samples, s -> try_parse_json(s))")).otherwise(
         F.expr("transform(samples, s -> CAST(s AS VARIANT))"))

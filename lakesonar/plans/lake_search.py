@@ -24,7 +24,9 @@ from lakesonar.operators.summary import summarize
 def build_summaries(tables, sample_rows: int | None = None, n_samples: int = 3,
                     exact: bool = True) -> DataFrame:
     """(name, file_name, dataset_description, fields, field_names, json_summary, enriched_text)."""
-    p = offline_enrich(profile(tables, n_samples=n_samples, exact=exact, sample_rows=sample_rows))
+    # one row per column, used twice below: materialise it once
+    p = materialize(offline_enrich(profile(tables, n_samples=n_samples, exact=exact,
+                                           sample_rows=sample_rows)))
     s = summarize(p, offline_dataset_description(p)).withColumn("enriched_text", index_text())
     return materialize(s)
 

@@ -32,6 +32,7 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     return spark
 
 
@@ -67,3 +68,52 @@ def table_exists(spark: SparkSession, path: str) -> bool:
 def local_path(path: str) -> str:
     """Strip a ``file:`` scheme for local-only helpers."""
     return path[5:] if path.startswith("file:") else os.fspath(path)
+
+
+def spread(df):
+    """Round-robin a DataFrame whose scan has fewer partitions than the cluster
+    has cores (a small table, or one unsplittable file), so CPU-heavy per-row
+    work (cell explode, text parsing) is not left to one task. Tables that
+    already come in enough partitions — every large table — are not touched,
+    so no raw data of a big table is shuffled for this.
+    """
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``lakesonar`` importable in Python workers (``addPyFile``, as
+    ``--py-files`` would): operators that run Python in tasks (Arrow UDFs,
+    ``mapInPandas``) reference package functions. The zip is written to the
+    shared folder once per application."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    import io
+    import zipfile
+
+    import lakesonar
+    root = os.path.dirname(os.path.abspath(lakesonar.__file__))
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
+        for d, _dirs, files in os.walk(root):
+            if "__pycache__" in d:
+                continue
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(d, f)
+                    z.write(full, os.path.join("lakesonar", os.path.relpath(full, root)))
+    path = f"{new_table_path(spark, 'pyfiles')}/lakesonar.zip"
+    jvm = sc._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(path)
+    fs = hpath.getFileSystem(sc._jsc.hadoopConfiguration())
+    out = fs.create(hpath, True)
+    out.write(bytearray(buf.getvalue()))
+    out.close()
+    sc.addPyFile(path)
+    _SHIPPED.add(sc.applicationId)

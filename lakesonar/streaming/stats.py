@@ -12,21 +12,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakesonar.operators.profile import cells
+from lakesonar.operators.profile import VALUE_TEXT, cells
 
 KEYS = ["table_name", "ordinal"]
 
 
 def partial_stats(tables, part: str) -> DataFrame:
     """(part, table_name, ordinal, n_rows, n, mean, m2, min_num, max_num, sketch)."""
-    c = cells(tables)
+    c = cells(tables).select(*KEYS, F.coalesce("num", F.col("lnum").cast("double")).alias("x"),
+                             F.expr(VALUE_TEXT).alias("value"))
     return (c.groupBy(F.lit(part).alias("part"), *KEYS).agg(
         F.count(F.lit(1)).alias("n_rows"),
-        F.count("num").alias("n"),
-        F.avg("num").alias("mean"),
-        (F.var_pop("num") * F.count("num")).alias("m2"),
-        F.min("num").alias("min_num"), F.max("num").alias("max_num"),
-        F.hll_sketch_agg("text").alias("sketch")))
+        F.count("x").alias("n"),
+        F.avg("x").alias("mean"),
+        (F.var_pop("x") * F.count("x")).alias("m2"),
+        F.min("x").alias("min_num"), F.max("x").alias("max_num"),
+        F.hll_sketch_agg("value").alias("sketch")))
 
 
 def merge_stats(partials: DataFrame) -> DataFrame:
