@@ -30,6 +30,9 @@ from lakesonar.functions.render import (INTEGRAL, iso_text, kind_of, quote, sql_
 
 # The cardinality ratio under which a string column is a category.
 CATEGORY_RATIO = 0.5
+# Texts longer than this are grouped by their md5 (32 bytes) instead of the
+# text itself, so the value-count shuffle does not carry whole documents.
+LONG_TEXT = 256
 
 KEYS = ["table_name", "ordinal"]
 
@@ -58,7 +61,7 @@ def column_catalog(tables) -> DataFrame:
               "kind string, integral boolean")
 
 
-def cells(tables, sample_rows: int | None = None) -> DataFrame:
+def cells(tables, sample_rows: int | None = None, keep_long: bool = False) -> DataFrame:
     """(table_name, ordinal, num, lnum, ts, text): one row per cell of every table.
 
     Values keep a cheap native key: integers in ``lnum``, doubles in ``num``
@@ -87,9 +90,15 @@ def cells(tables, sample_rows: int | None = None) -> DataFrame:
                 num = f"CAST({sql_nan_to_null(c, dt)} AS DOUBLE)"
             elif k == "temporal":
                 ts, text = f"CAST({c} AS TIMESTAMP)", "NULL"
+            hkey = "NULL"
+            if text != "NULL" and (k == "string" or k == "other"):
+                v = text
+                hkey = f"CASE WHEN length({v}) > {LONG_TEXT} THEN md5({v}) END"
+                if not keep_long:
+                    text = f"CASE WHEN length({v}) <= {LONG_TEXT} THEN {v} END"
             structs.append(f"named_struct('ordinal', {i}, 'num', CAST({num} AS DOUBLE), "
                            f"'lnum', CAST({lnum} AS BIGINT), 'ts', CAST({ts} AS TIMESTAMP), "
-                           f"'text', CAST({text} AS STRING))")
+                           f"'text', CAST({text} AS STRING), 'hkey', CAST({hkey} AS STRING))")
         lit_name = name.replace("\\", "\\\\").replace("'", "\\'")
         parts.append(df.selectExpr(f"'{lit_name}' AS table_name",
                                    f"inline(array({', '.join(structs)}))"))
@@ -101,6 +110,8 @@ def cells(tables, sample_rows: int | None = None) -> DataFrame:
 
 VALUE_TEXT = ("coalesce(text, CAST(lnum AS STRING), CAST(num AS STRING), "
               + sql_iso_text("ts") + ")")
+# identity of a value for null tests and sketches: long texts by their hash
+VALUE_KEY = f"coalesce({VALUE_TEXT}, hkey)"
 
 
 def value_counts(cell_df: DataFrame, materialize: bool = True) -> DataFrame:
@@ -113,14 +124,16 @@ def value_counts(cell_df: DataFrame, materialize: bool = True) -> DataFrame:
     shared folder, because its consumers prune it differently and Spark could
     not reuse one shuffle for all of them.
     """
-    vc = (cell_df.groupBy("table_name", "ordinal", "lnum", "num", "ts", "text")
+    vc = (cell_df.groupBy("table_name", "ordinal", "lnum", "num", "ts", "text", "hkey")
           .agg(F.count(F.lit(1)).alias("n")))
     if materialize:
         from lakesonar.session import new_table_path
         path = new_table_path(cell_df.sparkSession, "profile-values")
         vc.write.parquet(path)
         vc = cell_df.sparkSession.read.parquet(path)
-    return vc.withColumn("value", F.expr(VALUE_TEXT))
+    return (vc.withColumn("value", F.expr(VALUE_TEXT))
+            .withColumn("present", F.col("value").isNotNull() | F.col("hkey").isNotNull())
+            .withColumn("vhash", F.coalesce(F.col("hkey"), F.md5(F.col("value")))))
 
 
 def column_stats(vc: DataFrame) -> DataFrame:
@@ -128,11 +141,11 @@ def column_stats(vc: DataFrame) -> DataFrame:
     standard deviation (two-pass over distinct values: mean first, then the
     weighted sum of squared deviations) per column."""
     numv = F.coalesce(F.col("num"), F.col("lnum").cast("double"))
-    nn = F.when(F.col("value").isNotNull(), F.col("n"))
+    nn = F.when(F.col("present"), F.col("n"))
     wn = F.when(numv.isNotNull(), F.col("n"))
     first = vc.groupBy(*KEYS).agg(
         F.sum("n").alias("n_rows"), F.coalesce(F.sum(nn), F.lit(0)).alias("n_non_null"),
-        F.count("value").alias("num_unique_values"),
+        F.count_if(F.col("present")).alias("num_unique_values"),
         F.min(numv).alias("min_num"), F.max(numv).alias("max_num"),
         F.min("lnum").alias("min_lnum"), F.max("lnum").alias("max_lnum"),
         F.min("ts").alias("min_ts"), F.max("ts").alias("max_ts"),
@@ -147,17 +160,30 @@ def column_stats(vc: DataFrame) -> DataFrame:
 
 
 def distinct_values(cell_df: DataFrame) -> DataFrame:
-    """(table_name, ordinal, value, n): one row per distinct non-null value."""
-    return value_counts(cell_df, materialize=False).filter(F.col("value").isNotNull()) \
-        .select(*KEYS, "value", "n")
+    """(table_name, ordinal, value, hkey, vhash, n): one row per distinct non-null
+    value (long texts carry ``hkey`` instead of ``value``)."""
+    return value_counts(cell_df, materialize=False).filter(F.col("present")) \
+        .select(*KEYS, "value", "hkey", "vhash", "n")
 
 
-def sample_values(distinct: DataFrame, n_samples: int = 3) -> DataFrame:
-    """Up to ``n_samples`` distinct values per column, smallest ``md5`` first."""
-    w = Window.partitionBy(*KEYS).orderBy(F.md5("value"), "value")
-    ranked = (distinct.select(*KEYS, "value")
+def sample_values(distinct: DataFrame, n_samples: int = 3, long_source: DataFrame | None = None) -> DataFrame:
+    """Up to ``n_samples`` distinct values per column, smallest ``md5`` first.
+
+    Long texts travel as their hash; the few chosen ones are fetched in full
+    from ``long_source`` (cells with ``keep_long``) by a semi-join against a
+    broadcast of the chosen hashes (at most ``n_samples`` per column).
+    """
+    w = Window.partitionBy(*KEYS).orderBy(F.col("vhash"), F.col("value"))
+    ranked = (distinct.select(*KEYS, "value", "hkey", "vhash")
               .withColumn("rk", F.row_number().over(w))
               .filter(F.col("rk") <= n_samples))
+    if long_source is not None:
+        chosen = ranked.filter(F.col("hkey").isNotNull()).select(*KEYS, "hkey")
+        full = (long_source.filter(F.col("hkey").isNotNull())
+                .join(F.broadcast(chosen), KEYS + ["hkey"], "left_semi")
+                .groupBy(*KEYS, "hkey").agg(F.min("text").alias("long_value")))
+        ranked = (ranked.join(full, KEYS + ["hkey"], "left")
+                  .withColumn("value", F.coalesce("value", "long_value")))
     return ranked.groupBy(*KEYS).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("rk", "value"))),
                     lambda x: x["value"]).alias("samples"))
@@ -166,13 +192,14 @@ def sample_values(distinct: DataFrame, n_samples: int = 3) -> DataFrame:
 def date_detection(values: DataFrame) -> DataFrame:
     """Per string column: the first format that parses every non-blank value (T2),
     and the parsed min/max under that format (P6). ``values`` has
-    (table_name, ordinal, value) rows, distinct or not."""
+    (table_name, ordinal, value, hkey) rows, distinct or not; long texts
+    (``hkey``) are never dates."""
     parsed = [f"{sql_parse_with('value', n, r, p)} AS p{j}"
               for j, (n, r, p) in enumerate(DATE_FORMATS)]
-    aggs = ["count_if(value IS NOT NULL AND value <> '') AS nb"]
+    aggs = ["count_if((value IS NOT NULL AND value <> '') OR hkey IS NOT NULL) AS nb"]
     for j in range(len(DATE_FORMATS)):
         aggs += [f"count(p{j}) AS ok{j}", f"min(p{j}) AS lo{j}", f"max(p{j}) AS hi{j}"]
-    g = values.selectExpr(*KEYS, "value", *parsed).groupBy(*KEYS).agg(*[F.expr(a) for a in aggs])
+    g = values.selectExpr(*KEYS, "value", "hkey", *parsed).groupBy(*KEYS).agg(*[F.expr(a) for a in aggs])
     fmt = lo = hi = "NULL"
     for j, (name, _r, _p) in reversed(list(enumerate(DATE_FORMATS))):
         hit = f"nb > 0 AND ok{j} = nb"
@@ -196,17 +223,18 @@ def profile(tables, n_samples: int = 3, exact: bool = True,
     cell_df = cells(items, sample_rows)
     vc = value_counts(cell_df, materialize=materialize)
     stats = column_stats(vc)
-    distinct = vc.filter(F.col("value").isNotNull()).select(*KEYS, "value", "n")
+    distinct = vc.filter(F.col("present")).select(*KEYS, "value", "hkey", "vhash", "n")
     string_keys = F.broadcast(catalog.filter(F.col("kind") == "string").select(*KEYS))
     dates = date_detection(distinct.join(string_keys, KEYS, "left_semi"))
     out = (catalog.join(stats, KEYS, "left")
-           .join(sample_values(distinct, n_samples), KEYS, "left")
+           .join(sample_values(distinct, n_samples, cells(items, sample_rows, keep_long=True)),
+                 KEYS, "left")
            .join(dates, KEYS, "left"))
     if exact:
         out = out.withColumn("num_unique_values",
                              F.coalesce("num_unique_values", F.lit(0)).cast("long"))
     else:
-        approx = cell_df.groupBy(*KEYS).agg(F.approx_count_distinct(F.expr(VALUE_TEXT)).alias("approx_distinct"))
+        approx = cell_df.groupBy(*KEYS).agg(F.approx_count_distinct(F.expr(VALUE_KEY)).alias("approx_distinct"))
         out = out.drop("num_unique_values").join(approx, KEYS, "left").withColumn(
             "num_unique_values", F.col("approx_distinct").cast("long"))
     kind = F.col("kind")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakesonar.operators.profile import KEYS, VALUE_TEXT, _as_items, cells
+from lakesonar.operators.profile import KEYS, VALUE_KEY, _as_items, cells
 
 
 def columns(tables) -> DataFrame:
@@ -33,7 +33,7 @@ def observed_nullability(tables) -> DataFrame:
     c = cells(tables)
     return (c.groupBy(*KEYS)
             .agg(F.count(F.lit(1)).alias("n_rows"),
-                 F.count_if(F.expr(VALUE_TEXT).isNull()).alias("n_null"))
+                 F.count_if(F.expr(VALUE_KEY).isNull()).alias("n_null"))
             .withColumn("observed_nullable", F.col("n_null") > 0))
 
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakesonar.operators.profile import VALUE_TEXT, cells
+from lakesonar.operators.profile import VALUE_KEY, cells
 
 KEYS = ["table_name", "ordinal"]
 
@@ -20,7 +20,7 @@ KEYS = ["table_name", "ordinal"]
 def partial_stats(tables, part: str) -> DataFrame:
     """(part, table_name, ordinal, n_rows, n, mean, m2, min_num, max_num, sketch)."""
     c = cells(tables).select(*KEYS, F.coalesce("num", F.col("lnum").cast("double")).alias("x"),
-                             F.expr(VALUE_TEXT).alias("value"))
+                             F.expr(VALUE_KEY).alias("value"))
     return (c.groupBy(F.lit(part).alias("part"), *KEYS).agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.count("x").alias("n"),
