@@ -22,13 +22,17 @@ from lakesonar.operators.summary import summarize
 
 
 def build_summaries(tables, sample_rows: int | None = None, n_samples: int = 3,
-                    exact: bool = True) -> DataFrame:
-    """(name, file_name, dataset_description, fields, field_names, json_summary, enriched_text)."""
+                    exact: bool = True, enrich: bool = True) -> DataFrame:
+    """(name, file_name, dataset_description, fields, field_names, json_summary, enriched_text).
+
+    ``enrich=False`` (J6) keeps the base summary: empty semantic types,
+    descriptions and dataset description.
+    """
+    p = profile(tables, n_samples=n_samples, exact=exact, sample_rows=sample_rows)
     # one row per column, used twice below: materialise it once
-    p = materialize(offline_enrich(profile(tables, n_samples=n_samples, exact=exact,
-                                           sample_rows=sample_rows)))
-    s = summarize(p, offline_dataset_description(p)).withColumn("enriched_text", index_text())
-    return materialize(s)
+    p = materialize(offline_enrich(p) if enrich else p)
+    s = summarize(p, offline_dataset_description(p) if enrich else None)
+    return materialize(s.withColumn("enriched_text", index_text()))
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -71,9 +75,20 @@ def table_questions(tables) -> DataFrame:
         F.col("table_name").alias("expected_table"))
 
 
+def check_model(index: DataFrame, model_id: str = MODEL_ID) -> None:
+    """V3: questions must be embedded by the model that built the index.
+    Reads the distinct model ids of the index (a tiny aggregate)."""
+    if "model_id" not in index.columns:
+        return
+    ids = {r[0] for r in index.select("model_id").distinct().limit(2).collect()} - {None}
+    if ids and ids != {model_id}:
+        raise ValueError(f"index was built with {sorted(ids)}, questions use {model_id}")
+
+
 def answer(questions: DataFrame, index: DataFrame, k: int = 3, metric: str = "cosine",
            include_failed: bool = False) -> DataFrame:
     """(query_id, query, best_table_name, in_candidates, top_k, hits...) per question."""
+    check_model(index)
     if not include_failed and "status" in index.columns:
         index = index.filter(F.coalesce(F.col("status"), F.lit("ok")) == "ok")
     q_emb = hashed_embedding(questions, "query_id", "query").withColumnRenamed("id", "query_id")

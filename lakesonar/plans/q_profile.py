@@ -300,3 +300,24 @@ def q_lake_profile(spark, sf_dir):
     return p.groupBy("table_name").agg(
         F.count(F.lit(1)).cast("int").alias("n_columns"), F.max("n_rows").alias("n_rows"),
         F.sum("num_unique_values").cast("long").alias("unique_total"))
+
+
+# --- clean_nan_nested (J5): NaN inside arrays becomes NULL, infinity stays ---
+
+@query("clean_nan_nested", """
+SELECT vec_id, count(*) FILTER (WHERE (vec_id + i - 1) % 17 = 0) AS n_null,
+       round(sum(x::DOUBLE) FILTER (WHERE (vec_id + i - 1) % 17 <> 0), 4) AS total
+FROM (SELECT vec_id, unnest(embedding) AS x, unnest(generate_series(1, len(embedding))) AS i FROM embeddings)
+GROUP BY vec_id""")
+def q_clean_nan_nested(spark, sf_dir):
+    from lakesonar.functions.render import clean_nan_frame
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    dirty = e.select("vec_id", F.expr(
+        "transform(embedding, (x, i) -> CASE WHEN (vec_id + i) % 17 = 0 THEN CAST('NaN' AS FLOAT) ELSE x END)")
+        .alias("embedding"))
+    clean = clean_nan_frame(dirty)
+    return clean.select(
+        "vec_id",
+        F.expr("CAST(size(filter(embedding, x -> x IS NULL)) AS BIGINT)").alias("n_null"),
+        F.round(F.expr("aggregate(filter(embedding, x -> x IS NOT NULL), 0D, (a, x) -> a + CAST(x AS DOUBLE))"),
+                4).alias("total"))

@@ -129,3 +129,12 @@ def test_ivf_recall_and_full_probe_is_exact(spark):
     assert all(0.0 <= r["recall"] <= 1.0 for r in part)
     full = recall_at_k(top_k_ivf(qs, celled, cents, k=3, n_probe=4), exact).collect()
     assert all(r["recall"] == 1.0 for r in full)      # probing every cell is exact search
+
+
+def test_model_mismatch_refused(spark):
+    import pytest
+    from lakesonar.plans.lake_search import check_model
+    idx = spark.createDataFrame([("a", "other-model")], "id string, model_id string")
+    with pytest.raises(ValueError):
+        check_model(idx)
+    check_model(spark.createDataFrame([("a", None)], "id string, model_id string"))
