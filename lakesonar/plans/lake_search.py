@@ -85,9 +85,9 @@ def check_model(index: DataFrame, model_id: str = MODEL_ID) -> None:
         raise ValueError(f"index was built with {sorted(ids)}, questions use {model_id}")
 
 
-def answer(questions: DataFrame, index: DataFrame, k: int = 3, metric: str = "cosine",
-           include_failed: bool = False) -> DataFrame:
-    """(query_id, query, best_table_name, in_candidates, top_k, hits...) per question."""
+def candidates(questions: DataFrame, index: DataFrame, k: int = 3, metric: str = "cosine",
+               include_failed: bool = False) -> DataFrame:
+    """K1 + N1: the top-k index records of every question with their snippets."""
     check_model(index)
     if not include_failed and "status" in index.columns:
         index = index.filter(F.coalesce(F.col("status"), F.lit("ok")) == "ok")
@@ -95,12 +95,34 @@ def answer(questions: DataFrame, index: DataFrame, k: int = 3, metric: str = "co
     hits = top_k(q_emb, index.select("id", "embedding"), k=k, metric=metric)
     hits = (hits.join(questions.select("query_id", "query"), "query_id")
             .join(index.select("id", "enriched_text", "json_summary"), "id"))
-    hits = hits.withColumn("snippet", snippet())
+    return hits.withColumn("snippet", snippet())
+
+
+def answer(questions: DataFrame, index: DataFrame, k: int = 3, metric: str = "cosine",
+           include_failed: bool = False) -> DataFrame:
+    """(query_id, query, best_table_name, in_candidates, top_k) per question,
+    reranked by 3-gram coverage (N9)."""
+    hits = candidates(questions, index, k, metric, include_failed)
     best = pick_best(coverage_scores(hits))
     return (best.join(questions.select("query_id", "query"), "query_id")
             .withColumn("in_candidates", F.exists("top_k", lambda h: h["id"] == F.col("best_table_name"))))
 
 
+def answer_with_model(questions: DataFrame, index: DataFrame, model_fn, template: str,
+                      k: int = 3, metric: str = "cosine") -> DataFrame:
+    """N2-N8 with a model: snippets joined per question, template filled, one
+    model call per question (Arrow batches), reply parsed, ``UnknownTable`` on
+    failure, and whether the answer is among the candidates (N7)."""
+    from lakesonar.operators.rerank import join_snippets, rerank_prompt, rerank_with_model
+    hits = candidates(questions, index, k, metric)
+    tops = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(
+        F.struct("rank", "id", "distance"))).alias("top_k"))
+    prompts = (join_snippets(hits).join(questions.select("query_id", "query"), "query_id")
+               .withColumn("prompt", rerank_prompt(template)))
+    out = rerank_with_model(prompts, model_fn).join(tops, "query_id")
+    return out.withColumn("in_candidates", F.exists("top_k", lambda h: h["id"] == F.col("best_table_name")))
+
+
 def build_index(spark, tables, path: str | None = None, mode: str = "upsert",
                 sample_rows: int | None = None) -> DataFrame:
     """Profile, summarise, embed and store the tables; returns the stored index.

@@ -191,6 +191,8 @@ cov AS (SELECT h.query_id, h.rank, h.id, qs.query, qs.expected_table,
   FROM hits h JOIN qs USING (query_id) JOIN idx ON idx.id = h.id)"""
     if what == "coverage":
         return base + "\nSELECT query_id, rank, id, round(coverage, 6) AS coverage FROM cov"
+    if what == "base":
+        return base
     return base + """,
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY coverage DESC, rank) AS r FROM cov) WHERE r = 1),
 tops AS (SELECT query_id, string_agg(id, ',' ORDER BY rank) AS top_ids FROM cov GROUP BY query_id)
@@ -236,3 +238,41 @@ def q_topk_ivf(spark, sf_dir):
     r = recall_at_k(approx, exact)
     return approx.join(r, "query_id").select("query_id", "rank", "id", F.round("score", 6).alias("score"),
                                              F.round("recall", 6).alias("recall"))
+
+
+# --- rerank through a model (N2-N7) ------------------------------------------
+
+# A rerank template with the question and schema slots.
+RERANK_TEMPLATE = ("Pick the table that has all the columns needed for the query.\\n"
+                   "Query : {q}\\n\\nSchemas : {s}\\n\\nOnly provide the name of the best matching table.")
+
+
+def fake_reranker(prompts):
+    """Stand-in model: answers with the first candidate's table name; fails
+    on prompts whose query has an even number of words."""
+    import re as _re
+    out = []
+    for p in prompts:
+        q = p.split("Query : ", 1)[1].split("\\n", 1)[0]
+        if len(q.split()) % 2 == 0:
+            raise RuntimeError("overloaded")
+        m = _re.search(r"Candidate #1 - Table Name: (\\S+)", p)
+        out.append(f"Best table: {m.group(1)}" if m else "no idea")
+    return out
+
+
+def _rerank_model_oracle():
+    base = _search_oracle("base")
+    return base + """
+SELECT c.query_id, CASE WHEN len(string_split(c.query, ' ')) % 2 = 0 THEN 'UnknownTable' ELSE c.id END AS best_table_name,
+       len(string_split(c.query, ' ')) % 2 <> 0 AS in_candidates
+FROM cov c WHERE c.rank = 1"""
+
+
+@query("rerank_model", _rerank_model_oracle())
+def q_rerank_model(spark, sf_dir):
+    from lakesonar.plans.lake_search import answer_with_model
+    tabs = read_lake(spark, sf_dir)
+    qs = table_questions(tabs)
+    a = answer_with_model(qs, build_index(spark, tabs), fake_reranker, RERANK_TEMPLATE)
+    return a.select("query_id", "best_table_name", "in_candidates")
