@@ -59,9 +59,20 @@ def query(name: str, oracle: str | None = None):
     return deco
 
 
+_READS: dict[tuple, DataFrame] = {}
+
+
 def read_lake(spark: SparkSession, sf_dir: str, names=None) -> dict[str, DataFrame]:
+    """The driver's tables as DataFrames. Resolved handles (schema, file
+    listing) are reused within one application; data is read when a query runs."""
     names = names or list(LAKE_TABLES)
-    return {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names}
+    out = {}
+    for n in names:
+        key = (spark.sparkContext.applicationId, sf_dir, n)
+        if key not in _READS:
+            _READS[key] = spark.read.parquet(f"{sf_dir}/{n}.parquet")
+        out[n] = _READS[key]
+    return out
 
 
 def union_sql(parts: list[str]) -> str:
