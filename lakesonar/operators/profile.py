@@ -189,25 +189,96 @@ def sample_values(distinct: DataFrame, n_samples: int = 3, long_source: DataFram
                     lambda x: x["value"]).alias("samples"))
 
 
-def date_detection(values: DataFrame) -> DataFrame:
-    """Per string column: the first format that parses every non-blank value (T2),
-    and the parsed min/max under that format (P6). ``values`` has
-    (table_name, ordinal, value, hkey) rows, distinct or not; long texts
-    (``hkey``) are never dates."""
-    parsed = [f"{sql_parse_with('value', n, r, p)} AS p{j}"
-              for j, (n, r, p) in enumerate(DATE_FORMATS)]
-    aggs = ["count_if((value IS NOT NULL AND value <> '') OR hkey IS NOT NULL) AS nb"]
+def _date_parsed(value: str = "value") -> list[str]:
+    return [f"{sql_parse_with(value, n, r, p)} AS p{j}" for j, (n, r, p) in enumerate(DATE_FORMATS)]
+
+
+def _date_aggs() -> list[str]:
+    aggs = []
     for j in range(len(DATE_FORMATS)):
         aggs += [f"count(p{j}) AS ok{j}", f"min(p{j}) AS lo{j}", f"max(p{j}) AS hi{j}"]
-    g = values.selectExpr(*KEYS, "value", "hkey", *parsed).groupBy(*KEYS).agg(*[F.expr(a) for a in aggs])
+    return aggs
+
+
+def _date_pick() -> list[str]:
+    """The first format whose parsed count equals the non-blank count ``nb``."""
     fmt = lo = hi = "NULL"
     for j, (name, _r, _p) in reversed(list(enumerate(DATE_FORMATS))):
         hit = f"nb > 0 AND ok{j} = nb"
         fmt = f"CASE WHEN {hit} THEN '{name}' ELSE {fmt} END"
         lo = f"CASE WHEN {hit} THEN lo{j} ELSE {lo} END"
         hi = f"CASE WHEN {hit} THEN hi{j} ELSE {hi} END"
-    return g.selectExpr(*KEYS, f"CAST({fmt} AS STRING) AS date_format",
-                        f"CAST({lo} AS TIMESTAMP) AS date_min", f"CAST({hi} AS TIMESTAMP) AS date_max")
+    return [f"CAST({fmt} AS STRING) AS date_format",
+            f"CAST({lo} AS TIMESTAMP) AS date_min", f"CAST({hi} AS TIMESTAMP) AS date_max"]
+
+
+def date_detection(values: DataFrame) -> DataFrame:
+    """Per string column: the first format that parses every non-blank value (T2),
+    and the parsed min/max under that format (P6). ``values`` has
+    (table_name, ordinal, value, hkey) rows, distinct or not; long texts
+    (``hkey``) are never dates."""
+    nb = "count_if((value IS NOT NULL AND value <> '') OR hkey IS NOT NULL) AS nb"
+    g = (values.selectExpr(*KEYS, "value", "hkey", *_date_parsed())
+         .groupBy(*KEYS).agg(*[F.expr(a) for a in [nb] + _date_aggs()]))
+    return g.selectExpr(*KEYS, *_date_pick())
+
+
+# md5 classes (by the last hex digit) whose minima bound the
+# sample threshold in approximate mode.
+MD5_CLASSES = "0123456789abcdef"
+
+
+def approx_parts(items, catalog: DataFrame, n_samples: int = 3,
+                 sample_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Approximate mode: (stats, samples) with no per-value shuffle.
+
+    Pass 1 is one ``groupBy(table, ordinal)`` over the cells, collapsed
+    map-side to one row per column per task: counts, numeric and temporal
+    min/max, ``stddev_samp``, an HLL distinct count, the date-format checks,
+    and the smallest ``md5`` of each of 16 md5 classes. The ``n``-th smallest
+    class minimum ``T`` bounds the ``n`` smallest distinct hashes (at least
+    ``n`` distinct values lie at or below it), so pass 2 keeps only cells with
+    ``md5 <= T`` (a broadcast of one row per column), removes duplicates
+    map-side and picks the samples exactly as the exact mode does. In
+    expectation about ``n`` distinct values per column pass the filter, so
+    the second exchange is tiny too, even when one value fills a third of
+    the rows. Only ``num_unique_values`` is approximate.
+    """
+    c = cells(items, sample_rows, keep_long=True)
+    kinds = F.broadcast(catalog.select(*KEYS, (F.col("kind") == "string").alias("is_str")))
+    v = (c.join(kinds, KEYS)
+         .withColumn("value", F.expr(VALUE_TEXT))
+         .withColumn("vhash", F.coalesce(F.col("hkey"), F.md5(F.col("value"))))
+         .withColumn("dv", F.expr("CASE WHEN is_str AND hkey IS NULL THEN value END")))
+    numv = F.coalesce(F.col("num"), F.col("lnum").cast("double"))
+    mins = [F.min(F.when(F.substring("vhash", 32, 1) == h, F.col("vhash"))) for h in MD5_CLASSES]
+    nb = "count_if(is_str AND ((value IS NOT NULL AND value <> '') OR hkey IS NOT NULL)) AS nb"
+    g = (v.select(*KEYS, "num", "lnum", "ts", "value", "hkey", "vhash", "is_str",
+                  *[F.expr(e) for e in _date_parsed("dv")])
+         .groupBy(*KEYS).agg(
+             F.count(F.lit(1)).alias("n_rows"), F.count("value").alias("n_non_null"),
+             F.approx_count_distinct("vhash").alias("num_unique_values"),
+             F.stddev_samp(numv).alias("std"),
+             F.min(numv).alias("min_num"), F.max(numv).alias("max_num"),
+             F.min("lnum").alias("min_lnum"), F.max("lnum").alias("max_lnum"),
+             F.min("ts").alias("min_ts"), F.max("ts").alias("max_ts"),
+             F.try_element_at(F.array_sort(F.filter(F.array(*mins), lambda x: x.isNotNull())),
+                              F.lit(n_samples)).alias("_t"),
+             *[F.expr(a) for a in [nb] + _date_aggs()]))
+    stats = g.selectExpr(*KEYS, "n_rows", "n_non_null", "num_unique_values", "std",
+                         "min_num", "max_num", "min_lnum", "max_lnum", "min_ts", "max_ts", "_t",
+                         *_date_pick())
+    # one row per column, read twice (threshold, final join): materialise it
+    from lakesonar.session import shared_dir
+    shared_dir(stats.sparkSession)
+    stats = stats.checkpoint(eager=True)
+    thr = F.broadcast(stats.select(*KEYS, "_t"))
+    cand = (v.select(*KEYS, "value", "vhash").join(thr, KEYS)
+            .filter(F.col("value").isNotNull()
+                    & (F.col("_t").isNull() | (F.col("vhash") <= F.col("_t"))))
+            .groupBy(*KEYS, "vhash").agg(F.min("value").alias("value"))
+            .withColumn("hkey", F.lit(None).cast("string")))
+    return stats.drop("_t"), sample_values(cand, n_samples)
 
 
 def profile(tables, n_samples: int = 3, exact: bool = True,
@@ -216,27 +287,25 @@ def profile(tables, n_samples: int = 3, exact: bool = True,
 
     ``tables`` is a dict or list of (name, DataFrame). ``sample_rows=None``
     profiles whole tables; an integer reproduces the reference's row limit.
-    ``exact=False`` takes distinct counts from HLL sketches.
+    ``exact=False`` takes distinct counts from HLL sketches and runs without
+    the per-value shuffle (``approx_parts``); everything else stays exact.
     """
     items = _as_items(tables)
     catalog = column_catalog(items)
-    cell_df = cells(items, sample_rows)
-    vc = value_counts(cell_df, materialize=materialize)
-    stats = column_stats(vc)
-    distinct = vc.filter(F.col("present")).select(*KEYS, "value", "hkey", "vhash", "n")
-    string_keys = F.broadcast(catalog.filter(F.col("kind") == "string").select(*KEYS))
-    dates = date_detection(distinct.join(string_keys, KEYS, "left_semi"))
-    out = (catalog.join(stats, KEYS, "left")
-           .join(sample_values(distinct, n_samples, cells(items, sample_rows, keep_long=True)),
-                 KEYS, "left")
-           .join(dates, KEYS, "left"))
     if exact:
-        out = out.withColumn("num_unique_values",
-                             F.coalesce("num_unique_values", F.lit(0)).cast("long"))
+        cell_df = cells(items, sample_rows)
+        vc = value_counts(cell_df, materialize=materialize)
+        stats = column_stats(vc)
+        distinct = vc.filter(F.col("present")).select(*KEYS, "value", "hkey", "vhash", "n")
+        string_keys = F.broadcast(catalog.filter(F.col("kind") == "string").select(*KEYS))
+        dates = date_detection(distinct.join(string_keys, KEYS, "left_semi"))
+        samples = sample_values(distinct, n_samples, cells(items, sample_rows, keep_long=True))
+        out = catalog.join(stats, KEYS, "left").join(samples, KEYS, "left").join(dates, KEYS, "left")
     else:
-        approx = cell_df.groupBy(*KEYS).agg(F.approx_count_distinct(F.expr(VALUE_KEY)).alias("approx_distinct"))
-        out = out.drop("num_unique_values").join(approx, KEYS, "left").withColumn(
-            "num_unique_values", F.col("approx_distinct").cast("long"))
+        stats, samples = approx_parts(items, catalog, n_samples, sample_rows)
+        out = catalog.join(stats, KEYS, "left").join(samples, KEYS, "left")
+    out = out.withColumn("num_unique_values",
+                         F.coalesce("num_unique_values", F.lit(0)).cast("long"))
     kind = F.col("kind")
     ratio = F.col("num_unique_values") / F.col("n_rows")
     dtype = (F.when(kind == "number", "number")

@@ -302,6 +302,37 @@ def q_lake_profile(spark, sf_dir):
         F.sum("num_unique_values").cast("long").alias("unique_total"))
 
 
+# --- approximate mode: no per-value shuffle; all but distinct counts exact ---
+
+@query("profile_numeric_approx", _numeric_oracle())
+def q_profile_numeric_approx(spark, sf_dir):
+    p = profile(read_lake(spark, sf_dir, NUMERIC_TABLES), exact=False)
+    return p.filter(F.col("dtype") == "number").select(
+        "table_name", "column_name", "n_rows", "n_non_null",
+        F.round("std", 4).alias("std"), F.round("min_num", 6).alias("min_num"),
+        F.round("max_num", 6).alias("max_num"))
+
+
+@query("sample_values_approx", _samples_oracle())
+def q_sample_values_approx(spark, sf_dir):
+    p = profile(read_lake(spark, sf_dir), exact=False)
+    keep = (F.col("integral") | (F.col("spark_type") == "string"))
+    return p.filter(keep).select("table_name", "column_name",
+                                 F.array_join("samples", "|").alias("samples"),
+                                 F.size("samples").cast("long").alias("n_samples"))
+
+
+@query("profile_dates_approx", _dates_oracle())
+def q_profile_dates_approx(spark, sf_dir):
+    t = read_lake(spark, sf_dir, ["events", "orders", "lineitem"])
+    tabs = {n: t[n].select(c) for n, c in DATE_COLUMNS}
+    tabs["orders_dates"] = orders_dates(spark, sf_dir).drop("o_orderkey")
+    p = profile(tabs, exact=False)
+    return p.select("table_name", "column_name",
+                    F.when(F.col("dtype") == "date", "date").otherwise("other").alias("dtype"),
+                    "min", "max")
+
+
 # --- clean_nan_nested (J5): NaN inside arrays becomes NULL, infinity stays ---
 
 @query("clean_nan_nested", """

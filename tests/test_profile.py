@@ -123,3 +123,31 @@ def test_no_python_in_profile_plan(spark):
     p = profile(read_lake(spark, "/root/testdata/sf0.001", ["lineitem"]))
     plan = p._jdf.queryExecution().executedPlan().toString()
     assert "PythonUDF" not in plan and "ArrowEvalPython" not in plan and "BatchEvalPython" not in plan
+
+
+def test_approx_mode_equals_exact_but_distinct(spark):
+    """Approximate mode skips the per-value shuffle; samples (with a value that
+    fills a third of the rows, long texts, fewer values than n), counts, std,
+    min/max and dates are the same as in exact mode."""
+    long_a, long_b = "a" * 400, "b" * 300
+    rows = [(i, "hot" if i % 3 == 0 else f"v{i}", long_a if i % 2 else long_b,
+             "x" if i < 200 else None, float(i) / 7, f"2024-01-{1 + i % 28:02d}")
+            for i in range(600)]
+    df = spark.createDataFrame(rows, "id long, s string, t string, few string, d double, ds string")
+    one = spark.createDataFrame([(None,)], "z string")
+    tabs = {"t1": df, "t2": one}
+    cols = ["table_name", "column_name", "dtype", "n_rows", "n_non_null", "std", "min", "max",
+            "date_format", "samples"]
+
+    def rows_of(exact):
+        out = {}
+        for r in profile(tabs, exact=exact).collect():
+            d = r.asDict()
+            d["std"] = None if d["std"] is None else round(d["std"], 9)
+            out[(d["table_name"], d["column_name"])] = {c: d[c] for c in cols}
+        return out
+    ex, ap = rows_of(True), rows_of(False)
+    assert ex == ap
+    assert ap[("t1", "t")]["samples"] and all(len(v) in (300, 400) for v in ap[("t1", "t")]["samples"])
+    assert ap[("t1", "few")]["samples"] == ["x"]
+    assert ap[("t2", "z")]["samples"] == []
