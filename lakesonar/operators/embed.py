@@ -1,17 +1,18 @@
 """Embedding (V1-V4).
 
 V4, the offline default, is the hashing trick over character 3-grams of each
-word ``#word#`` (Weinberger et al. 2009), L2-normalised. It is computed with
-built-in functions: words and grams are exploded, counted per (id, bucket)
-with map-side partial aggregation, normalised and packed into a dense
-``array<double>``. The grouping key is the row id, so no group exceeds one
-document's buckets (at most ``dim`` rows).
+word ``#word#`` (Weinberger et al. 2009), L2-normalised. Every quantity is
+per text and a text row lives in one task, so the whole step is map-only:
+no exchange, and no document text is ever shuffled. The term counts come
+from one Arrow batch UDF (SQL has no in-row scatter-add); the norm, the unit
+vector and the sparse (bucket, tf, weight) form are built-in expressions.
 
 V1/V2 (a user's model) run through ``embed_with`` on Arrow batches.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import numpy as np
@@ -25,66 +26,96 @@ HASH_DIM = 256
 TOKEN_SPLIT = "[^a-z0-9]+"
 GRAM = 3
 MODEL_ID = f"hash3gram-{HASH_DIM}"
-
-
-def text_partitions(spark) -> int:
-    """Tasks for text-heavy work: at least the shuffle partitions and 2x the cores."""
-    n = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(n, 2 * spark.sparkContext.defaultParallelism)
-
-
-# The characters a gram can hold (token characters and the pad).
+# The characters a gram can hold (the pad, then token characters).
 GRAM_ALPHABET = "#0123456789abcdefghijklmnopqrstuvwxyz"
-
-
-def gram_buckets(spark):
-    """(g, bucket) for every possible 3-gram over ``GRAM_ALPHABET``: built from
-    the rule, 37^3 = 50,653 rows, so its broadcast size is bounded (~2 MB)."""
+# Text bytes counted in one vectorised step inside a task.
+CHUNK_BYTES = 8 << 20
+
+_TABLES: dict[str, np.ndarray] = {}
+
+
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """(byte -> symbol code, gram code -> bucket), built from the rule once per
+    Python worker. Symbol codes follow ``GRAM_ALPHABET``; every byte that is
+    not a token character (``#`` included) is a separator, code 0 like the
+    pad. The bucket of a gram is the first 32 bits of its md5 modulo the
+    dimension; 37^3 = 50,653 grams."""
+    if not _TABLES:
+        sym = np.zeros(256, dtype=np.uint8)
+        for i, ch in enumerate(GRAM_ALPHABET[1:], start=1):
+            sym[ord(ch)] = i
+        a = GRAM_ALPHABET
+        buckets = np.fromiter(
+            (int(hashlib.md5((x + y + z).encode()).hexdigest()[:8], 16) % HASH_DIM
+             for x in a for y in a for z in a), dtype=np.int64, count=len(a) ** GRAM)
+        _TABLES["sym"], _TABLES["bucket"] = sym, buckets
+    return _TABLES["sym"], _TABLES["bucket"]
+
+
+def _count_chunk(texts: list, sym: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+    """(len(texts), HASH_DIM) gram counts. Each text becomes ``#text#`` with
+    separators coded 0; the grams of ``#word#`` are exactly the windows whose
+    middle byte is a token character, and such a window never crosses two
+    texts because each text is padded on both sides."""
     n = len(GRAM_ALPHABET)
-    chars = F.lit(GRAM_ALPHABET)
-    idx = F.col("id")
-    g = F.concat(F.substring(chars, (idx / (n * n)).cast("int") + 1, 1),
-                 F.substring(chars, (F.pmod(idx / n, F.lit(n))).cast("int") + 1, 1),
-                 F.substring(chars, F.pmod(idx, F.lit(n)).cast("int") + 1, 1))
-    return spark.range(n ** 3).select(g.alias("g")).select("g", bucket_of(F.col("g")).alias("bucket"))
-
-
-def bucket_of(gram) -> F.Column:
-    """First 32 bits of md5(gram) modulo the dimension."""
-    return F.pmod(F.conv(F.substring(F.md5(gram), 1, 8), 16, 10).cast("long"), F.lit(HASH_DIM))
-
-
-def _packed_terms(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, e array<struct<bucket, tf>>, m map<bucket, tf>, norm) per text."""
-    # Hash-partition the texts by id once: every aggregation below groups by
-    # id (plus gram or bucket), which that partitioning already satisfies, so
-    # the plan has a single exchange instead of one per aggregation.
-    # The partition count is explicit: AQE would otherwise coalesce this small
-    # (in bytes) but CPU-heavy exchange into a handful of tasks.
-    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).repartition(
-        text_partitions(df.sparkSession), "id")
-    words = (docs.select("id", F.explode(F.split(F.lower(F.col("t")), TOKEN_SPLIT)).alias("w"))
-             .filter(F.col("w") != ""))
-    # words repeat within a text: count them first, expand grams of distinct words
-    per_word = words.groupBy("id", "w").agg(F.count(F.lit(1)).alias("c"))
-    pos = per_word.select("id", "w", "c", F.explode(F.sequence(F.lit(1), F.length("w"))).alias("i"))
-    grams = pos.select("id", "c", F.expr(f"substr(concat('#', w, '#'), i, {GRAM})").alias("g"))
-    # bucket lookup: a broadcast join against the (bounded) table of all grams
-    tf = (grams.join(F.broadcast(gram_buckets(df.sparkSession)), "g")
-          .groupBy("id", "bucket").agg(F.sum("c").alias("tf")))
-    # pack per id (at most HASH_DIM entries); the norm and the map are aggregate
-    # outputs, so the lambdas below read attributes instead of re-evaluating them
-    return tf.groupBy("id").agg(
-        F.collect_list(F.struct("bucket", "tf")).alias("e"),
-        F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("norm"))
+    parts = [b"#" + t + b"#" for t in texts]
+    ends = np.cumsum(np.fromiter((len(x) for x in parts), dtype=np.int64, count=len(parts)))
+    codes = sym[np.frombuffer(b"".join(parts), dtype=np.uint8)]
+    mid = np.flatnonzero(codes[1:-1]) + 1
+    grams = (codes[mid - 1].astype(np.int32) * (n * n) + codes[mid].astype(np.int32) * n
+             + codes[mid + 1])
+    rows = np.searchsorted(ends, mid, side="right")
+    return np.bincount(rows * HASH_DIM + bucket[grams],
+                       minlength=len(parts) * HASH_DIM).reshape(len(parts), HASH_DIM)
+
+
+def term_counts(texts: pd.Series) -> pd.DataFrame:
+    """(tf, norm) per text: dense gram-bucket counts and their L2 norm; both
+    NULL for a text without any token (it gets no vector)."""
+    sym, bucket = _tables()
+    enc = [None if t is None else t.lower().encode("utf-8") for t in texts]
+    tf: list = [None] * len(enc)
+    norm: list = [None] * len(enc)
+    i = 0
+    while i < len(enc):
+        j, size, idx = i, 0, []
+        while j < len(enc) and (not idx or size + len(enc[j] or b"") <= CHUNK_BYTES):
+            if enc[j] is not None:
+                idx.append(j)
+                size += len(enc[j])
+            j += 1
+        if idx:
+            counts = _count_chunk([enc[r] for r in idx], sym, bucket)
+            norms = np.sqrt(np.einsum("ij,ij->i", counts, counts).astype(np.float64))
+            for r, c, nv in zip(idx, counts, norms):
+                if nv > 0:
+                    tf[r], norm[r] = c, float(nv)
+        i = j
+    return pd.DataFrame({"tf": tf, "norm": norm})
+
+
+@F.pandas_udf(T.StructType([T.StructField("tf", T.ArrayType(T.LongType())),
+                            T.StructField("norm", T.DoubleType())]))
+def _term_counts_udf(texts: pd.Series) -> pd.DataFrame:
+    return term_counts(texts)
+
+
+def _term_vectors(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, v struct<tf, norm>) per text with at least one token; map-only."""
+    from lakesonar.session import ship_package, spread
+    ship_package(df.sparkSession)
+    # a small scan (fewer splits than cores) is spread; big tables are not moved
+    texts = spread(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")), factor=2)
+    return (texts.select("id", _term_counts_udf(F.col("t")).alias("v"))
+            .filter(F.col("v.norm").isNotNull()))
 
 
 def hashed_terms(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, bucket, tf, weight): sparse V4 vector per row, L2-normalised weights."""
-    packed = _packed_terms(df, id_col, text_col)
-    return packed.select("id", F.inline(F.transform("e", lambda x: F.struct(
-        x["bucket"].alias("bucket"), x["tf"].cast("long").alias("tf"),
-        (x["tf"] / F.col("norm")).alias("weight")))))
+    tv = _term_vectors(df, id_col, text_col)
+    return (tv.select("id", F.posexplode("v.tf").alias("bucket", "tf"), F.col("v.norm").alias("norm"))
+            .filter(F.col("tf") > 0)
+            .select("id", "bucket", "tf", (F.col("tf") / F.col("norm")).alias("weight")))
 
 
 def hashed_embedding(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -92,23 +123,8 @@ def hashed_embedding(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     Rows whose text has no token get no vector.
     """
-    from lakesonar.session import ship_package
-    ship_package(df.sparkSession)
-    packed = _packed_terms(df, id_col, text_col)
-    return packed.select(F.col("id"), _densify(F.col("e.bucket"), F.col("e.tf"), F.col("norm"))
-                         .alias("embedding"))
-
-
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def _densify(buckets: pd.Series, tfs: pd.Series, norms: pd.Series) -> pd.Series:
-    """Scatter sparse (bucket, tf) into a dense unit vector, one Arrow batch at
-    a time (SQL has no scatter; a map lookup per slot would be quadratic)."""
-    out = []
-    for b, t, n in zip(buckets, tfs, norms):
-        v = np.zeros(HASH_DIM)
-        v[np.asarray(b, dtype=np.int64)] = np.asarray(t, dtype=np.float64) / n
-        out.append(v)
-    return pd.Series(out)
+    tv = _term_vectors(df, id_col, text_col)
+    return tv.select("id", F.transform("v.tf", lambda x: x / F.col("v.norm")).alias("embedding"))
 
 
 def embed_with(df: DataFrame, text_col: str, embed_fn: Callable[[list[str]], list],

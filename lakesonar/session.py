@@ -70,14 +70,15 @@ def local_path(path: str) -> str:
     return path[5:] if path.startswith("file:") else os.fspath(path)
 
 
-def spread(df):
+def spread(df, factor: int = 1):
     """Round-robin a DataFrame whose scan has fewer partitions than the cluster
     has cores (a small table, or one unsplittable file), so CPU-heavy per-row
     work (cell explode, text parsing) is not left to one task. Tables that
     already come in enough partitions — every large table — are not touched,
-    so no raw data of a big table is shuffled for this.
+    so no raw data of a big table is shuffled for this. ``factor`` asks for
+    more tasks than cores where row costs vary a lot (texts).
     """
-    target = df.sparkSession.sparkContext.defaultParallelism
+    target = factor * df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < target:
         return df.repartition(target)
     return df

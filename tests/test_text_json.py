@@ -40,3 +40,34 @@ def test_clean_nan_nested(spark):
     r = clean_nan_frame(df).first()
     assert r["a"] == [1.0, None] and r["m"] == {"k": None}
     assert r["s"]["x"] is None and r["s"]["y"] == [float("inf")]
+
+
+def test_hashed_terms_brute_force_and_map_only(spark):
+    """V4 term counts equal a plain per-word computation; the plan has no exchange."""
+    import hashlib
+    import re
+    from collections import Counter
+    from lakesonar.operators.embed import HASH_DIM, hashed_embedding, hashed_terms
+    texts = [(1, "Hello, World! hello"), (2, "a b#c  x1 2024-01-05"), (3, "Straße ÜBER café İstanbul"),
+             (4, ""), (5, None), (6, "### ,,, !!!"), (7, "totalprice o_totalprice O_TOTALPRICE")]
+    df = spark.createDataFrame(texts, "id long, text string")
+
+    def brute(t):
+        c = Counter()
+        for w in re.split("[^a-z0-9]+", t.lower()):
+            if w:
+                p = "#" + w + "#"
+                for i in range(len(w)):
+                    c[int(hashlib.md5(p[i:i + 3].encode()).hexdigest()[:8], 16) % HASH_DIM] += 1
+        return dict(c)
+    got = {}
+    for r in hashed_terms(df, "id", "text").collect():
+        got.setdefault(r["id"], {})[r["bucket"]] = r["tf"]
+    want = {i: brute(t) for i, t in texts if t is not None and brute(t)}
+    assert got == want
+    emb = hashed_embedding(df, "id", "text")
+    # only spread()'s round-robin for a scan smaller than the core count; no keyed shuffle
+    assert "hashpartitioning" not in emb._jdf.queryExecution().executedPlan().toString()
+    vecs = {r["id"]: r["embedding"] for r in emb.collect()}
+    assert set(vecs) == set(want)
+    assert all(abs(sum(x * x for x in v) - 1.0) < 1e-9 and len(v) == HASH_DIM for v in vecs.values())
