@@ -61,23 +61,30 @@ def column_catalog(tables) -> DataFrame:
               "kind string, integral boolean")
 
 
-def cells(tables, sample_rows: int | None = None, keep_long: bool = False) -> DataFrame:
+def cells(tables, sample_rows: int | None = None, keep_long: bool = False,
+          only: set | None = None) -> DataFrame | None:
     """(table_name, ordinal, num, lnum, ts, text): one row per cell of every table.
 
     Values keep a cheap native key: integers in ``lnum``, doubles in ``num``
     (NaN → NULL, -0.0 → 0.0), temporals in ``ts``; strings, floats, decimals,
     booleans and nested values in ``text`` (``sql_value_text``). Text is
     rendered for numbers and temporals only later, for distinct values.
-    Decimals also fill ``num`` (for std/min/max).
+    Decimals also fill ``num`` (for std/min/max). ``only``: the
+    (table_name, ordinal) pairs to emit (other tables are not read, other
+    columns are pruned); ``None`` when nothing is left.
     """
     from lakesonar.session import spread
     parts = []
     for name, df in _as_items(tables):
+        if only is not None and not any(t == name for t, _ in only):
+            continue
         if sample_rows is not None:
             df = df.limit(sample_rows)
         df = spread(df)
         structs = []
         for i, f in enumerate(df.schema.fields):
+            if only is not None and (name, i) not in only:
+                continue
             c = quote(f.name)
             dt = f.dataType
             k = kind_of(dt)
@@ -102,6 +109,8 @@ def cells(tables, sample_rows: int | None = None, keep_long: bool = False) -> Da
         lit_name = name.replace("\\", "\\\\").replace("'", "\\'")
         parts.append(df.selectExpr(f"'{lit_name}' AS table_name",
                                    f"inline(array({', '.join(structs)}))"))
+    if not parts:
+        return None
     out = parts[0]
     for p in parts[1:]:
         out = out.union(p)
@@ -166,24 +175,33 @@ def distinct_values(cell_df: DataFrame) -> DataFrame:
         .select(*KEYS, "value", "hkey", "vhash", "n")
 
 
-def sample_values(distinct: DataFrame, n_samples: int = 3, long_source: DataFrame | None = None) -> DataFrame:
+def sample_values(distinct: DataFrame, n_samples: int = 3, long_source=None) -> DataFrame:
     """Up to ``n_samples`` distinct values per column, smallest ``md5`` first.
 
     Long texts travel as their hash; the few chosen ones are fetched in full
-    from ``long_source`` (cells with ``keep_long``) by a semi-join against a
-    broadcast of the chosen hashes (at most ``n_samples`` per column).
+    by a semi-join against a broadcast of the chosen hashes (at most
+    ``n_samples`` per column). ``long_source`` is a function of the
+    (table_name, ordinal) pairs that have a chosen long text, returning their
+    cells with ``keep_long``: only those tables and columns are read again.
     """
     w = Window.partitionBy(*KEYS).orderBy(F.col("vhash"), F.col("value"))
     ranked = (distinct.select(*KEYS, "value", "hkey", "vhash")
               .withColumn("rk", F.row_number().over(w))
               .filter(F.col("rk") <= n_samples))
     if long_source is not None:
+        from lakesonar.session import shared_dir
+        shared_dir(distinct.sparkSession)
+        ranked = ranked.checkpoint(eager=True)          # at most n rows per column
         chosen = ranked.filter(F.col("hkey").isNotNull()).select(*KEYS, "hkey")
-        full = (long_source.filter(F.col("hkey").isNotNull())
-                .join(F.broadcast(chosen), KEYS + ["hkey"], "left_semi")
-                .groupBy(*KEYS, "hkey").agg(F.min("text").alias("long_value")))
-        ranked = (ranked.join(full, KEYS + ["hkey"], "left")
-                  .withColumn("value", F.coalesce("value", "long_value")))
+        # metadata only: at most one pair per column of the lake
+        keys = {(r[0], r[1]) for r in chosen.select(*KEYS).distinct().collect()}
+        src = long_source(keys) if keys else None
+        if src is not None:
+            full = (src.filter(F.col("hkey").isNotNull())
+                    .join(F.broadcast(chosen), KEYS + ["hkey"], "left_semi")
+                    .groupBy(*KEYS, "hkey").agg(F.min("text").alias("long_value")))
+            ranked = (ranked.join(full, KEYS + ["hkey"], "left")
+                      .withColumn("value", F.coalesce("value", "long_value")))
     return ranked.groupBy(*KEYS).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("rk", "value"))),
                     lambda x: x["value"]).alias("samples"))
@@ -299,7 +317,8 @@ def profile(tables, n_samples: int = 3, exact: bool = True,
         distinct = vc.filter(F.col("present")).select(*KEYS, "value", "hkey", "vhash", "n")
         string_keys = F.broadcast(catalog.filter(F.col("kind") == "string").select(*KEYS))
         dates = date_detection(distinct.join(string_keys, KEYS, "left_semi"))
-        samples = sample_values(distinct, n_samples, cells(items, sample_rows, keep_long=True))
+        samples = sample_values(distinct, n_samples,
+                                lambda keys: cells(items, sample_rows, keep_long=True, only=keys))
         out = catalog.join(stats, KEYS, "left").join(samples, KEYS, "left").join(dates, KEYS, "left")
     else:
         stats, samples = approx_parts(items, catalog, n_samples, sample_rows)
