@@ -40,13 +40,36 @@ def q_incremental_profile(spark, sf_dir):
                     F.round("max_num", 6).alias("max_num")))
 
 
-@query("stream_reindex")
+STREAM_TABLES = ["orders", "customer"]
+
+
+def _stream_oracle():
+    from lakesonar.operators.embed import MODEL_ID
+    parts = []
+    for i, t in enumerate(STREAM_TABLES):
+        cols = [c for c, _ in LAKE_TABLES[t]]
+        uniq = " + ".join(f"count(DISTINCT {c})" for c in cols)
+        parts.append(f"SELECT '{t}' AS id, {i} AS batch, '{MODEL_ID}' AS model_id, "
+                     f"{len(cols)} AS n_fields, '{','.join(cols)}' AS field_names, "
+                     f"{uniq} AS unique_total FROM {t}")
+    return union_sql(parts)
+
+
+# The index records what each micro-batch stored: one table per run, in
+# arrival order, with its summary (field names and exact distinct counts).
+@query("stream_reindex", _stream_oracle())
 def q_stream_reindex(spark, sf_dir):
     root = new_table_path(spark, "stream-lake")
     index_path = new_table_path(spark, "stream-index")
     ckpt = new_table_path(spark, "stream-ckpt")
-    for i, name in enumerate(["orders", "customer"]):
+    for name in STREAM_TABLES:
         spark.read.parquet(f"{sf_dir}/{name}.parquet").write.parquet(f"{root}/{name}")
         q = start_reindex(spark, root, index_path, ckpt)
         q.awaitTermination()
-    return open_index(spark, index_path).select("id", "batch", "model_id")
+    j = F.from_json("json_summary", "struct<fields: array<struct<column: string, properties: "
+                                    "struct<num_unique_values: bigint>>>, field_names: array<string>>")
+    return open_index(spark, index_path).select(
+        "id", "batch", "model_id", F.size(j["field_names"]).alias("n_fields"),
+        F.array_join(j["field_names"], ",").alias("field_names"),
+        F.aggregate(j["fields"], F.lit(0).cast("long"),
+                    lambda a, f: a + f["properties"]["num_unique_values"]).alias("unique_total"))
