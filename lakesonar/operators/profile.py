@@ -62,7 +62,7 @@ def column_catalog(tables) -> DataFrame:
 
 
 def cells(tables, sample_rows: int | None = None, keep_long: bool = False,
-          only: set | None = None) -> DataFrame | None:
+          only: set | None = None, part_col: str | None = None) -> DataFrame | None:
     """(table_name, ordinal, num, lnum, ts, text): one row per cell of every table.
 
     Values keep a cheap native key: integers in ``lnum``, doubles in ``num``
@@ -71,7 +71,8 @@ def cells(tables, sample_rows: int | None = None, keep_long: bool = False,
     rendered for numbers and temporals only later, for distinct values.
     Decimals also fill ``num`` (for std/min/max). ``only``: the
     (table_name, ordinal) pairs to emit (other tables are not read, other
-    columns are pruned); ``None`` when nothing is left.
+    columns are pruned); ``None`` when nothing is left. ``part_col``: a
+    column of every table carried on each cell as ``part`` (not profiled).
     """
     from lakesonar.session import spread
     parts = []
@@ -83,7 +84,7 @@ def cells(tables, sample_rows: int | None = None, keep_long: bool = False,
         df = spread(df)
         structs = []
         for i, f in enumerate(df.schema.fields):
-            if only is not None and (name, i) not in only:
+            if (only is not None and (name, i) not in only) or f.name == part_col:
                 continue
             c = quote(f.name)
             dt = f.dataType
@@ -107,7 +108,8 @@ def cells(tables, sample_rows: int | None = None, keep_long: bool = False,
                            f"'lnum', CAST({lnum} AS BIGINT), 'ts', CAST({ts} AS TIMESTAMP), "
                            f"'text', CAST({text} AS STRING), 'hkey', CAST({hkey} AS STRING))")
         lit_name = name.replace("\\", "\\\\").replace("'", "\\'")
-        parts.append(df.selectExpr(f"'{lit_name}' AS table_name",
+        carry = [f"CAST({quote(part_col)} AS STRING) AS part"] if part_col else []
+        parts.append(df.selectExpr(f"'{lit_name}' AS table_name", *carry,
                                    f"inline(array({', '.join(structs)}))"))
     if not parts:
         return None

@@ -17,11 +17,26 @@ from lakesonar.operators.profile import VALUE_KEY, cells
 KEYS = ["table_name", "ordinal"]
 
 
-def partial_stats(tables, part: str) -> DataFrame:
-    """(part, table_name, ordinal, n_rows, n, mean, m2, min_num, max_num, sketch)."""
-    c = cells(tables).select(*KEYS, F.coalesce("num", F.col("lnum").cast("double")).alias("x"),
-                             F.expr(VALUE_KEY).alias("value"))
-    return (c.groupBy(F.lit(part).alias("part"), *KEYS).agg(
+PART_COL = "__part"
+
+
+def partial_stats(tables, part) -> DataFrame:
+    """(part, table_name, ordinal, n_rows, n, mean, m2, min_num, max_num, sketch).
+
+    ``part`` names the part (a string), or is a column expression over the
+    table's rows (a file name, a partition value): then every part of the
+    table is summarised by the same aggregation, in one job.
+    """
+    items = tables.items() if isinstance(tables, dict) else tables
+    if isinstance(part, str):
+        c, part_key = cells(list(items)), F.lit(part)
+    else:
+        c = cells([(n, df.withColumn(PART_COL, part)) for n, df in items], part_col=PART_COL)
+        part_key = F.col("part")
+    c = c.select(part_key.alias("part"), *KEYS,
+                 F.coalesce("num", F.col("lnum").cast("double")).alias("x"),
+                 F.expr(VALUE_KEY).alias("value"))
+    return (c.groupBy("part", *KEYS).agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.count("x").alias("n"),
         F.avg("x").alias("mean"),

@@ -40,3 +40,17 @@ def test_merged_stats_equal_one_shot(spark):
             assert abs(m[o]["std"] - r["std"]) < 1e-9 * max(1.0, r["std"])
             assert m[o]["min_num"] == r["min_num"] and m[o]["max_num"] == r["max_num"]
             assert m[o]["n_rows"] == r["n_rows"]
+
+
+def test_partials_by_part_column_equal_separate_parts(spark):
+    """A part column gives, in one job, the partials that separate parts give."""
+    from lakesonar.streaming.stats import partial_stats
+    li = spark.read.parquet(f"{SF}/lineitem.parquet")
+    part = F.when(F.col("l_linenumber") <= 3, "a").otherwise("b")
+    one = partial_stats({"l": li}, part)
+    two = partial_stats({"l": li.filter("l_linenumber <= 3")}, "a").unionByName(
+        partial_stats({"l": li.filter("l_linenumber > 3")}, "b"))
+    cols = ["part", "table_name", "ordinal", "n_rows", "n", "min_num", "max_num"]
+    assert sorted(tuple(r) for r in one.select(*cols).collect()) == \
+        sorted(tuple(r) for r in two.select(*cols).collect())
+    assert one.select("ordinal").distinct().count() == len(li.columns)   # part column not profiled
