@@ -243,9 +243,10 @@ def date_detection(values: DataFrame) -> DataFrame:
     return g.selectExpr(*KEYS, *_date_pick())
 
 
-# md5 classes (by the last hex digit) whose minima bound the
-# sample threshold in approximate mode.
-MD5_CLASSES = "0123456789abcdef"
+# The number of md5 classes whose minima bound the sample
+# threshold in approximate mode, and the md5 prefix (hex digits) compared.
+MD5_CLASSES = 16
+MD5_PREFIX = 15
 
 
 def approx_parts(items, catalog: DataFrame, n_samples: int = 3,
@@ -253,31 +254,36 @@ def approx_parts(items, catalog: DataFrame, n_samples: int = 3,
     """Approximate mode: (stats, samples) with no per-value shuffle.
 
     Pass 1 is one ``groupBy(table, ordinal)`` over the cells, collapsed
-    map-side to one row per column per task: counts, numeric and temporal
-    min/max, ``stddev_samp``, an HLL distinct count, the date-format checks,
-    and the smallest ``md5`` of each of 16 md5 classes. The ``n``-th smallest
-    class minimum ``T`` bounds the ``n`` smallest distinct hashes (at least
-    ``n`` distinct values lie at or below it), so pass 2 keeps only cells with
-    ``md5 <= T`` (a broadcast of one row per column), removes duplicates
-    map-side and picks the samples exactly as the exact mode does. In
-    expectation about ``n`` distinct values per column pass the filter, so
-    the second exchange is tiny too, even when one value fills a third of
-    the rows. Only ``num_unique_values`` is approximate.
+    map-side to one row per column per task (fixed-width buffers only):
+    counts, numeric and temporal min/max, ``stddev_samp``, an HLL distinct
+    count, the date-format checks, and per md5 class the smallest md5 prefix
+    (60 bits as a ``bigint``). The ``n``-th smallest class minimum ``T``
+    bounds the ``n`` smallest distinct md5s: at least ``n`` distinct values
+    have a prefix ``<= T``, and a value with a larger prefix has a larger md5
+    than all of them. Pass 2 keeps only cells with prefix ``<= T`` (a
+    broadcast of one row per column), removes duplicates map-side and picks
+    the samples exactly as the exact mode does. In expectation about ``n``
+    distinct values per column pass the filter, so the second exchange is
+    tiny too, even when one value fills a third of the rows. Only
+    ``num_unique_values`` is approximate.
     """
     c = cells(items, sample_rows, keep_long=True)
     kinds = F.broadcast(catalog.select(*KEYS, (F.col("kind") == "string").alias("is_str")))
+    vhash = F.coalesce(F.col("hkey"), F.md5(F.col("value")))
     v = (c.join(kinds, KEYS)
          .withColumn("value", F.expr(VALUE_TEXT))
-         .withColumn("vhash", F.coalesce(F.col("hkey"), F.md5(F.col("value"))))
+         .withColumn("vhash", vhash)
+         .withColumn("hp", F.conv(F.substring("vhash", 1, MD5_PREFIX), 16, 10).cast("long"))
          .withColumn("dv", F.expr("CASE WHEN is_str AND hkey IS NULL THEN value END")))
     numv = F.coalesce(F.col("num"), F.col("lnum").cast("double"))
-    mins = [F.min(F.when(F.substring("vhash", 32, 1) == h, F.col("vhash"))) for h in MD5_CLASSES]
+    cls = F.pmod(F.col("hp"), F.lit(MD5_CLASSES))
+    mins = [F.min(F.when(cls == h, F.col("hp"))) for h in range(MD5_CLASSES)]
     nb = "count_if(is_str AND ((value IS NOT NULL AND value <> '') OR hkey IS NOT NULL)) AS nb"
-    g = (v.select(*KEYS, "num", "lnum", "ts", "value", "hkey", "vhash", "is_str",
+    g = (v.select(*KEYS, "num", "lnum", "ts", "value", "hkey", "hp", "is_str",
                   *[F.expr(e) for e in _date_parsed("dv")])
          .groupBy(*KEYS).agg(
              F.count(F.lit(1)).alias("n_rows"), F.count("value").alias("n_non_null"),
-             F.approx_count_distinct("vhash").alias("num_unique_values"),
+             F.approx_count_distinct("hp").alias("num_unique_values"),
              F.stddev_samp(numv).alias("std"),
              F.min(numv).alias("min_num"), F.max(numv).alias("max_num"),
              F.min("lnum").alias("min_lnum"), F.max("lnum").alias("max_lnum"),
@@ -288,14 +294,12 @@ def approx_parts(items, catalog: DataFrame, n_samples: int = 3,
     stats = g.selectExpr(*KEYS, "n_rows", "n_non_null", "num_unique_values", "std",
                          "min_num", "max_num", "min_lnum", "max_lnum", "min_ts", "max_ts", "_t",
                          *_date_pick())
-    # one row per column, read twice (threshold, final join): materialise it
-    from lakesonar.session import shared_dir
-    shared_dir(stats.sparkSession)
-    stats = stats.checkpoint(eager=True)
+    # read twice (threshold, final join): the two reads share one exchange
+    # (exchange reuse), and a caller that selects no samples prunes pass 2
     thr = F.broadcast(stats.select(*KEYS, "_t"))
-    cand = (v.select(*KEYS, "value", "vhash").join(thr, KEYS)
+    cand = (v.select(*KEYS, "value", "vhash", "hp").join(thr, KEYS)
             .filter(F.col("value").isNotNull()
-                    & (F.col("_t").isNull() | (F.col("vhash") <= F.col("_t"))))
+                    & (F.col("_t").isNull() | (F.col("hp") <= F.col("_t"))))
             .groupBy(*KEYS, "vhash").agg(F.min("value").alias("value"))
             .withColumn("hkey", F.lit(None).cast("string")))
     return stats.drop("_t"), sample_values(cand, n_samples)
