@@ -209,8 +209,16 @@ def sample_values(distinct: DataFrame, n_samples: int = 3, long_source=None) ->
                     lambda x: x["value"]).alias("samples"))
 
 
+# Every date format starts with a digit and is 4 to 26
+# characters long; other values skip the format regexes.
+DATE_LEN = (4, 26)
+
+
 def _date_parsed(value: str = "value") -> list[str]:
-    return [f"{sql_parse_with(value, n, r, p)} AS p{j}" for j, (n, r, p) in enumerate(DATE_FORMATS)]
+    pre = (f"length({value}) BETWEEN {DATE_LEN[0]} AND {DATE_LEN[1]} "
+           f"AND substr({value}, 1, 1) BETWEEN '0' AND '9'")
+    return [f"(CASE WHEN {pre} THEN {sql_parse_with(value, n, r, p)} END) AS p{j}"
+            for j, (n, r, p) in enumerate(DATE_FORMATS)]
 
 
 def _date_aggs() -> list[str]:
