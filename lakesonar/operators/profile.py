@@ -177,33 +177,26 @@ def distinct_values(cell_df: DataFrame) -> DataFrame:
         .select(*KEYS, "value", "hkey", "vhash", "n")
 
 
-def sample_values(distinct: DataFrame, n_samples: int = 3, long_source=None) -> DataFrame:
+def sample_values(distinct: DataFrame, n_samples: int = 3, long_source: DataFrame | None = None) -> DataFrame:
     """Up to ``n_samples`` distinct values per column, smallest ``md5`` first.
 
     Long texts travel as their hash; the few chosen ones are fetched in full
-    by a semi-join against a broadcast of the chosen hashes (at most
-    ``n_samples`` per column). ``long_source`` is a function of the
-    (table_name, ordinal) pairs that have a chosen long text, returning their
-    cells with ``keep_long``: only those tables and columns are read again.
+    from ``long_source`` (cells with ``keep_long``, of the columns that can
+    hold long texts) by a semi-join against a broadcast of the chosen hashes
+    (at most ``n_samples`` per column). Everything stays lazy, so a caller
+    that selects no samples prunes this branch.
     """
     w = Window.partitionBy(*KEYS).orderBy(F.col("vhash"), F.col("value"))
     ranked = (distinct.select(*KEYS, "value", "hkey", "vhash")
               .withColumn("rk", F.row_number().over(w))
               .filter(F.col("rk") <= n_samples))
     if long_source is not None:
-        from lakesonar.session import shared_dir
-        shared_dir(distinct.sparkSession)
-        ranked = ranked.checkpoint(eager=True)          # at most n rows per column
         chosen = ranked.filter(F.col("hkey").isNotNull()).select(*KEYS, "hkey")
-        # metadata only: at most one pair per column of the lake
-        keys = {(r[0], r[1]) for r in chosen.select(*KEYS).distinct().collect()}
-        src = long_source(keys) if keys else None
-        if src is not None:
-            full = (src.filter(F.col("hkey").isNotNull())
-                    .join(F.broadcast(chosen), KEYS + ["hkey"], "left_semi")
-                    .groupBy(*KEYS, "hkey").agg(F.min("text").alias("long_value")))
-            ranked = (ranked.join(full, KEYS + ["hkey"], "left")
-                      .withColumn("value", F.coalesce("value", "long_value")))
+        full = (long_source.filter(F.col("hkey").isNotNull())
+                .join(F.broadcast(chosen), KEYS + ["hkey"], "left_semi")
+                .groupBy(*KEYS, "hkey").agg(F.min("text").alias("long_value")))
+        ranked = (ranked.join(full, KEYS + ["hkey"], "left")
+                  .withColumn("value", F.coalesce("value", "long_value")))
     return ranked.groupBy(*KEYS).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("rk", "value"))),
                     lambda x: x["value"]).alias("samples"))
@@ -331,8 +324,17 @@ def profile(tables, n_samples: int = 3, exact: bool = True,
         distinct = vc.filter(F.col("present")).select(*KEYS, "value", "hkey", "vhash", "n")
         string_keys = F.broadcast(catalog.filter(F.col("kind") == "string").select(*KEYS))
         dates = date_detection(distinct.join(string_keys, KEYS, "left_semi"))
-        samples = sample_values(distinct, n_samples,
-                                lambda keys: cells(items, sample_rows, keep_long=True, only=keys))
+        # re-read only the columns that hold long texts: from the written value
+        # counts when materialised (a small filtered scan, one key per column),
+        # else every string and nested column (known from the schema)
+        if materialize:
+            long_keys = {(r[0], r[1]) for r in vc.filter(F.col("hkey").isNotNull())
+                         .select(*KEYS).distinct().collect()}
+        else:
+            long_keys = {(n, i) for n, df in items for i, f in enumerate(df.schema.fields)
+                         if kind_of(f.dataType) in ("string", "other")}
+        long_src = cells(items, sample_rows, keep_long=True, only=long_keys) if long_keys else None
+        samples = sample_values(distinct, n_samples, long_src)
         out = catalog.join(stats, KEYS, "left").join(samples, KEYS, "left").join(dates, KEYS, "left")
     else:
         stats, samples = approx_parts(items, catalog, n_samples, sample_rows)
