@@ -167,3 +167,17 @@ def test_ivf_full_probe_exact_on_grid(spark):
     grid = sorted((r["query_id"], r["id"]) for r in
                   top_k_ivf(qs, celled, cents, k=3, n_probe=4, max_broadcast_bytes=2048).collect())
     assert grid == exact
+
+
+def test_topk_ties_break_by_id_on_both_plans(spark):
+    """Identical vectors tie exactly; the k smallest ids win, whichever plan runs."""
+    ids = [f"r{i:02d}" for i in range(40)]
+    rows = [(i, [1.0, 0.0, 0.0]) for i in reversed(ids)] + [("z", [0.0, 1.0, 0.0])]
+    idx = spark.createDataFrame(rows, "id string, embedding array<double>").repartition(4)
+    qs = spark.createDataFrame([(1, [1.0, 0.0, 0.0]), (2, [0.0, 1.0, 0.0]), (3, [0.5, 0.5, 0.0])],
+                               "query_id long, embedding array<double>")
+    for budget in (1 << 20, 16):                       # broadcast, then the block grid
+        got = sorted((r["query_id"], r["rank"], r["id"]) for r in top_k(qs, idx, k=3, max_broadcast_bytes=budget).collect())
+        assert got == [(1, 1, "r00"), (1, 2, "r01"), (1, 3, "r02"),
+                       (2, 1, "z"), (2, 2, "r00"), (2, 3, "r01"),
+                       (3, 1, "r00"), (3, 2, "r01"), (3, 3, "r02")]
