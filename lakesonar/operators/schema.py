@@ -22,6 +22,13 @@ def columns(tables) -> DataFrame:
         rows, "table_name string, ordinal int, column_name string, type_name string, nullable boolean")
 
 
+def file_columns(spark: SparkSession, name: str, path: str, fmt: str | None = None) -> DataFrame:
+    """Columns of a lake file (C2): Parquet from its footer, CSV with types
+    inferred from the first 100 rows (no pass over the whole file)."""
+    from lakesonar.sources.scan import CSV_INFER_ROWS, read_file
+    return columns([(name, read_file(spark, path, fmt=fmt, infer_rows=CSV_INFER_ROWS))])
+
+
 def catalog_columns(spark: SparkSession, table: str) -> DataFrame:
     """Columns of a catalog table as declared by the catalog."""
     return columns([(table, spark.table(table))])
@@ -59,5 +66,6 @@ def schema_text(cols: DataFrame) -> DataFrame:
 
 def save_schema_map(schema_df: DataFrame, path: str, fmt: str = "json") -> str:
     """Write the table → schema text map (C6, re-aimed from Python source to data)."""
+    # one row per table (catalog metadata, not data): a single output file
     schema_df.coalesce(1).write.mode("overwrite").format(fmt).save(path)
     return path

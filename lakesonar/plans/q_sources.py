@@ -86,6 +86,19 @@ def q_csv_roundtrip_scan(spark, sf_dir):
                        "c_mktsegment")
 
 
+@query("csv_columns", """
+SELECT 'customer_csv' AS table_name, (ordinal_position - 1)::INTEGER AS ordinal, column_name,
+       CASE WHEN data_type IN ('BIGINT', 'INTEGER') THEN 'int' WHEN data_type = 'DOUBLE' THEN 'double'
+            ELSE 'string' END AS type_name, true AS nullable
+FROM information_schema.columns WHERE table_name = 'customer'""")
+def q_csv_columns(spark, sf_dir):
+    """C2 on a CSV file: types from the first 100 rows of the whole customer table."""
+    from lakesonar.operators.schema import file_columns
+    path = new_table_path(spark, "customer-csv-cols")
+    spark.read.parquet(f"{sf_dir}/customer.parquet").write.option("header", "true").csv(path)
+    return file_columns(spark, "customer_csv", path, fmt="csv")
+
+
 def _columns_oracle():
     case = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in DUCK_TO_SPARK.items())
     return f"""
