@@ -289,8 +289,9 @@ def approx_parts(items, catalog: DataFrame, n_samples: int = 3,
              F.min(numv).alias("min_num"), F.max(numv).alias("max_num"),
              F.min("lnum").alias("min_lnum"), F.max("lnum").alias("max_lnum"),
              F.min("ts").alias("min_ts"), F.max("ts").alias("max_ts"),
-             F.try_element_at(F.array_sort(F.filter(F.array(*mins), lambda x: x.isNotNull())),
-                              F.lit(n_samples)).alias("_t"),
+             (F.try_element_at(F.array_sort(F.filter(F.array(*mins), lambda x: x.isNotNull())),
+                               F.lit(n_samples)) if n_samples > 0
+              else F.lit(None).cast("long")).alias("_t"),
              *[F.expr(a) for a in [nb] + _date_aggs()]))
     stats = g.selectExpr(*KEYS, "n_rows", "n_non_null", "num_unique_values", "std",
                          "min_num", "max_num", "min_lnum", "max_lnum", "min_ts", "max_ts", "_t",
@@ -299,7 +300,7 @@ def approx_parts(items, catalog: DataFrame, n_samples: int = 3,
     # (exchange reuse), and a caller that selects no samples prunes pass 2
     thr = F.broadcast(stats.select(*KEYS, "_t"))
     cand = (v.select(*KEYS, "value", "vhash", "hp").join(thr, KEYS)
-            .filter(F.col("value").isNotNull()
+            .filter(F.lit(n_samples > 0) & F.col("value").isNotNull()
                     & (F.col("_t").isNull() | (F.col("hp") <= F.col("_t"))))
             .groupBy(*KEYS, "vhash").agg(F.min("value").alias("value"))
             .withColumn("hkey", F.lit(None).cast("string")))
