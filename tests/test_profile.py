@@ -151,3 +151,22 @@ def test_approx_mode_equals_exact_but_distinct(spark):
     assert ap[("t1", "t")]["samples"] and all(len(v) in (300, 400) for v in ap[("t1", "t")]["samples"])
     assert ap[("t1", "few")]["samples"] == ["x"]
     assert ap[("t2", "z")]["samples"] == []
+
+
+def test_approx_samples_equal_exact_randomized(spark):
+    """Columns with 1 to 40 distinct values (so 1 to 16 md5 classes are filled),
+    skewed counts and nulls: approximate samples equal exact samples."""
+    import random
+    rnd = random.Random(7)
+    cols = {}
+    for j in range(12):
+        k = rnd.choice([1, 2, 3, 4, 5, 8, 13, 40])
+        vals = [f"v{j}_{rnd.randrange(10**6)}" for _ in range(k)]
+        cols[f"c{j}"] = [None if rnd.random() < 0.1 else
+                         (vals[0] if rnd.random() < 0.4 else rnd.choice(vals)) for _ in range(300)]
+    rows = list(zip(*[cols[c] for c in sorted(cols)]))
+    df = spark.createDataFrame(rows, ", ".join(f"{c} string" for c in sorted(cols)))
+    for n in (1, 3, 6):
+        ex = {r["column_name"]: r["samples"] for r in profile({"t": df}, n_samples=n).collect()}
+        ap = {r["column_name"]: r["samples"] for r in profile({"t": df}, n_samples=n, exact=False).collect()}
+        assert ex == ap
