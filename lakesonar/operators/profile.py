@@ -270,21 +270,28 @@ def approx_parts(items, catalog: DataFrame, n_samples: int = 3,
     """
     c = cells(items, sample_rows, keep_long=True)
     kinds = F.broadcast(catalog.select(*KEYS, (F.col("kind") == "string").alias("is_str")))
-    vhash = F.coalesce(F.col("hkey"), F.md5(F.col("value")))
+    present = (F.col("lnum").isNotNull() | F.col("num").isNotNull() | F.col("ts").isNotNull()
+               | F.col("text").isNotNull())
+    # counts, HLL and date checks read native values; the rendered value and
+    # its md5 feed only the sample threshold and pass 2
     v = (c.join(kinds, KEYS)
+         .withColumn("present", present)
          .withColumn("value", F.expr(VALUE_TEXT))
-         .withColumn("vhash", vhash)
+         .withColumn("vhash", F.coalesce(F.col("hkey"), F.md5(F.col("value"))))
          .withColumn("hp", F.conv(F.substring("vhash", 1, MD5_PREFIX), 16, 10).cast("long"))
-         .withColumn("dv", F.expr("CASE WHEN is_str AND hkey IS NULL THEN value END")))
+         .withColumn("dv", F.expr("CASE WHEN is_str AND hkey IS NULL THEN text END")))
+    # distinct identity on native values (long texts by their md5 key)
+    native = F.when(F.col("present"), F.struct(
+        "lnum", "num", "ts", F.when(F.col("hkey").isNull(), F.col("text")).alias("t"), "hkey"))
     numv = F.coalesce(F.col("num"), F.col("lnum").cast("double"))
     cls = F.pmod(F.col("hp"), F.lit(MD5_CLASSES))
     mins = [F.min(F.when(cls == h, F.col("hp"))) for h in range(MD5_CLASSES)]
-    nb = "count_if(is_str AND ((value IS NOT NULL AND value <> '') OR hkey IS NOT NULL)) AS nb"
-    g = (v.select(*KEYS, "num", "lnum", "ts", "value", "hkey", "hp", "is_str",
+    nb = "count_if(is_str AND ((text IS NOT NULL AND text <> '') OR hkey IS NOT NULL)) AS nb"
+    g = (v.select(*KEYS, "num", "lnum", "ts", "text", "hkey", "hp", "is_str", "present",
                   *[F.expr(e) for e in _date_parsed("dv")])
          .groupBy(*KEYS).agg(
-             F.count(F.lit(1)).alias("n_rows"), F.count("value").alias("n_non_null"),
-             F.approx_count_distinct("hp").alias("num_unique_values"),
+             F.count(F.lit(1)).alias("n_rows"), F.count_if("present").alias("n_non_null"),
+             F.approx_count_distinct(native).alias("num_unique_values"),
              F.stddev_samp(numv).alias("std"),
              F.min(numv).alias("min_num"), F.max(numv).alias("max_num"),
              F.min("lnum").alias("min_lnum"), F.max("lnum").alias("max_lnum"),
@@ -297,10 +304,10 @@ def approx_parts(items, catalog: DataFrame, n_samples: int = 3,
                          "min_num", "max_num", "min_lnum", "max_lnum", "min_ts", "max_ts", "_t",
                          *_date_pick())
     # read twice (threshold, final join): the two reads share one exchange
-    # (exchange reuse), and a caller that selects no samples prunes pass 2
+    # (exchange reuse)
     thr = F.broadcast(stats.select(*KEYS, "_t"))
-    cand = (v.select(*KEYS, "value", "vhash", "hp").join(thr, KEYS)
-            .filter(F.lit(n_samples > 0) & F.col("value").isNotNull()
+    cand = (v.select(*KEYS, "present", "value", "vhash", "hp").join(thr, KEYS)
+            .filter(F.lit(n_samples > 0) & F.col("present")
                     & (F.col("_t").isNull() | (F.col("hp") <= F.col("_t"))))
             .groupBy(*KEYS, "vhash").agg(F.min("value").alias("value"))
             .withColumn("hkey", F.lit(None).cast("string")))
