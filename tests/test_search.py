@@ -181,3 +181,12 @@ def test_topk_ties_break_by_id_on_both_plans(spark):
         assert got == [(1, 1, "r00"), (1, 2, "r01"), (1, 3, "r02"),
                        (2, 1, "z"), (2, 2, "r00"), (2, 3, "r01"),
                        (3, 1, "r00"), (3, 2, "r01"), (3, 3, "r02")]
+
+
+def test_topk_skips_rows_without_vectors(spark):
+    idx = spark.createDataFrame([("a", [1.0, 0.0]), ("b", None), ("c", [0.0, 1.0])],
+                                "id string, embedding array<double>")
+    qs = spark.createDataFrame([(1, [1.0, 0.2]), (2, None)], "query_id long, embedding array<double>")
+    for budget in (1 << 20, 8):
+        got = sorted((r["query_id"], r["rank"], r["id"]) for r in top_k(qs, idx, k=3, max_broadcast_bytes=budget).collect())
+        assert got == [(1, 1, "a"), (1, 2, "c")]
