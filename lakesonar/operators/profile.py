@@ -251,7 +251,8 @@ MD5_PREFIX = 15
 
 
 def approx_parts(items, catalog: DataFrame, n_samples: int = 3,
-                 sample_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
+                 sample_rows: int | None = None,
+                 materialize_stats: bool = False) -> tuple[DataFrame, DataFrame]:
     """Approximate mode: (stats, samples) with no per-value shuffle.
 
     Pass 1 is one ``groupBy(table, ordinal)`` over the cells, collapsed
@@ -303,6 +304,10 @@ def approx_parts(items, catalog: DataFrame, n_samples: int = 3,
     stats = g.selectExpr(*KEYS, "n_rows", "n_non_null", "num_unique_values", "std",
                          "min_num", "max_num", "min_lnum", "max_lnum", "min_ts", "max_ts", "_t",
                          *_date_pick())
+    if materialize_stats:                   # one row per column
+        from lakesonar.session import shared_dir
+        shared_dir(stats.sparkSession)
+        stats = stats.checkpoint(eager=True)
     # read twice (threshold, final join): the two reads share one exchange
     # (exchange reuse)
     thr = F.broadcast(stats.select(*KEYS, "_t"))
@@ -314,6 +319,35 @@ def approx_parts(items, catalog: DataFrame, n_samples: int = 3,
     return stats.drop("_t"), sample_values(cand, n_samples)
 
 
+# In "auto" mode, string columns whose approximate cardinality
+# ratio lies within this distance of CATEGORY_RATIO get exact distinct counts
+# (0.1 is 20% of the ratio, about four standard errors of the default sketch).
+AUTO_RATIO_BAND = 0.1
+
+
+def exact_near_threshold(items, catalog: DataFrame, stats: DataFrame,
+                         sample_rows: int | None = None) -> DataFrame:
+    """Replace sketch distinct counts by exact ones for the string columns
+    whose category/string decision could flip under the sketch's error. Only
+    those columns are read again (their keys are metadata, at most one per
+    column), and their distinct values are counted with map-side partial
+    aggregation."""
+    ratio = F.col("num_unique_values") / F.col("n_rows")
+    near = (stats.join(F.broadcast(catalog.filter(F.col("kind") == "string").select(*KEYS)),
+                       KEYS, "left_semi")
+            .filter((F.col("n_rows") > 0) & (F.abs(ratio - F.lit(CATEGORY_RATIO)) <= AUTO_RATIO_BAND)))
+    keys = {(r[0], r[1]) for r in near.select(*KEYS).collect()}
+    if not keys:
+        return stats
+    c = cells(items, sample_rows, only=keys)
+    exact_counts = (c.select(*KEYS, F.expr(VALUE_KEY).alias("k")).filter(F.col("k").isNotNull())
+                    .groupBy(*KEYS, "k").agg().groupBy(*KEYS)
+                    .agg(F.count(F.lit(1)).alias("_exact")))
+    return (stats.join(exact_counts, KEYS, "left")
+            .withColumn("num_unique_values", F.coalesce("_exact", "num_unique_values"))
+            .drop("_exact"))
+
+
 def profile(tables, n_samples: int = 3, exact: bool = True,
             sample_rows: int | None = None, materialize: bool = True) -> DataFrame:
     """Profile every column of every table (the ``profile`` schema).
@@ -322,6 +356,8 @@ def profile(tables, n_samples: int = 3, exact: bool = True,
     profiles whole tables; an integer reproduces the reference's row limit.
     ``exact=False`` takes distinct counts from HLL sketches and runs without
     the per-value shuffle (``approx_parts``); everything else stays exact.
+    ``exact="auto"`` does the same but counts exactly the string columns whose
+    category decision is near the threshold (``exact_near_threshold``).
     """
     items = _as_items(tables)
     catalog = column_catalog(items)
@@ -344,6 +380,10 @@ def profile(tables, n_samples: int = 3, exact: bool = True,
         long_src = cells(items, sample_rows, keep_long=True, only=long_keys) if long_keys else None
         samples = sample_values(distinct, n_samples, long_src)
         out = catalog.join(stats, KEYS, "left").join(samples, KEYS, "left").join(dates, KEYS, "left")
+    elif exact == "auto":
+        stats, samples = approx_parts(items, catalog, n_samples, sample_rows, materialize_stats=True)
+        stats = exact_near_threshold(items, catalog, stats, sample_rows)
+        out = catalog.join(stats, KEYS, "left").join(samples, KEYS, "left")
     else:
         stats, samples = approx_parts(items, catalog, n_samples, sample_rows)
         out = catalog.join(stats, KEYS, "left").join(samples, KEYS, "left")

@@ -227,6 +227,13 @@ def q_infer_dtype(spark, sf_dir):
     return p.select("table_name", "column_name", "dtype")
 
 
+@query("infer_dtype_auto", _dtype_oracle())
+def q_infer_dtype_auto(spark, sf_dir):
+    """Sketch distinct counts, exact ones only near the category threshold."""
+    p = profile(lake_with_dates(spark, sf_dir), exact="auto")
+    return p.select("table_name", "column_name", "dtype")
+
+
 # --- profile_dates (P6, T3, T4) ---------------------------------------------
 
 DATE_COLUMNS = [("events", "ts"), ("orders", "o_orderdate"), ("lineitem", "l_shipdate")]

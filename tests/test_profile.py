@@ -170,3 +170,19 @@ def test_approx_samples_equal_exact_randomized(spark):
         ex = {r["column_name"]: r["samples"] for r in profile({"t": df}, n_samples=n).collect()}
         ap = {r["column_name"]: r["samples"] for r in profile({"t": df}, n_samples=n, exact=False).collect()}
         assert ex == ap
+
+
+def test_auto_mode_exact_near_category_threshold(spark):
+    """Ratios 0.499 / 0.501 sit on either side of the category threshold: auto
+    mode counts them exactly and decides as the exact mode does; a column far
+    from the threshold keeps its sketch count."""
+    n = 1000
+    rows = [(f"a{i % 499}", f"b{i % 501}", f"c{i % 5}", f"d{i}") for i in range(n)]
+    df = spark.createDataFrame(rows, "a string, b string, c string, d string")
+    ex = {r["column_name"]: r for r in profile({"t": df}).collect()}
+    au = {r["column_name"]: r for r in profile({"t": df}, exact="auto").collect()}
+    assert ex["a"]["dtype"] == au["a"]["dtype"] == "category"
+    assert ex["b"]["dtype"] == au["b"]["dtype"] == "string"
+    assert au["a"]["num_unique_values"] == 499 and au["b"]["num_unique_values"] == 501
+    assert {c: au[c]["dtype"] for c in au} == {c: ex[c]["dtype"] for c in ex}
+    assert {c: au[c]["samples"] for c in au} == {c: ex[c]["samples"] for c in ex}
