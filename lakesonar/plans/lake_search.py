@@ -22,7 +22,7 @@ from lakesonar.operators.summary import summarize
 
 
 def build_summaries(tables, sample_rows: int | None = None, n_samples: int = 3,
-                    exact: bool = True, enrich: bool = True) -> DataFrame:
+                    exact=True, enrich: bool = True) -> DataFrame:
     """(name, file_name, dataset_description, fields, field_names, json_summary, enriched_text).
 
     ``enrich=False`` (J6) keeps the base summary: empty semantic types,
@@ -124,7 +124,7 @@ def answer_with_model(questions: DataFrame, index: DataFrame, model_fn, template
 
 
 def build_index(spark, tables, path: str | None = None, mode: str = "upsert",
-                sample_rows: int | None = None) -> DataFrame:
+                sample_rows: int | None = None, exact=True) -> DataFrame:
     """Profile, summarise, embed and store the tables; returns the stored index.
 
     The index is a written Parquet table under ``path`` (default: a new folder
@@ -134,16 +134,16 @@ def build_index(spark, tables, path: str | None = None, mode: str = "upsert",
     from lakesonar.operators.index import insert_if_absent, open_index, upsert
     from lakesonar.session import new_table_path
     path = path or new_table_path(spark, "lake-index")
-    recs = index_records(build_summaries(tables, sample_rows=sample_rows))
+    recs = index_records(build_summaries(tables, sample_rows=sample_rows, exact=exact))
     (upsert if mode == "upsert" else insert_if_absent)(spark, path, recs, batch=1)
     return open_index(spark, path)
 
 
 def lake_search(spark, tables, questions: DataFrame | None = None, k: int = 3,
-                index_path: str | None = None) -> DataFrame:
+                index_path: str | None = None, exact=True) -> DataFrame:
     """Index the given tables and answer the questions (one per table when
     none are given)."""
     if questions is None:
         questions = table_questions(tables)
-    idx = build_index(spark, tables, index_path)
+    idx = build_index(spark, tables, index_path, exact=exact)
     return answer(questions, idx, k=k)
