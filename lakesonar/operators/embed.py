@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Hashed embedding dimension, token split and gram length.
+# The token split is applied to the lower-cased text; the byte table of
+# ``_tables`` implements it (every byte outside [a-z0-9] separates tokens).
 HASH_DIM = 256
 TOKEN_SPLIT = "[^a-z0-9]+"
 GRAM = 3
