@@ -10,7 +10,7 @@ One Spark job per phase; the questions are a DataFrame, not a loop.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakesonar.operators.embed import MODEL_ID, hashed_embedding
@@ -61,18 +61,18 @@ def index_records(summaries: DataFrame) -> DataFrame:
 def table_questions(tables) -> DataFrame:
     """One question per table, made from its column names without the key and
     the table prefix: ``Which table has <a> and <b> ...``. ``expected_table``
-    is the table the columns came from."""
-    from lakesonar.operators.schema import columns
-    c = columns(tables)
-    g = (c.filter(F.col("ordinal") >= 1)
-         .groupBy("table_name").agg(F.array_sort(F.collect_list(F.struct(
-             "ordinal", F.regexp_replace("column_name", "^[a-z]+_", "").alias("w")))).alias("ws")))
-    return g.select(
-        # one row per table: the ordering window spans the catalog, not the data
-        F.row_number().over(Window.orderBy("table_name")).cast("long").alias("query_id"),
-        F.concat(F.lit("Which table has "), F.array_join(F.transform("ws", lambda x: x["w"]), " and "))
-        .alias("query"),
-        F.col("table_name").alias("expected_table"))
+    is the table the columns came from. Built from the schemas (metadata
+    already on the driver, like the column catalog); ids follow table names."""
+    import re
+    from lakesonar.operators.profile import _as_items
+    items = sorted(_as_items(tables), key=lambda t: t[0])
+    rows = []
+    for name, df in items:
+        words = [re.sub(r"^[a-z]+_", "", f.name) for f in df.schema.fields[1:]]
+        if words:
+            rows.append((len(rows) + 1, "Which table has " + " and ".join(words), name))
+    spark = items[0][1].sparkSession
+    return spark.createDataFrame(rows, "query_id long, query string, expected_table string")
 
 
 def check_model(index: DataFrame, model_id: str = MODEL_ID) -> None:
