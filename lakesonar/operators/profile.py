@@ -341,7 +341,7 @@ def exact_near_threshold(items, catalog: DataFrame, stats: DataFrame,
         return stats
     c = cells(items, sample_rows, only=keys)
     exact_counts = (c.select(*KEYS, F.expr(VALUE_KEY).alias("k")).filter(F.col("k").isNotNull())
-                    .groupBy(*KEYS, "k").agg().groupBy(*KEYS)
+                    .distinct().groupBy(*KEYS)
                     .agg(F.count(F.lit(1)).alias("_exact")))
     return (stats.join(exact_counts, KEYS, "left")
             .withColumn("num_unique_values", F.coalesce("_exact", "num_unique_values"))
@@ -361,13 +361,25 @@ def profile(tables, n_samples: int = 3, exact: bool = True,
     """
     items = _as_items(tables)
     catalog = column_catalog(items)
-    if exact:
+    mode = "auto" if exact == "auto" else ("exact" if exact else "approx")
+    if mode == "exact":
         cell_df = cells(items, sample_rows)
         vc = value_counts(cell_df, materialize=materialize)
         stats = column_stats(vc)
         distinct = vc.filter(F.col("present")).select(*KEYS, "value", "hkey", "vhash", "n")
         string_keys = F.broadcast(catalog.filter(F.col("kind") == "string").select(*KEYS))
         dates = date_detection(distinct.join(string_keys, KEYS, "left_semi"))
+        out = catalog.join(stats, KEYS, "left").join(dates, KEYS, "left")
+    elif mode == "auto":
+        stats, samples = approx_parts(items, catalog, n_samples, sample_rows, materialize_stats=True)
+        stats = exact_near_threshold(items, catalog, stats, sample_rows)
+        out = catalog.join(stats, KEYS, "left")
+    else:
+        stats, samples = approx_parts(items, catalog, n_samples, sample_rows)
+        out = catalog.join(stats, KEYS, "left")
+    if n_samples <= 0:                     # no samples asked for: no sample work at all
+        out = out.withColumn("samples", F.lit(None).cast("array<string>"))
+    elif mode == "exact":
         # re-read only the columns that hold long texts: from the written value
         # counts when materialised (a small filtered scan, one key per column),
         # else every string and nested column (known from the schema)
@@ -378,15 +390,9 @@ def profile(tables, n_samples: int = 3, exact: bool = True,
             long_keys = {(n, i) for n, df in items for i, f in enumerate(df.schema.fields)
                          if kind_of(f.dataType) in ("string", "other")}
         long_src = cells(items, sample_rows, keep_long=True, only=long_keys) if long_keys else None
-        samples = sample_values(distinct, n_samples, long_src)
-        out = catalog.join(stats, KEYS, "left").join(samples, KEYS, "left").join(dates, KEYS, "left")
-    elif exact == "auto":
-        stats, samples = approx_parts(items, catalog, n_samples, sample_rows, materialize_stats=True)
-        stats = exact_near_threshold(items, catalog, stats, sample_rows)
-        out = catalog.join(stats, KEYS, "left").join(samples, KEYS, "left")
+        out = out.join(sample_values(distinct, n_samples, long_src), KEYS, "left")
     else:
-        stats, samples = approx_parts(items, catalog, n_samples, sample_rows)
-        out = catalog.join(stats, KEYS, "left").join(samples, KEYS, "left")
+        out = out.join(samples, KEYS, "left")
     out = out.withColumn("num_unique_values",
                          F.coalesce("num_unique_values", F.lit(0)).cast("long"))
     kind = F.col("kind")
