@@ -92,3 +92,16 @@ SELECT doc_id, size, s AS source_size, target,
 def op10(spark, sf_dir):
     from lakesonar.llm.mixing import mix, taken_words
     return taken_words(mix(table(spark, sf_dir, "documents"), seed=MIX_SEED))
+
+
+# 6 -------------------------------------------------------------------------
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query("op6_bitplane_tokens")
+def op6(spark, sf_dir):
+    from lakesonar.llm.tokens import encode_to_files
+    return encode_to_files(table(spark, sf_dir, "documents"), tokenizer_path())
