@@ -105,3 +105,34 @@ def tokenizer_path() -> str:
 def op6(spark, sf_dir):
     from lakesonar.llm.tokens import encode_to_files
     return encode_to_files(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+# 5 -------------------------------------------------------------------------
+
+_NORMAL = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+DECONTAMINATION_SQL = f"""
+WITH items AS (SELECT coalesce(item_id::VARCHAR, '') AS item_id, {_NORMAL} AS w FROM benchmark),
+windows AS (SELECT DISTINCT item_id, least(len(w), 10) AS k, list_slice(w, i, i + least(len(w), 10) - 1) AS win
+  FROM items, unnest(range(1, greatest(len(w) - 9, 1) + 1)) t(i) WHERE len(w) > 0),
+lengths AS (SELECT DISTINCT k FROM windows),
+docs AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {_NORMAL} AS w FROM documents),
+places AS (SELECT r, k, i, list_slice(w, i, i + k - 1) AS win
+  FROM docs, lengths, unnest(range(1, len(w) - k + 2)) t(i) WHERE len(w) >= k),
+found AS (SELECT r, p.k, i, item_id FROM places p JOIN windows USING (k, win)),
+hits AS (SELECT r, count(DISTINCT j) AS n_hit FROM found, unnest(range(i, i + k)) t(j) GROUP BY r),
+ids AS (SELECT r, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS l
+  FROM (SELECT DISTINCT r, item_id FROM found) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(l, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN hits USING (r) LEFT JOIN ids USING (r)"""
+
+
+@query("op5_automaton_decontamination", DECONTAMINATION_SQL)
+def op5(spark, sf_dir):
+    from lakesonar.llm.decontaminate import match
+    found = match(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s[1] - s[0])
+    return found.select(
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
