@@ -136,3 +136,33 @@ def op5(spark, sf_dir):
     return found.select(
         "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+
+
+# 9 -------------------------------------------------------------------------
+
+def _fingerprint_sql(text: str) -> str:
+    leaf = "list_transform(range(0, (len(string_split(p, ' ')) - 1) // 6 + 1), lambda i: substr(md5(array_to_string(list_slice(string_split(p, ' '), i * 6 + 1, i * 6 + 6), ' ')), 1, 8))"
+    return f"""md5(array_to_string([md5(array_to_string([md5(p) for p in string_split(s, chr(10))], '')) for s in string_split({text}, chr(10) || chr(10))], '')) || ':' ||
+  array_to_string([array_to_string([array_to_string({leaf}, ',') for p in string_split(s, chr(10))], '|') for s in string_split({text}, chr(10) || chr(10))], ';')"""
+
+
+def _likeness_sql(a: str, b: str) -> str:
+    la, lb = (f"list_distinct(string_split_regex(substr({x}, 34), '[,|;]'))" for x in (a, b))
+    return (f"CASE WHEN left({a}, 32) = left({b}, 32) THEN 1.0::DOUBLE ELSE "
+            f"len(list_intersect({la}, {lb}))::DOUBLE / greatest(len({la}), len({lb})) END")
+
+
+MERKLE_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+n AS (SELECT doc_id, text, length(text) AS n, coalesce(lead(text) OVER (ORDER BY doc_id DESC NULLS LAST),
+  first_value(text) OVER (ORDER BY doc_id DESC NULLS LAST)) AS nxt FROM d),
+e AS (SELECT *, left(text, n - n // 3) || left(nxt, n // 3) AS edited FROM n),
+f AS (SELECT *, {_fingerprint_sql('text')} AS fp, {_fingerprint_sql('edited')} AS ef, {_fingerprint_sql('nxt')} AS nf FROM e)
+SELECT doc_id, n::BIGINT AS n_chars, sha256(edited) AS edited_sha256, fp AS fingerprint, ef AS edited_fingerprint,
+  {_likeness_sql('fp', 'ef')} AS near_edited, {_likeness_sql('fp', 'nf')} AS near_next FROM f"""
+
+
+@query("op9_merkle_fingerprints", MERKLE_SQL)
+def op9(spark, sf_dir):
+    from lakesonar.llm.merkle import fingerprint_edits
+    return fingerprint_edits(table(spark, sf_dir, "documents"))
