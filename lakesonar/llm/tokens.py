@@ -52,27 +52,45 @@ class Encoder:
 
     The vocabulary's pre-tokenizer never joins characters across a lone space or
     line feed between two other characters: a piece begins at the space, and a
-    lone line feed is a piece. Such texts are cut there, and each distinct
-    (space +) word is encoded once by the library while the memo holds it. Texts
-    with any other run or edge of white space are encoded whole. The memo has
-    two generations of ``memo`` words each, so its memory is bounded.
+    lone line feed is a piece. Texts with no other white space are cut there, and
+    each distinct (space +) word is encoded once by the library while the memo holds
+    it; new words go through it together, one a line, and the ids are cut at the
+    line feeds' ids. All other texts are encoded whole. The memo has two
+    generations of ``memo`` words each, so its memory is bounded.
     """
 
-    ODD = re.compile(r"\s\s|\A\s|\s\Z")
+    TOGETHER = 2000  # new words in one call's text
 
-    def __init__(self, path: str, memo: int = 150_000):
+    def __init__(self, path: str, memo: int = 300_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
         self.memo = memo
-        self.feed = self._ids(["\n"])[0]
+        self.added = re.compile("|".join(
+            re.escape(t.content) for t in self.tok.get_added_tokens_decoder().values()) or r"(?!)")
+        (self.feed,) = self._whole(["\n"])
         self.first: list[dict] = [{}, {}]  # words at the start of a line
         self.later: list[dict] = [{}, {}]  # words after a space
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
+    def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes()
                 for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _words(self, new: list[str]) -> list[bytes]:
+        """Ids of words without white space inside (a space may stand in front)."""
+        out = []
+        feed = int.from_bytes(self.feed, "little")
+        for at in range(0, len(new), self.TOGETHER):
+            text = "\n".join(new[at:at + self.TOGETHER])
+            if len(self.feed) > 4 or self.added.search(text):  # an added token cuts the text elsewhere
+                out += self._whole(new[at:at + self.TOGETHER])
+                continue
+            ids = np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4")
+            cuts = np.flatnonzero(ids == feed).tolist()
+            data = ids.tobytes()
+            out += [data[4 * a + 4:4 * b] for a, b in zip([-1, *cuts], [*cuts, len(ids)])]
+        return out
+
     def _known(self, memo: list[dict], words: set, prefix: str) -> dict:
         """A dict that has ids for all ``words``."""
         if len(memo[0]) + len(words) > self.memo:
@@ -84,28 +102,37 @@ class Encoder:
             for w in again:
                 young[w] = old[w]
             new = list(lacking - again)
-            young.update(zip(new, self._ids([prefix + w for w in new])))
+            young.update(zip(new, self._words([prefix + w for w in new])))
         return young
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
-        out: list = [None] * len(texts)
-        plain = [i for i, t in enumerate(texts) if t and not self.ODD.search(t)]
-        odd = [i for i, t in enumerate(texts) if t and self.ODD.search(t)]
-        for i, ids in zip(odd, self._ids([texts[i] for i in odd])):
-            out[i] = ids
-        lines = [[line.split(" ") for line in texts[i].split("\n")] for i in plain]
+        out: list = [b""] * len(texts)
+        plain, odd = [], []
         first: set = set()
         later: set = set()
-        for doc in lines:
-            for ws in doc:
-                first.add(ws[0])
-                later.update(ws[1:])
-        f = self._known(self.first, first, "").__getitem__
+        for i, text in enumerate(texts):
+            ws = text.split()
+            if text and text.replace("\n", " ") == " ".join(ws):  # each separator is one of these, alone
+                starts, at = [], 0
+                for line in text.split("\n"):
+                    starts.append(at)
+                    at += line.count(" ") + 1
+                plain.append((i, ws, starts))
+                later.update(ws)
+                first.update([ws[s] for s in starts])
+            elif text:
+                odd.append(i)
+        for i, ids in zip(odd, self._whole([texts[i] for i in odd])):
+            out[i] = ids
+        f = self._known(self.first, first, "")
         g = self._known(self.later, later, " ").__getitem__
-        for i, doc in zip(plain, lines):
-            out[i] = self.feed.join([f(ws[0]) + b"".join(map(g, ws[1:])) for ws in doc])
-        return [b"" if x is None else x for x in out]
+        for i, ws, starts in plain:
+            ids = [*map(g, ws)]
+            for s in starts:
+                ids[s] = self.feed + f[ws[s]] if s else f[ws[s]]
+            out[i] = b"".join(ids)
+        return out
 
 
 _ENCODERS: dict[str, Encoder] = {}
