@@ -98,19 +98,20 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     fingerprint are sent to the document that needs them."""
     base = docs.select("doc_id", text_or_empty().alias("text")).withColumn("th", F.xxhash64("text"))
     pairs = write_table(neighbours(base.select("doc_id", "th", F.length("text").cast("long").alias("n"))), "merkle-pairs")
-    rows = base.select("doc_id", "text", join_key("doc_id", "th").alias("key"), fingerprint(F.col("text")).alias("fp"))
-    wanted = pairs.select(join_key("next_id", "next_th").alias("key"), join_key("doc_id", "th").alias("to"),
+    # both uses of the texts need the same two columns, so one exchange serves both
+    rows = base.select(join_key("doc_id", "th").alias("key"), "text")
+    wanted = pairs.select(join_key("next_id", "next_th").alias("key"), "doc_id", join_key("doc_id", "th").alias("to"),
                           F.floor(F.col("n") / 3).cast("int").alias("k"))
     given = (rows.join(wanted, "key")
-             .select(F.col("to").alias("key"), F.substring("text", F.lit(1), F.col("k")).alias("head"),
-                     F.col("fp").alias("next_fp"))
-             .groupBy("key").agg(F.first("head").alias("head"), F.first("next_fp").alias("next_fp")))
+             .select(F.col("to").alias("key"), "doc_id", F.substring("text", F.lit(1), F.col("k")).alias("head"),
+                     fingerprint(F.col("text")).alias("next_fp"))
+             .groupBy("key").agg(*[F.first(c).alias(c) for c in ("doc_id", "head", "next_fp")]))
     n = F.length("text")
     k = F.floor(n / 3).cast("int")
     both = rows.join(given, "key").select(
-        "doc_id", n.cast("long").alias("n_chars"), "fp", "next_fp",
+        "doc_id", n.cast("long").alias("n_chars"), fingerprint(F.col("text")).alias("fingerprint"), "next_fp",
         F.concat(F.substring("text", F.lit(1), n - k), F.col("head")).alias("edited"))
-    return both.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.col("fp").alias("fingerprint"),
+    return both.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint",
                        fingerprint(F.col("edited")).alias("edited_fingerprint"), "next_fp").select(
         "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
