@@ -166,3 +166,31 @@ SELECT doc_id, n::BIGINT AS n_chars, sha256(edited) AS edited_sha256, fp AS fing
 def op9(spark, sf_dir):
     from lakesonar.llm.merkle import fingerprint_edits
     return fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
+# 1 and 2 -------------------------------------------------------------------
+
+def remainder(divisor: int):
+    """crc32 of the id as text, modulo; a null id counts as the empty string."""
+    from lakesonar.llm.common import id_text
+    return F.pmod(F.crc32(id_text()), F.lit(divisor))
+
+
+@query("op1_backoff_langid")
+def op1(spark, sf_dir):
+    from lakesonar.llm.langid import learn, predict_column
+    docs = table(spark, sf_dir, "documents")
+    held_out = remainder(4) == 2
+    model = learn(docs.filter(~held_out).select("text", "lang"))
+    return docs.select("doc_id", held_out.alias("held_out"), predict_column(spark, model, F.col("text")).alias("p")).select(
+        "doc_id", "held_out", F.col("p.lang").alias("lang_pred"), "p.score")
+
+
+@query("op2_factorization_toxicity")
+def op2(spark, sf_dir):
+    from lakesonar.llm.toxicity import learn, score_column
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    machine = learn(docs, labels.filter(remainder(5) != 0))
+    return docs.select("doc_id", (remainder(5) == 0).alias("held_out"),
+                       score_column(spark, machine, F.col("text")).alias("score")).select(
+        "doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
