@@ -194,3 +194,33 @@ def op2(spark, sf_dir):
     return docs.select("doc_id", (remainder(5) == 0).alias("held_out"),
                        score_column(spark, machine, F.col("text")).alias("score")).select(
         "doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+# 4 -------------------------------------------------------------------------
+
+@query("op4_covering_simhash")
+def op4(spark, sf_dir):
+    from lakesonar.llm.simhash import hex_digits, near_duplicates
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+# 8 -------------------------------------------------------------------------
+
+SUBSTRING_SQL = f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {WORDS_SQL} AS w FROM documents),
+win AS MATERIALIZED (SELECT r, doc_id, i, md5(array_to_string(list_slice(w, i, i + 49), ' ')) AS h
+  FROM d, unnest(range(1, len(w) - 48)) t(i) WHERE len(w) >= 50),
+least AS (SELECT h, min(doc_id) AS least FROM win GROUP BY h),
+gone AS (SELECT r, list(DISTINCT j) AS js FROM win JOIN least USING (h), unnest(range(i, i + 50)) t(j)
+  WHERE least < doc_id GROUP BY r),
+kept AS (SELECT r, list_filter(w, lambda x, j: NOT list_contains(js, j)) AS k FROM d JOIN gone USING (r))
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(js), 0)::BIGINT AS n_removed,
+  sha256(array_to_string(CASE WHEN js IS NULL THEN w ELSE k END, ' ')) AS kept_sha256
+FROM d LEFT JOIN gone USING (r) LEFT JOIN kept USING (r)"""
+
+
+@query("op8_countmin_substrings", SUBSTRING_SQL)
+def op8(spark, sf_dir):
+    from lakesonar.llm.substrings import remove_repeats
+    return remove_repeats(table(spark, sf_dir, "documents"))
