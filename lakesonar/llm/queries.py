@@ -224,3 +224,41 @@ FROM d LEFT JOIN gone USING (r) LEFT JOIN kept USING (r)"""
 def op8(spark, sf_dir):
     from lakesonar.llm.substrings import remove_repeats
     return remove_repeats(table(spark, sf_dir, "documents"))
+
+
+# 7 -------------------------------------------------------------------------
+
+def _reputation_sql() -> str:
+    from lakesonar.llm.reputation import LOWER, RULES, UPPER
+    rules = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in RULES)
+    strength = "least(greatest(CASE WHEN f > 0 AND q - e > 0 THEN f / (q - e) - 1 ELSE 1000.0 END, 1.0), 1000.0)"
+
+    def level(name, keys, parent, on):
+        ks = ", ".join(keys)
+        return f"""
+{name}_u AS (SELECT {ks}, sum(g) AS g, sum(n) AS n, any_value(p.m) AS m FROM hosts h {parent} GROUP BY {ks}),
+{name}_s AS (SELECT {strength} AS s FROM (SELECT sum(n * (g / n - m) ** 2) AS q, sum(m * (1 - m)) AS e,
+  sum((n - 1) * m * (1 - m)) AS f FROM {name}_u WHERE n > 0)),
+{name}_l AS (SELECT {ks}, g + s * m AS a, n - g + s * (1 - m) AS b, a / (a + b) AS m FROM {name}_u, {name}_s)"""
+
+    return f"""
+WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{UPPER}', '{LOWER}') AS host,
+  regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM (SELECT page_id, coalesce(rest, '') AS rest FROM u)),
+rules(h, pre, v) AS (VALUES {rules}),
+fits AS (SELECT page_id, arg_max(h || pre, length(h || pre)) AS rule, arg_max(v, length(h || pre)) AS v
+  FROM p JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, pre) GROUP BY page_id),
+r AS (SELECT p.*, rule, v FROM p LEFT JOIN fits USING (page_id)),
+hosts AS (SELECT host, coalesce(sum(CASE v WHEN 'allow' THEN 1 WHEN 'block' THEN 0 END), 0)::DOUBLE AS g, count(v)::DOUBLE AS n,
+  string_split(host, '.')[-1] AS suffix, array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') AS domain FROM r GROUP BY host),
+top AS (SELECT (sum(g) + 1) / (sum(n) + 2) AS m FROM hosts),{level('x', ['suffix'], ', top p', '')},{
+level('y', ['suffix', 'domain'], 'JOIN x_l p USING (suffix)', '')},{
+level('z', ['suffix', 'domain', 'host'], 'JOIN y_l p USING (suffix, domain)', '')}
+SELECT page_id, r.host, path, rule, coalesce(v, CASE WHEN m - 1.645 * sqrt(a * b / ((a + b) ** 2 * (a + b + 1))) >= 0.5
+  THEN 'allow' ELSE 'block' END) AS verdict FROM r JOIN z_l USING (host)"""
+
+
+@query("op7_bayes_url_filter", _reputation_sql())
+def op7(spark, sf_dir):
+    from lakesonar.llm.reputation import judge
+    return judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
