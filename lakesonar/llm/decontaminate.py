@@ -229,6 +229,15 @@ def clean_text(text: str, automaton: Automaton, min_span: int, max_coverage: flo
         changed = True
 
 
+def clean_column(text: Column, automaton, min_span: int, max_coverage: float) -> Column:
+    """struct(text, dropped) as :func:`clean_text` says."""
+    @F.pandas_udf("text string, dropped boolean")
+    def cleaned(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([clean_text(t, automaton.value, min_span, max_coverage) if t else (None, False)
+                             for t in texts], columns=["text", "dropped"])
+    return cleaned(text)
+
+
 def decontaminate(docs: DataFrame, bench: DataFrame, window: int = 10, min_span: int = 1,
                   max_coverage: float = 0.5, automaton_words: int = 200_000) -> DataFrame:
     """``docs`` without benchmark passages: spans of at least ``min_span`` hit words are
@@ -238,11 +247,7 @@ def decontaminate(docs: DataFrame, bench: DataFrame, window: int = 10, min_span:
     out = docs
     (m,) = fresh(docs, "_clean")
     for automaton in automata(bench, window, automaton_words):
-        @F.pandas_udf("text string, dropped boolean")
-        def cleaned(texts: pd.Series, automaton=automaton) -> pd.DataFrame:
-            return pd.DataFrame([clean_text(t, automaton.value, min_span, max_coverage) if t else (None, False)
-                                 for t in texts], columns=["text", "dropped"])
-        out = out.withColumn(m, cleaned(F.col("text"))).filter(~F.col(f"{m}.dropped"))
+        out = out.withColumn(m, clean_column(F.col("text"), automaton, min_span, max_coverage)).filter(~F.col(f"{m}.dropped"))
         new = {"text": F.coalesce(F.col(f"{m}.text"), F.col("text"))}
         if "n_chars" in docs.columns:
             new["n_chars"] = F.when(F.col(f"{m}.text").isNotNull(), F.length(f"{m}.text")).otherwise(

@@ -55,13 +55,15 @@ class Encoder:
     lone line feed is a piece. Texts with no other white space are cut there, and
     each distinct (space +) word is encoded once by the library while the memo holds
     it; new words go through it together, one a line, and the ids are cut at the
-    line feeds' ids. All other texts are encoded whole. The memo has two
+    line feeds' ids. Closing marks after a letter or digit are a piece of their own, so
+    a word with them is put together from the word and the marks. All other texts are encoded whole. The memo has two
     generations of ``memo`` words each, so its memory is bounded.
     """
 
-    TOGETHER = 2000  # new words in one call's text
+    TOGETHER = 200  # new words in one call's text
+    MARKS = ".,;:!?"
 
-    def __init__(self, path: str, memo: int = 300_000):
+    def __init__(self, path: str, memo: int = 500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
@@ -69,6 +71,7 @@ class Encoder:
         self.added = re.compile("|".join(
             re.escape(t.content) for t in self.tok.get_added_tokens_decoder().values()) or r"(?!)")
         (self.feed,) = self._whole(["\n"])
+        self.marks: dict[str, bytes] = {}
         self.first: list[dict] = [{}, {}]  # words at the start of a line
         self.later: list[dict] = [{}, {}]  # words after a space
 
@@ -85,32 +88,47 @@ class Encoder:
             if len(self.feed) > 4 or self.added.search(text):  # an added token cuts the text elsewhere
                 out += self._whole(new[at:at + self.TOGETHER])
                 continue
-            ids = np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4")
+            (data,) = self._whole([text])
+            ids = np.frombuffer(data, "<u4")
             cuts = np.flatnonzero(ids == feed).tolist()
-            data = ids.tobytes()
             out += [data[4 * a + 4:4 * b] for a, b in zip([-1, *cuts], [*cuts, len(ids)])]
         return out
 
-    def _known(self, memo: list[dict], words: set, prefix: str) -> dict:
-        """A dict that has ids for all ``words``."""
-        if len(memo[0]) + len(words) > self.memo:
-            memo[1], memo[0] = memo[0], {}
+    def _learn(self, memo: list[dict], lacking: set, prefix: str) -> None:
+        """Put the ids of ``lacking`` words into the young generation."""
         young, old = memo
-        lacking = words - young.keys()
-        if lacking:
-            again = lacking & old.keys()
-            for w in again:
-                young[w] = old[w]
-            new = list(lacking - again)
-            young.update(zip(new, self._words([prefix + w for w in new])))
-        return young
+        again = lacking & old.keys()
+        for w in again:
+            young[w] = old[w]
+        new, marked = set(), []
+        for w in lacking - again:
+            stem = w.rstrip(self.MARKS)
+            if len(stem) < len(w) and stem and stem[-1].isalnum():
+                marked.append((w, stem))
+                if stem not in young:
+                    new.add(stem)
+            else:
+                new.add(w)
+        order = list(new)
+        young.update(zip(order, self._words([prefix + w for w in order])))
+        for w, stem in marked:
+            marks = w[len(stem):]
+            if marks not in self.marks:
+                if len(self.marks) > 10_000:
+                    self.marks.clear()
+                (self.marks[marks],) = self._whole([marks])
+            young[w] = young[stem] + self.marks[marks]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
         out: list = [b""] * len(texts)
         plain, odd = [], []
-        first: set = set()
-        later: set = set()
+        for memo in (self.first, self.later):
+            if len(memo[0]) > self.memo:
+                memo[0], memo[1] = {}, memo[0]
+        first, later = self.first[0], self.later[0]
+        new_first: set = set()
+        new_later: set = set()
         for i, text in enumerate(texts):
             ws = text.split()
             if text and text.replace("\n", " ") == " ".join(ws):  # each separator is one of these, alone
@@ -119,18 +137,20 @@ class Encoder:
                     starts.append(at)
                     at += line.count(" ") + 1
                 plain.append((i, ws, starts))
-                later.update(ws)
-                first.update([ws[s] for s in starts])
+                known = [*map(later.get, ws)]
+                if None in known:
+                    new_later.update([w for w, ids in zip(ws, known) if ids is None])
+                new_first.update([ws[s] for s in starts if ws[s] not in first])
             elif text:
                 odd.append(i)
         for i, ids in zip(odd, self._whole([texts[i] for i in odd])):
             out[i] = ids
-        f = self._known(self.first, first, "")
-        g = self._known(self.later, later, " ").__getitem__
+        self._learn(self.first, new_first, "")
+        self._learn(self.later, new_later, " ")
         for i, ws, starts in plain:
-            ids = [*map(g, ws)]
+            ids = [*map(later.__getitem__, ws)]
             for s in starts:
-                ids[s] = self.feed + f[ws[s]] if s else f[ws[s]]
+                ids[s] = self.feed + first[ws[s]] if s else first[ws[s]]
             out[i] = b"".join(ids)
         return out
 

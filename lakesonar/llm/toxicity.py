@@ -153,7 +153,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_docs: int = 20_000, **params)
 
     row = (texts.select("doc_id", "y", hashed(F.col("text")).alias("x")).repartition(1)
            .mapInArrow(fitted, "model binary").first())
-    return pickle.loads(row[0])
+    return pickle.loads(row[0]) if row else fit([], [], **params)
 
 
 def score_column(spark, machine: Machine, text: Column) -> Column:

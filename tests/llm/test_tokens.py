@@ -31,7 +31,8 @@ def test_encoder_equals_library_on_odd_texts():
     from tokenizers import Tokenizer
     tok = Tokenizer.from_file(tokenizer_path())
     texts = ["", " ", "a", " a", "a ", "a  b", "a\nb", "a\n\nb", "a \nb", "a\tb c", "it's we'll x", " a b",
-             "a b  c", "a <|endoftext|> b", "<|endoftext|>\nx", "\x1c a", "日本 語\nテスト", "1 2 3!\n?", "a\x85b c", " a\tb"]
+             "a b  c", "a <|endoftext|> b", "<|endoftext|>\nx", "\x1c a", "日本 語\nテスト", "1 2 3!\n?", "a\x85b c", " a\tb",
+             "a. b.. c?! .d ... e'. f'll. ½. ². é, 日本. x;:\ny!", "<|endoftext|>. a.<|endoftext|>"]
     e = tokens.Encoder(tokenizer_path(), memo=3)  # the memo turns over
     for _ in range(2):
         got = [np.frombuffer(x, "<u4").tolist() for x in e.encode(texts)]
