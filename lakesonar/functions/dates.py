@@ -6,9 +6,6 @@ in the order below and the first that covers the whole column wins.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 # Fixed values: (name, guard regex, Spark datetime pattern) in priority order.
 DATE_FORMATS = [
     ("iso_date", r"^\d{4}-\d{2}-\d{2}$", "yyyy-MM-dd"),
@@ -23,28 +20,8 @@ DATE_FORMATS = [
 YEAR_MIN, YEAR_MAX = 1678, 2261
 
 
-def is_blank(v: Column) -> Column:
-    return v.isNull() | (v == "")
-
-
-def parse_with(v: Column, name: str, regex: str, pattern: str) -> Column:
-    """Parsed timestamp, or NULL when the value does not fit the format."""
-    guard = v.rlike(regex)
-    if name == "year":
-        guard = guard & v.try_cast("int").between(YEAR_MIN, YEAR_MAX)
-    return F.when(guard, F.try_to_timestamp(v, F.lit(pattern)))
-
-
-def lenient_parse(v: Column, fmt_name: Column) -> Column:
-    """Parse with the format chosen for the column (T3): bad values → NULL."""
-    out = F.lit(None).cast("timestamp")
-    for name, regex, pattern in reversed(DATE_FORMATS):
-        out = F.when(fmt_name == name, parse_with(v, name, regex, pattern)).otherwise(out)
-    return out
-
-
 def sql_parse_with(e: str, name: str, regex: str, pattern: str) -> str:
-    """SQL text of ``parse_with`` for expression ``e``."""
+    """SQL text that parses ``e``: NULL when the value does not fit the format."""
     guard = f"{e} RLIKE r'{regex}'"
     if name == "year":
         guard += f" AND try_cast({e} AS INT) BETWEEN {YEAR_MIN} AND {YEAR_MAX}"

@@ -29,11 +29,3 @@ def repair(text: Column) -> Column:
 def try_parse(s: Column) -> Column:
     """Variant of the repaired text, NULL when it is not valid JSON."""
     return F.try_parse_json(s)
-
-
-def to_json_text(struct_col: Column, pretty: bool = False) -> Column:
-    """Serialise with null fields kept; ``pretty`` indents."""
-    opts = {"ignoreNullFields": "false"}
-    if pretty:
-        opts["pretty"] = "true"
-    return F.to_json(struct_col, opts)

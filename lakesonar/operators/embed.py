@@ -104,10 +104,9 @@ def _term_counts_udf(texts: pd.Series) -> pd.DataFrame:
 
 def _term_vectors(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, v struct<tf, norm>) per text with at least one token; map-only."""
-    from lakesonar.session import ship_package, spread
+    from lakesonar.session import ship_package
     ship_package(df.sparkSession)
-    # a small scan (fewer splits than cores) is spread; big tables are not moved
-    texts = spread(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")), factor=2)
+    texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
     return (texts.select("id", _term_counts_udf(F.col("t")).alias("v"))
             .filter(F.col("v.norm").isNotNull()))
 
@@ -146,9 +145,3 @@ def embed_with(df: DataFrame, text_col: str, embed_fn: Callable[[list[str]], lis
             yield pdf
 
     return df.mapInPandas(run, schema)
-
-
-def with_norm(df: DataFrame, vec_col: str = "embedding") -> DataFrame:
-    """Store the L2 norm next to the vector (computed once, at ingest)."""
-    return df.withColumn("norm", F.sqrt(F.aggregate(vec_col, F.lit(0.0).cast("double"),
-                                                    lambda acc, x: acc + x.cast("double") * x)))

@@ -27,6 +27,9 @@ FAILED_PREFIX = "LLM call failed; no enriched summary generated. Error details:
 ModelFn = Callable[[list[str]], list[str]]
 
 
+# Prompts sent to a model in one call.
+MODEL_BATCH = 64
+
 def call_model(df: DataFrame, prompt_col: str, model_fn: ModelFn,
                reply_col: str = "reply", error_col: str = "error",
                factory: bool = False) -> DataFrame:
@@ -47,17 +50,20 @@ def call_model(df: DataFrame, prompt_col: str, model_fn: ModelFn,
         for pdf in batches:
             prompts = pdf[prompt_col].tolist()
             replies, errors = [None] * len(prompts), [None] * len(prompts)
-            try:
-                out = list(fn(prompts))
-                if len(out) != len(prompts):
-                    raise ValueError("model returned a different number of replies")
-                replies = out
-            except Exception:  # noqa: BLE001 - isolate the failing prompts
-                for i, p in enumerate(prompts):
-                    try:
-                        replies[i] = fn([p])[0]
-                    except Exception as e:  # noqa: BLE001
-                        errors[i] = f"{type(e).__name__}: {e}"
+            # a failing call is halved until the failing prompts stand alone
+            spans = [(i, min(i + MODEL_BATCH, len(prompts))) for i in range(0, len(prompts), MODEL_BATCH)]
+            while spans:
+                a, b = spans.pop()
+                try:
+                    out = list(fn(prompts[a:b]))
+                    if len(out) != b - a:
+                        raise ValueError("model returned a different number of replies")
+                    replies[a:b] = out
+                except Exception as e:  # noqa: BLE001 - isolate the failing prompts
+                    if b - a == 1:
+                        errors[a] = f"{type(e).__name__}: {e}"
+                    else:
+                        spans += [(a, (a + b) // 2), ((a + b) // 2, b)]
             pdf = pdf.copy()
             pdf[reply_col] = pd.Series(replies, dtype=object)
             pdf[error_col] = pd.Series(errors, dtype=object)
@@ -95,7 +101,7 @@ def enrich_structured(summaries: DataFrame, model_fn: ModelFn, instruction: str,
            .withColumn("display_name", F.when(ok, F.get_json_object("_fixed", "$.name"))))
     if on_error == "raise":
         out = out.withColumn("status", F.when(F.col("status") == "ok", "ok").otherwise(
-            F.raise_error(F.lit("LLM enrichment failed. Please ensure the LLM returns valid JSON."))))
+            F.raise_error(F.lit("a reply could not be parsed as JSON (on_error='raise')"))))
     return out.drop("_prompt", "_reply", "_error", "_fixed")
 
 
@@ -128,11 +134,3 @@ def offline_dataset_description(profile_df: DataFrame) -> DataFrame:
         F.lit(" columns and "), F.col("rows").cast("string"), F.lit(" rows: "),
         F.array_join(F.transform("cs", lambda x: x["column_name"]), ", "), F.lit(".")
     ).alias("dataset_description"))
-
-
-def offline_prose(summaries: DataFrame) -> DataFrame:
-    """E5 stand-in for E3: the indexed text is the table name plus its column
-    names and semantic types (sample values stay out: they hurt retrieval)."""
-    fields = F.transform("fields", lambda f: F.concat_ws(" ", f["column"], f["properties"]["semantic_type"]))
-    return summaries.withColumn("enriched_text", F.concat_ws(
-        " ", F.col("name"), F.array_join(fields, " "))).withColumn("status", F.lit("ok"))

@@ -88,7 +88,8 @@ def _conform(records: DataFrame, batch: int) -> DataFrame:
 def dedupe_batch(records: DataFrame, order_col: str | None = None, keep: str = "first") -> DataFrame:
     """One record per id inside a batch. ``max_by``/``min_by`` aggregate with map-side
     partial aggregation, so a hot id never gathers its rows in one task."""
-    order = F.col(order_col) if order_col else F.md5(F.col("json_summary"))
+    # a struct is never null, so neither is a record whose order value is
+    order = F.struct(F.col(order_col) if order_col else F.md5(F.coalesce("json_summary", F.lit(""))))
     pick = F.min_by if keep == "first" else F.max_by
     rec = F.struct(*[F.col(c) for c in records.columns if c != "id"])
     return (records.groupBy("id").agg(pick(rec, order).alias("r"))

@@ -18,8 +18,6 @@ small plans, one job for the whole lake):
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -74,14 +72,12 @@ def cells(tables, sample_rows: int | None = None, keep_long: bool = False,
     columns are pruned); ``None`` when nothing is left. ``part_col``: a
     column of every table carried on each cell as ``part`` (not profiled).
     """
-    from lakesonar.session import spread
     parts = []
     for name, df in _as_items(tables):
         if only is not None and not any(t == name for t, _ in only):
             continue
         if sample_rows is not None:
             df = df.limit(sample_rows)
-        df = spread(df)
         structs = []
         for i, f in enumerate(df.schema.fields):
             if (only is not None and (name, i) not in only) or f.name == part_col:
@@ -162,7 +158,7 @@ def column_stats(vc: DataFrame) -> DataFrame:
         F.min("ts").alias("min_ts"), F.max("ts").alias("max_ts"),
         F.sum(wn).alias("_wn"), F.sum(numv * F.col("n")).alias("_sx"))
     mean = first.select(*KEYS, (F.col("_sx") / F.col("_wn")).alias("_mean"))
-    dev = (vc.filter(numv.isNotNull()).join(F.broadcast(mean), KEYS)
+    dev = (vc.filter(numv.isNotNull()).join(mean, KEYS)
            .groupBy(*KEYS).agg(F.sum(F.col("n") * (numv - F.col("_mean")) ** 2).alias("_ss")))
     std = F.when(F.col("_wn") > 1, F.sqrt(F.col("_ss") / (F.col("_wn") - 1)))
     return first.join(dev, KEYS, "left").select(
@@ -170,13 +166,6 @@ def column_stats(vc: DataFrame) -> DataFrame:
         "min_num", "max_num", "min_lnum", "max_lnum", "min_ts", "max_ts")
 
 
-def distinct_values(cell_df: DataFrame) -> DataFrame:
-    """(table_name, ordinal, value, hkey, vhash, n): one row per distinct non-null
-    value (long texts carry ``hkey`` instead of ``value``)."""
-    return value_counts(cell_df, materialize=False).filter(F.col("present")) \
-        .select(*KEYS, "value", "hkey", "vhash", "n")
-
-
 def sample_values(distinct: DataFrame, n_samples: int = 3, long_source: DataFrame | None = None) -> DataFrame:
     """Up to ``n_samples`` distinct values per column, smallest ``md5`` first.
 
@@ -193,7 +182,7 @@ def sample_values(distinct: DataFrame, n_samples: int = 3, long_source: DataFram
     if long_source is not None:
         chosen = ranked.filter(F.col("hkey").isNotNull()).select(*KEYS, "hkey")
         full = (long_source.filter(F.col("hkey").isNotNull())
-                .join(F.broadcast(chosen), KEYS + ["hkey"], "left_semi")
+                .join(chosen, KEYS + ["hkey"], "left_semi")
                 .groupBy(*KEYS, "hkey").agg(F.min("text").alias("long_value")))
         ranked = (ranked.join(full, KEYS + ["hkey"], "left")
                   .withColumn("value", F.coalesce("value", "long_value")))
@@ -244,8 +233,9 @@ def date_detection(values: DataFrame) -> DataFrame:
     return g.selectExpr(*KEYS, *_date_pick())
 
 
-# The number of md5 classes whose minima bound the sample
-# threshold in approximate mode, and the md5 prefix (hex digits) compared.
+# The least number of md5 classes whose minima bound the sample
+# threshold in approximate mode (there are four for each sample asked for, so
+# that enough classes hold a value), and the md5 prefix (hex digits) compared.
 MD5_CLASSES = 16
 MD5_PREFIX = 15
 
@@ -270,7 +260,7 @@ def approx_parts(items, catalog: DataFrame, n_samples: int = 3,
     ``num_unique_values`` is approximate.
     """
     c = cells(items, sample_rows, keep_long=True)
-    kinds = F.broadcast(catalog.select(*KEYS, (F.col("kind") == "string").alias("is_str")))
+    kinds = catalog.select(*KEYS, (F.col("kind") == "string").alias("is_str"))
     present = (F.col("lnum").isNotNull() | F.col("num").isNotNull() | F.col("ts").isNotNull()
                | F.col("text").isNotNull())
     # counts, HLL and date checks read native values; the rendered value and
@@ -285,8 +275,9 @@ def approx_parts(items, catalog: DataFrame, n_samples: int = 3,
     native = F.when(F.col("present"), F.struct(
         "lnum", "num", "ts", F.when(F.col("hkey").isNull(), F.col("text")).alias("t"), "hkey"))
     numv = F.coalesce(F.col("num"), F.col("lnum").cast("double"))
-    cls = F.pmod(F.col("hp"), F.lit(MD5_CLASSES))
-    mins = [F.min(F.when(cls == h, F.col("hp"))) for h in range(MD5_CLASSES)]
+    classes = max(MD5_CLASSES, 4 * n_samples)
+    cls = F.pmod(F.col("hp"), F.lit(classes))
+    mins = [F.min(F.when(cls == h, F.col("hp"))) for h in range(classes)]
     nb = "count_if(is_str AND ((text IS NOT NULL AND text <> '') OR hkey IS NOT NULL)) AS nb"
     g = (v.select(*KEYS, "num", "lnum", "ts", "text", "hkey", "hp", "is_str", "present",
                   *[F.expr(e) for e in _date_parsed("dv")])
@@ -310,7 +301,7 @@ def approx_parts(items, catalog: DataFrame, n_samples: int = 3,
         stats = stats.checkpoint(eager=True)
     # read twice (threshold, final join): the two reads share one exchange
     # (exchange reuse)
-    thr = F.broadcast(stats.select(*KEYS, "_t"))
+    thr = stats.select(*KEYS, "_t")
     cand = (v.select(*KEYS, "present", "value", "vhash", "hp").join(thr, KEYS)
             .filter(F.lit(n_samples > 0) & F.col("present")
                     & (F.col("_t").isNull() | (F.col("hp") <= F.col("_t"))))
@@ -333,7 +324,7 @@ def exact_near_threshold(items, catalog: DataFrame, stats: DataFrame,
     column), and their distinct values are counted with map-side partial
     aggregation."""
     ratio = F.col("num_unique_values") / F.col("n_rows")
-    near = (stats.join(F.broadcast(catalog.filter(F.col("kind") == "string").select(*KEYS)),
+    near = (stats.join(catalog.filter(F.col("kind") == "string").select(*KEYS),
                        KEYS, "left_semi")
             .filter((F.col("n_rows") > 0) & (F.abs(ratio - F.lit(CATEGORY_RATIO)) <= AUTO_RATIO_BAND)))
     keys = {(r[0], r[1]) for r in near.select(*KEYS).collect()}
@@ -367,7 +358,7 @@ def profile(tables, n_samples: int = 3, exact: bool = True,
         vc = value_counts(cell_df, materialize=materialize)
         stats = column_stats(vc)
         distinct = vc.filter(F.col("present")).select(*KEYS, "value", "hkey", "vhash", "n")
-        string_keys = F.broadcast(catalog.filter(F.col("kind") == "string").select(*KEYS))
+        string_keys = catalog.filter(F.col("kind") == "string").select(*KEYS)
         dates = date_detection(distinct.join(string_keys, KEYS, "left_semi"))
         out = catalog.join(stats, KEYS, "left").join(dates, KEYS, "left")
     elif mode == "auto":
@@ -408,11 +399,13 @@ def profile(tables, n_samples: int = 3, exact: bool = True,
     min_text = (F.when(kind == "number",
                        F.when(F.col("integral"), F.col("min_lnum").cast("string"))
                        .otherwise(F.col("min_num").cast("string")))
+                .when(F.col("spark_type") == "date", F.date_format("min_ts", "yyyy-MM-dd"))
                 .when(kind == "temporal", iso_text("min_ts"))
                 .when(F.col("date_format").isNotNull(), iso_text("date_min")))
     max_text = (F.when(kind == "number",
                        F.when(F.col("integral"), F.col("max_lnum").cast("string"))
                        .otherwise(F.col("max_num").cast("string")))
+                .when(F.col("spark_type") == "date", F.date_format("max_ts", "yyyy-MM-dd"))
                 .when(kind == "temporal", iso_text("max_ts"))
                 .when(F.col("date_format").isNotNull(), iso_text("date_max")))
     return out.select(
@@ -429,9 +422,3 @@ def profile(tables, n_samples: int = 3, exact: bool = True,
         (F.coalesce("n_non_null", F.lit(0)) < F.coalesce("n_rows", F.lit(0))).alias("observed_nullable"),
         F.lit("").alias("semantic_type"), F.lit("").alias("description"),
     )
-
-
-def profile_paths(spark, paths: Iterable[tuple[str, str]], **kw) -> DataFrame:
-    """Profile lake files given as (table_name, path) pairs."""
-    from lakesonar.sources.scan import read_file
-    return profile([(n, read_file(spark, p)) for n, p in paths], **kw)

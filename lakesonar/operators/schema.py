@@ -24,9 +24,9 @@ def columns(tables) -> DataFrame:
 
 def file_columns(spark: SparkSession, name: str, path: str, fmt: str | None = None) -> DataFrame:
     """Columns of a lake file (C2): Parquet from its footer, CSV with types
-    inferred from the first 100 rows (no pass over the whole file)."""
-    from lakesonar.sources.scan import CSV_INFER_ROWS, read_file
-    return columns([(name, read_file(spark, path, fmt=fmt, infer_rows=CSV_INFER_ROWS))])
+    inferred from all rows, as ``read_file`` reads them."""
+    from lakesonar.sources.scan import read_file
+    return columns([(name, read_file(spark, path, fmt=fmt))])
 
 
 def catalog_columns(spark: SparkSession, table: str) -> DataFrame:

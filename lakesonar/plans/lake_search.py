@@ -20,6 +20,9 @@ from lakesonar.operators.rerank import coverage_scores, pick_best, snippet
 from lakesonar.operators.retrieve import top_k
 from lakesonar.operators.summary import summarize
 
+# Fixed value: the answer to a question without a match.
+UNKNOWN = "UnknownTable"
+
 
 def build_summaries(tables, sample_rows: int | None = None, n_samples: int = 3,
                     exact=True, enrich: bool = True) -> DataFrame:
@@ -53,9 +56,10 @@ def index_records(summaries: DataFrame) -> DataFrame:
     from lakesonar.operators.index import record_id
     s = summaries.withColumn("id", record_id())
     emb = hashed_embedding(s, "id", "enriched_text")
+    status = [F.col("status")] if "status" in s.columns else []
     return (s.join(emb, "id", "left")
-            .select("id", "embedding", F.lit(1.0).alias("norm"), "enriched_text", "json_summary",
-                    F.lit(MODEL_ID).alias("model_id")))
+            .select("id", "embedding", F.when(F.col("embedding").isNotNull(), 1.0).alias("norm"),
+                    "enriched_text", "json_summary", *status, F.lit(MODEL_ID).alias("model_id")))
 
 
 def table_questions(tables) -> DataFrame:
@@ -80,7 +84,7 @@ def check_model(index: DataFrame, model_id: str = MODEL_ID) -> None:
     Reads the distinct model ids of the index (a tiny aggregate)."""
     if "model_id" not in index.columns:
         return
-    ids = {r[0] for r in index.select("model_id").distinct().limit(2).collect()} - {None}
+    ids = {r[0] for r in index.filter("model_id IS NOT NULL").select("model_id").distinct().collect()}
     if ids and ids != {model_id}:
         raise ValueError(f"index was built with {sorted(ids)}, questions use {model_id}")
 
@@ -103,8 +107,16 @@ def answer(questions: DataFrame, index: DataFrame, k: int = 3, metric: str = "co
     """(query_id, query, best_table_name, in_candidates, top_k) per question,
     reranked by 3-gram coverage (N9)."""
     hits = candidates(questions, index, k, metric, include_failed)
-    best = pick_best(coverage_scores(hits))
-    return (best.join(questions.select("query_id", "query"), "query_id")
+    return _for_all(questions, pick_best(coverage_scores(hits)))
+
+
+def _for_all(questions: DataFrame, answers: DataFrame) -> DataFrame:
+    """Every question with its answer; one that matches nothing (no token, empty
+    index) gets ``UnknownTable`` and no candidates."""
+    top = answers.schema["top_k"].dataType
+    return (questions.select("query_id", "query").join(answers.drop("query"), "query_id", "left")
+            .withColumns({"best_table_name": F.coalesce("best_table_name", F.lit(UNKNOWN)),
+                          "top_k": F.coalesce("top_k", F.array().cast(top))})
             .withColumn("in_candidates", F.exists("top_k", lambda h: h["id"] == F.col("best_table_name"))))
 
 
@@ -119,8 +131,7 @@ def answer_with_model(questions: DataFrame, index: DataFrame, model_fn, template
         F.struct("rank", "id", "distance"))).alias("top_k"))
     prompts = (join_snippets(hits).join(questions.select("query_id", "query"), "query_id")
                .withColumn("prompt", rerank_prompt(template)))
-    out = rerank_with_model(prompts, model_fn).join(tops, "query_id")
-    return out.withColumn("in_candidates", F.exists("top_k", lambda h: h["id"] == F.col("best_table_name")))
+    return _for_all(questions, rerank_with_model(prompts, model_fn).join(tops, "query_id"))
 
 
 def build_index(spark, tables, path: str | None = None, mode: str = "upsert",

@@ -242,30 +242,29 @@ def q_topk_ivf(spark, sf_dir):
 
 # --- rerank through a model (N2-N7) ------------------------------------------
 
-# A rerank template with the question and schema slots.
-RERANK_TEMPLATE = ("Pick the table that has all the columns needed for the query.\\n"
-                   "Query : {q}\\n\\nSchemas : {s}\\n\\nOnly provide the name of the best matching table.")
+# A rerank prompt with the question and candidate slots.
+RERANK_TEMPLATE = "Question: {q}\n\nCandidates:\n{s}\n\nName one candidate that answers it."
 
 
 def fake_reranker(prompts):
-    """Stand-in model: answers with the first candidate's table name; fails
-    on prompts whose query has an even number of words."""
+    """Stand-in model: fails on questions of even length, names a table that is
+    no candidate where 3 divides the length, else answers with the first candidate."""
     import re as _re
     out = []
     for p in prompts:
-        q = p.split("Query : ", 1)[1].split("\\n", 1)[0]
-        if len(q.split()) % 2 == 0:
+        q = p.split("Question: ", 1)[1].split("\n", 1)[0]
+        if len(q) % 2 == 0:
             raise RuntimeError("overloaded")
-        m = _re.search(r"Candidate #1 - Table Name: (\\S+)", p)
-        out.append(f"Best table: {m.group(1)}" if m else "no idea")
+        m = _re.search(r"Candidate #1 - Table Name: (\S+)", p)
+        out.append("Best table: elsewhere" if len(q) % 3 == 0 else f"Best table: {m.group(1)}")
     return out
 
 
 def _rerank_model_oracle():
     base = _search_oracle("base")
     return base + """
-SELECT c.query_id, CASE WHEN len(string_split(c.query, ' ')) % 2 = 0 THEN 'UnknownTable' ELSE c.id END AS best_table_name,
-       len(string_split(c.query, ' ')) % 2 <> 0 AS in_candidates
+SELECT c.query_id, CASE WHEN length(c.query) % 2 = 0 THEN 'UnknownTable' WHEN length(c.query) % 3 = 0 THEN 'elsewhere'
+       ELSE c.id END AS best_table_name, length(c.query) % 2 <> 0 AND length(c.query) % 3 <> 0 AS in_candidates
 FROM cov c WHERE c.rank = 1"""
 
 

@@ -40,11 +40,14 @@ def shared_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and materialised tables.
 
     On a cluster this is ``spark.checkpoint.dir`` as configured for the
-    session. Only when it is unset (local runs, tests) do we create one.
+    session; without it a cluster session is an error, and only a local
+    session (one machine) gets a folder of its own.
     """
     sc = spark.sparkContext
     d = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not sc.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         d = tempfile.mkdtemp(prefix="lakesonar-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     if sc.getCheckpointDir() is None:
@@ -65,25 +68,6 @@ def table_exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(hpath))
 
 
-def local_path(path: str) -> str:
-    """Strip a ``file:`` scheme for local-only helpers."""
-    return path[5:] if path.startswith("file:") else os.fspath(path)
-
-
-def spread(df, factor: int = 1):
-    """Round-robin a DataFrame whose scan has fewer partitions than the cluster
-    has cores (a small table, or one unsplittable file), so CPU-heavy per-row
-    work (cell explode, text parsing) is not left to one task. Tables that
-    already come in enough partitions — every large table — are not touched,
-    so no raw data of a big table is shuffled for this. ``factor`` asks for
-    more tasks than cores where row costs vary a lot (texts).
-    """
-    target = factor * df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df
-
-
 _SHIPPED: set[str] = set()
 
 

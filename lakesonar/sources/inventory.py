@@ -84,13 +84,15 @@ def parse_s3_path(path: Column, strict: bool = False) -> Column:
 def pick_default_file(inv: DataFrame, key: str | None = None) -> DataFrame:
     """The given key when present, else the first valid file by path.
 
-    Returns one row, or raises ``ValueError`` when no valid file exists.
+    Returns one row, or raises ``ValueError`` when there is none.
     """
     valid = inv.filter(is_valid_file(F.col("path")))
     if key is not None:
         chosen = valid.filter((F.col("path") == key) | (F.col("file_name") == key))
     else:
         chosen = valid.orderBy("path").limit(1)
+    if chosen.isEmpty():
+        raise ValueError(f"no CSV or Parquet file{f' {key}' if key else ''} in the lake")
     return chosen
 
 
@@ -98,14 +100,18 @@ def ensure_supported(fmt: str) -> str:
     """Reject other formats."""
     f = (fmt or "").lower()
     if f not in VALID_EXTENSIONS:
-        raise ValueError("Unsupported file type. Only CSV and Parquet files are supported.")
+        raise ValueError(f"cannot read {fmt!r} files: a lake holds {' and '.join(sorted(VALID_EXTENSIONS))}")
     return f
 
 
 def list_tables(spark: SparkSession, database: str | None = None) -> DataFrame:
-    """Table names of a catalog schema, all of them (S1, no page cap)."""
-    sql = f"SHOW TABLES IN {database}" if database else "SHOW TABLES"
-    return spark.sql(sql).select(
+    """Table names of a catalog schema, all of them (S1, no page cap). Without a
+    schema the session's temporary views are listed too; they belong to none."""
+    quoted = ".".join("`" + p.replace("`", "``") + "`" for p in database.split(".")) if database else ""
+    found = spark.sql(f"SHOW TABLES IN {quoted}" if database else "SHOW TABLES")
+    if database:
+        found = found.filter(~F.col("isTemporary"))
+    return found.select(
         F.col("namespace").alias("database"),
         F.col("tableName").alias("table_name"),
         F.col("isTemporary").alias("is_temporary"))

@@ -7,39 +7,16 @@ from pyspark.sql import functions as F
 
 from lakesonar.sources.inventory import ensure_supported
 
-# How many rows the CSV reader looks at to infer types when
-# schema inference is asked for a sample only.
-CSV_INFER_ROWS = 100
-
-
-def csv_head_schema(spark: SparkSession, path: str, n_rows: int = CSV_INFER_ROWS):
-    """CSV schema inferred from the header and the first ``n_rows`` lines only
-    (the reference's 100-row inference, C2): at most ``n_rows + 1`` lines
-    reach the driver, and no pass over the whole file is made. ``None`` for
-    an empty file. Records with quoted line breaks are not split correctly
-    by this line-based head."""
-    head = [r[0] for r in spark.read.text(path).limit(n_rows + 1).collect()]   # bounded
-    if not head:
-        return None
-    return (spark.read.option("header", "true").option("inferSchema", "true")
-            .csv(spark.sparkContext.parallelize(head, 1)).schema)
-
-
 def read_file(spark: SparkSession, path: str, fmt: str | None = None,
-              infer_ratio: float | None = None, infer_rows: int | None = None) -> DataFrame:
+              infer_ratio: float | None = None) -> DataFrame:
     """Read one lake file (or folder of one format) as a DataFrame.
 
-    CSV types are inferred from the whole file by default (right for whole
-    table profiles); ``infer_rows=n`` infers them from the first ``n`` rows
-    (listing columns), ``infer_ratio`` from a fraction of the rows.
+    CSV types are inferred from the whole file, or with ``infer_ratio`` from a
+    fraction of the rows.
     """
     f = ensure_supported(fmt or path.rsplit(".", 1)[-1])
     if f == "parquet":
         return spark.read.parquet(path)
-    if infer_rows is not None:
-        schema = csv_head_schema(spark, path, infer_rows)
-        if schema is not None:
-            return spark.read.option("header", "true").schema(schema).csv(path)
     reader = spark.read.option("header", "true").option("inferSchema", "true")
     if infer_ratio is not None:
         reader = reader.option("samplingRatio", str(infer_ratio))

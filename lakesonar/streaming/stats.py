@@ -50,7 +50,7 @@ def merge_stats(partials: DataFrame) -> DataFrame:
     tot = partials.groupBy(*KEYS).agg(
         F.sum("n_rows").alias("n_rows"), F.sum("n").alias("n"),
         (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("mean"))
-    joined = partials.join(F.broadcast(tot.select(*KEYS, F.col("mean").alias("gmean"))), KEYS)
+    joined = partials.join(tot.select(*KEYS, F.col("mean").alias("gmean")), KEYS)
     m = joined.groupBy(*KEYS).agg(
         (F.sum("m2") + F.sum(F.col("n") * (F.col("mean") - F.col("gmean")) ** 2)).alias("m2"),
         F.min("min_num").alias("min_num"), F.max("max_num").alias("max_num"),

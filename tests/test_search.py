@@ -190,3 +190,19 @@ def test_topk_skips_rows_without_vectors(spark):
     for budget in (1 << 20, 8):
         got = sorted((r["query_id"], r["rank"], r["id"]) for r in top_k(qs, idx, k=3, max_broadcast_bytes=budget).collect())
         assert got == [(1, 1, "a"), (1, 2, "c")]
+
+
+def test_null_summary_keeps_its_record(spark, tmp_path):
+    from lakesonar.operators.index import upsert
+    rec = spark.createDataFrame([("a", [1.0, 0.0], None, "failed")], "id string, embedding array<double>, json_summary string, status string")
+    row = upsert(spark, str(tmp_path / "idx"), rec).first()
+    assert row["embedding"] == [1.0, 0.0] and row["status"] == "failed" and row["indexed_at"] is not None
+
+
+def test_every_question_is_answered(spark):
+    from lakesonar.plans.lake_search import answer, build_index
+    idx = build_index(spark, {"region": spark.createDataFrame([(1, "x")], "r_key int, r_name string")})
+    qs = spark.createDataFrame([("q1", "r name"), ("q2", "???"), ("q3", "")], "query_id string, query string")
+    got = {r["query_id"]: r for r in answer(qs, idx).collect()}
+    assert got["q1"]["best_table_name"] == "region" and got["q1"]["in_candidates"]
+    assert all(got[q]["best_table_name"] == "UnknownTable" and got[q]["top_k"] == [] for q in ("q2", "q3"))

@@ -56,19 +56,26 @@ def test_partials_by_part_column_equal_separate_parts(spark):
     assert one.select("ordinal").distinct().count() == len(li.columns)   # part column not profiled
 
 
-def test_csv_columns_from_head_only(spark):
-    """C2 infers CSV types from the first 100 rows, as the reference does; a
-    whole-file read infers from everything."""
+def test_csv_columns_infer_from_all_rows(spark):
+    """C2 types a CSV by all its rows, as a whole-file read does."""
     from lakesonar.operators.schema import file_columns
     from lakesonar.session import new_table_path
     from lakesonar.sources.scan import read_file
     rows = [(i, float(i) / 2, f"n{i}") for i in range(150)] + [(150, 1.0, "x")]
     df = spark.createDataFrame(rows, "a long, b double, c string").withColumn(
         "a", F.when(F.col("a") == 150, F.lit("late text")).otherwise(F.col("a").cast("string")))
-    path = new_table_path(spark, "t-csv-head")
-    df.repartition(1).write.option("header", "true").csv(path)    # 151-row fixture: one file
-    head = {r["column_name"]: r["type_name"] for r in file_columns(spark, "t", path, fmt="csv").collect()}
-    full = {f.name: f.dataType.simpleString() for f in read_file(spark, path, fmt="csv").schema.fields}
-    assert head["b"] == "double" and head["c"] == "string"
-    assert full["a"] == "string"
-    assert head["a"] == "int"                  # the late text is beyond the first 100 rows
+    path = new_table_path(spark, "t-csv-late")
+    df.repartition(1).write.option("header", "true").csv(path)
+    listed = {r["column_name"]: r["type_name"] for r in file_columns(spark, "t", path, fmt="csv").collect()}
+    assert listed == {f.name: f.dataType.simpleString() for f in read_file(spark, path, fmt="csv").schema.fields}
+    assert listed == {"a": "string", "b": "double", "c": "string"}
+
+
+def test_default_file_of_an_empty_lake(spark, tmp_path):
+    import pytest
+    from lakesonar.sources.inventory import inventory, list_tables, pick_default_file
+    (tmp_path / "notes.txt").write_text("x")
+    with pytest.raises(ValueError):
+        pick_default_file(inventory(spark, str(tmp_path)))
+    spark.range(1).createOrReplaceTempView("my_temp")
+    assert "my_temp" not in {r["table_name"] for r in list_tables(spark, "default").collect()}
