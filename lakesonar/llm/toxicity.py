@@ -41,8 +41,9 @@ def places(text: str | None) -> np.ndarray:
     terms = set(_TERM.findall(text.lower())) if text else set()
     if len(_MEMO) > 300_000:
         _MEMO.clear()
-    for t in terms - _MEMO.keys():
-        _MEMO[t] = zlib.crc32(t.encode()) & (2 ** BITS - 1)
+    for t in terms:
+        if t not in _MEMO:
+            _MEMO[t] = zlib.crc32(t.encode()) & (2 ** BITS - 1)
     return np.unique(np.fromiter(map(_MEMO.__getitem__, terms), np.int32, len(terms)))
 
 
@@ -74,7 +75,7 @@ def likelihood_ratio(pos: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: int) -
     return 2 * g
 
 
-def fit(labels: list[int], rows: list[np.ndarray], factors: int = 8, epochs: int = 300, rate: float = 0.05,
+def fit(labels: list[int], rows: list[np.ndarray], factors: int = 8, epochs: int = 100, rate: float = 0.1,
         l2: float = 1e-3, l2_pairs: float = 1e-2, least_ratio: float = 9.0, least_rows: int = 2, max_features: int = 8192) -> Machine:
     y = np.array(labels, float)
     n_pos, n_neg = int(y.sum()), int(len(y) - y.sum())
