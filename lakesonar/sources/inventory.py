@@ -7,6 +7,8 @@ listing is distributed by Spark's parallel partition discovery.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,9 +39,20 @@ def file_format(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))
 
 
-def table_name_of(path: Column) -> Column:
-    """File name without its extension: the table name of a lake file."""
-    return F.regexp_replace(file_name(path), r"\.[A-Za-z0-9]+$", "")
+def below_root(path: Column, root: str) -> Column:
+    """The part of a path below the lake's root folder."""
+    bare = re.sub(r"^[a-z0-9+.-]+:/*", "/", root).rstrip("/") + "/"
+    return F.substring(path, F.instr(path, bare) + F.lit(len(bare)), F.length(path))
+
+
+def lake_table(path: Column, root: str) -> Column:
+    """The table a file belongs to: the first folder below the root (``nation/``,
+    ``nation.parquet/``, ``nation/key=1/``), the root itself if that is a partition
+    folder, or the file's own name for a file right below the root."""
+    below = below_root(path, root)
+    first = F.regexp_extract(below, r"^([^/]*)/", 1)
+    stem = F.regexp_replace(F.when(first == "", below).otherwise(first), r"(?i)\.(csv|parquet)$", "")
+    return F.when(first.contains("="), F.lit(root.rstrip("/").rsplit("/", 1)[-1])).otherwise(stem)
 
 
 def is_valid_file(path: Column) -> Column:
@@ -53,7 +66,7 @@ def inventory(spark: SparkSession, root: str, only_valid: bool = True) -> DataFr
     if only_valid:
         files = files.filter(is_valid_file(F.col("path")))
     return files.select(
-        table_name_of(F.col("path")).alias("table_name"),
+        lake_table(F.col("path"), root).alias("table_name"),
         F.col("path"),
         file_name(F.col("path")).alias("file_name"),
         file_format(F.col("path")).alias("format"),

@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakesonar.sources.inventory import VALID_FILE_PATTERN
+from lakesonar.sources.inventory import VALID_FILE_PATTERN, below_root, file_format, lake_table
+from lakesonar.sources.scan import read_file
 
 FILE_SCHEMA = T.StructType([
     T.StructField("path", T.StringType()),
@@ -23,11 +24,6 @@ FILE_SCHEMA = T.StructType([
 ])
 
 
-def table_of_file(path_col) -> F.Column:
-    """A table is the folder holding its part files (``<root>/<table>/part-*``)."""
-    return F.regexp_extract(path_col, r"([^/]+)/[^/]+$", 1)
-
-
 def start_reindex(spark: SparkSession, lake_root: str, index_path: str, checkpoint: str,
                   available_now: bool = True, processing_time: str | None = None):
     """Start the stream; returns the ``StreamingQuery``."""
@@ -41,13 +37,19 @@ def start_reindex(spark: SparkSession, lake_root: str, index_path: str, checkpoi
              .filter(F.col("path").rlike(VALID_FILE_PATTERN)))
 
     def process(batch: DataFrame, epoch_id: int):
-        new = (batch.select(table_of_file(F.col("path")).alias("table_name"), "path", "modified_at")
-               .groupBy("table_name").agg(F.max("modified_at").alias("modified_at")))
-        # table names of one micro-batch: metadata, bounded by the files it lists
-        names = [r["table_name"] for r in new.select("table_name").collect()]
-        if not names:
+        path = F.col("path")
+        head = F.regexp_extract(below_root(path, lake_root), r"^([^/]*)", 1)
+        new = (batch.select(lake_table(path, lake_root).alias("table_name"), "modified_at",
+                            F.when(head.contains("="), F.lit("")).otherwise(head).alias("head"),
+                            file_format(path).alias("format"))
+               .groupBy("table_name").agg(F.max("modified_at").alias("modified_at"),
+                                          F.min("head").alias("head"), F.min("format").alias("format")))
+        # tables of one micro-batch: metadata, bounded by the files it lists
+        found = new.select("table_name", "head", "format").collect()
+        if not found:
             return
-        tabs = {n: spark.read.parquet(f"{lake_root.rstrip('/')}/{n}") for n in names}
+        tabs = {r["table_name"]: read_file(spark, f"{lake_root.rstrip('/')}/{r['head']}", fmt=r["format"])
+                for r in found}
         recs = index_records(build_summaries(tabs)).join(
             new.select(F.col("table_name").alias("id"), F.col("modified_at").alias("source_modified_at")),
             "id", "left")

@@ -79,3 +79,21 @@ def test_default_file_of_an_empty_lake(spark, tmp_path):
         pick_default_file(inventory(spark, str(tmp_path)))
     spark.range(1).createOrReplaceTempView("my_temp")
     assert "my_temp" not in {r["table_name"] for r in list_tables(spark, "default").collect()}
+
+
+def test_stream_over_flat_csv_and_partitioned_tables(spark, tmp_path):
+    from lakesonar.operators.index import open_index
+    from lakesonar.sources.inventory import inventory
+    from lakesonar.streaming.reindex import start_reindex
+    root = tmp_path / "lake"
+    nation = spark.read.parquet(f"{SF}/nation.parquet")
+    nation.coalesce(1).write.partitionBy("n_regionkey").parquet(f"{root}/nation")
+    region = spark.read.parquet(f"{SF}/region.parquet").toPandas()
+    region.to_parquet(f"{root}/region.parquet")
+    region.to_csv(f"{root}/regions.csv", index=False)
+    names = {"nation", "region", "regions"}
+    assert {r["table_name"] for r in inventory(spark, str(root)).collect()} == names
+    start_reindex(spark, str(root), str(tmp_path / "idx"), str(tmp_path / "ckpt")).awaitTermination()
+    got = {r["id"]: r for r in open_index(spark, str(tmp_path / "idx")).collect()}
+    assert set(got) == names and all(r["source_modified_at"] is not None for r in got.values())
+    assert "n_regionkey" in got["nation"]["json_summary"] and "r_name" in got["regions"]["json_summary"]
