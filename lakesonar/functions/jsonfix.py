@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,3 +32,17 @@ def repair(text: Column) -> Column:
 def try_parse(s: Column) -> Column:
     """Variant of the repaired text, NULL when it is not valid JSON."""
     return F.try_parse_json(s)
+
+
+def indented(js: Column) -> Column:
+    """A JSON text indented by two spaces, its keys in their order; NULL if it does
+    not parse. For the few candidates of a question, one Arrow batch at a time."""
+    @F.pandas_udf("string")
+    def indent(texts: pd.Series) -> pd.Series:
+        def one(t):
+            try:
+                return json.dumps(json.loads(t), indent=2, ensure_ascii=False) if t else None
+            except ValueError:
+                return None
+        return texts.map(one)
+    return indent(js)

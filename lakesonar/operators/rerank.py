@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lakesonar.functions.jsonfix import indented
 from lakesonar.functions.text import best_or_unknown
 
 GRAMS_SQL = ("array_distinct(flatten(transform(filter(split(lower({t}), '[^a-z0-9]+'), w -> w <> ''), "
@@ -25,7 +26,7 @@ def snippet(rank: str = "rank", json_col: str = "json_summary",
     v = F.try_parse_json(F.when(F.regexp_replace(js, r"(?U)^\s+|\s+$", "") != "", js))
     is_obj = v.isNotNull() & (F.schema_of_variant(v).startswith("OBJECT"))
     name = F.coalesce(F.get_json_object(js, "$.name"), F.concat(F.lit("Candidate_"), F.col(rank).cast("string")))
-    pretty = F.to_json(v)
+    pretty = indented(F.when(is_obj, js))
     head = F.concat(F.lit("Candidate #"), F.col(rank).cast("string"), F.lit(" - "))
     return F.when(is_obj, F.concat(head, F.lit("Table Name: "), name, F.lit("\n"), F.coalesce(pretty, js))) \
         .otherwise(F.concat(head, F.coalesce(F.col(text_col), F.lit(""))))

@@ -44,7 +44,7 @@ def properties(p: DataFrame) -> DataFrame:
     mx = (F.when(is_num & F.col("integral"), F.expr("CAST(CAST(max AS BIGINT) AS VARIANT)"))
           .when(is_num, F.expr("CAST(max_json AS VARIANT)"))
           .when(is_date, F.expr("CAST(max AS VARIANT)")))
-    samples = F.when(is_num, F.expr("transform(samples, s -> try_parse_json(s))")).otherwise(
+    samples = F.when(is_num | (F.col("dtype") == "boolean"), F.expr("transform(samples, s -> try_parse_json(s))")).otherwise(
         F.expr("transform(samples, s -> CAST(s AS VARIANT))"))
     props = F.struct(F.col("dtype"), std.alias("std"), mn.alias("min"), mx.alias("max"),
                      samples.alias("samples"), F.col("num_unique_values"),

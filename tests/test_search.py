@@ -206,3 +206,19 @@ def test_every_question_is_answered(spark):
     got = {r["query_id"]: r for r in answer(qs, idx).collect()}
     assert got["q1"]["best_table_name"] == "region" and got["q1"]["in_candidates"]
     assert all(got[q]["best_table_name"] == "UnknownTable" and got[q]["top_k"] == [] for q in ("q2", "q3"))
+
+
+def test_snippet_is_indented_in_key_order(spark):
+    df = spark.createDataFrame([(1, '{"name": "t", "fields": [{"column": "b", "a": 1}]}', "x")],
+                               "rank int, json_summary string, enriched_text string")
+    text = df.select(snippet().alias("s")).first()["s"]
+    assert text == ('Candidate #1 - Table Name: t\n{\n  "name": "t",\n  "fields": [\n    {\n      "column": "b",\n'
+                    '      "a": 1\n    }\n  ]\n}')
+
+
+def test_boolean_samples_are_json_booleans(spark):
+    import json
+    from lakesonar.plans.lake_search import build_summaries
+    df = spark.createDataFrame([(True,), (False,), (None,)], "b boolean")
+    js = json.loads(build_summaries({"t": df}).first()["json_summary"])
+    assert sorted(js["fields"][0]["properties"]["samples"]) == [False, True]
