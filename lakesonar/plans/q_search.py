@@ -10,7 +10,7 @@ from lakesonar.operators.rerank import coverage_scores, snippet
 from lakesonar.operators.retrieve import top_k
 from lakesonar.plans.lake_search import (answer, build_index, build_summaries, index_records,
                                           table_questions)
-from lakesonar.plans.registry import LAKE_TABLES, query, read_lake
+from lakesonar.plans.registry import LAKE_TABLES, query, read_lake, read_table
 from lakesonar.session import new_table_path
 from lakesonar.sources.inventory import inventory
 
@@ -88,7 +88,7 @@ def q_topk_documents(spark, sf_dir):
 # --- index maintenance (X1-X4, X6, X7) ---------------------------------------
 
 def _doc_batches(spark, sf_dir):
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    d = read_table(spark, sf_dir, "documents")
     rec = d.select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("enriched_text"),
                    F.to_json(F.struct(F.col("doc_id").cast("string").alias("name"), "source", "lang"))
                    .alias("json_summary"), "doc_id")

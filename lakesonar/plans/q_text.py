@@ -12,7 +12,7 @@ from lakesonar.operators.enrich import JSON_SLOT, call_model, offline_enrich
 from lakesonar.operators.profile import profile
 from lakesonar.operators.schema import columns, schema_text
 from lakesonar.plans.q_profile import all_schemas, duck_dtype, duck_source, lake_with_dates
-from lakesonar.plans.registry import LAKE_TABLES, query, read_lake, union_sql
+from lakesonar.plans.registry import LAKE_TABLES, query, read_lake, union_sql, read_table
 
 # --- JSON repair (R1-R4) ----------------------------------------------------
 
@@ -186,7 +186,7 @@ SELECT id AS doc_id, bucket::INTEGER AS bucket, tf, round(tf / sqrt(sum(tf * tf)
 
 @query("hash_embedding", HASH_TERMS_DUCK)
 def q_hash_embedding(spark, sf_dir):
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    d = read_table(spark, sf_dir, "documents")
     t = hashed_terms(d, "doc_id", "text")
     return t.select(F.col("id").alias("doc_id"), F.col("bucket").cast("int").alias("bucket"), "tf",
                     F.round("weight", 6).alias("weight"))

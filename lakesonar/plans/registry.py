@@ -60,19 +60,30 @@ def query(name: str, oracle: str | None = None):
 
 
 _READS: dict[tuple, DataFrame] = {}
+# A lake table of this many bytes in all may come as one file that Spark cannot
+# split; it is dealt round-robin, which moves at most the upper bound. Larger
+# tables are never moved: their splits follow the file settings.
+SMALL_TABLE_BYTES = (1 << 20, 128 << 20)
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One of the driver's tables. Resolved handles (schema, file listing) are
+    reused within one application; data is read when a query runs."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _READS:
+        path = f"{sf_dir}/{name}.parquet"
+        df = spark.read.parquet(path)
+        sc = spark.sparkContext
+        hpath = sc._jvm.org.apache.hadoop.fs.Path(path)
+        size = hpath.getFileSystem(sc._jsc.hadoopConfiguration()).getContentSummary(hpath).getLength()
+        low, high = SMALL_TABLE_BYTES
+        _READS[key] = df.repartition(sc.defaultParallelism) if low <= size < high else df
+    return _READS[key]
 
 
 def read_lake(spark: SparkSession, sf_dir: str, names=None) -> dict[str, DataFrame]:
-    """The driver's tables as DataFrames. Resolved handles (schema, file
-    listing) are reused within one application; data is read when a query runs."""
-    names = names or list(LAKE_TABLES)
-    out = {}
-    for n in names:
-        key = (spark.sparkContext.applicationId, sf_dir, n)
-        if key not in _READS:
-            _READS[key] = spark.read.parquet(f"{sf_dir}/{n}.parquet")
-        out[n] = _READS[key]
-    return out
+    """The driver's tables as DataFrames."""
+    return {n: read_table(spark, sf_dir, n) for n in names or list(LAKE_TABLES)}
 
 
 def union_sql(parts: list[str]) -> str:
