@@ -12,6 +12,8 @@ The items are a stated query set. They are dealt by hash into automata of about
 ``automaton_words`` words each, so that what is broadcast has a bound; a benchmark beyond one
 automaton is matched by several passes over the documents whose spans are
 merged. Documents are read whole in every pass and never shuffled with one automaton.
+Cleaning runs all automata over a text in one pass: coverage and cuts are judged on
+the union of their hits.
 
 Defined results: null and empty texts have no words and no hits; items without
 words match nothing; rows of one item id count as one item, a null id as the
@@ -207,14 +209,17 @@ def match(docs: DataFrame, bench: DataFrame, window: int = 10, automaton_words:
         .select(key, "n_words", "spans", "items"))
 
 
-def clean_text(text: str, automaton: Automaton, min_span: int, max_coverage: float) -> tuple[str | None, bool]:
+def clean_text(text: str, models: list[Automaton], min_span: int, max_coverage: float) -> tuple[str | None, bool]:
     """The text without hit spans of ``min_span`` words or more (None: unchanged), and
-    whether hits cover more than ``max_coverage`` of its words. What a removal
-    joins is matched again until nothing is hit."""
+    whether hits cover more than ``max_coverage`` of its words. Hits are those of all
+    ``models`` together. What a removal joins is matched again until nothing is hit."""
     changed = False
     while True:
         ws = words(text)
-        hit, _ = automaton.match(ws)
+        hit = None
+        for model in models:
+            one, _ = model.match(ws)
+            hit = one if hit is None else hit if one is None else hit | one
         cut = [] if hit is None else [s for s in spans(hit) if s[1] - s[0] >= min_span]
         if not cut:
             return (text if changed else None), False
@@ -229,11 +234,12 @@ def clean_text(text: str, automaton: Automaton, min_span: int, max_coverage: flo
         changed = True
 
 
-def clean_column(text: Column, automaton, min_span: int, max_coverage: float) -> Column:
-    """struct(text, dropped) as :func:`clean_text` says."""
+def clean_column(text: Column, models: list, min_span: int, max_coverage: float) -> Column:
+    """struct(text, dropped) as :func:`clean_text` says, over broadcast automata."""
     @F.pandas_udf("text string, dropped boolean")
     def cleaned(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([clean_text(t, automaton.value, min_span, max_coverage) if t else (None, False)
+        every = [m.value for m in models]
+        return pd.DataFrame([clean_text(t, every, min_span, max_coverage) if t else (None, False)
                              for t in texts], columns=["text", "dropped"])
     return cleaned(text)
 
@@ -243,14 +249,13 @@ def decontaminate(docs: DataFrame, bench: DataFrame, window: int = 10, min_span:
     """``docs`` without benchmark passages: spans of at least ``min_span`` hit words are
     removed from texts (a line feed stands for each), documents with more than
     ``max_coverage`` of their words hit are dropped, all others come back as they
-    are. ``n_chars``, if there, follows the text. Map-only."""
-    out = docs
+    are. ``n_chars``, if there, follows the text. Map-only; the number of automata does
+    not change the result."""
     (m,) = fresh(docs, "_clean")
-    for automaton in automata(bench, window, automaton_words):
-        out = out.withColumn(m, clean_column(F.col("text"), automaton, min_span, max_coverage)).filter(~F.col(f"{m}.dropped"))
-        new = {"text": F.coalesce(F.col(f"{m}.text"), F.col("text"))}
-        if "n_chars" in docs.columns:
-            new["n_chars"] = F.when(F.col(f"{m}.text").isNotNull(), F.length(f"{m}.text")).otherwise(
-                F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
-        out = out.withColumns(new).select(*docs.columns)
-    return out
+    models = automata(bench, window, automaton_words)
+    out = docs.withColumn(m, clean_column(F.col("text"), models, min_span, max_coverage)).filter(~F.col(f"{m}.dropped"))
+    new = {"text": F.coalesce(F.col(f"{m}.text"), F.col("text"))}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col(f"{m}.text").isNotNull(), F.length(f"{m}.text")).otherwise(
+            F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+    return out.withColumns(new).select(*docs.columns)

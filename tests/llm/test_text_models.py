@@ -132,6 +132,25 @@ def test_decontaminate_cuts_and_drops(spark):
     assert "item" not in got[2].text and got[2].text.count("before") == 20 and got[2].n_chars == len(got[2].text)
 
 
+def test_decontaminate_same_with_many_automata(spark):
+    def seq(name, n):
+        return [f"{name}{i}" for i in range(n)]
+    items = [seq(f"q{j}x", 15) for j in range(10)]
+    items += [items[j][7:] + seq(f"o{j}x", 7) for j in range(5)]  # begin with the last 8 words of another
+    clean, docs = seq("clean", 60), []
+    for j in range(10):
+        k = (j + 3) % 10
+        docs.append(clean[:10] + items[j] + clean[10:20] + items[k])  # 30 of 50 words: dropped
+        docs.append(clean[:40] + items[j][:7] + items[k] + items[j][7:] + clean[40:])  # joined by a cut
+    docs += [clean[:40] + items[j] + items[10 + j][8:] + clean[40:] for j in range(5)]  # overlap
+    b = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    d = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "doc_id long, text string")
+    assert len(decontaminate.automata(b, 10, 60)) > 3
+    one, many = ({r.doc_id: r.text for r in decontaminate.decontaminate(d, b, automaton_words=n).collect()} for n in (10 ** 6, 60))
+    assert many == one and set(one) == {*range(1, 20, 2), *range(20, 25)}
+    assert all(t.split() == clean for t in one.values())
+
+
 # 8 ---
 
 def brute_repeats(rows):
