@@ -231,7 +231,7 @@ def candidate_runs(keyed: DataFrame, plane: np.ndarray) -> DataFrame:
 
 def removed_windows(docs: DataFrame, max_width: int = 1 << 28) -> DataFrame:
     """(k1, k2, spans): for rows of ``docs`` (k1, k2, id, text) the starts of removed windows
-    as spans [begin, end)."""
+    as spans [begin, end), each once however many rows share the key."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     plane = sketch(docs.select("text"), sketch_width(int(total), max_width))
     runs = write_table(candidate_runs(docs, plane), "window-runs")
@@ -249,7 +249,7 @@ def removed_windows(docs: DataFrame, max_width: int = 1 << 28) -> DataFrame:
         F.transform("offs", lambda o: F.array(start + o, start + o + 1)))
     return (runs.select("d1", "d2", "id", "k1", "k2", "start", F.size("hashes").alias("n")).join(least, ["d1", "d2"])
             .withColumn("span", span).filter(F.size("span") > 0)
-            .groupBy("k1", "k2").agg(F.flatten(F.collect_list("span")).alias("spans")))
+            .groupBy("k1", "k2").agg(F.flatten(F.collect_set("span")).alias("spans")))  # copies of a row share a key
 
 
 def kept_words(text: str | None, spans) -> tuple[int, int, bytes]:

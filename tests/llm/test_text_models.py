@@ -199,6 +199,16 @@ def test_repeats_equal_brute_force(spark, full, monkeypatch):
     assert substrings.remove_repeats(df.limit(0)).count() == 0
 
 
+def test_spans_do_not_grow_with_copies(spark):
+    text = " ".join(f"w{i}" for i in range(200))
+
+    def sizes(copies):
+        rows = [(1, 0, 1, text)] + [(2, 0, 2, text)] * copies
+        df = spark.createDataFrame(rows, "k1 long, k2 long, id long, text string")
+        return [(r.k1, sorted(map(tuple, r.spans))) for r in substrings.removed_windows(df).collect()]
+    assert sizes(40) == sizes(1) and len(sizes(1)) == 1
+
+
 def test_sketch_never_underestimates():
     rng = np.random.default_rng(1)
     parts = [rng.integers(0, 2 ** 63, 5000).astype(np.uint64) for _ in range(3)]
