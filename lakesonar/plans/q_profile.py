@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lakesonar.operators.profile import profile
 from lakesonar.plans.registry import (INTEGRAL_DUCK, LAKE_TABLES, NUMERIC_DUCK, query,
                                       read_lake, union_sql)
 
-NUMERIC_TABLES = ["lineitem", "orders", "part"]
-
 # Derived date strings: (column, Spark pattern, DuckDB strftime pattern).
 DATE_STRING_COLUMNS = [
     ("d_iso", "yyyy-MM-dd", "%Y-%m-%d"),
@@ -112,8 +110,8 @@ def duck_dtype(t: str, c: str, ty: str) -> str:
 
 def _numeric_oracle():
     parts = []
-    for t in NUMERIC_TABLES:
-        for c, ty in LAKE_TABLES[t]:
+    for t, cols in LAKE_TABLES.items():
+        for c, ty in cols:
             if ty in NUMERIC_DUCK:
                 parts.append(
                     f"SELECT '{t}' AS table_name, '{c}' AS column_name, count(*) AS n_rows, "
@@ -124,7 +122,7 @@ def _numeric_oracle():
 
 @query("profile_numeric", _numeric_oracle())
 def q_profile_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = profile(read_lake(spark, sf_dir, NUMERIC_TABLES))
+    p = profile(read_lake(spark, sf_dir))
     return p.filter(F.col("dtype") == "number").select(
         "table_name", "column_name", "n_rows", "n_non_null",
         F.round("std", 4).alias("std"), F.round("min_num", 6).alias("min_num"),
@@ -135,8 +133,8 @@ def q_profile_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _numeric_json_oracle():
     parts = []
-    for t in ["part", "customer"]:
-        for c, ty in LAKE_TABLES[t]:
+    for t, cols in LAKE_TABLES.items():
+        for c, ty in cols:
             if ty in NUMERIC_DUCK:
                 if ty in INTEGRAL_DUCK:
                     std = (f"CASE WHEN count({c}) = count(*) THEN trunc(stddev_samp({c}::DOUBLE)) "
@@ -153,7 +151,7 @@ def _numeric_json_oracle():
 @query("profile_numeric_json", _numeric_json_oracle())
 def q_profile_numeric_json(spark, sf_dir):
     from lakesonar.operators.summary import json_number_fields
-    p = profile(read_lake(spark, sf_dir, ["part", "customer"]))
+    p = profile(read_lake(spark, sf_dir))
     j = json_number_fields(p.filter(F.col("dtype") == "number"))
     return j.select("table_name", "column_name",
                     F.round("std_json", 4).alias("std_json"),
@@ -206,7 +204,7 @@ def q_profile_distinct(spark, sf_dir):
 
 @query("profile_distinct_approx")
 def q_profile_distinct_approx(spark, sf_dir):
-    p = profile(read_lake(spark, sf_dir, ["lineitem"]), exact=False)
+    p = profile(read_lake(spark, sf_dir), exact=False)
     return p.select("table_name", "column_name", "n_rows", "num_unique_values")
 
 
@@ -296,24 +294,52 @@ def _lake_oracle():
     parts = []
     for t, cols in LAKE_TABLES.items():
         uniq = " + ".join(f"count(DISTINCT {c})" for c, _ in cols)
-        parts.append(f"SELECT '{t}' AS table_name, {len(cols)} AS n_columns, count(*) AS n_rows, "
-                     f"{uniq} AS unique_total FROM {t}")
+        for c, ty in cols:
+            std = mn = mx = "NULL::DOUBLE"
+            lo = hi = samples = "NULL::VARCHAR"
+            text = f"CAST({c} AS VARCHAR)"
+            if ty in NUMERIC_DUCK:
+                std = f"round(stddev_samp({c}::DOUBLE), 4)"
+                mn, mx = f"round(min({c})::DOUBLE, 6)", f"round(max({c})::DOUBLE, 6)"
+            if ty in INTEGRAL_DUCK:
+                lo, hi = f"min({c})::VARCHAR", f"max({c})::VARCHAR"
+            elif ty == "TIMESTAMP":
+                lo, hi, text = duck_iso(f"min({c})"), duck_iso(f"max({c})"), duck_iso(c)
+            elif ty == "VARCHAR":
+                lo, hi = (duck_iso(x) for x in duck_date_choice(c)[1:])
+            if ty in INTEGRAL_DUCK or ty in ("VARCHAR", "TIMESTAMP"):
+                samples = (f"(SELECT string_agg(v, '|' ORDER BY md5(v), v) FROM (SELECT v FROM (SELECT DISTINCT {text} AS v "
+                           f"FROM {t} WHERE {c} IS NOT NULL) ORDER BY md5(v), v LIMIT 3))")
+            parts.append(f"SELECT s.*, {samples} AS samples FROM (SELECT '{t}' AS table_name, '{c}' AS column_name, "
+                         f"{len(cols)} AS n_columns, count(*) AS n_rows, "
+                         f"{uniq} AS unique_total, count(DISTINCT {c}) AS num_unique_values, {duck_dtype(t, c, ty)} AS dtype, "
+                         f"{std} AS std, {mn} AS min_num, {mx} AS max_num, {lo} AS min, {hi} AS max, "
+                         f"least(count(DISTINCT {c}), 3) AS n_samples FROM {t}) s")
     return union_sql(parts)
 
 
 @query("lake_profile", _lake_oracle())
 def q_lake_profile(spark, sf_dir):
+    """All statistics of every column beside its table's totals. The texts of fractional
+    numbers and arrays differ between engines: their min and max are given as numbers,
+    their samples counted."""
     p = profile(read_lake(spark, sf_dir))
-    return p.groupBy("table_name").agg(
-        F.count(F.lit(1)).cast("int").alias("n_columns"), F.max("n_rows").alias("n_rows"),
-        F.sum("num_unique_values").cast("long").alias("unique_total"))
+    table = Window.partitionBy("table_name")     # a table's columns
+    exact = F.col("integral") | F.col("spark_type").isin("string", "timestamp", "timestamp_ntz")
+    return p.select(
+        "table_name", "column_name", F.count(F.lit(1)).over(table).cast("int").alias("n_columns"), "n_rows",
+        F.sum("num_unique_values").over(table).cast("long").alias("unique_total"), "num_unique_values", "dtype",
+        F.round("std", 4).alias("std"), F.round("min_num", 6).alias("min_num"), F.round("max_num", 6).alias("max_num"),
+        F.when(exact, F.col("min")).alias("min"), F.when(exact, F.col("max")).alias("max"),
+        F.when(exact & (F.size("samples") > 0), F.array_join("samples", "|")).alias("samples"),
+        F.size("samples").cast("long").alias("n_samples"))
 
 
 # --- approximate mode: no per-value shuffle; all but distinct counts exact ---
 
 @query("profile_numeric_approx", _numeric_oracle())
 def q_profile_numeric_approx(spark, sf_dir):
-    p = profile(read_lake(spark, sf_dir, NUMERIC_TABLES), exact=False)
+    p = profile(read_lake(spark, sf_dir), exact=False)
     return p.filter(F.col("dtype") == "number").select(
         "table_name", "column_name", "n_rows", "n_non_null",
         F.round("std", 4).alias("std"), F.round("min_num", 6).alias("min_num"),

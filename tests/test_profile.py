@@ -1,3 +1,4 @@
+import hashlib
 import math
 from decimal import Decimal
 
@@ -186,3 +187,35 @@ def test_auto_mode_exact_near_category_threshold(spark):
     assert au["a"]["num_unique_values"] == 499 and au["b"]["num_unique_values"] == 501
     assert {c: au[c]["dtype"] for c in au} == {c: ex[c]["dtype"] for c in ex}
     assert {c: au[c]["samples"] for c in au} == {c: ex[c]["samples"] for c in ex}
+
+
+def test_numeric_queries_cover_the_lake(spark):
+    import numpy as np
+    import pandas as pd
+    from lakesonar.plans import q_profile as q
+    from lakesonar.plans.registry import LAKE_TABLES, NUMERIC_DUCK
+    sf = "/root/testdata/sf0.001"
+    frames = {t: pd.read_parquet(f"{sf}/{t}.parquet") for t in LAKE_TABLES}
+    want = {(t, c): frames[t][c] for t, cols in LAKE_TABLES.items() for c, ty in cols if ty in NUMERIC_DUCK}
+    for fn in (q.q_profile_numeric, q.q_profile_numeric_approx, q.q_profile_numeric_json):
+        got = {(r.table_name, r.column_name): r for r in fn(spark, sf).collect()}
+        assert got.keys() == want.keys()
+        for k, v in want.items():
+            r, whole = got[k], v.notna().all() and v.dtype.kind == "i"
+            std, low, high = ("std_json", "min_json", "max_json") if "std_json" in r.__fields__ else ("std", "min_num", "max_num")
+            sd = v.std()
+            assert np.isclose(r[std], np.floor(sd) if std == "std_json" and whole else sd, rtol=1e-9, atol=1e-4)
+            assert np.isclose(r[low], v.min()) and np.isclose(r[high], v.max())
+    everything = {(t, c) for t, cols in LAKE_TABLES.items() for c, _ in cols}
+    assert {(r[0], r[1]) for r in q.q_profile_distinct_approx(spark, sf).collect()} == everything
+    lake = {(r.table_name, r.column_name): r for r in q.q_lake_profile(spark, sf).collect()}
+    assert lake.keys() == everything
+    for (t, c), r in lake.items():
+        v = frames[t][c].map(lambda x: tuple(x) if isinstance(x, np.ndarray) else x)
+        assert (r.n_columns, r.n_rows, r.num_unique_values) == (len(LAKE_TABLES[t]), len(v), v.nunique())
+        assert r.n_samples == min(3, v.nunique()) and (r.std is not None) == ((t, c) in want)
+        if v.dtype.kind == "i":
+            texts = sorted({str(x) for x in v}, key=lambda x: hashlib.md5(x.encode()).hexdigest())[:3]
+            assert (r.min, r.max, r.samples) == (str(v.min()), str(v.max()), "|".join(texts))
+        elif v.dtype.kind == "M":
+            assert (r.dtype, r.min, r.max) == ("date", v.min().isoformat(), v.max().isoformat())
