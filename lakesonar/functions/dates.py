@@ -1,7 +1,8 @@
 """Date detection for string columns.
 
 One format must parse every non-blank value of a column; formats are tried
-in the order below and the first that covers the whole column wins.
+in the order below and the first that covers the whole column wins. The ISO 'T'
+form may end in a zone (Z or an offset); without one it is in the session's zone.
 """
 
 from __future__ import annotations
@@ -10,7 +11,8 @@ from __future__ import annotations
 DATE_FORMATS = [
     ("iso_date", r"^\d{4}-\d{2}-\d{2}$", "yyyy-MM-dd"),
     ("iso_datetime", r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}(\.\d{1,6})?$", "yyyy-MM-dd HH:mm:ss[.SSSSSS]"),
-    ("iso_t", r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d{1,6})?$", "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]"),
+    ("iso_t", r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d{1,6})?(Z|[+-]\d{2}:\d{2})?$",
+     "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][XXX]"),
     ("compact", r"^\d{8}$", "yyyyMMdd"),
     ("year", r"^\d{4}$", "yyyy"),
     ("us", r"^\d{1,2}/\d{1,2}/\d{4}$", "M/d/yyyy"),

@@ -191,9 +191,9 @@ def sample_values(distinct: DataFrame, n_samples: int = 3, long_source: DataFram
                     lambda x: x["value"]).alias("samples"))
 
 
-# Every date format starts with a digit and is 4 to 26
+# Every date format starts with a digit and is 4 to 32
 # characters long; other values skip the format regexes.
-DATE_LEN = (4, 26)
+DATE_LEN = (4, 32)
 
 
 def _date_parsed(value: str = "value") -> list[str]:

@@ -22,7 +22,7 @@ DUCK_DATE_FORMATS = [
     ("iso_date", r"^\d{4}-\d{2}-\d{2}$", ["%Y-%m-%d"]),
     ("iso_datetime", r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}(\.\d{1,6})?$",
      ["%Y-%m-%d %H:%M:%S", "%Y-%m-%d %H:%M:%S.%f"]),
-    ("iso_t", r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d{1,6})?$",
+    ("iso_t", r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d{1,6})?(Z|[+-]\d{2}:\d{2})?$",
      ["%Y-%m-%dT%H:%M:%S", "%Y-%m-%dT%H:%M:%S.%f"]),
     ("compact", r"^\d{8}$", ["%Y%m%d"]),
     ("year", r"^\d{4}$", ["%Y"]),
@@ -38,7 +38,9 @@ def orders_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     cols = [F.col("o_orderkey")] + [F.date_format("o_orderdate", p).alias(c)
                                     for c, p, _ in DATE_STRING_COLUMNS]
     cols += [F.when(F.col("o_orderkey") % 7 == 0, F.lit("")).otherwise(iso).alias("d_blank"),
-             F.when(F.col("o_orderkey") % 101 == 0, F.lit("n/a")).otherwise(iso).alias("d_bad")]
+             F.when(F.col("o_orderkey") % 101 == 0, F.lit("n/a")).otherwise(iso).alias("d_bad"),
+             F.concat(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"),
+                      F.when(F.col("o_orderkey") % 2 == 0, "Z").otherwise("+02:30")).alias("d_zoned")]
     return o.select(*cols)
 
 
@@ -46,9 +48,10 @@ DUCK_ORDERS_DATES = ("(SELECT o_orderkey, "
                      + ", ".join(f"strftime(o_orderdate, '{d}') AS {c}" for c, _, d in DATE_STRING_COLUMNS)
                      + ", CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS d_blank"
                      + ", CASE WHEN o_orderkey % 101 = 0 THEN 'n/a' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS d_bad"
+                     + ", strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.%f') || CASE WHEN o_orderkey % 2 = 0 THEN 'Z' ELSE '+02:30' END AS d_zoned"
                      + " FROM orders)")
 ORDERS_DATES_SCHEMA = ([("o_orderkey", "BIGINT")] + [(c, "VARCHAR") for c, _, _ in DATE_STRING_COLUMNS]
-                       + [("d_blank", "VARCHAR"), ("d_bad", "VARCHAR")])
+                       + [("d_blank", "VARCHAR"), ("d_bad", "VARCHAR"), ("d_zoned", "VARCHAR")])
 
 
 def lake_with_dates(spark, sf_dir):
@@ -76,8 +79,13 @@ def duck_parse(c: str, name: str, regex: str, fmts: list[str]) -> str:
     guard = f"regexp_matches({c}, '{regex}')"
     if name == "year":
         guard += f" AND try_cast({c} AS INTEGER) BETWEEN 1678 AND 2261"
-    parse = "coalesce(" + ", ".join(f"try_strptime({c}, '{f}')" for f in fmts) + ")" \
+    local = f"regexp_replace({c}, '(Z|[+-][0-9]{{2}}:[0-9]{{2}})$', '')" if name == "iso_t" else c
+    parse = "coalesce(" + ", ".join(f"try_strptime({local}, '{f}')" for f in fmts) + ")" \
         if len(fmts) > 1 else f"try_strptime({c}, '{fmts[0]}')"
+    if name == "iso_t":  # the local time less its offset; no offset: 0
+        parse += (f" - to_minutes(CASE WHEN regexp_matches({c}, '[+-][0-9]{{2}}:[0-9]{{2}}$') THEN "
+                  f"try_cast(left(right({c}, 6), 1) || '1' AS INTEGER) * (60 * try_cast(left(right({c}, 5), 2) AS INTEGER) "
+                  f"+ try_cast(right({c}, 2) AS INTEGER)) ELSE 0 END)")
     return f"CASE WHEN {guard} THEN {parse} END"
 
 

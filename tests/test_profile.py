@@ -219,3 +219,23 @@ def test_numeric_queries_cover_the_lake(spark):
             assert (r.min, r.max, r.samples) == (str(v.min()), str(v.max()), "|".join(texts))
         elif v.dtype.kind == "M":
             assert (r.dtype, r.min, r.max) == ("date", v.min().isoformat(), v.max().isoformat())
+
+
+def test_zoned_iso_timestamps_are_dates(spark):
+    from lakesonar.plans import q_profile as q
+    df = spark.createDataFrame([("2024-01-02T03:04:05Z", "2024-01-02T00:04:05+02:00", "2024-01-02T03:04:05.1Z", "2024-01-02T03:04:05+99:00"),
+                                ("2024-01-02T03:04:05.123456Z", "2024-01-02T03:04:05.123456-05:30", "2024-01-03T00:00:00", "x")],
+                               "z string, off string, mixed string, bad string")
+    for mode in (True, False, "auto"):
+        r = _by_col(profile({"t": df}, exact=mode))
+        assert [r[c]["dtype"] for c in ("z", "off", "mixed")] == ["date"] * 3 and r["bad"]["dtype"] != "date"
+        assert (r["z"]["min"], r["z"]["max"]) == ("2024-01-02T03:04:05", "2024-01-02T03:04:05.123456")
+        assert (r["off"]["min"], r["off"]["max"]) == ("2024-01-01T22:04:05", "2024-01-02T08:34:05.123456")
+        assert (r["mixed"]["min"], r["mixed"]["max"]) == ("2024-01-02T03:04:05.100000", "2024-01-03T00:00:00")
+    sf = "/root/testdata/sf0.001"
+    low, high = spark.read.parquet(f"{sf}/orders.parquet").selectExpr(
+        "o_orderdate - CASE WHEN o_orderkey % 2 = 0 THEN INTERVAL 0 MINUTE ELSE INTERVAL 150 MINUTE END AS t").selectExpr(
+        "date_format(min(t), \"yyyy-MM-dd'T'HH:mm:ss\")", "date_format(max(t), \"yyyy-MM-dd'T'HH:mm:ss\")").first()
+    for fn in (q.q_profile_dates, q.q_profile_dates_approx):
+        r = _by_col(fn(spark, sf))["d_zoned"]
+        assert (r["dtype"], r["min"], r["max"]) == ("date", low, high)
