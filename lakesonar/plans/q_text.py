@@ -8,9 +8,8 @@ from lakesonar.functions.jsonfix import extract_json, remove_trailing_commas, re
 from lakesonar.functions.semantic import sql_semantic_type
 from lakesonar.functions.text import UNKNOWN_TABLE, best_or_unknown, parse_table_name
 from lakesonar.operators.embed import hashed_terms
-from lakesonar.operators.enrich import JSON_SLOT, call_model, offline_enrich
+from lakesonar.operators.enrich import call_model, offline_enrich
 from lakesonar.operators.profile import profile
-from lakesonar.operators.schema import columns, schema_text
 from lakesonar.plans.q_profile import all_schemas, duck_dtype, duck_source, lake_with_dates
 from lakesonar.plans.registry import LAKE_TABLES, query, read_lake, union_sql, read_table
 
@@ -159,20 +158,16 @@ def q_semantic_types(spark, sf_dir):
 PROSE_TEMPLATE = "Describe this dataset in a few sentences for a search index.\n---\n{json_summary}\n---"
 
 
-def _prompt_oracle():
-    from lakesonar.plans.q_sources import _schema_text_oracle
-    tmpl = PROSE_TEMPLATE.replace("'", "''").replace("\n", "' || chr(10) || '")
-    return (f"SELECT table_name, md5(replace('{tmpl}', '{JSON_SLOT}', schema_text)) AS prompt_md5, "
-            f"length(replace('{tmpl}', '{JSON_SLOT}', schema_text)) AS prompt_len "
-            f"FROM ({_schema_text_oracle()})")
-
-
-@query("enrich_prompt", _prompt_oracle())
+@query("enrich_prompt")
 def q_enrich_prompt(spark, sf_dir):
+    """No oracle (the summaries hold engine-specific number texts): see tests/test_text_json.py."""
     from lakesonar.operators.enrich import prose_prompt
-    s = schema_text(columns(read_lake(spark, sf_dir)))
-    p = prose_prompt(PROSE_TEMPLATE, "schema_text")
-    return s.select("table_name", F.md5(p).alias("prompt_md5"), F.length(p).alias("prompt_len"))
+    from lakesonar.plans.lake_search import build_summaries
+    from lakesonar.operators.summary import summary_json
+    s = build_summaries(read_lake(spark, sf_dir))
+    s = s.withColumn("json_pretty", summary_json(s, pretty=True)).withColumn("prompt", prose_prompt(PROSE_TEMPLATE))
+    return s.select(F.col("name").alias("table_name"), "prompt", F.md5("prompt").alias("prompt_md5"),
+                    F.length("prompt").alias("prompt_len"))
 
 
 # --- hashed embedding (V4) ---------------------------------------------------

@@ -71,3 +71,31 @@ def test_hashed_terms_brute_force_and_map_only(spark):
     vecs = {r["id"]: r["embedding"] for r in emb.collect()}
     assert set(vecs) == set(want)
     assert all(abs(sum(x * x for x in v) - 1.0) < 1e-9 and len(v) == HASH_DIM for v in vecs.values())
+
+
+def test_prose_prompts_hold_the_summaries(spark):
+    import hashlib
+    import json
+    import numpy as np
+    import pandas as pd
+    from lakesonar.plans.q_text import PROSE_TEMPLATE, q_enrich_prompt
+    from lakesonar.plans.registry import LAKE_TABLES, NUMERIC_DUCK
+    sf = "/root/testdata/sf0.001"
+    got = {r.table_name: r for r in q_enrich_prompt(spark, sf).collect()}
+    assert got.keys() == LAKE_TABLES.keys()
+    head, tail = PROSE_TEMPLATE.split("{json_summary}")
+    for t, cols in LAKE_TABLES.items():
+        r, frame = got[t], pd.read_parquet(f"{sf}/{t}.parquet")
+        assert r.prompt.startswith(head) and r.prompt.endswith(tail)
+        assert (r.prompt_md5, r.prompt_len) == (hashlib.md5(r.prompt.encode()).hexdigest(), len(r.prompt))
+        s = json.loads(r.prompt[len(head):-len(tail)])
+        assert s["name"] == t and s["dataset_description"] and s["field_names"] == [c for c, _ in cols]
+        for f, (c, ty) in zip(s["fields"], cols):
+            p, v = f["properties"], frame[c]
+            assert f["column"] == c and p["description"] and p["semantic_type"] is not None
+            if ty in NUMERIC_DUCK:
+                assert np.isclose(p["min"], v.min()) and np.isclose(p["max"], v.max())
+                assert abs(p["std"] - v.std()) < 1
+            if ty in ("INTEGER", "BIGINT", "VARCHAR"):
+                texts = sorted({str(x) for x in v.dropna()}, key=lambda x: hashlib.md5(x.encode()).hexdigest())[:3]
+                assert [str(x) for x in p["samples"]] == texts and p["num_unique_values"] == v.nunique()
