@@ -275,3 +275,39 @@ def q_rerank_model(spark, sf_dir):
     qs = table_questions(tabs)
     a = answer_with_model(qs, build_index(spark, tabs), fake_reranker, RERANK_TEMPLATE)
     return a.select("query_id", "best_table_name", "in_candidates")
+
+
+# --- an index built with a user's models (V1-V3, E1, J2) -----------------------
+
+LETTERS_ID = "letter-counts"
+
+
+def letter_vectors(texts):
+    """Stand-in embedding model: how often each letter occurs."""
+    return [[float(t.lower().count(c)) for c in "abcdefghijklmnopqrstuvwxyz"] for t in texts]
+
+
+def describing_model(prompts):
+    """Stand-in model for enrichment: describes the table and its first column in prose around
+    JSON with a trailing comma; fails when the table name's length is divisible by 3."""
+    import json
+    out = []
+    for p in prompts:
+        s = json.loads(p[p.index("{"):])
+        if len(s["name"]) % 3 == 0:
+            raise RuntimeError("rate limited")
+        out.append(f'Sure! {{"name": "{s["name"]}", "dataset_description": "about {s["name"]}", "fields": [{{"column": '
+                   f'"{s["field_names"][0]}", "properties": {{"semantic_type": "key", "description": "first"}}}}],}} Done.')
+    return out
+
+
+@query("index_with_model")
+def q_index_with_model(spark, sf_dir):
+    """One row per table: its index record, and the table found for its question with the
+    same embedding model. No oracle (summary texts): see tests/test_search.py."""
+    tabs = read_lake(spark, sf_dir)
+    idx = build_index(spark, tabs, embed_fn=letter_vectors, model_id=LETTERS_ID, model_fn=describing_model)
+    found = answer(table_questions(tabs), idx, k=len(LAKE_TABLES), embed_fn=letter_vectors, model_id=LETTERS_ID)
+    asked = table_questions(tabs).select("query_id", F.col("expected_table").alias("id"))
+    return idx.select("id", "status", "model_id", "embedding", "norm", "enriched_text", "json_summary").join(
+        asked.join(found.select("query_id", "best_table_name", "top_k"), "query_id"), "id", "left").drop("query_id")

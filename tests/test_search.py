@@ -222,3 +222,33 @@ def test_boolean_samples_are_json_booleans(spark):
     df = spark.createDataFrame([(True,), (False,), (None,)], "b boolean")
     js = json.loads(build_summaries({"t": df}).first()["json_summary"])
     assert sorted(js["fields"][0]["properties"]["samples"]) == [False, True]
+
+
+def test_index_with_a_users_models(spark):
+    import json
+    import pytest
+    from lakesonar.plans import q_search as q
+    from lakesonar.plans.lake_search import answer, build_summaries
+    from lakesonar.plans.registry import LAKE_TABLES, read_lake
+    sf = "/root/testdata/sf0.001"
+    base = {r.name: json.loads(r.json_summary) for r in build_summaries(read_lake(spark, sf)).collect()}
+    got = {r.id: r for r in q.q_index_with_model(spark, sf).collect()}
+    assert got.keys() == LAKE_TABLES.keys()
+    for t, r in got.items():
+        s, want = json.loads(r.json_summary), base[t]
+        text = " ".join([t, *[c for c, _ in LAKE_TABLES[t]]])
+        assert r.status == ("base" if len(t) % 3 == 0 else "ok")
+        if r.status == "ok":
+            want["dataset_description"] = f"about {t}"
+            want["fields"][0]["properties"].update(semantic_type="key", description="first")
+            text += f" about {t}"
+        assert s == want and r.enriched_text == text and r.model_id == q.LETTERS_ID
+        v = q.letter_vectors([text])[0]
+        assert r.embedding == v and abs(r.norm - sum(x * x for x in v) ** 0.5) < 1e-9
+        assert r.top_k is None or len(r.top_k) == len(LAKE_TABLES)  # base records are searched too
+    idx = spark.createDataFrame([("a", [1.0] * 26, q.LETTERS_ID)], "id string, embedding array<double>, model_id string")
+    qs = spark.createDataFrame([(1, "x")], "query_id long, query string")
+    with pytest.raises(ValueError):
+        answer(qs, idx)
+    with pytest.raises(ValueError):
+        answer(qs, idx, embed_fn=q.letter_vectors)
