@@ -151,9 +151,9 @@ def spans(hit: np.ndarray) -> list[list[int]]:
 
 
 def automata(bench: DataFrame, window: int, automaton_words: int) -> list:
-    """Broadcast automata, each over about ``automaton_words`` words of items."""
+    """Broadcast automata, each over about ``automaton_words`` words of items; a repeated row counts once."""
     spark = bench.sparkSession
-    items = bench.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text")
+    items = bench.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text").distinct()
     total = items.agg(F.sum(F.regexp_count("text", F.lit(SPARK_WORD)))).first()[0] or 0
     parts = max(1, -(-int(total) // automaton_words))
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(parts))

@@ -151,6 +151,15 @@ def test_decontaminate_same_with_many_automata(spark):
     assert all(t.split() == clean for t in one.values())
 
 
+def test_repeated_items_make_no_more_automata(spark):
+    items = [(1, " ".join(f"a{i}" for i in range(20))), (2, " ".join(f"b{i}" for i in range(20)))]
+    b = spark.createDataFrame(items + items[:1] * 50, "item_id long, text string")
+    d = spark.createDataFrame([(1, "x " + items[0][1]), (2, items[1][1] + " y")], "doc_id long, text string")
+    assert len(decontaminate.automata(b, 10, 40)) == 1
+    got = sorted((r.doc_id, list(r.spans[0]), r["items"]) for r in decontaminate.match(d, b, automaton_words=40).collect())
+    assert got == [(1, [1, 21], ["1"]), (2, [0, 20], ["2"])]
+
+
 # 8 ---
 
 def brute_repeats(rows):
