@@ -262,3 +262,61 @@ SELECT page_id, r.host, path, rule, coalesce(v, CASE WHEN m - 1.645 * sqrt(a * b
 def op7(spark, sf_dir):
     from lakesonar.llm.reputation import judge
     return judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+# 12 ------------------------------------------------------------------------
+
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _tree_sql(name: str, levels: int) -> str:
+    """Levels ``{name}0`` .. of a tree of runs of 8 over {name}0 (g, i, node), with sibling segments in {name}s0 .."""
+    out = ""
+    for j in range(levels):
+        run = "PARTITION BY g, i // 8 ORDER BY i ROWS BETWEEN"
+        out += f""",
+{name}s{j} AS MATERIALIZED (SELECT g, i, node, count(*) OVER (PARTITION BY g) > 1 AS act,
+  coalesce(string_agg(node, '') OVER ({run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+  coalesce(string_agg(node, '') OVER ({run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r FROM {name}{j}),
+{name}{j + 1} AS MATERIALIZED (SELECT g, i // 8 AS i, CASE WHEN any_value(act) THEN sha256(string_agg(node, '' ORDER BY i))
+  ELSE any_value(node) END AS node FROM {name}s{j} GROUP BY g, i // 8)"""
+    return out
+
+
+def _fold_sql(name: str, tree: str, levels: int) -> str:
+    return "".join(f""",
+{name}{j + 1} AS MATERIALIZED (SELECT f.id, f.g, f.i // 8 AS i, CASE WHEN act THEN sha256(l || f.node || r) ELSE f.node END AS node,
+  proof || CASE WHEN act THEN l || r ELSE '' END AS proof FROM {name}{j} f JOIN {tree}s{j} s ON f.g = s.g AND f.i = s.i)""" for j in range(levels))
+
+
+def _manifest_sql() -> str:
+    def row_hash(text):
+        return "sha256(" + " || ".join(f"coalesce(octet_length(encode({c}::VARCHAR)) || ':' || {c}::VARCHAR, '-')"
+                                       for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+    return f"""
+WITH tab AS (SELECT list(list_reduce(list_prepend(n, range(0, 8)), lambda c, j:
+       xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END)) ORDER BY n) AS t FROM range(0, 256) x(n)),
+d AS MATERIALIZED (SELECT row_number() OVER () AS id, doc_id, coalesce('1' || lang, '0') AS g, {row_hash('text')} AS leaf,
+  {row_hash(f"translate(text, '{UPPER}', '{LOWER}')")} AS low, xor(list_reduce(list_prepend(4294967295,
+    [ascii(c)::BIGINT for c in string_split(doc_id::VARCHAR, '')]), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS crc
+  FROM documents, tab),
+a AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM d),
+x0 AS (SELECT g, i, leaf AS node FROM a){_tree_sql('x', 7)},
+y0 AS (SELECT '' AS g, row_number() OVER (ORDER BY encode(x7.g)) - 1 AS i, node FROM x7){_tree_sql('y', 3)},
+places AS (SELECT x7.g AS og, '' AS g, row_number() OVER (ORDER BY encode(x7.g)) - 1 AS i, node AS subroot FROM x7),
+f0 AS (SELECT id, g, i, CASE WHEN crc % 3 = 0 THEN low ELSE leaf END AS node, '' AS proof FROM a){_fold_sql('f', 'x', 7)},
+h0 AS (SELECT f.id, p.g, p.i, f.node, f.proof FROM f7 f JOIN places p ON f.g = p.og){_fold_sql('h', 'y', 3)}
+SELECT doc_id, leaf, subroot, y3.node AS root, sha256(h.proof) AS proof_sha256, h.node AS folded_root, h.node = y3.node AS verified
+FROM a JOIN h3 h USING (id) JOIN places p ON a.g = p.og, y3"""
+
+
+@query("op12_concatenated_manifest", _manifest_sql())
+def op12(spark, sf_dir):
+    from lakesonar.llm.manifest import FIELDS, folded, leaf, manifest, proof
+    docs = table(spark, sf_dir, "documents")
+    lowered = leaf([F.translate("text", UPPER, LOWER) if f == "text" else F.col(f) for f in FIELDS])
+    tampers = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
+    rows = manifest(docs, extra={"tampered": F.when(tampers, lowered)})
+    back = folded(F.coalesce("tampered", "leaf"), F.col("path"))
+    return rows.select("doc_id", "leaf", "subroot", "root", F.sha2(proof(F.col("path")), 256).alias("proof_sha256"),
+                       back.alias("folded_root")).withColumn("verified", F.col("folded_root") == F.col("root"))
