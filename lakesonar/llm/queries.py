@@ -320,3 +320,71 @@ def op12(spark, sf_dir):
     back = folded(F.coalesce("tampered", "leaf"), F.col("path"))
     return rows.select("doc_id", "leaf", "subroot", "root", F.sha2(proof(F.col("path")), 256).alias("proof_sha256"),
                        back.alias("folded_root")).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+# 13 ------------------------------------------------------------------------
+
+def _repair_sql() -> str:
+    """A forward DP, one row of a conversation a step: the state's cost, audit and repaired text as one string
+    (8 digits, the audit, chr(1), the text), whose least is the cheapest, ties by audit."""
+    sep = "chr(1)"
+
+    def goes(s, k, letter, piece=None):
+        at = f"instr({s}, {sep})"
+        body = f"substr({s}, {at})" if piece is None else (
+            f"substr({s}, {at}) || CASE WHEN length({s}) > {at} THEN chr(10) ELSE '' END || {piece}")
+        return (f"(printf('%08d', substr({s}, 1, 8)::INT + {k}) || substr({s}, 9, {at} - 9) || '{letter}' || {body})")
+
+    def inserted(a):  # states with inserts in front: b0 .. b3
+        user, other = ({n: goes(n, 2, "I", f"'{r}:'") for n in a} for r in ("user", "assistant"))
+        two = f"least({a[2]}, {user[a[0]]}, {user[a[1]]}, {user[a[3]]})"
+        two_step = f"least({a[3]}, {other[a[2]]}, {goes(user[a[0]], 2, 'I', chr(39) + 'assistant:' + chr(39))}, {goes(user[a[1]], 2, 'I', chr(39) + 'assistant:' + chr(39))})"
+        return f"{a[0]} AS b0, {a[1]} AS b1, {two} AS b2, {two_step} AS b3"
+
+    whole, extra = "(role || ':' || text)", "(CASE WHEN f = 3 THEN 1 ELSE 0 END)"
+    stays = "f IN (0, 3)"
+
+    def step(to):
+        start = {1: ["b0"], 2: ["b0", "b1", "b3"], 3: ["b2"], 0: []}[to]
+        initial, role = {1: "s", 2: "u", 3: "a", 0: "-"}[to], {2: "user", 3: "assistant"}.get(to)
+        ways = [goes(f"b{to}", 3, "D")]
+        ways += [f"CASE WHEN {stays} AND i = '{initial}' THEN {goes(b, extra, 'K', whole)} END" for b in start]
+        if role:
+            ways += [f"CASE WHEN {stays} THEN {goes(b, f'2 + {extra}', 'R', chr(39) + role + ':' + chr(39) + ' || text')} END" for b in start]
+        return f"least({', '.join(ways)}, NULL) AS s{to}"
+
+    return f"""
+WITH RECURSIVE tab AS (SELECT list(list_reduce(list_prepend(n, range(0, 8)), lambda c, j:
+       xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END)) ORDER BY n) AS t FROM range(0, 256) x(n)),
+src AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, xor(list_reduce(list_prepend(4294967295,
+  [ascii(c)::BIGINT for c in string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), '')]),
+  lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS d FROM conversations, tab),
+rows0 AS (SELECT conv_id, turn, CASE d WHEN 4 THEN 'user' ELSE role END AS role,
+  CASE d WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM src, range(0, 2) c(k) WHERE d <> 0 AND (k = 0 OR d = 3)),
+ids AS MATERIALIZED (SELECT row_number() OVER () AS c, conv_id FROM (SELECT DISTINCT conv_id FROM conversations)),
+rows1 AS (SELECT c, turn, role, text, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, encode(role), encode(text)) AS n
+  FROM rows0 r JOIN ids ON r.conv_id IS NOT DISTINCT FROM ids.conv_id),
+faults AS MATERIALIZED (SELECT *, left(role, 1) AS i, CASE WHEN NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') THEN 1
+    WHEN row_number() OVER (PARTITION BY c, role, text ORDER BY n) > 1 THEN 2
+    WHEN NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*$') THEN 3 ELSE 0 END AS f,
+  coalesce(lag(left(role, 1)) OVER (PARTITION BY c ORDER BY n), '') AS p FROM rows1),
+stats AS (SELECT c, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (f = 1) AS blank,
+  count(*) FILTER (f = 2) AS duplicate, count(*) FILTER (f = 3) AS truncated,
+  count(*) FILTER (n > 1 AND p || i NOT IN ('su', 'ua', 'au')) AS illegal FROM faults GROUP BY c),
+dp AS (SELECT c, 0::BIGINT AS n, '00000000' || {sep} AS s0, NULL::VARCHAR AS s1, NULL::VARCHAR AS s2, NULL::VARCHAR AS s3 FROM ids
+  UNION ALL SELECT c, n, {step(0)}, {step(1)}, {step(2)}, {step(3)}
+  FROM (SELECT r.*, {inserted(['s0', 's1', 's2', 's3'])} FROM dp JOIN faults r ON r.c = dp.c AND r.n = dp.n + 1)),
+won AS (SELECT c, least(b0, b3) AS s FROM (SELECT c, {inserted(['s0', 's1', 's2', 's3'])} FROM
+  (SELECT *, row_number() OVER (PARTITION BY c ORDER BY n DESC) AS z FROM dp) WHERE z = 1))
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, substr(s, 1, 8)::BIGINT AS cost,
+  substr(s, 9, instr(s, {sep}) - 9) AS audit, sha256(substr(s, instr(s, {sep}) + 1)) AS repaired_sha256
+FROM ids JOIN won USING (c) LEFT JOIN stats USING (c)"""
+
+
+@query("op13_path_ranked_repair", _repair_sql())
+def op13(spark, sf_dir):
+    from lakesonar.llm.conversations import damaged, report
+    rows = table(spark, sf_dir, "conversations")
+    return report(damaged(rows), rows)
