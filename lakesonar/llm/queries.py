@@ -388,3 +388,31 @@ def op13(spark, sf_dir):
     from lakesonar.llm.conversations import damaged, report
     rows = table(spark, sf_dir, "conversations")
     return report(damaged(rows), rows)
+
+
+# 11 ------------------------------------------------------------------------
+
+MINHASH_SQL = r"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''),
+  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS MATERIALIZED (SELECT r, doc_id, list_sort(list_distinct([array_to_string(w[i:i + 3], ' ')
+  FOR i IN range(1, greatest(len(w) - 2, CASE WHEN len(w) > 0 THEN 2 ELSE 1 END))])) AS s FROM d),
+classes AS MATERIALIZED (SELECT row_number() OVER () AS c, s, len(s) AS n, min(doc_id) AS least FROM sets WHERE len(s) > 0 GROUP BY s),
+one AS MATERIALIZED (SELECT c, n, md5(unnest(s)) AS g FROM classes),
+pairs AS (SELECT a.c AS x, b.c AS y, any_value(a.n) AS nx, any_value(b.n) AS ny, count(*) AS shared
+  FROM one a JOIN one b ON a.g = b.g AND a.c < b.c AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY a.c, b.c),
+links AS MATERIALIZED (SELECT x, y FROM pairs WHERE 100 * shared >= 80 * (nx + ny - shared)),
+ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT c AS a, c AS b FROM classes UNION SELECT reach.a, ways.y FROM reach JOIN ways ON reach.b = ways.x),
+named AS (SELECT a AS c, min(k.least) AS component_id FROM reach JOIN classes k ON k.c = reach.b GROUP BY a)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, CASE WHEN n IS NULL THEN doc_id ELSE component_id END AS component_id,
+  coalesce(doc_id = CASE WHEN n IS NULL THEN doc_id ELSE component_id END, false) AS kept
+FROM sets LEFT JOIN classes USING (s) LEFT JOIN named USING (c)"""
+
+
+@query("op11_onepermutation_minhash", MINHASH_SQL)
+def op11(spark, sf_dir):
+    from lakesonar.llm.minhash import near_duplicates
+    found = near_duplicates(table(spark, sf_dir, "documents"), shingle=4)
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))
+    return found.withColumn("kept", kept)
