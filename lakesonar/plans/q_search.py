@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lakesonar.operators.ann import build_ivf, recall_at_k, top_k_ivf, top_k_lsh
 from lakesonar.operators.embed import hashed_embedding
 from lakesonar.operators.index import insert_if_absent, open_index, reindex_delta, upsert
 from lakesonar.operators.rerank import coverage_scores, snippet
@@ -226,18 +227,61 @@ def q_lake_search(spark, sf_dir):
 
 # --- approximate search (K5) -------------------------------------------------
 
+def _vectors(spark, sf_dir):
+    """The embeddings as an index and as questions."""
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return (e.select(F.col("vec_id").cast("string").alias("id"), "embedding"),
+            e.select(F.col("vec_id").alias("query_id"), "embedding"))
+
+
+# The vectors of this table have no clusters, so a question has to read most cells or buckets.
+IVF = {"k": 3, "n_probe": 7}
+LSH = {"k": 3, "tables": 6, "per_key": 1, "bucket_length": 0.3}
+
+
+def _with_recall(approx, idx, qs, extra):
+    r = recall_at_k(approx, top_k(qs, idx, k=3))
+    return approx.join(r, "query_id").select("query_id", "rank", "id", F.round("score", 6).alias("score"), extra,
+                                             F.round("recall", 6).alias("recall"))
+
+
 @query("topk_ivf")
 def q_topk_ivf(spark, sf_dir):
-    from lakesonar.operators.ann import build_ivf, recall_at_k, top_k_ivf
-    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    idx = e.select(F.col("vec_id").cast("string").alias("id"), "embedding")
-    celled, cents = build_ivf(idx, n_cells=8, path=new_table_path(spark, "ivf"))
-    qs = e.select(F.col("vec_id").alias("query_id"), "embedding")
-    approx = top_k_ivf(qs, celled, cents, k=3, n_probe=2)
+    idx, qs = _vectors(spark, sf_dir)
+    celled, cells = build_ivf(idx, n_cells=8)
+    return _with_recall(top_k_ivf(qs, celled, cells, **IVF), idx, qs, "n_cells")
+
+
+@query("topk_ivf_bounded", _topk_oracle("cosine"))
+def q_topk_ivf_bounded(spark, sf_dir):
+    idx, qs = _vectors(spark, sf_dir)
+    celled, cells = build_ivf(idx, n_cells=8)
+    h = top_k_ivf(qs, celled, cells, k=3, n_probe=2, bound=True)
+    return h.select("query_id", F.col("rank").cast("long").alias("rank"), "id", F.round("score", 6).alias("score"))
+
+
+@query("topk_lsh")
+def q_topk_lsh(spark, sf_dir):
+    idx, qs = _vectors(spark, sf_dir)
+    return _with_recall(top_k_lsh(qs, idx, **LSH), idx, qs, "n_candidates")
+
+
+@query("ann_recall", """
+SELECT method, (SELECT count(*) FROM embeddings) AS n_questions, at_least, true AS reached
+FROM (VALUES ('ivf', 0.95), ('ivf bounded', 1.0), ('lsh', 0.9)) m(method, at_least)""")
+def q_ann_recall(spark, sf_dir):
+    """Mean recall at 3 of the approximate searches against the exact one, every vector a question."""
+    idx, qs = _vectors(spark, sf_dir)
+    celled, cells = build_ivf(idx, n_cells=8)
     exact = top_k(qs, idx, k=3)
-    r = recall_at_k(approx, exact)
-    return approx.join(r, "query_id").select("query_id", "rank", "id", F.round("score", 6).alias("score"),
-                                             F.round("recall", 6).alias("recall"))
+    out = None
+    for method, at_least, approx in (("ivf", 0.95, top_k_ivf(qs, celled, cells, **IVF)),
+                                     ("ivf bounded", 1.0, top_k_ivf(qs, celled, cells, k=3, n_probe=2, bound=True)),
+                                     ("lsh", 0.9, top_k_lsh(qs, idx, **LSH))):
+        one = recall_at_k(approx, exact).agg(F.count(F.lit(1)).alias("n_questions"), F.avg("recall").alias("recall")).select(
+            F.lit(method).alias("method"), "n_questions", F.lit(at_least).alias("at_least"), (F.col("recall") >= at_least).alias("reached"))
+        out = one if out is None else out.union(one)
+    return out
 
 
 # --- rerank through a model (N2-N7) ------------------------------------------
