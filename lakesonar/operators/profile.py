@@ -61,7 +61,7 @@ def column_catalog(tables) -> DataFrame:
 
 def cells(tables, sample_rows: int | None = None, keep_long: bool = False,
           only: set | None = None, part_col: str | None = None) -> DataFrame | None:
-    """(table_name, ordinal, num, lnum, ts, text): one row per cell of every table.
+    """(table_name, ordinal, num, lnum, ts, text, hkey, is_str): one row per cell of every table.
 
     Values keep a cheap native key: integers in ``lnum``, doubles in ``num``
     (NaN → NULL, -0.0 → 0.0), temporals in ``ts``; strings, floats, decimals,
@@ -102,7 +102,8 @@ def cells(tables, sample_rows: int | None = None, keep_long: bool = False,
                     text = f"CASE WHEN length({v}) <= {LONG_TEXT} THEN {v} END"
             structs.append(f"named_struct('ordinal', {i}, 'num', CAST({num} AS DOUBLE), "
                            f"'lnum', CAST({lnum} AS BIGINT), 'ts', CAST({ts} AS TIMESTAMP), "
-                           f"'text', CAST({text} AS STRING), 'hkey', CAST({hkey} AS STRING))")
+                           f"'text', CAST({text} AS STRING), 'hkey', CAST({hkey} AS STRING), "
+                           f"'is_str', {'true' if k == 'string' else 'false'})")
         lit_name = name.replace("\\", "\\\\").replace("'", "\\'")
         carry = [f"CAST({quote(part_col)} AS STRING) AS part"] if part_col else []
         parts.append(df.selectExpr(f"'{lit_name}' AS table_name", *carry,
@@ -260,13 +261,11 @@ def approx_parts(items, catalog: DataFrame, n_samples: int = 3,
     ``num_unique_values`` is approximate.
     """
     c = cells(items, sample_rows, keep_long=True)
-    kinds = catalog.select(*KEYS, (F.col("kind") == "string").alias("is_str"))
     present = (F.col("lnum").isNotNull() | F.col("num").isNotNull() | F.col("ts").isNotNull()
                | F.col("text").isNotNull())
     # counts, HLL and date checks read native values; the rendered value and
     # its md5 feed only the sample threshold and pass 2
-    v = (c.join(kinds, KEYS)
-         .withColumn("present", present)
+    v = (c.withColumn("present", present)
          .withColumn("value", F.expr(VALUE_TEXT))
          .withColumn("vhash", F.coalesce(F.col("hkey"), F.md5(F.col("value"))))
          .withColumn("hp", F.conv(F.substring("vhash", 1, MD5_PREFIX), 16, 10).cast("long"))
@@ -310,6 +309,10 @@ def approx_parts(items, catalog: DataFrame, n_samples: int = 3,
     return stats.drop("_t"), sample_values(cand, n_samples)
 
 
+# The most that a distinct count of approximate mode is off (three standard errors of the
+# default sketch, 5% each), as a share of the count.
+APPROX_ERROR = 0.15
+
 # In "auto" mode, string columns whose approximate cardinality
 # ratio lies within this distance of CATEGORY_RATIO get exact distinct counts
 # (0.1 is 20% of the ratio, about four standard errors of the default sketch).
@@ -335,7 +338,8 @@ def exact_near_threshold(items, catalog: DataFrame, stats: DataFrame,
                     .distinct().groupBy(*KEYS)
                     .agg(F.count(F.lit(1)).alias("_exact")))
     return (stats.join(exact_counts, KEYS, "left")
-            .withColumn("num_unique_values", F.coalesce("_exact", "num_unique_values"))
+            .withColumns({"num_unique_values": F.coalesce("_exact", "num_unique_values"),
+                          "distinct_error": F.when(F.col("_exact").isNotNull(), 0.0).otherwise(F.col("distinct_error"))})
             .drop("_exact"))
 
 
@@ -360,14 +364,15 @@ def profile(tables, n_samples: int = 3, exact: bool = True,
         distinct = vc.filter(F.col("present")).select(*KEYS, "value", "hkey", "vhash", "n")
         string_keys = catalog.filter(F.col("kind") == "string").select(*KEYS)
         dates = date_detection(distinct.join(string_keys, KEYS, "left_semi"))
-        out = catalog.join(stats, KEYS, "left").join(dates, KEYS, "left")
+        out = catalog.join(stats.withColumn("distinct_error", F.lit(0.0)), KEYS, "left").join(dates, KEYS, "left")
     elif mode == "auto":
         stats, samples = approx_parts(items, catalog, n_samples, sample_rows, materialize_stats=True)
+        stats = stats.withColumn("distinct_error", F.lit(APPROX_ERROR))
         stats = exact_near_threshold(items, catalog, stats, sample_rows)
         out = catalog.join(stats, KEYS, "left")
     else:
         stats, samples = approx_parts(items, catalog, n_samples, sample_rows)
-        out = catalog.join(stats, KEYS, "left")
+        out = catalog.join(stats.withColumn("distinct_error", F.lit(APPROX_ERROR)), KEYS, "left")
     if n_samples <= 0:                     # no samples asked for: no sample work at all
         out = out.withColumn("samples", F.lit(None).cast("array<string>"))
     elif mode == "exact":
@@ -384,6 +389,12 @@ def profile(tables, n_samples: int = 3, exact: bool = True,
         out = out.join(sample_values(distinct, n_samples, long_src), KEYS, "left")
     else:
         out = out.join(samples, KEYS, "left")
+    return described(out)
+
+
+def described(out: DataFrame) -> DataFrame:
+    """The ``profile`` schema of the statistics of columns: dtype (T1, P5), min and max as text.
+    ``num_unique_values`` is off by at most ``distinct_error`` times itself, and exact if that is 0."""
     out = out.withColumn("num_unique_values",
                          F.coalesce("num_unique_values", F.lit(0)).cast("long"))
     kind = F.col("kind")
@@ -413,6 +424,8 @@ def profile(tables, n_samples: int = 3, exact: bool = True,
         F.coalesce("n_rows", F.lit(0)).cast("long").alias("n_rows"),
         F.coalesce("n_non_null", F.lit(0)).cast("long").alias("n_non_null"),
         "num_unique_values",
+        (F.coalesce("distinct_error", F.lit(0.0)) == 0).alias("distinct_is_exact"),
+        F.coalesce("distinct_error", F.lit(0.0)).alias("distinct_error"),
         F.when(kind == "number", F.col("std")).alias("std"),
         min_text.alias("min"), max_text.alias("max"),
         F.when(kind == "number", F.col("min_num")).alias("min_num"),

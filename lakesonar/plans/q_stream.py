@@ -70,3 +70,44 @@ def q_stream_reindex(spark, sf_dir):
         F.array_join(j["field_names"], ",").alias("field_names"),
         F.aggregate(j["fields"], F.lit(0).cast("long"),
                     lambda a, f: a + f["properties"]["num_unique_values"]).alias("unique_total"))
+
+
+# --- stored statistics of files: a table's profile without reading it again ---
+
+def _file_stats_oracle():
+    from lakesonar.plans.q_profile import _lake_oracle
+    return (f"SELECT table_name, column_name, n_rows, dtype, std, min_num, max_num, min, max, samples, n_samples, "
+            f"num_unique_values, true AS within_bound, false AS distinct_is_exact FROM ({_lake_oracle()})")
+
+
+@query("file_stats_profile", _file_stats_oracle())
+def q_file_stats_profile(spark, sf_dir):
+    """Profiles of all tables from stored statistics of files that came in two batches, each table's third file
+    gone again. Distinct counts from the united sketches are tested against exact ones."""
+    from lakesonar.operators.profile import profile
+    from lakesonar.plans.registry import read_lake
+    from lakesonar.streaming.stats import current_file_stats, file_stats, forget_files, merged_profile, write_file_stats
+    tabs = read_lake(spark, sf_dir)
+    path = new_table_path(spark, "file-stats")
+    # as if each row's hash named the file that holds it
+    half = {t: F.when(F.pmod(F.xxhash64(df.columns[0]), F.lit(2)) == 0, "a").otherwise("b") for t, df in tabs.items()}
+    files = {t: df.withColumn("_file", half[t]) for t, df in tabs.items()}
+    def arrive(batch, items):
+        one = [(t, df.drop("_file"), df) for t, df in items.items()]
+        stats = file_stats([(t, df) for t, _, df in one], F.col("_file")).filter("column_name <> '_file'")
+        write_file_stats(stats, path, batch)
+    arrive(0, {t: df.filter("_file = 'a'") for t, df in files.items()})
+    arrive(1, {t: df.withColumn("_file", F.when(F.col("_file") == "a", "copy").otherwise("b")) for t, df in files.items()})
+    lost = spark.createDataFrame([(t, "copy") for t in tabs], "source string, file string")
+    forget_files(spark, path, lost, 2)
+    p = merged_profile(current_file_stats(spark, path))
+    exact = profile(tabs, n_samples=0).select("table_name", "column_name", F.col("num_unique_values").alias("truth"))
+    plain = F.col("integral") | F.col("spark_type").isin("string", "timestamp", "timestamp_ntz")
+    return p.join(exact, ["table_name", "column_name"]).select(
+        "table_name", "column_name", "n_rows", "dtype", F.round("std", 4).alias("std"),
+        F.round("min_num", 6).alias("min_num"), F.round("max_num", 6).alias("max_num"),
+        F.when(plain, F.col("min")).alias("min"), F.when(plain, F.col("max")).alias("max"),
+        F.when(plain & (F.size("samples") > 0), F.array_join("samples", "|")).alias("samples"),
+        F.size("samples").cast("long").alias("n_samples"), F.col("truth").alias("num_unique_values"),
+        (F.abs(F.col("num_unique_values") - F.col("truth")) <= F.col("distinct_error") * F.col("truth")).alias("within_bound"),
+        "distinct_is_exact")

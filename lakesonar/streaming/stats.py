@@ -1,4 +1,4 @@
-"""Mergeable column statistics (2.12).
+"""Mergeable column statistics (2.12), and a stored table of them for each file.
 
 A part of a table (a new file, a partition) yields per-column partial
 statistics: count, mean, M2 (sum of squared deviations), min, max and an HLL
@@ -9,10 +9,13 @@ pairwise update, written as one aggregation) and approximately for distincts
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lakesonar.operators.profile import VALUE_KEY, cells
+from lakesonar.operators.profile import (VALUE_KEY, VALUE_TEXT, _date_aggs, _date_parsed, _date_pick, cells, column_catalog, described)
+from lakesonar.functions.dates import DATE_FORMATS
+from lakesonar.operators.index import _fs
+from lakesonar.session import table_exists
 
 KEYS = ["table_name", "ordinal"]
 
@@ -59,3 +62,112 @@ def merge_stats(partials: DataFrame) -> DataFrame:
         *KEYS, "n_rows", "n", "mean",
         F.when(F.col("n") > 1, F.sqrt(F.col("m2") / (F.col("n") - 1))).alias("std"),
         "min_num", "max_num", "approx_distinct")
+
+
+# stored statistics of files --------------------------------------------------
+
+# The sketch of a file's values (2^12 registers), and the most that a count from united sketches is
+# off: three standard errors of 1.04 / sqrt(registers), as a share of the count.
+SKETCH_LG = 12
+SKETCH_ERROR = 3 * 1.04 / 2 ** (SKETCH_LG / 2)
+# what tells a file apart, and a column in it (by name: files of a table may differ in columns)
+FILE = ["source", "file"]
+COLUMN = ["source", "column_name"]
+SUMMED = ["n_rows", "n_non_null", "n", "nb"] + [f"ok{j}" for j in range(len(DATE_FORMATS))]
+LEAST = ["min_num", "min_lnum", "min_ts"] + [f"lo{j}" for j in range(len(DATE_FORMATS))]
+MOST = ["max_num", "max_lnum", "max_ts"] + [f"hi{j}" for j in range(len(DATE_FORMATS))]
+
+
+def file_stats(tables, file, n_samples: int = 3) -> DataFrame:
+    """Mergeable statistics of every column of every file: one row for each (source, file, column_name).
+
+    ``tables`` are (source, DataFrame); ``file`` is an expression over their rows (the file's path).
+    Besides the counts, moments and extremes (temporal ones too) a row holds a distinct sketch, the parse
+    counts and extremes of each date format, and the ``n_samples`` values of least md5: all that a
+    profile needs, in a size that does not depend on the file's.
+    """
+    items = list(tables.items() if isinstance(tables, dict) else tables)
+    c = cells([(n, df.withColumn(PART_COL, file)) for n, df in items], keep_long=True, part_col=PART_COL)
+    present = F.coalesce("lnum", "num").isNotNull() | F.col("ts").isNotNull() | F.col("text").isNotNull()
+    v = (c.withColumn("present", present).withColumn("value", F.expr(VALUE_TEXT))
+         .withColumn("vhash", F.coalesce("hkey", F.md5("value")))
+         .withColumn("x", F.coalesce("num", F.col("lnum").cast("double")))
+         .withColumn("dv", F.expr("CASE WHEN is_str AND hkey IS NULL THEN text END")))
+    keys = ["part", *KEYS]
+    nb = "count_if(is_str AND ((text IS NOT NULL AND text <> '') OR hkey IS NOT NULL)) AS nb"
+    stats = v.select("*", *[F.expr(e) for e in _date_parsed("dv")]).groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_if("present").alias("n_non_null"), F.count("x").alias("n"),
+        F.avg("x").alias("mean"), (F.var_pop("x") * F.count("x")).alias("m2"),
+        F.min("x").alias("min_num"), F.max("x").alias("max_num"), F.min("lnum").alias("min_lnum"), F.max("lnum").alias("max_lnum"),
+        F.min("ts").alias("min_ts"), F.max("ts").alias("max_ts"),
+        F.hll_sketch_agg("vhash", F.lit(SKETCH_LG)).alias("sketch"), *[F.expr(a) for a in [nb, *_date_aggs()]])
+    few = smallest(v.filter("present").select(*keys, "vhash", "value"), keys, n_samples)
+    catalog = column_catalog(items)
+    return (stats.join(few, keys, "left").join(catalog, KEYS)
+            .withColumnsRenamed({"table_name": "source", "part": "file"}))
+
+
+def smallest(values: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """(keys, samples): the ``n`` distinct values of least hash, as (vhash, value) in order. Repeated values collapse
+    in the tasks, and a partial group limit leaves ``n`` a task before the window's shuffle."""
+    w = Window.partitionBy(*keys).orderBy("vhash")
+    ranked = (values.groupBy(*keys, "vhash").agg(F.min("value").alias("value"))
+              .withColumn("rk", F.row_number().over(w)).filter(F.col("rk") <= n))
+    return ranked.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("vhash", "value"))).alias("samples"))
+
+
+def write_file_stats(stats: DataFrame, path: str, batch: int) -> None:
+    """Store the statistics of a batch of files under ``path``. A batch that is run again replaces itself."""
+    stats.withColumn("gone", F.lit(False)).write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+
+def forget_files(spark: SparkSession, path: str, files: DataFrame, batch: int) -> None:
+    """Record that ``files`` (source, file) are no longer there."""
+    known = spark.read.parquet(path)
+    lost = files.select(*FILE).distinct().withColumn("gone", F.lit(True))
+    blank = [F.lit(None).cast(f.dataType).alias(f.name) for f in known.schema.fields if f.name not in (*FILE, "gone", "batch")]
+    lost.select(*FILE, "gone", *blank).write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+
+def next_batch(spark: SparkSession, path: str) -> int:
+    """One more than the largest batch stored."""
+    if not table_exists(spark, path):
+        return 0
+    fs, root = _fs(spark, path)
+    return 1 + max([int(st.getPath().getName()[6:]) for st in fs.listStatus(root)
+                    if st.getPath().getName().startswith("batch=")] or [-1])
+
+
+def current_file_stats(spark: SparkSession, path: str) -> DataFrame:
+    """The newest statistics of each file that is still there."""
+    every = spark.read.parquet(path)
+    newest = every.groupBy(*FILE).agg(F.max("batch").alias("batch"))
+    return every.join(newest, [*FILE, "batch"], "left_semi").filter("NOT gone")
+
+
+def merged_profile(stats: DataFrame, n_samples: int = 3, by: dict[str, str] | None = None) -> DataFrame:
+    """The ``profile`` schema from statistics of files: everything as a full scan gives it but
+    ``num_unique_values``, which comes from the united sketches (``distinct_error``).
+
+    A column has the position and type of the newest batch that holds it. ``by`` maps
+    sources to the table names of the result."""
+    newest = stats.groupBy(*COLUMN).agg(F.max_by(F.struct("ordinal", "spark_type", "kind", "integral"),
+                                                 F.struct("batch", "ordinal")).alias("c"))
+    catalog = newest.select(*COLUMN, "c.*")
+    rows = (stats.groupBy(*FILE).agg(F.max("n_rows").alias("n")).groupBy("source").agg(F.sum("n").alias("source_rows")))
+    total = stats.groupBy(*COLUMN).agg(
+        *[F.sum(c).alias(c) for c in SUMMED], *[F.min(c).alias(c) for c in LEAST], *[F.max(c).alias(c) for c in MOST],
+        (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("mean"),
+        F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("num_unique_values"))
+    away = (stats.join(total.select(*COLUMN, F.col("mean").alias("gmean")), COLUMN).groupBy(*COLUMN).agg(
+        (F.sum("m2") + F.sum(F.col("n") * (F.col("mean") - F.col("gmean")) ** 2)).alias("m2")))
+    few = smallest(stats.select(*COLUMN, F.inline("samples")), COLUMN, n_samples).select(
+        *COLUMN, F.transform("samples", lambda x: x["value"]).alias("samples"))
+    picked = total.selectExpr(*COLUMN, "n", "n_non_null", "num_unique_values", "min_num", "max_num", "min_lnum", "max_lnum",
+                              "min_ts", "max_ts", *_date_pick())
+    out = (catalog.join(picked, COLUMN).join(away, COLUMN).join(few, COLUMN, "left").join(rows, "source")
+           .withColumn("n_rows", F.col("source_rows"))  # a file without the column has nulls there
+           .withColumn("std", F.when(F.col("n") > 1, F.sqrt(F.col("m2") / (F.col("n") - 1))))
+           .withColumn("distinct_error", F.lit(SKETCH_ERROR)))
+    names = F.col("source") if by is None else F.element_at(F.create_map(*[F.lit(x) for kv in by.items() for x in kv]), F.col("source"))
+    return described(out.withColumn("table_name", names))
