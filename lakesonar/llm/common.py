@@ -28,6 +28,21 @@ def drop_table(df: DataFrame) -> None:
     hpath.getFileSystem(sc._jsc.hadoopConfiguration()).delete(hpath, True)
 
 
+_HELD: dict = {}
+
+
+def held(owner: str, make=None):
+    """What the operator ``owner`` keeps in a Python worker from task to task, made when it is first asked for.
+    Workers outlive stages, so whatever other operators kept there is dropped first; without
+    ``make`` nothing is kept."""
+    if owner not in _HELD:
+        _HELD.clear()
+        if make is None:
+            return None
+        _HELD[owner] = make()
+    return _HELD[owner]
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names starting with ``names`` that ``df`` does not have."""
     have = {c.lower() for c in df.columns}

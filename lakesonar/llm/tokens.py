@@ -35,14 +35,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lakesonar.llm.common import fresh, partitions, text_or_empty, write_table
+from lakesonar.llm.common import fresh, held, partitions, text_or_empty, write_table
 from lakesonar.session import new_table_path
 
-SLICE_ROWS = 256
+# An empty entry, a lone line feed, or white space behind the entry's first place (in front, but
+# for a line feed).
+SPACES = r"\x{09}\x{0b}-\x{0d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+ODD = rf"^\n?$|[{SPACES}]|.\n"
+SLICE_ROWS = 256  # of ids read back at a time
+SLICE_BYTES = 4 << 20  # of text encoded at a time
 
 
 # encoding ------------------------------------------------------------------
@@ -97,21 +103,19 @@ class Encoder:
     def _learn(self, memo: list[dict], lacking: set, prefix: str) -> None:
         """Put the ids of ``lacking`` words into the young generation."""
         young, old = memo
-        again = lacking & old.keys()
-        for w in again:
-            young[w] = old[w]
-        new, marked = set(), []
-        for w in lacking - again:
-            stem = w.rstrip(self.MARKS)
-            if len(stem) < len(w) and stem and stem[-1].isalnum():
-                marked.append((w, stem))
-                if stem not in young:
-                    new.add(stem)
-            else:
-                new.add(w)
+        new = lacking - old.keys()
+        young.update([(w, old[w]) for w in lacking - new])
+        stems = {}  # of words with marks
+        for w in new:
+            if w[-1] in self.MARKS:
+                stem = w.rstrip(self.MARKS)
+                if stem and stem[-1].isalnum():
+                    stems[w] = stem
+        new.difference_update(stems)
+        new.update([s for s in stems.values() if s not in young])
         order = list(new)
         young.update(zip(order, self._words([prefix + w for w in order])))
-        for w, stem in marked:
+        for w, stem in stems.items():
             marks = w[len(stem):]
             if marks not in self.marks:
                 if len(self.marks) > 10_000:
@@ -121,47 +125,49 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
-        out: list = [b""] * len(texts)
-        plain, odd = [], []
+        return self.encode_column(pa.array(texts, pa.string()))
+
+    def encode_column(self, texts: pa.Array) -> list[bytes]:
+        """The words of the texts become a dictionary, whose entries are looked up once each; the
+        texts' ids are then taken from it and cut at the texts' ends. An entry with a line
+        feed in front begins a line; a text's first word is an entry of its own."""
         for memo in (self.first, self.later):
             if len(memo[0]) > self.memo:
                 memo[0], memo[1] = {}, memo[0]
         first, later = self.first[0], self.later[0]
-        new_first: set = set()
-        new_later: set = set()
-        for i, text in enumerate(texts):
-            ws = text.split()
-            if text and text.replace("\n", " ") == " ".join(ws):  # each separator is one of these, alone
-                starts, at = [], 0
-                for line in text.split("\n"):
-                    starts.append(at)
-                    at += line.count(" ") + 1
-                plain.append((i, ws, starts))
-                known = [*map(later.get, ws)]
-                if None in known:
-                    new_later.update([w for w, ids in zip(ws, known) if ids is None])
-                new_first.update([ws[s] for s in starts if ws[s] not in first])
-            elif text:
-                odd.append(i)
-        for i, ids in zip(odd, self._whole([texts[i] for i in odd])):
-            out[i] = ids
-        self._learn(self.first, new_first, "")
-        self._learn(self.later, new_later, " ")
-        for i, ws, starts in plain:
-            ids = [*map(later.__getitem__, ws)]
-            for s in starts:
-                ids[s] = self.feed + first[ws[s]] if s else first[ws[s]]
-            out[i] = b"".join(ids)
+        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
+        ends = lists.offsets.to_numpy()
+        begins, ends = ends[:-1] - ends[0], ends[1:] - ends[0]
+        words = lists.flatten().dictionary_encode()
+        keys = words.dictionary.to_numpy(zero_copy_only=False).tolist()  # far faster than to_pylist
+        place = words.indices.to_numpy(zero_copy_only=False).copy()
+        # a separator is not a space or line feed, alone, where an entry is empty or holds white space
+        wrong = pc.match_substring_regex(words.dictionary, ODD).to_numpy(zero_copy_only=False)
+        odd = np.logical_or.reduceat(wrong[place], begins) if wrong.any() else np.zeros(len(texts), bool)
+        known = [*map(later.get, keys)]
+        new = [j for j, ids in enumerate(known) if ids is None and not wrong[j]]
+        starts = [keys[j] for j in place[begins].tolist()]
+        openers = list({w for w, o in zip(starts, odd.tolist()) if not o})
+        lines = [j for j in new if keys[j][0] == "\n"]
+        self._learn(self.first, {w for w in [*openers, *[keys[j][1:] for j in lines]] if w not in first}, "")
+        self._learn(self.later, {keys[j] for j in new if keys[j][0] != "\n"}, " ")
+        for j in new:
+            known[j] = later[keys[j]] if keys[j][0] != "\n" else self.feed + first[keys[j][1:]]
+        at = {w: len(keys) + n for n, w in enumerate(openers)}
+        place[begins] = [at.get(w, 0) for w in starts]
+        ids = pa.array([*[k or b"" for k in known], *[first[w] for w in openers]], pa.binary()).take(pa.array(place))
+        _, offsets, data = ids.buffers()
+        offsets = np.frombuffer(offsets, np.int32)[ids.offset:ids.offset + len(ids) + 1]
+        data = memoryview(data)
+        out = [bytes(data[a:b]) for a, b in zip(offsets[begins].tolist(), offsets[ends].tolist())]
+        whole = np.flatnonzero(odd).tolist()
+        for i, found in zip(whole, self._whole([texts[i].as_py() for i in whole])):
+            out[i] = found
         return out
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    return held(f"tokens {path}", lambda: Encoder(path))
 
 
 # blocks --------------------------------------------------------------------
@@ -272,6 +278,15 @@ def read_file(content: bytes) -> Iterator[tuple]:
 
 # Spark ---------------------------------------------------------------------
 
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Runs of rows of about SLICE_BYTES of text (column 1), one row at least."""
+    full = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False)) // SLICE_BYTES
+    cuts = [0, *(np.flatnonzero(full[1:] != full[:-1]) + 1).tolist(), batch.num_rows]
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0,
                       block_ids: int = 65_536, planes: str = "byte", level: int = 3,
                       file_bytes: int = 64 << 20) -> None:
@@ -291,9 +306,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
         enc = encoder(tokenizer)
         out = FileWriter(block_ids, planes, level)
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE_ROWS):
-                part = batch.slice(at, SLICE_ROWS)
-                encoded = enc.encode(part.column(1).to_pylist())
+            for part in slices(batch):
+                encoded = enc.encode_column(part.column(1))
                 for doc_id, ids in zip(part.column(0).to_pylist(), encoded):
                     for record in out.add(doc_id, ids + end):
                         yield pa.RecordBatch.from_arrays([pa.array([record[:-1]], pa.binary())], ["value"])
