@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakesonar.llm.common import drop_table, fresh, partitions, write_table
+from lakesonar.llm.common import drop_table, fresh, held, partitions, write_table
 
 SEED = 42
 
@@ -62,6 +62,7 @@ def fingerprint(text: str | None, shingle: int = 4) -> int:
 def fingerprint_column(text: Column, shingle: int = 4) -> Column:
     @F.pandas_udf("long")
     def made(texts: pd.Series) -> pd.Series:
+        held("simhash")
         return pd.Series([fingerprint(t, shingle) for t in texts], dtype="int64")
     return made(text)
 
@@ -100,7 +101,9 @@ def edges_of(fps: DataFrame, radius: int, block: int) -> DataFrame:
     masks = covering_masks(radius)
     tables = F.array(*[F.struct(F.lit(t).cast("short").alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("k"))
                        for t, m in enumerate(masks)])
-    rows = fps.select("fp", F.explode(tables).alias("b")).select("fp", "b.t", "b.k")
+    # the written table is a few files; each row becomes one for every mask
+    spread = fps.repartition(partitions(fps.sparkSession), "fp")
+    rows = spread.select("fp", F.explode(tables).alias("b")).select("fp", "b.t", "b.k")
     buckets = rows.groupBy("t", "k").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     chunks = F.ceil(F.col("n") / block).cast("int")
     mine = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")

@@ -31,20 +31,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lakesonar.llm.common import held
+
 BITS = 22
 _TERM = re.compile(r"[^\W_]+")
-_MEMO: dict[str, int] = {}
 
 
 def places(text: str | None) -> np.ndarray:
     """The distinct hashed terms of a text."""
     terms = set(_TERM.findall(text.lower())) if text else set()
-    if len(_MEMO) > 300_000:
-        _MEMO.clear()
+    memo = held("toxicity", dict)
+    if len(memo) > 300_000:
+        memo.clear()
     for t in terms:
-        if t not in _MEMO:
-            _MEMO[t] = zlib.crc32(t.encode()) & (2 ** BITS - 1)
-    return np.unique(np.fromiter(map(_MEMO.__getitem__, terms), np.int32, len(terms)))
+        if t not in memo:
+            memo[t] = zlib.crc32(t.encode()) & (2 ** BITS - 1)
+    return np.unique(np.fromiter(map(memo.__getitem__, terms), np.int32, len(terms)))
 
 
 class Machine:
