@@ -92,6 +92,14 @@ def sql_iso_text(e: str, dt: T.DataType | None = None) -> str:
     return f"(CASE WHEN {frac} = '000000' THEN {base} ELSE concat({base}, '.', {frac}) END)"
 
 
+def sql_double_text(e: str) -> str:
+    """A double without an exponent from 1e-4 up to 1e16, as Python prints it."""
+    text = f"CAST({e} AS STRING)"
+    plain = f"rtrim('0', CAST(CAST({text} AS DECIMAL(38, 21)) AS STRING))"
+    return (f"(CASE WHEN {text} LIKE '%E%' AND abs({e}) >= 1e-4D AND abs({e}) < 1e16D "
+            f"THEN concat({plain}, CASE WHEN {plain} LIKE '%.' THEN '0' ELSE '' END) ELSE {text} END)")
+
+
 def sql_value_text(e: str, dt: T.DataType) -> str:
     """One text rendering per value: key of exact distinct counts and sample
     text. NaN is NULL, -0.0 equals 0.0, temporals are ISO, nested values are

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakesonar.functions.dates import DATE_FORMATS, sql_parse_with
-from lakesonar.functions.render import (INTEGRAL, iso_text, kind_of, quote, sql_iso_text,
+from lakesonar.functions.render import (INTEGRAL, iso_text, kind_of, quote, sql_double_text, sql_iso_text,
                                         sql_nan_to_null, sql_value_text)
 
 # The cardinality ratio under which a string column is a category.
@@ -33,6 +33,7 @@ CATEGORY_RATIO = 0.5
 LONG_TEXT = 256
 
 KEYS = ["table_name", "ordinal"]
+EXTREMES = ["min_num", "max_num", "min_lnum", "max_lnum", "min_ts", "max_ts", "min_tn", "max_tn", "min_dec", "max_dec"]
 
 
 def _q(name: str) -> str:
@@ -61,10 +62,10 @@ def column_catalog(tables) -> DataFrame:
 
 def cells(tables, sample_rows: int | None = None, keep_long: bool = False,
           only: set | None = None, part_col: str | None = None) -> DataFrame | None:
-    """(table_name, ordinal, num, lnum, ts, text, hkey, is_str): one row per cell of every table.
+    """(table_name, ordinal, num, lnum, ts, tn, text, hkey, is_str): one row per cell of every table.
 
     Values keep a cheap native key: integers in ``lnum``, doubles in ``num``
-    (NaN → NULL, -0.0 → 0.0), temporals in ``ts``; strings, floats, decimals,
+    (NaN → NULL, -0.0 → 0.0), instants in ``ts``, dates and times without a zone in ``tn``; strings, floats, decimals,
     booleans and nested values in ``text`` (``sql_value_text``). Text is
     rendered for numbers and temporals only later, for distinct values.
     Decimals also fill ``num`` (for std/min/max). ``only``: the
@@ -85,15 +86,17 @@ def cells(tables, sample_rows: int | None = None, keep_long: bool = False,
             c = quote(f.name)
             dt = f.dataType
             k = kind_of(dt)
-            num, lnum, ts, text = "NULL", "NULL", "NULL", sql_value_text(c, dt)
+            num, lnum, ts, tn, text = "NULL", "NULL", "NULL", "NULL", sql_value_text(c, dt)
             if isinstance(dt, INTEGRAL):
                 lnum, text = f"CAST({c} AS BIGINT)", "NULL"
             elif isinstance(dt, T.DoubleType):
                 num, text = sql_nan_to_null(c, dt), "NULL"
             elif k == "number":
                 num = f"CAST({sql_nan_to_null(c, dt)} AS DOUBLE)"
-            elif k == "temporal":
-                ts, text = f"CAST({c} AS TIMESTAMP)", "NULL"
+            elif isinstance(dt, T.TimestampType):
+                ts, text = c, "NULL"
+            elif k == "temporal":  # no zone: the session's must not move it
+                tn, text = f"CAST({c} AS TIMESTAMP_NTZ)", "NULL"
             hkey = "NULL"
             if text != "NULL" and (k == "string" or k == "other"):
                 v = text
@@ -101,7 +104,7 @@ def cells(tables, sample_rows: int | None = None, keep_long: bool = False,
                 if not keep_long:
                     text = f"CASE WHEN length({v}) <= {LONG_TEXT} THEN {v} END"
             structs.append(f"named_struct('ordinal', {i}, 'num', CAST({num} AS DOUBLE), "
-                           f"'lnum', CAST({lnum} AS BIGINT), 'ts', CAST({ts} AS TIMESTAMP), "
+                           f"'lnum', CAST({lnum} AS BIGINT), 'ts', CAST({ts} AS TIMESTAMP), 'tn', CAST({tn} AS TIMESTAMP_NTZ), "
                            f"'text', CAST({text} AS STRING), 'hkey', CAST({hkey} AS STRING), "
                            f"'is_str', {'true' if k == 'string' else 'false'})")
         lit_name = name.replace("\\", "\\\\").replace("'", "\\'")
@@ -116,8 +119,8 @@ def cells(tables, sample_rows: int | None = None, keep_long: bool = False,
     return out
 
 
-VALUE_TEXT = ("coalesce(text, CAST(lnum AS STRING), CAST(num AS STRING), "
-              + sql_iso_text("ts") + ")")
+VALUE_TEXT = (f"coalesce(text, CAST(lnum AS STRING), {sql_double_text('num')}, "
+              + sql_iso_text("ts") + ", " + sql_iso_text("tn") + ")")
 # identity of a value for null tests and sketches: long texts by their hash
 VALUE_KEY = f"coalesce({VALUE_TEXT}, hkey)"
 
@@ -132,7 +135,7 @@ def value_counts(cell_df: DataFrame, materialize: bool = True) -> DataFrame:
     shared folder, because its consumers prune it differently and Spark could
     not reuse one shuffle for all of them.
     """
-    vc = (cell_df.groupBy("table_name", "ordinal", "lnum", "num", "ts", "text", "hkey")
+    vc = (cell_df.groupBy("table_name", "ordinal", "lnum", "num", "ts", "tn", "text", "hkey")
           .agg(F.count(F.lit(1)).alias("n")))
     if materialize:
         from lakesonar.session import new_table_path
@@ -144,7 +147,23 @@ def value_counts(cell_df: DataFrame, materialize: bool = True) -> DataFrame:
             .withColumn("vhash", F.coalesce(F.col("hkey"), F.md5(F.col("value")))))
 
 
-def column_stats(vc: DataFrame) -> DataFrame:
+def decimal_extremes(decimals: bool) -> list:
+    """Aggregates min_dec and max_dec: the texts of the least and largest decimal. Beside the double,
+    digits decide (a column's decimals have one scale; negative ones compare the other way round)."""
+    if not decimals:
+        return [F.lit(None).cast("string").alias(c) for c in ("min_dec", "max_dec")]
+    digits = F.when(F.col("num") < 0, F.translate("text", "0123456789", "9876543210")).otherwise(F.col("text"))
+    order = F.struct("num", F.length("text") * F.signum("num"), digits)
+    is_dec = F.col("num").isNotNull() & F.col("text").isNotNull()
+    return [pick(F.when(is_dec, F.col("text")), F.when(is_dec, order)).alias(c)
+            for c, pick in (("min_dec", F.min_by), ("max_dec", F.max_by))]
+
+
+def has_decimals(items) -> bool:
+    return any(isinstance(f.dataType, T.DecimalType) for _, df in items for f in df.schema.fields)
+
+
+def column_stats(vc: DataFrame, decimals: bool = False) -> DataFrame:
     """Row count, non-null count, exact distinct count, min/max and the sample
     standard deviation (two-pass over distinct values: mean first, then the
     weighted sum of squared deviations) per column."""
@@ -157,14 +176,14 @@ def column_stats(vc: DataFrame) -> DataFrame:
         F.min(numv).alias("min_num"), F.max(numv).alias("max_num"),
         F.min("lnum").alias("min_lnum"), F.max("lnum").alias("max_lnum"),
         F.min("ts").alias("min_ts"), F.max("ts").alias("max_ts"),
+        F.min("tn").alias("min_tn"), F.max("tn").alias("max_tn"), *decimal_extremes(decimals),
         F.sum(wn).alias("_wn"), F.sum(numv * F.col("n")).alias("_sx"))
     mean = first.select(*KEYS, (F.col("_sx") / F.col("_wn")).alias("_mean"))
     dev = (vc.filter(numv.isNotNull()).join(mean, KEYS)
            .groupBy(*KEYS).agg(F.sum(F.col("n") * (numv - F.col("_mean")) ** 2).alias("_ss")))
     std = F.when(F.col("_wn") > 1, F.sqrt(F.col("_ss") / (F.col("_wn") - 1)))
     return first.join(dev, KEYS, "left").select(
-        *KEYS, "n_rows", "n_non_null", "num_unique_values", std.alias("std"),
-        "min_num", "max_num", "min_lnum", "max_lnum", "min_ts", "max_ts")
+        *KEYS, "n_rows", "n_non_null", "num_unique_values", std.alias("std"), *EXTREMES)
 
 
 def sample_values(distinct: DataFrame, n_samples: int = 3, long_source: DataFrame | None = None) -> DataFrame:
@@ -261,7 +280,7 @@ def approx_parts(items, catalog: DataFrame, n_samples: int = 3,
     ``num_unique_values`` is approximate.
     """
     c = cells(items, sample_rows, keep_long=True)
-    present = (F.col("lnum").isNotNull() | F.col("num").isNotNull() | F.col("ts").isNotNull()
+    present = (F.col("lnum").isNotNull() | F.col("num").isNotNull() | F.col("ts").isNotNull() | F.col("tn").isNotNull()
                | F.col("text").isNotNull())
     # counts, HLL and date checks read native values; the rendered value and
     # its md5 feed only the sample threshold and pass 2
@@ -272,13 +291,13 @@ def approx_parts(items, catalog: DataFrame, n_samples: int = 3,
          .withColumn("dv", F.expr("CASE WHEN is_str AND hkey IS NULL THEN text END")))
     # distinct identity on native values (long texts by their md5 key)
     native = F.when(F.col("present"), F.struct(
-        "lnum", "num", "ts", F.when(F.col("hkey").isNull(), F.col("text")).alias("t"), "hkey"))
+        "lnum", "num", "ts", "tn", F.when(F.col("hkey").isNull(), F.col("text")).alias("t"), "hkey"))
     numv = F.coalesce(F.col("num"), F.col("lnum").cast("double"))
     classes = max(MD5_CLASSES, 4 * n_samples)
     cls = F.pmod(F.col("hp"), F.lit(classes))
     mins = [F.min(F.when(cls == h, F.col("hp"))) for h in range(classes)]
     nb = "count_if(is_str AND ((text IS NOT NULL AND text <> '') OR hkey IS NOT NULL)) AS nb"
-    g = (v.select(*KEYS, "num", "lnum", "ts", "text", "hkey", "hp", "is_str", "present",
+    g = (v.select(*KEYS, "num", "lnum", "ts", "tn", "text", "hkey", "hp", "is_str", "present",
                   *[F.expr(e) for e in _date_parsed("dv")])
          .groupBy(*KEYS).agg(
              F.count(F.lit(1)).alias("n_rows"), F.count_if("present").alias("n_non_null"),
@@ -287,12 +306,12 @@ def approx_parts(items, catalog: DataFrame, n_samples: int = 3,
              F.min(numv).alias("min_num"), F.max(numv).alias("max_num"),
              F.min("lnum").alias("min_lnum"), F.max("lnum").alias("max_lnum"),
              F.min("ts").alias("min_ts"), F.max("ts").alias("max_ts"),
+             F.min("tn").alias("min_tn"), F.max("tn").alias("max_tn"), *decimal_extremes(has_decimals(items)),
              (F.try_element_at(F.array_sort(F.filter(F.array(*mins), lambda x: x.isNotNull())),
                                F.lit(n_samples)) if n_samples > 0
               else F.lit(None).cast("long")).alias("_t"),
              *[F.expr(a) for a in [nb] + _date_aggs()]))
-    stats = g.selectExpr(*KEYS, "n_rows", "n_non_null", "num_unique_values", "std",
-                         "min_num", "max_num", "min_lnum", "max_lnum", "min_ts", "max_ts", "_t",
+    stats = g.selectExpr(*KEYS, "n_rows", "n_non_null", "num_unique_values", "std", *EXTREMES, "_t",
                          *_date_pick())
     if materialize_stats:                   # one row per column
         from lakesonar.session import shared_dir
@@ -360,7 +379,7 @@ def profile(tables, n_samples: int = 3, exact: bool = True,
     if mode == "exact":
         cell_df = cells(items, sample_rows)
         vc = value_counts(cell_df, materialize=materialize)
-        stats = column_stats(vc)
+        stats = column_stats(vc, has_decimals(items))
         distinct = vc.filter(F.col("present")).select(*KEYS, "value", "hkey", "vhash", "n")
         string_keys = catalog.filter(F.col("kind") == "string").select(*KEYS)
         dates = date_detection(distinct.join(string_keys, KEYS, "left_semi"))
@@ -409,15 +428,15 @@ def described(out: DataFrame) -> DataFrame:
              .otherwise(F.col("spark_type")))
     min_text = (F.when(kind == "number",
                        F.when(F.col("integral"), F.col("min_lnum").cast("string"))
-                       .otherwise(F.col("min_num").cast("string")))
-                .when(F.col("spark_type") == "date", F.date_format("min_ts", "yyyy-MM-dd"))
-                .when(kind == "temporal", iso_text("min_ts"))
+                       .otherwise(F.coalesce("min_dec", F.expr(sql_double_text("min_num")))))
+                .when(F.col("spark_type") == "date", F.date_format("min_tn", "yyyy-MM-dd"))
+                .when(kind == "temporal", F.coalesce(iso_text("min_ts"), iso_text("min_tn")))
                 .when(F.col("date_format").isNotNull(), iso_text("date_min")))
     max_text = (F.when(kind == "number",
                        F.when(F.col("integral"), F.col("max_lnum").cast("string"))
-                       .otherwise(F.col("max_num").cast("string")))
-                .when(F.col("spark_type") == "date", F.date_format("max_ts", "yyyy-MM-dd"))
-                .when(kind == "temporal", iso_text("max_ts"))
+                       .otherwise(F.coalesce("max_dec", F.expr(sql_double_text("max_num")))))
+                .when(F.col("spark_type") == "date", F.date_format("max_tn", "yyyy-MM-dd"))
+                .when(kind == "temporal", F.coalesce(iso_text("max_ts"), iso_text("max_tn")))
                 .when(F.col("date_format").isNotNull(), iso_text("date_max")))
     return out.select(
         "table_name", "ordinal", "column_name", "spark_type", dtype.alias("dtype"),

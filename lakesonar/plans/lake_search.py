@@ -185,9 +185,11 @@ def answer_with_model(questions: DataFrame, index: DataFrame, model_fn, template
 
 def build_index(spark, tables, path: str | None = None, mode: str = "upsert",
                 sample_rows: int | None = None, exact=True, embed_fn=None, model_id: str = MODEL_ID,
-                factory: bool = False, model_fn=None, instruction: str = INSTRUCTION) -> DataFrame:
+                factory: bool = False, model_fn=None, instruction: str = INSTRUCTION,
+                inventory: DataFrame | None = None) -> DataFrame:
     """Profile, summarise, enrich, embed and store the tables; returns the stored index.
-    ``factory`` is for ``embed_fn`` (:func:`embed_with`).
+    ``factory`` is for ``embed_fn`` (:func:`embed_with`). With the lake's ``inventory`` a record keeps the newest
+    modification time of its table's files, which ``reindex_delta`` compares.
 
     The index is a written Parquet table under ``path`` (default: a new folder
     in the shared checkpoint folder), so later steps read it instead of
@@ -200,6 +202,9 @@ def build_index(spark, tables, path: str | None = None, mode: str = "upsert",
     if model_fn is not None:
         summaries = apply_model(summaries, model_fn, instruction)
     recs = index_records(summaries, embed_fn, model_id, factory)
+    if inventory is not None:
+        times = inventory.groupBy(F.col("table_name").alias("id")).agg(F.max("modified_at").alias("source_modified_at"))
+        recs = recs.join(times, "id", "left")
     (upsert if mode == "upsert" else insert_if_absent)(spark, path, recs, batch=1)
     return open_index(spark, path)
 

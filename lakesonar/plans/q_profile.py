@@ -393,3 +393,52 @@ def q_clean_nan_nested(spark, sf_dir):
         F.expr("CAST(size(filter(embedding, x -> x IS NULL)) AS BIGINT)").alias("n_null"),
         F.round(F.expr("aggregate(filter(embedding, x -> x IS NOT NULL), 0D, (a, x) -> a + CAST(x AS DOUBLE))"),
                 4).alias("total"))
+
+
+# --- profile_types (P2, P6): values that neither a zone nor a double may change ---
+
+ZONES = ("UTC", "America/New_York")
+
+
+def typed_orders(spark, sf_dir):
+    """Local times around a clock change, decimals of 30 digits, doubles past 1e7 and under 1e-3, dates."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    return o.selectExpr(
+        "timestamp_ntz'2024-03-10 00:00:00' + make_dt_interval(0, 0, CAST(o_orderkey % 300 AS INT)) AS local_time",
+        "CAST(o_orderdate AS DATE) AS day",
+        "CAST(concat('1234567890', lpad(CAST(o_orderkey AS STRING), 10, '0'), '.1234567891') AS DECIMAL(38, 10)) AS wide",
+        "CAST(concat('-98765432109876543210.', lpad(CAST(o_custkey AS STRING), 10, '0')) AS DECIMAL(38, 10)) AS negative",
+        "o_orderkey * 1000000.0D + 0.5D AS large", "(1 + o_orderkey % 1000) / 8388608.0D AS small",
+        "CAST(o_orderkey * 16777216.0D AS DOUBLE) AS whole")
+
+
+def _types_oracle():
+    o = """(SELECT TIMESTAMP '2024-03-10 00:00:00' + to_minutes((o_orderkey % 300)::INTEGER) AS local_time, o_orderdate::DATE AS day,
+  ('1234567890' || lpad(o_orderkey::VARCHAR, 10, '0') || '.1234567891')::DECIMAL(38, 10) AS wide,
+  ('-98765432109876543210.' || lpad(o_custkey::VARCHAR, 10, '0'))::DECIMAL(38, 10) AS negative,
+  o_orderkey * 1000000.0::DOUBLE + 0.5::DOUBLE AS large, (1 + o_orderkey % 1000) / 8388608.0::DOUBLE AS small,
+  o_orderkey * 16777216.0::DOUBLE AS whole FROM orders)"""
+    parts = []
+    for z in ZONES:
+        for c in ("local_time", "day", "wide", "negative", "large", "small", "whole"):
+            lo, hi = (duck_iso(f"{m}(local_time)") if c == "local_time" else f"{m}({c})::VARCHAR" for m in ("min", "max"))
+            if c == "small":  # engines write these with different exponents
+                lo = hi = "'-'"
+            parts.append(f"SELECT '{z}' AS zone, '{c}' AS column_name, count(DISTINCT {c}) AS num_unique_values, {lo} AS min, {hi} AS max FROM {o}")
+    return union_sql(parts)
+
+
+@query("profile_types", _types_oracle())
+def q_profile_types(spark, sf_dir):
+    out, zone = None, spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for z in ZONES:
+            spark.conf.set("spark.sql.session.timeZone", z)  # plans keep the zone they are made in
+            p = profile({"typed": typed_orders(spark, sf_dir)}, n_samples=0)
+            small = F.col("column_name") == "small"
+            one = p.select(F.lit(z).alias("zone"), "column_name", "num_unique_values",
+                           *[F.when(small, "-").otherwise(F.col(m)).alias(m) for m in ("min", "max")])
+            out = one if out is None else out.union(one)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    return out

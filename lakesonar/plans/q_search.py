@@ -6,11 +6,10 @@ from pyspark.sql import functions as F
 
 from lakesonar.operators.ann import build_ivf, recall_at_k, top_k_ivf, top_k_lsh
 from lakesonar.operators.embed import hashed_embedding
-from lakesonar.operators.index import insert_if_absent, open_index, reindex_delta, upsert
+from lakesonar.operators.index import compact, insert_if_absent, open_index, reindex_delta, remove, upsert
 from lakesonar.operators.rerank import coverage_scores, snippet
 from lakesonar.operators.retrieve import top_k
-from lakesonar.plans.lake_search import (answer, build_index, build_summaries, index_records,
-                                          table_questions)
+from lakesonar.plans.lake_search import answer, build_index, table_questions
 from lakesonar.plans.registry import LAKE_TABLES, query, read_lake, read_table
 from lakesonar.session import new_table_path
 from lakesonar.sources.inventory import inventory
@@ -126,6 +125,26 @@ def q_index_upsert(spark, sf_dir):
     return open_index(spark, path).select("id", "batch")
 
 
+@query("index_deltas", f"""
+WITH t AS {duck_terms('documents', 'doc_id', 'text')},
+v AS (SELECT id, round(sum((bucket + 1) * w), 6) AS checksum FROM t GROUP BY id)
+SELECT doc_id::VARCHAR AS id, CASE WHEN doc_id % 2 = 1 OR doc_id % 3 = 0 THEN 2 ELSE 1 END::BIGINT AS batch,
+  'ok' AS status, checksum, coalesce(octet_length(encode(text)), 0)::BIGINT AS n_bytes
+FROM documents LEFT JOIN v ON v.id = doc_id WHERE doc_id % 10 <> 0""")
+def q_index_deltas(spark, sf_dir):
+    """Rows as stored after two upserts, a removal, a rewrite of the touched buckets and a last delta."""
+    path = new_table_path(spark, "index-deltas")
+    b1, b2 = _doc_batches(spark, sf_dir)
+    upsert(spark, path, b1, batch=1)
+    gone = b1.union(b2).filter(F.col("id").cast("long") % 10 == 0)
+    remove(spark, path, gone)
+    compact(spark, path)
+    upsert(spark, path, b2.filter(F.col("id").cast("long") % 10 != 0), batch=2)
+    checksum = F.aggregate(F.transform("embedding", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    return open_index(spark, path).select("id", "batch", "status", F.round(checksum, 6).alias("checksum"),
+                                          F.coalesce(F.octet_length("enriched_text"), F.lit(0)).cast("long").alias("n_bytes"))
+
+
 @query("reindex_delta", f"""
 SELECT regexp_replace(regexp_extract(file, '([^/]*)$', 1), '\\.[A-Za-z0-9]+$', '') AS table_name
 FROM glob('{ORACLE_DIR}/*.parquet')
@@ -134,11 +153,7 @@ def q_reindex_delta(spark, sf_dir):
     inv = inventory(spark, sf_dir)
     first = inv.filter(F.col("table_name") < "m")          # an earlier, partial run
     tabs = {r["table_name"]: spark.read.parquet(r["path"]) for r in first.select("table_name", "path").collect()}
-    path = new_table_path(spark, "index-lake")
-    recs = index_records(build_summaries(tabs)).join(
-        first.select(F.col("table_name").alias("id"), F.col("modified_at").alias("source_modified_at")), "id")
-    insert_if_absent(spark, path, recs, batch=1)
-    return reindex_delta(inv, open_index(spark, path)).select("table_name")
+    return reindex_delta(inv, build_index(spark, tabs, inventory=first)).select("table_name")
 
 
 # --- candidates, rerank and lake search (N1-N9, N8) --------------------------

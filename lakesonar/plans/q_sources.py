@@ -92,13 +92,70 @@ SELECT 'customer_csv' AS table_name, (ordinal_position - 1)::INTEGER AS ordinal,
             ELSE 'string' END AS type_name, true AS nullable
 FROM information_schema.columns WHERE table_name = 'customer'""")
 def q_csv_columns(spark, sf_dir):
-    """C2 on a CSV file: types from the first 100 rows of the whole customer table."""
+    """C2 on a CSV file: types from all rows of the customer table."""
     from lakesonar.operators.schema import file_columns
     path = new_table_path(spark, "customer-csv-cols")
     spark.read.parquet(f"{sf_dir}/customer.parquet").write.option("header", "true").csv(path)
     return file_columns(spark, "customer_csv", path, fmt="csv")
 
 
+@query("csv_documents", """
+SELECT doc_id::BIGINT AS doc_id, md5(coalesce(text, '')) AS text_md5, lang, source, n_chars::BIGINT AS n_chars,
+       (length(text) - length(replace(replace(text, '"', ''), chr(10), '')))::BIGINT AS n_marks, 0::BIGINT AS n_bad
+FROM (SELECT * REPLACE (CASE WHEN doc_id % 3 = 0 THEN '"' || replace(text, ' ', ' "quoted", ') ELSE text END AS text) FROM documents)""")
+def q_csv_documents(spark, sf_dir):
+    """Whole texts, with line feeds, doubled quotes and commas, through CSV and back; no row is bad."""
+    path = new_table_path(spark, "documents-csv")
+    quoted = F.concat(F.lit('"'), F.replace("text", F.lit(" "), F.lit(' "quoted", ')))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = docs.withColumn("text", F.when(F.col("doc_id") % 3 == 0, quoted).otherwise(F.col("text")))
+    (docs.write.option("header", "true").option("escape", '"').option("ignoreLeadingWhiteSpace", "false")
+     .option("ignoreTrailingWhiteSpace", "false").csv(path))
+    back = read_file(spark, path, fmt="csv", bad_records="_bad")
+    marks = F.length("text") - F.length(F.translate("text", '"\n', ""))
+    return back.select(F.col("doc_id").cast("long"), F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"), "lang", "source",
+                       F.col("n_chars").cast("long"), marks.cast("long").alias("n_marks"),
+                       F.when(F.col("_bad").isNotNull(), 1).otherwise(0).cast("long").alias("n_bad"))
+
+
+def nested_lake(spark, sf_dir: str, root: str) -> None:
+    """All tables in nested folders: one partitioned, one beside a CSV copy, one folder below another table's."""
+    for t, df in read_lake(spark, sf_dir).items():
+        folder = f"{root}/{'even' if len(t) % 2 == 0 else 'odd'}/{t}"
+        if t == "nation":
+            df.write.mode("append").partitionBy("n_regionkey").parquet(folder)
+        elif t == "region":
+            df.write.mode("append").parquet(f"{root}/even/nation/old/region")
+        else:
+            df.write.parquet(folder)
+        if t == "customer":
+            df.write.mode("append").option("header", "true").csv(folder)
+
+
+def _nested_oracle():
+    def name(t):
+        return "even/nation/old/region" if t == "region" else f"{'even' if len(t) % 2 == 0 else 'odd'}/{t}"
+    parts = [f"SELECT '{name(t)}' AS table_name, 'parquet' AS format, count(*) AS n_rows, {len(cols)} AS n_columns FROM {t}"
+             for t, cols in LAKE_TABLES.items()]
+    return union_sql([*parts, f"SELECT '{name('customer')} (csv)', 'csv', count(*), {len(LAKE_TABLES['customer'])} FROM customer"])
+
+
+@query("nested_lake", _nested_oracle())
+def q_nested_lake(spark, sf_dir):
+    """The tables that the inventory finds in a nested lake, each read whole."""
+    from lakesonar.sources.scan import read_source
+    root = new_table_path(spark, "nested-lake")
+    nested_lake(spark, sf_dir, root)
+    out = None
+    # one row a table
+    for r in inventory(spark, root).groupBy("table_name", "format", "source").agg(F.count(F.lit(1)).alias("n")).collect():
+        df = read_source(spark, root, r["source"])
+        one = df.agg(F.count(F.lit(1)).alias("n_rows")).select(
+            F.lit(r["table_name"]).alias("table_name"), F.lit(r["format"]).alias("format"), "n_rows", F.lit(len(df.columns)).alias("n_columns"))
+        out = one if out is None else out.union(one)
+    return out
+
+
 def _columns_oracle():
     case = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in DUCK_TO_SPARK.items())
     return f"""

@@ -61,7 +61,7 @@ def q_stream_reindex(spark, sf_dir):
     ckpt = new_table_path(spark, "stream-ckpt")
     for name in STREAM_TABLES:
         spark.read.parquet(f"{sf_dir}/{name}.parquet").write.parquet(f"{root}/{name}")
-        q = start_reindex(spark, root, index_path, ckpt)
+        q = start_reindex(spark, root, index_path, ckpt, incremental=False)  # exact distinct counts
         q.awaitTermination()
     j = F.from_json("json_summary", "struct<fields: array<struct<column: string, properties: "
                                     "struct<num_unique_values: bigint>>>, field_names: array<string>>")
@@ -90,14 +90,11 @@ def q_file_stats_profile(spark, sf_dir):
     tabs = read_lake(spark, sf_dir)
     path = new_table_path(spark, "file-stats")
     # as if each row's hash named the file that holds it
-    half = {t: F.when(F.pmod(F.xxhash64(df.columns[0]), F.lit(2)) == 0, "a").otherwise("b") for t, df in tabs.items()}
-    files = {t: df.withColumn("_file", half[t]) for t, df in tabs.items()}
-    def arrive(batch, items):
-        one = [(t, df.drop("_file"), df) for t, df in items.items()]
-        stats = file_stats([(t, df) for t, _, df in one], F.col("_file")).filter("column_name <> '_file'")
-        write_file_stats(stats, path, batch)
-    arrive(0, {t: df.filter("_file = 'a'") for t, df in files.items()})
-    arrive(1, {t: df.withColumn("_file", F.when(F.col("_file") == "a", "copy").otherwise("b")) for t, df in files.items()})
+    name = {t: F.when(F.pmod(F.xxhash64(df.columns[0]), F.lit(2)) == 0, "a").otherwise("b") for t, df in tabs.items()}
+    write_file_stats(file_stats({t: df.filter(name[t] == "a") for t, df in tabs.items()}, F.lit("a")), path, 0)
+    second = [file_stats({t: df.filter(name[t] == "b") for t, df in tabs.items()}, F.lit("b")),
+              file_stats({t: df.filter(name[t] == "a") for t, df in tabs.items()}, F.lit("copy"))]
+    write_file_stats(second[0].unionByName(second[1]), path, 1)
     lost = spark.createDataFrame([(t, "copy") for t in tabs], "source string, file string")
     forget_files(spark, path, lost, 2)
     p = merged_profile(current_file_stats(spark, path))

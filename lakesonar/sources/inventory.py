@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # The file formats a lake table may have.
@@ -45,14 +45,58 @@ def below_root(path: Column, root: str) -> Column:
     return F.substring(path, F.instr(path, bare) + F.lit(len(bare)), F.length(path))
 
 
-def lake_table(path: Column, root: str) -> Column:
-    """The table a file belongs to: the first folder below the root (``nation/``,
-    ``nation.parquet/``, ``nation/key=1/``), the root itself if that is a partition
-    folder, or the file's own name for a file right below the root."""
+# A *source* is what one table is read from. A file right below the root is a source of its own, named by its path; any other
+# file belongs to the deepest folder above it that is no partition folder (``k=v``), together with that folder's
+# other files of its format: ``sales/eu/orders|parquet``. The root's own partition folders make ``|parquet``.
+
+def lake_source(path: Column, root: str) -> Column:
+    """The source that a file of the lake belongs to."""
     below = below_root(path, root)
-    first = F.regexp_extract(below, r"^([^/]*)/", 1)
-    stem = F.regexp_replace(F.when(first == "", below).otherwise(first), r"(?i)\.(csv|parquet)$", "")
-    return F.when(first.contains("="), F.lit(root.rstrip("/").rsplit("/", 1)[-1])).otherwise(stem)
+    folders = F.regexp_replace(F.regexp_extract(below, r"^(.*/)?[^/]*$", 1), r"/$", "")
+    folder = F.regexp_replace(folders, r"(^|/)[^/=]*=[^/]*(/[^/=]*=[^/]*)*$", "")
+    return F.when(folders == "", below).otherwise(F.concat(folder, F.lit("|"), file_format(path)))
+
+
+def source_parts(source: str, root: str) -> tuple[str, str, str, bool]:
+    """(table name if no other source wants it, path below the root, format, is a file) of a source."""
+    folder, bar, fmt = source.rpartition("|")
+    if not bar:
+        stem, _, ext = source.rpartition(".")
+        return stem, source, ext.lower(), True
+    bare = re.sub(r"(?i)\.(csv|parquet)$", "", folder) or root.rstrip("/").rsplit("/", 1)[-1]
+    return bare, folder, fmt, False
+
+
+def source_names(sources, root: str) -> dict[str, str]:
+    """The table name of each source: its path below the root without a format's ending. Of sources that want the same name a Parquet
+    folder, then a CSV folder, then a file gets it; a second folder is named with its format, a second
+    file with its ending."""
+    names: dict[str, str] = {}
+    order = {"parquet": 0, "csv": 1}
+    for source in sorted(sources, key=lambda s: (source_parts(s, root)[3], order.get(source_parts(s, root)[2], 2), s)):
+        bare, path, fmt, is_file = source_parts(source, root)
+        name = bare if bare not in names.values() else path if is_file else f"{bare} ({fmt})"
+        while name in names.values():
+            name += "'"
+        names[source] = name
+    return names
+
+
+def name_sources(df: DataFrame, root: str) -> DataFrame:
+    """``df`` with the ``table_name`` of its ``source``, by the rule of :func:`source_names`; sources are told apart by one
+    aggregation, not on the driver."""
+    src = df.select("source").distinct()
+    is_file = ~F.col("source").contains("|")
+    path = F.regexp_replace("source", r"\|[^|]*$", "")
+    plain = F.regexp_replace(path, r"(?i)\.(csv|parquet)$", "")
+    bare = F.when(plain == "", F.lit(root.rstrip("/").rsplit("/", 1)[-1])).otherwise(plain)
+    fmt = F.when(is_file, F.lower(F.regexp_extract("source", r"\.([A-Za-z0-9]+)$", 1))).otherwise(F.regexp_extract("source", r"\|([^|]*)$", 1))
+    order = F.when(fmt == "parquet", 0).when(fmt == "csv", 1).otherwise(2)
+    first = F.row_number().over(Window.partitionBy("_bare").orderBy("_file", "_order", "source")) == 1  # a few sources share a name
+    named = (src.withColumns({"_bare": bare, "_file": is_file, "_order": order, "_fmt": fmt, "_path": path})
+             .withColumn("table_name", F.when(first, F.col("_bare")).when(F.col("_file"), F.col("_path"))
+                         .otherwise(F.concat("_bare", F.lit(" ("), "_fmt", F.lit(")")))))
+    return df.join(named.select("source", "table_name"), "source")
 
 
 def is_valid_file(path: Column) -> Column:
@@ -61,17 +105,18 @@ def is_valid_file(path: Column) -> Column:
 
 
 def inventory(spark: SparkSession, root: str, only_valid: bool = True) -> DataFrame:
-    """inventory(table_name, path, file_name, format, size_bytes, modified_at)."""
+    """inventory(table_name, path, file_name, format, size_bytes, modified_at, source)."""
     files = list_files(spark, root)
     if only_valid:
         files = files.filter(is_valid_file(F.col("path")))
-    return files.select(
-        lake_table(F.col("path"), root).alias("table_name"),
+    return name_sources(files.withColumn("source", lake_source(F.col("path"), root)), root).select(
+        "table_name",
         F.col("path"),
         file_name(F.col("path")).alias("file_name"),
         file_format(F.col("path")).alias("format"),
         F.col("size_bytes"),
         F.col("modified_at"),
+        "source",
     )
 
 

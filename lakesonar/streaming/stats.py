@@ -12,7 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lakesonar.operators.profile import (VALUE_KEY, VALUE_TEXT, _date_aggs, _date_parsed, _date_pick, cells, column_catalog, described)
+from lakesonar.operators.profile import (EXTREMES, VALUE_KEY, VALUE_TEXT, _date_aggs, _date_parsed, _date_pick, cells,
+                                         column_catalog, decimal_extremes, described, has_decimals)
 from lakesonar.functions.dates import DATE_FORMATS
 from lakesonar.operators.index import _fs
 from lakesonar.session import table_exists
@@ -74,8 +75,8 @@ SKETCH_ERROR = 3 * 1.04 / 2 ** (SKETCH_LG / 2)
 FILE = ["source", "file"]
 COLUMN = ["source", "column_name"]
 SUMMED = ["n_rows", "n_non_null", "n", "nb"] + [f"ok{j}" for j in range(len(DATE_FORMATS))]
-LEAST = ["min_num", "min_lnum", "min_ts"] + [f"lo{j}" for j in range(len(DATE_FORMATS))]
-MOST = ["max_num", "max_lnum", "max_ts"] + [f"hi{j}" for j in range(len(DATE_FORMATS))]
+LEAST = ["min_num", "min_lnum", "min_ts", "min_tn"] + [f"lo{j}" for j in range(len(DATE_FORMATS))]
+MOST = ["max_num", "max_lnum", "max_ts", "max_tn"] + [f"hi{j}" for j in range(len(DATE_FORMATS))]
 
 
 def file_stats(tables, file, n_samples: int = 3) -> DataFrame:
@@ -88,7 +89,7 @@ def file_stats(tables, file, n_samples: int = 3) -> DataFrame:
     """
     items = list(tables.items() if isinstance(tables, dict) else tables)
     c = cells([(n, df.withColumn(PART_COL, file)) for n, df in items], keep_long=True, part_col=PART_COL)
-    present = F.coalesce("lnum", "num").isNotNull() | F.col("ts").isNotNull() | F.col("text").isNotNull()
+    present = F.coalesce("lnum", "num").isNotNull() | F.coalesce("ts", "tn").isNotNull() | F.col("text").isNotNull()
     v = (c.withColumn("present", present).withColumn("value", F.expr(VALUE_TEXT))
          .withColumn("vhash", F.coalesce("hkey", F.md5("value")))
          .withColumn("x", F.coalesce("num", F.col("lnum").cast("double")))
@@ -99,7 +100,8 @@ def file_stats(tables, file, n_samples: int = 3) -> DataFrame:
         F.count(F.lit(1)).alias("n_rows"), F.count_if("present").alias("n_non_null"), F.count("x").alias("n"),
         F.avg("x").alias("mean"), (F.var_pop("x") * F.count("x")).alias("m2"),
         F.min("x").alias("min_num"), F.max("x").alias("max_num"), F.min("lnum").alias("min_lnum"), F.max("lnum").alias("max_lnum"),
-        F.min("ts").alias("min_ts"), F.max("ts").alias("max_ts"),
+        F.min("ts").alias("min_ts"), F.max("ts").alias("max_ts"), F.min("tn").alias("min_tn"), F.max("tn").alias("max_tn"),
+        *decimal_extremes(has_decimals(items)),
         F.hll_sketch_agg("vhash", F.lit(SKETCH_LG)).alias("sketch"), *[F.expr(a) for a in [nb, *_date_aggs()]])
     few = smallest(v.filter("present").select(*keys, "vhash", "value"), keys, n_samples)
     catalog = column_catalog(items)
@@ -126,7 +128,7 @@ def forget_files(spark: SparkSession, path: str, files: DataFrame, batch: int) -
     known = spark.read.parquet(path)
     lost = files.select(*FILE).distinct().withColumn("gone", F.lit(True))
     blank = [F.lit(None).cast(f.dataType).alias(f.name) for f in known.schema.fields if f.name not in (*FILE, "gone", "batch")]
-    lost.select(*FILE, "gone", *blank).write.mode("overwrite").parquet(f"{path}/batch={batch}")
+    lost.select(*FILE, "gone", *blank).write.mode("append").parquet(f"{path}/batch={batch}")
 
 
 def next_batch(spark: SparkSession, path: str) -> int:
@@ -145,6 +147,16 @@ def current_file_stats(spark: SparkSession, path: str) -> DataFrame:
     return every.join(newest, [*FILE, "batch"], "left_semi").filter("NOT gone")
 
 
+def _decimals_merged() -> list:
+    """min_dec and max_dec of files: their texts, compared as the extremes that they are."""
+    out = []
+    for c, num, pick in (("min_dec", "min_num", F.min_by), ("max_dec", "max_num", F.max_by)):
+        digits = F.when(F.col(num) < 0, F.translate(c, "0123456789", "9876543210")).otherwise(F.col(c))
+        order = F.struct(num, F.length(c) * F.signum(num), digits)
+        out.append(pick(c, F.when(F.col(c).isNotNull(), order)).alias(c))
+    return out
+
+
 def merged_profile(stats: DataFrame, n_samples: int = 3, by: dict[str, str] | None = None) -> DataFrame:
     """The ``profile`` schema from statistics of files: everything as a full scan gives it but
     ``num_unique_values``, which comes from the united sketches (``distinct_error``).
@@ -157,14 +169,13 @@ def merged_profile(stats: DataFrame, n_samples: int = 3, by: dict[str, str] | No
     rows = (stats.groupBy(*FILE).agg(F.max("n_rows").alias("n")).groupBy("source").agg(F.sum("n").alias("source_rows")))
     total = stats.groupBy(*COLUMN).agg(
         *[F.sum(c).alias(c) for c in SUMMED], *[F.min(c).alias(c) for c in LEAST], *[F.max(c).alias(c) for c in MOST],
-        (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("mean"),
+        *_decimals_merged(), (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("mean"),
         F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("num_unique_values"))
     away = (stats.join(total.select(*COLUMN, F.col("mean").alias("gmean")), COLUMN).groupBy(*COLUMN).agg(
         (F.sum("m2") + F.sum(F.col("n") * (F.col("mean") - F.col("gmean")) ** 2)).alias("m2")))
     few = smallest(stats.select(*COLUMN, F.inline("samples")), COLUMN, n_samples).select(
         *COLUMN, F.transform("samples", lambda x: x["value"]).alias("samples"))
-    picked = total.selectExpr(*COLUMN, "n", "n_non_null", "num_unique_values", "min_num", "max_num", "min_lnum", "max_lnum",
-                              "min_ts", "max_ts", *_date_pick())
+    picked = total.selectExpr(*COLUMN, "n", "n_non_null", "num_unique_values", *EXTREMES, *_date_pick())
     out = (catalog.join(picked, COLUMN).join(away, COLUMN).join(few, COLUMN, "left").join(rows, "source")
            .withColumn("n_rows", F.col("source_rows"))  # a file without the column has nulls there
            .withColumn("std", F.when(F.col("n") > 1, F.sqrt(F.col("m2") / (F.col("n") - 1))))

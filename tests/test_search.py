@@ -82,6 +82,48 @@ def test_index_idempotent_and_upsert(spark):
     assert index_exists(spark, q)
 
 
+def _files(path):
+    import os
+    return {os.path.join(d, f) for d, _, fs in os.walk(path) for f in fs if f.endswith(".parquet")}
+
+
+def test_only_touched_buckets_are_rewritten(spark, tmp_path):
+    import pytest
+    from lakesonar.operators import index as ix
+    p = str(tmp_path / "idx")
+
+    def recs(pairs):
+        return spark.createDataFrame(pairs, "id string, json_summary string")
+
+    def rows():
+        return {r["id"]: r["json_summary"] for r in open_index(spark, p).collect()}
+
+    ix.create_index(spark, p, buckets=40)
+    assert not index_exists(spark, p)
+    upsert(spark, p, recs([(f"r{i}", "v1") for i in range(300)]))
+    touched = ix.compact(spark, p)
+    state = ix.commit_of(spark, p)
+    assert len(touched) > 30 and not state["deltas"] and set(map(int, state["base"])) == set(touched)
+    before = _files(p)
+    upsert(spark, p, recs([("r1", "v2"), ("new", "v2")]))
+    assert len(_files(p) - before) <= 2 and before <= _files(p)     # a write of two rows writes those
+    ix.remove(spark, p, recs([("r2", "")]).select("id"))
+    want = {f"r{i}": "v1" for i in range(300) if i != 2} | {"r1": "v2", "new": "v2"}
+    assert rows() == want
+    touched = ix.compact(spark, p)
+    after = ix.commit_of(spark, p)
+    assert 1 <= len(touched) <= 3 and rows() == want
+    same = {b for b in state["base"] if after["base"].get(b) == state["base"][b]}
+    assert same == set(state["base"]) - set(map(str, touched))       # all other buckets keep their files
+    ix.vacuum(spark, p)
+    assert rows() == want and len(_files(p)) == len(after["base"])
+    for i in range(3):                                               # deltas are put into buckets by themselves
+        upsert(spark, p, recs([("r5", f"w{i}")]), max_deltas=2)
+    assert not ix.commit_of(spark, p)["deltas"] and rows()["r5"] == "w2"
+    with pytest.raises(RuntimeError):                                # a lost race is an error
+        ix._commit(spark, p, after)
+
+
 def test_snippets(spark):
     rows = [(1, '{"name": "orders", "x": 1}', "t1"), (2, '{"x": 1}', "t2"), (3, '{"name": null}', "t3"),
             (4, "[1, 2]", "t4"), (5, "   ", "t5"), (6, "{broken", "t6")]

@@ -97,3 +97,102 @@ def test_stream_over_flat_csv_and_partitioned_tables(spark, tmp_path):
     got = {r["id"]: r for r in open_index(spark, str(tmp_path / "idx")).collect()}
     assert set(got) == names and all(r["source_modified_at"] is not None for r in got.values())
     assert "n_regionkey" in got["nation"]["json_summary"] and "r_name" in got["regions"]["json_summary"]
+
+
+def test_csv_as_other_tools_write_it(spark, tmp_path):
+    import pandas as pd
+    rows = pd.DataFrame({"a": [1, 2, 3], "t": ["line one\nline two", 'say "hi", ok', ""], "x": [0.5, None, 2.0]})
+    rows.to_csv(tmp_path / "t.csv", index=False)
+    got = read_file(spark, str(tmp_path / "t.csv")).orderBy("a").collect()
+    assert [tuple(r) for r in got] == [(1, "line one\nline two", 0.5), (2, 'say "hi", ok', None), (3, None, 2.0)]
+    (tmp_path / "bad.csv").write_text("a,b\n1,2\n3,4,5\n6,7\n")
+    got = read_file(spark, str(tmp_path / "bad.csv"), bad_records="_bad").orderBy("a").collect()
+    assert [(r["a"], r["_bad"]) for r in got] == [(1, None), (3, "3,4,5"), (6, None)]
+
+
+def _names(spark, root):
+    return {(r["table_name"], r["format"]) for r in inventory(spark, str(root)).collect()}
+
+
+def test_nested_mixed_and_colliding_tables(spark, tmp_path):
+    from lakesonar.sources.inventory import source_names
+    from lakesonar.sources.scan import read_source
+    root = tmp_path / "lake"
+    one = spark.createDataFrame([(1, "x"), (2, "y")], "id long, p string").coalesce(1)
+    one.write.parquet(f"{root}/sales/eu/orders")
+    one.write.partitionBy("p").parquet(f"{root}/sales/us/refunds")
+    one.write.option("header", "true").csv(f"{root}/mixed")
+    one.write.mode("append").parquet(f"{root}/mixed")
+    one.toPandas().to_parquet(f"{root}/mixed.parquet")
+    one.write.parquet(f"{root}/sales/eu/orders/archive/old")            # a table below a table
+    want = {("sales/eu/orders", "parquet"), ("sales/us/refunds", "parquet"), ("mixed", "parquet"), ("mixed (csv)", "csv"),
+            ("mixed.parquet", "parquet"), ("sales/eu/orders/archive/old", "parquet")}
+    assert _names(spark, root) == want
+    sources = {r["source"]: r["table_name"] for r in inventory(spark, str(root)).collect()}
+    assert source_names(sources, str(root)) == sources                 # both forms of the rule agree
+    for s in sources:
+        df = read_source(spark, str(root), s)
+        assert sorted(df.columns) == ["id", "p"] and sorted(r["id"] for r in df.collect()) == [1, 2]
+
+
+def test_stream_adds_files_without_reading_the_table_again(spark, tmp_path):
+    import json
+    import shutil
+    from lakesonar.operators import index as ix
+    from lakesonar.plans.lake_search import build_summaries
+    from lakesonar.sources.scan import read_source
+    from lakesonar.streaming import reindex as rx
+    root, idx, ckpt = tmp_path / "lake", str(tmp_path / "idx"), str(tmp_path / "ckpt")
+    li = spark.read.parquet(f"{SF}/lineitem.parquet")
+    ev = spark.read.parquet(f"{SF}/events.parquet")
+    read = []
+    real = rx.read_files
+    rx.read_files = lambda sp, r, s, paths, **k: read.append((s, len(paths))) or real(sp, r, s, paths, **k)
+    try:
+        li.filter("l_linenumber <= 3").coalesce(1).write.parquet(f"{root}/a/line")
+        ev.coalesce(1).write.partitionBy("event_type").parquet(f"{root}/b/ev")
+        rx.start_reindex(spark, str(root), idx, ckpt).awaitTermination()
+        li.filter("l_linenumber > 3").coalesce(1).write.mode("append").parquet(f"{root}/a/line")
+        li.filter("l_linenumber > 3").coalesce(1).write.mode("append").option("header", "true").csv(f"{root}/a/line")  # now mixed
+        rx.start_reindex(spark, str(root), idx, ckpt).awaitTermination()
+    finally:
+        rx.read_files = real
+    assert sorted(read) == [("a/line|csv", 1), ("a/line|parquet", 1), ("a/line|parquet", 1), ("b/ev|parquet", 5)]
+
+    def same_as_full_profile():
+        got = {r["id"]: r for r in ix.open_index(spark, idx).collect()}
+        names = {r["table_name"]: r["source"] for r in inventory(spark, str(root)).collect()}
+        assert set(got) == set(names)
+        full = {r["name"]: json.loads(r["json_summary"]) for r in build_summaries(
+            {n: read_source(spark, str(root), s) for n, s in names.items()}).collect()}
+        for n, r in got.items():
+            mine = json.loads(r["json_summary"])
+            assert mine["field_names"] == full[n]["field_names"] and r["source_modified_at"] is not None
+            for a, b in zip(mine["fields"], full[n]["fields"]):
+                a, b = a["properties"], b["properties"]
+                assert abs(a.pop("num_unique_values") - b["num_unique_values"]) <= 0.05 * b.pop("num_unique_values")
+                if isinstance(a.get("std"), float):
+                    assert abs(a.pop("std") - b["std"]) <= 1e-9 * max(1.0, b.pop("std"))
+                assert a == b
+        return set(got)
+
+    assert same_as_full_profile() == {"a/line", "a/line (csv)", "b/ev"}
+    assert rx.drop_missing(spark, str(root), idx) == 0
+    gone = next(p for p in (root / "a" / "line").iterdir() if p.name.endswith(".csv"))
+    gone.unlink()
+    first = sorted((root / "b" / "ev").glob("event_type=*"))[0]
+    shutil.rmtree(first)
+    spark.catalog.clearCache()
+    assert rx.drop_missing(spark, str(root), idx) == 2
+    assert same_as_full_profile() == {"a/line", "b/ev"}
+
+
+def test_distinct_error_is_marked(spark):
+    from lakesonar.operators.profile import profile
+    t = {"t": spark.range(5000).selectExpr("id", "id % 7 AS k", "CAST(id AS string) AS s")}
+    exact = profile(t, n_samples=0).collect()
+    assert all(r["distinct_is_exact"] and r["distinct_error"] == 0 for r in exact)
+    truth = {r["column_name"]: r["num_unique_values"] for r in exact}
+    for r in profile(t, n_samples=0, exact=False).collect():
+        assert not r["distinct_is_exact"]
+        assert abs(r["num_unique_values"] - truth[r["column_name"]]) <= r["distinct_error"] * truth[r["column_name"]]
