@@ -92,6 +92,13 @@ def sql_iso_text(e: str, dt: T.DataType | None = None) -> str:
     return f"(CASE WHEN {frac} = '000000' THEN {base} ELSE concat({base}, '.', {frac}) END)"
 
 
+def sql_local_text(e: str) -> str:
+    """ISO-8601 text of a timestamp without a zone; ``date_format`` would move it through the session's."""
+    text = f"CAST({e} AS STRING)"
+    return (f"concat(replace(substr({text}, 1, 19), ' ', 'T'), CASE WHEN length({text}) > 19 "
+            f"THEN concat('.', rpad(substr({text}, 21), 6, '0')) ELSE '' END)")
+
+
 def sql_double_text(e: str) -> str:
     """A double without an exponent from 1e-4 up to 1e16, as Python prints it."""
     text = f"CAST({e} AS STRING)"

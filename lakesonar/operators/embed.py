@@ -128,9 +128,13 @@ def hashed_embedding(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return tv.select("id", F.transform("v.tf", lambda x: x / F.col("v.norm")).alias("embedding"))
 
 
+# Texts sent to an embedding model in one call.
+EMBED_BATCH = 64
+
+
 def embed_with(df: DataFrame, text_col: str, embed_fn: Callable[[list[str]], list],
                out_col: str = "embedding", factory: bool = False) -> DataFrame:
-    """V1/V2: ``embed_fn(list[str]) -> list[vector]`` on Arrow batches; with
+    """V1/V2: ``embed_fn(list[str]) -> list[vector]`` on at most ``EMBED_BATCH`` texts a call; with
     ``factory=True`` the model is built once per task. Errors propagate (V2)."""
     from lakesonar.session import ship_package
     ship_package(df.sparkSession)
@@ -139,7 +143,8 @@ def embed_with(df: DataFrame, text_col: str, embed_fn: Callable[[list[str]], lis
     def run(batches):
         fn = embed_fn() if factory else embed_fn
         for pdf in batches:
-            vecs = fn(pdf[text_col].tolist())
+            texts = pdf[text_col].tolist()
+            vecs = [v for i in range(0, len(texts), EMBED_BATCH) for v in fn(texts[i:i + EMBED_BATCH])]
             pdf = pdf.copy()
             pdf[out_col] = pd.Series([np.asarray(v, dtype=np.float32) for v in vecs], dtype=object)
             yield pdf

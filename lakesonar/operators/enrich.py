@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from lakesonar.functions.jsonfix import repair, try_parse
 from lakesonar.functions.semantic import sql_description, sql_semantic_type
 from lakesonar.functions.text import strip
+from lakesonar.session import new_table_path, table_exists
 
 # Prompt slots and the failure marker of prose enrichment.
 JSON_SLOT = "{json_summary}"
@@ -72,6 +73,53 @@ def call_model(df: DataFrame, prompt_col: str, model_fn: ModelFn,
     return df.mapInPandas(run, schema)
 
 
+REPLY_SCHEMA = "prompt_hash string, model_id string, prompt string, reply string, error string, run long"
+
+
+def prompt_hash(prompt: F.Column, model_id: str) -> F.Column:
+    """The key of a stored reply: a hash of the model's id and the prompt."""
+    return F.sha2(F.concat(F.lit(f"{model_id}\n"), prompt), 256)
+
+
+def stored_replies(spark, path: str, kind: str = "replies") -> DataFrame:
+    """The reply table under ``path``, or its ``errors``: one row for each prompt and run that failed."""
+    if not table_exists(spark, f"{path}/{kind}"):
+        return spark.createDataFrame([], REPLY_SCHEMA)
+    return spark.read.schema(REPLY_SCHEMA).parquet(f"{path}/{kind}")
+
+
+def call_model_stored(df: DataFrame, prompt_col: str, model_fn: ModelFn, path: str, model_id: str, run: int = 0,
+                      reply_col: str = "reply", error_col: str = "error", factory: bool = False) -> DataFrame:
+    """:func:`call_model` through a table of replies: each distinct prompt that has no stored reply is called
+    once, its reply is added to ``<path>/replies`` or its reason to ``<path>/errors``, and rows get theirs by a join. A
+    later run calls no prompt that was answered, and failed ones again."""
+    spark = df.sparkSession
+    prompts = df.select(F.col(prompt_col).alias("prompt")).filter("prompt IS NOT NULL").distinct()
+    keyed = prompts.select(prompt_hash(F.col("prompt"), model_id).alias("prompt_hash"), "prompt")
+    new = keyed.join(stored_replies(spark, path).select("prompt_hash"), "prompt_hash", "left_anti")
+    called = call_model(new, "prompt", model_fn, factory=factory).select(
+        "prompt_hash", F.lit(model_id).alias("model_id"), "prompt", "reply", "error", F.lit(run).cast("long").alias("run"))
+    staged = new_table_path(spark, "model-calls")  # the model is called once, whatever is read from it
+    called.write.parquet(staged)
+    called = spark.read.schema(REPLY_SCHEMA).parquet(staged)
+    for kind, rows in (("replies", called.filter("error IS NULL")), ("errors", called.filter("error IS NOT NULL"))):
+        rows.write.mode("append").parquet(f"{path}/{kind}")
+    # a run that was repeated half-way may have stored a reply twice
+    known = stored_replies(spark, path).dropDuplicates(["prompt_hash"]).select("prompt_hash", F.col("reply").alias(reply_col))
+    failed = called.filter("error IS NOT NULL").select("prompt_hash", F.col("error").alias(error_col))
+    key = "_prompt_hash"
+    return (df.withColumn(key, prompt_hash(F.col(prompt_col), model_id))
+            .join(known.withColumnRenamed("prompt_hash", key), key, "left")
+            .join(failed.withColumnRenamed("prompt_hash", key), key, "left").drop(key))
+
+
+def _called(df: DataFrame, prompt_col: str, model_fn: ModelFn, replies: tuple[str, str] | None, factory: bool) -> DataFrame:
+    """(_reply, _error) by a call, or through the reply table ``replies`` = (path, model id)."""
+    if replies is None:
+        return call_model(df, prompt_col, model_fn, "_reply", "_error", factory)
+    return call_model_stored(df, prompt_col, model_fn, *replies, reply_col="_reply", error_col="_error", factory=factory)
+
+
 def structured_prompt(instruction: str, json_col: str = "json_summary"):
     """E1 prompt: the instruction followed by the summary JSON."""
     return F.concat(F.lit(instruction), F.lit("\n"), F.col(json_col))
@@ -83,16 +131,17 @@ def prose_prompt(template: str, json_col: str = "json_pretty"):
 
 
 def enrich_structured(summaries: DataFrame, model_fn: ModelFn, instruction: str,
-                      on_error: str = "keep_base") -> DataFrame:
+                      on_error: str = "keep_base", replies: tuple[str, str] | None = None, factory: bool = False) -> DataFrame:
     """Model reply → R1/R2 repair → R3 parse.
 
     Adds ``enriched_json`` (repaired text), ``status`` and ``display_name``
     (the model's ``name``; the index id stays the source name, Q14).
     ``on_error='raise'`` fails the job on the first bad row, as the reference;
-    ``'keep_base'`` keeps the base summary and marks the row failed.
+    ``'keep_base'`` keeps the base summary and marks the row failed. ``replies`` = (path, model id): see
+    :func:`call_model_stored`.
     """
     df = summaries.withColumn("_prompt", structured_prompt(instruction))
-    df = call_model(df, "_prompt", model_fn, "_reply", "_error")
+    df = _called(df, "_prompt", model_fn, replies, factory)
     fixed = repair(F.col("_reply"))
     ok = F.col("_error").isNull() & try_parse(fixed).isNotNull()
     out = (df.withColumn("_fixed", fixed)
@@ -105,11 +154,12 @@ def enrich_structured(summaries: DataFrame, model_fn: ModelFn, instruction: str,
     return out.drop("_prompt", "_reply", "_error", "_fixed")
 
 
-def enrich_prose(summaries: DataFrame, model_fn: ModelFn, template: str) -> DataFrame:
+def enrich_prose(summaries: DataFrame, model_fn: ModelFn, template: str,
+                 replies: tuple[str, str] | None = None, factory: bool = False) -> DataFrame:
     """Prose ``enriched_text``; a failure becomes the marker text with
     ``status='failed'`` (kept out of search by default)."""
     df = summaries.withColumn("_prompt", prose_prompt(template))
-    df = call_model(df, "_prompt", model_fn, "_reply", "_error")
+    df = _called(df, "_prompt", model_fn, replies, factory)
     failed = F.col("_error").isNotNull()
     return (df.withColumn("enriched_text", F.when(failed, F.concat(F.lit(FAILED_PREFIX), F.col("_error")))
                           .otherwise(strip(F.col("_reply"))))

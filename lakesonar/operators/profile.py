@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from lakesonar.functions.dates import DATE_FORMATS, sql_parse_with
 from lakesonar.functions.render import (INTEGRAL, iso_text, kind_of, quote, sql_double_text, sql_iso_text,
-                                        sql_nan_to_null, sql_value_text)
+                                        sql_local_text, sql_nan_to_null, sql_value_text)
 
 # The cardinality ratio under which a string column is a category.
 CATEGORY_RATIO = 0.5
@@ -120,7 +120,7 @@ def cells(tables, sample_rows: int | None = None, keep_long: bool = False,
 
 
 VALUE_TEXT = (f"coalesce(text, CAST(lnum AS STRING), {sql_double_text('num')}, "
-              + sql_iso_text("ts") + ", " + sql_iso_text("tn") + ")")
+              + sql_iso_text("ts") + ", " + sql_local_text("tn") + ")")
 # identity of a value for null tests and sketches: long texts by their hash
 VALUE_KEY = f"coalesce({VALUE_TEXT}, hkey)"
 
@@ -429,14 +429,14 @@ def described(out: DataFrame) -> DataFrame:
     min_text = (F.when(kind == "number",
                        F.when(F.col("integral"), F.col("min_lnum").cast("string"))
                        .otherwise(F.coalesce("min_dec", F.expr(sql_double_text("min_num")))))
-                .when(F.col("spark_type") == "date", F.date_format("min_tn", "yyyy-MM-dd"))
-                .when(kind == "temporal", F.coalesce(iso_text("min_ts"), iso_text("min_tn")))
+                .when(F.col("spark_type") == "date", F.col("min_tn").cast("date").cast("string"))
+                .when(kind == "temporal", F.coalesce(iso_text("min_ts"), F.expr(sql_local_text("min_tn"))))
                 .when(F.col("date_format").isNotNull(), iso_text("date_min")))
     max_text = (F.when(kind == "number",
                        F.when(F.col("integral"), F.col("max_lnum").cast("string"))
                        .otherwise(F.coalesce("max_dec", F.expr(sql_double_text("max_num")))))
-                .when(F.col("spark_type") == "date", F.date_format("max_tn", "yyyy-MM-dd"))
-                .when(kind == "temporal", F.coalesce(iso_text("max_ts"), iso_text("max_tn")))
+                .when(F.col("spark_type") == "date", F.col("max_tn").cast("date").cast("string"))
+                .when(kind == "temporal", F.coalesce(iso_text("max_ts"), F.expr(sql_local_text("max_tn"))))
                 .when(F.col("date_format").isNotNull(), iso_text("date_max")))
     return out.select(
         "table_name", "ordinal", "column_name", "spark_type", dtype.alias("dtype"),

@@ -12,6 +12,10 @@ GRAMS_SQL = ("array_distinct(flatten(transform(filter(split(lower({t}), '[^a-z0-
              "w -> transform(sequence(1, length(w)), i -> substr(concat('#', w, '#'), i, 3)))))")
 
 
+# What an answer says of each of its at most k hits.
+HIT = ["rank", "id", "distance", "enriched_text", "json_summary"]
+
+
 def grams(text: str) -> Column:
     """Distinct character 3-grams of the words ``#word#`` of a text column."""
     return F.expr(GRAMS_SQL.format(t=text))
@@ -58,12 +62,13 @@ def pick_best(scored: DataFrame, q_id: str = "query_id", score: str = "coverage"
     aggregates partially, so no question's candidates need one task."""
     return scored.groupBy(q_id).agg(
         F.max_by("id", F.struct(F.col(score), -F.col("rank"))).alias("best_table_name"),
-        F.array_sort(F.collect_list(F.struct("rank", "id", "distance"))).alias("top_k"))
+        F.array_sort(F.collect_list(F.struct(*HIT))).alias("top_k"))
 
 
-def rerank_with_model(prompts: DataFrame, model_fn, prompt_col: str = "prompt") -> DataFrame:
+def rerank_with_model(prompts: DataFrame, model_fn, prompt_col: str = "prompt", replies: tuple[str, str] | None = None,
+                      factory: bool = False) -> DataFrame:
     """The model picks one table; failures answer ``UnknownTable``."""
-    from lakesonar.operators.enrich import call_model
-    r = call_model(prompts, prompt_col, model_fn, "_reply", "_error")
+    from lakesonar.operators.enrich import _called
+    r = _called(prompts, prompt_col, model_fn, replies, factory)
     return (r.withColumn("best_table_name", best_or_unknown(F.col("_reply"), F.col("_error").isNotNull()))
             .drop("_reply", "_error"))

@@ -126,25 +126,28 @@ def table_questions(tables) -> DataFrame:
     return spark.createDataFrame(rows, "query_id long, query string, expected_table string")
 
 
-def check_model(index: DataFrame, model_id: str = MODEL_ID) -> None:
-    """V3: questions must be embedded by the model that built the index.
-    Reads the distinct model ids of the index (a tiny aggregate)."""
-    if "model_id" not in index.columns:
-        return
-    ids = {r[0] for r in index.filter("model_id IS NOT NULL").select("model_id").distinct().collect()}
-    if ids and ids != {model_id}:
-        raise ValueError(f"index was built with {sorted(ids)}, questions use {model_id}")
+def check_model(index: DataFrame, model_id: str = MODEL_ID) -> int | None:
+    """V3: questions must be embedded by the model that built the index, whose vectors have
+    one dimension; returns it (None: no vectors). One small aggregate over the index."""
+    ids = F.collect_set("model_id") if "model_id" in index.columns else F.array().cast("array<string>")
+    size = F.size("embedding") if "embedding" in index.columns else F.lit(None).cast("int")
+    found = index.agg(ids.alias("ids"), F.min(F.when(size > 0, size)).alias("low"), F.max(size).alias("high")).first()
+    if found["ids"] and set(found["ids"]) != {model_id}:
+        raise ValueError(f"index was built with {sorted(found['ids'])}, questions use {model_id}")
+    if found["low"] is not None and found["low"] != found["high"]:
+        raise ValueError(f"index holds vectors of {found['low']} to {found['high']} dimensions")
+    return found["low"]
 
 
 def candidates(questions: DataFrame, index: DataFrame, k: int = 3, metric: str = "cosine",
                include_failed: bool = False, embed_fn=None, model_id: str = MODEL_ID,
                factory: bool = False) -> DataFrame:
     """K1 + N1: the top-k index records of every question with their snippets."""
-    check_model(index, model_id)
+    dim = check_model(index, model_id)
     if not include_failed and "status" in index.columns:
         index = index.filter(F.coalesce(F.col("status"), F.lit("ok")) != "failed")
     q_emb = embedded(questions, "query_id", "query", embed_fn, model_id, factory).withColumnRenamed("id", "query_id")
-    hits = top_k(q_emb, index.select("id", "embedding"), k=k, metric=metric)
+    hits = top_k(q_emb, index.select("id", "embedding"), k=k, metric=metric, dim=dim)
     hits = (hits.join(questions.select("query_id", "query"), "query_id")
             .join(index.select("id", "enriched_text", "json_summary"), "id"))
     return hits.withColumn("snippet", snippet())
@@ -174,10 +177,10 @@ def answer_with_model(questions: DataFrame, index: DataFrame, model_fn, template
     """N2-N8 with a model: snippets joined per question, template filled, one
     model call per question (Arrow batches), reply parsed, ``UnknownTable`` on
     failure, and whether the answer is among the candidates (N7)."""
-    from lakesonar.operators.rerank import join_snippets, rerank_prompt, rerank_with_model
+    from lakesonar.operators.rerank import HIT, join_snippets, rerank_prompt, rerank_with_model
     hits = candidates(questions, index, k, metric, False, embed_fn, model_id, factory)
     tops = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(
-        F.struct("rank", "id", "distance"))).alias("top_k"))
+        F.struct(*HIT))).alias("top_k"))
     prompts = (join_snippets(hits).join(questions.select("query_id", "query"), "query_id")
                .withColumn("prompt", rerank_prompt(template)))
     return _for_all(questions, rerank_with_model(prompts, model_fn).join(tops, "query_id"))

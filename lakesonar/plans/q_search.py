@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lakesonar.operators.ann import build_ivf, recall_at_k, top_k_ivf, top_k_lsh
@@ -240,6 +241,27 @@ def q_lake_search(spark, sf_dir):
                     "in_candidates", (F.col("best_table_name") == F.col("expected_table")).alias("is_correct"))
 
 
+@query("answer_hits", _search_oracle("base") + """
+SELECT c.query_id, c.rank, c.id, idx.txt AS enriched_text, c.id AS summary_name FROM cov c JOIN idx ON idx.id = c.id""")
+def q_answer_hits(spark, sf_dir):
+    """Every hit of an answer with its indexed text and its summary."""
+    tabs = read_lake(spark, sf_dir)
+    a = answer(table_questions(tabs), build_index(spark, tabs, exact="auto"), k=3).select("query_id", F.inline("top_k"))
+    return a.select("query_id", F.col("rank").cast("long").alias("rank"), "id", "enriched_text",
+                    F.get_json_object("json_summary", "$.name").alias("summary_name"))
+
+
+@query("topk_few", """
+SELECT q.vec_id AS query_id, x.vec_id::VARCHAR AS id, (SELECT count(*) FROM embeddings WHERE label = 3) AS n_hits
+FROM embeddings q, embeddings x WHERE x.label = 3 AND q.label < 3""")
+def q_topk_few(spark, sf_dir):
+    """K3: more neighbours asked for than the index has rows."""
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    h = top_k(e.filter("label < 3").select(F.col("vec_id").alias("query_id"), "embedding"),
+              e.filter("label = 3").select(F.col("vec_id").cast("string").alias("id"), "embedding"), k=1_000_000)
+    return h.select("query_id", "id", F.max("rank").over(Window.partitionBy("query_id")).cast("long").alias("n_hits"))
+
+
 # --- approximate search (K5) -------------------------------------------------
 
 def _vectors(spark, sf_dir):
@@ -283,7 +305,7 @@ def q_topk_lsh(spark, sf_dir):
 
 @query("ann_recall", """
 SELECT method, (SELECT count(*) FROM embeddings) AS n_questions, at_least, true AS reached
-FROM (VALUES ('ivf', 0.95), ('ivf bounded', 1.0), ('lsh', 0.9)) m(method, at_least)""")
+FROM (VALUES ('ivf', 0.95::DOUBLE), ('ivf bounded', 1.0::DOUBLE), ('lsh', 0.9::DOUBLE)) m(method, at_least)""")
 def q_ann_recall(spark, sf_dir):
     """Mean recall at 3 of the approximate searches against the exact one, every vector a question."""
     idx, qs = _vectors(spark, sf_dir)

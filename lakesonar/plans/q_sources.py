@@ -198,6 +198,50 @@ def q_observed_nullability(spark, sf_dir):
         "table_name", "column_name", F.col("n_null").cast("long").alias("n_null"))
 
 
+def _nullability_oracle():
+    case = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in DUCK_TO_SPARK.items())
+    return union_sql([f"SELECT '{t}' AS table_name, '{c}' AS column_name, CASE '{ty}' {case} END AS type_name, count(*) AS n_rows, "
+                      f"count(*) - count({c}) AS n_null, count({c}) < count(*) AS observed_nullable FROM {t}"
+                      for t, cols in LAKE_TABLES.items() for c, ty in cols])
+
+
+@query("file_nullability", _nullability_oracle())
+def q_file_nullability(spark, sf_dir):
+    from lakesonar.operators.schema import file_nullability
+    return file_nullability(spark, {t: f"{sf_dir}/{t}.parquet" for t in LAKE_TABLES}).drop("ordinal")
+
+
+LIMITS = (7, 100, 1_000_000)
+
+
+@query("sample_limits", union_sql([f"SELECT '{t}' AS table_name, {n} AS num_rows, least({n}, count(*))::BIGINT AS n_sampled FROM {t}"
+                                   for t in LAKE_TABLES for n in LIMITS]))
+def q_sample_limits(spark, sf_dir):
+    """The row limit below and above the row count of every table."""
+    out = None
+    for t, df in read_lake(spark, sf_dir).items():
+        for n in LIMITS:
+            one = sample_rows(df, num_rows=n).agg(F.count(F.lit(1)).alias("n_sampled")).select(
+                F.lit(t).alias("table_name"), F.lit(n).alias("num_rows"), "n_sampled")
+            out = one if out is None else out.union(one)
+    return out
+
+
+@query("sampled_summaries", union_sql([
+    f"SELECT '{t}' AS name, least(50, count(*))::BIGINT AS n_rows, {len(cols)} AS n_fields, true AS is_base, "
+    f"'{','.join(c for c, _ in cols)}' AS field_names FROM {t}" for t, cols in LAKE_TABLES.items()]))
+def q_sampled_summaries(spark, sf_dir):
+    """Base summaries (no semantic type, no description) of at most 50 rows of every table."""
+    from lakesonar.plans.lake_search import build_summaries
+    tabs = read_lake(spark, sf_dir)
+    p = profile(tabs, sample_rows=50, n_samples=0).groupBy(F.col("table_name").alias("name")).agg(F.max("n_rows").alias("n_rows"))
+    s = build_summaries(tabs, sample_rows=50, enrich=False)
+    blank = F.forall("fields", lambda f: (f["properties"]["semantic_type"] == "") & (f["properties"]["description"] == ""))
+    return s.join(p, "name").select("name", "n_rows", F.size("fields").alias("n_fields"),
+                                    (blank & (F.col("dataset_description") == "")).alias("is_base"),
+                                    F.array_join("field_names", ",").alias("field_names"))
+
+
 def _schema_text_oracle():
     case = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in DUCK_TO_SPARK.items())
     return f"""

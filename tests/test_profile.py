@@ -239,3 +239,49 @@ def test_zoned_iso_timestamps_are_dates(spark):
     for fn in (q.q_profile_dates, q.q_profile_dates_approx):
         r = _by_col(fn(spark, sf))["d_zoned"]
         assert (r["dtype"], r["min"], r["max"]) == ("date", low, high)
+
+
+def test_footer_counts_are_pushed_down(spark, tmp_path):
+    from lakesonar.operators.schema import file_nullability, footer_counts, footer_reads, observed_nullability
+    df = spark.createDataFrame([(1, "a", 1.0, [1]), (None, None, float("nan"), None), (3, "", None, [2])],
+                               "i int, s string, d double, xs array<int>")
+    path = str(tmp_path / "t")
+    df.repartition(2).write.parquet(path)
+    before = spark.conf.get("spark.sql.sources.useV1SourceList", None)
+    with footer_reads(spark):
+        counts, flat = footer_counts(spark.read.parquet(path))
+        plan = counts._jdf.queryExecution().executedPlan().toString()
+        assert flat == [0, 1] and "PushedAggregation: [COUNT(*), COUNT(i), COUNT(s)]" in plan
+    assert spark.conf.get("spark.sql.sources.useV1SourceList", None) == before
+    got = {r["column_name"]: (r["n_rows"], r["n_null"]) for r in file_nullability(spark, {"t": path}).collect()}
+    assert got == {"i": (3, 1), "s": (3, 1), "d": (3, 2), "xs": (3, 1)}          # NaN is missing
+    wide = observed_nullability({"t": spark.read.parquet(path), "e": df.limit(0)})
+    assert {(r["table_name"], r["ordinal"]): r["n_null"] for r in wide.collect()} == {
+        ("t", 0): 1, ("t", 1): 1, ("t", 2): 2, ("t", 3): 1, ("e", 0): 0, ("e", 1): 0, ("e", 2): 0, ("e", 3): 0}
+    plan = observed_nullability({"t": spark.read.parquet(path)})._jdf.queryExecution().executedPlan().toString()
+    assert "md5" not in plan
+
+
+def test_local_times_keep_their_values_in_any_zone(spark):
+    from lakesonar.operators.profile import profile
+    df = spark.sql("SELECT timestamp_ntz'2024-03-10 02:30:00' AS t UNION ALL SELECT timestamp_ntz'2024-03-10 03:30:00'")
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        for exact in (True, False):
+            (r,) = profile({"t": df}, exact=exact).collect()
+            assert r["num_unique_values"] == 2 and (r["min"], r["max"]) == ("2024-03-10T02:30:00", "2024-03-10T03:30:00")
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_decimal_and_double_texts(spark):
+    from lakesonar.operators.profile import profile
+    df = spark.sql("""SELECT CAST(c1 AS DECIMAL(38, 10)) AS wide, CAST(c2 AS DOUBLE) AS d FROM VALUES
+      ('12345678901234567890.1234567891', '1e7'), ('12345678901234567890.1234567892', '0.0005'), ('-9.5', '1e20'),
+      ('-12345678901234567890.1234567891', '-12345678.25'), ('-12345678901234567890.1234567892', NULL) AS t(c1, c2)""")
+    for exact in (True, False):
+        r = {x["column_name"]: x for x in profile({"t": df}, exact=exact, n_samples=9).collect()}
+        assert r["wide"]["min"] == "-12345678901234567890.1234567892" and r["wide"]["max"] == "12345678901234567890.1234567892"
+        assert set(r["d"]["samples"]) == {"10000000.0", "0.0005", "1.0E20", "-12345678.25"}
+        assert r["d"]["min"] == "-12345678.25"

@@ -149,6 +149,73 @@ def test_model_failures_isolated(spark):
     assert out["bad"][0] is None and "boom" in out["bad"][1]
 
 
+def test_known_prompts_are_not_called_again(spark, tmp_path):
+    from lakesonar.operators.enrich import call_model_stored, enrich_prose, enrich_structured, stored_replies
+    log, path = tmp_path / "calls", str(tmp_path / "replies")
+    log.mkdir()
+
+    def model(prompts):
+        import uuid
+        (log / uuid.uuid4().hex).write_text("\n".join(prompts))
+        if any(p.startswith("bad") for p in prompts):
+            raise RuntimeError("no")
+        return [f"{{\"name\": \"{p}\"}}" for p in prompts]
+
+    def called():
+        out = sorted(p for f in log.iterdir() for p in f.read_text().split("\n") if p)
+        for f in log.iterdir():
+            f.unlink()
+        return out
+
+    one = spark.createDataFrame([("a",), ("a",), ("b",), ("bad",), (None,)], "p string").repartition(3)
+    got = call_model_stored(one, "p", model, path, "m", run=1)
+    rows = sorted(((r["p"], r["reply"], r["error"]) for r in got.collect()), key=str)
+    assert rows == sorted([("a", '{"name": "a"}', None)] * 2 + [("b", '{"name": "b"}', None), ("bad", None, "RuntimeError: no"), (None, None, None)], key=str)
+    assert set(called()) == {"a", "b", "bad"}
+    two = spark.createDataFrame([("a",), ("c",), ("bad",)], "p string")
+    again = {r["p"]: (r["reply"], r["error"]) for r in call_model_stored(two, "p", model, path, "m", run=2).collect()}
+    assert again["a"] == ('{"name": "a"}', None) and again["bad"][1] == "RuntimeError: no"
+    assert set(called()) == {"c", "bad"}                               # the answered prompt is known, the failed one is tried again
+    assert [(r["run"], r["prompt"]) for r in stored_replies(spark, path, "errors").orderBy("run").collect()] == [(1, "bad"), (2, "bad")]
+    other = call_model_stored(two.filter("p = 'a'"), "p", model, path, "another model", run=3)
+    assert other.first()["reply"] == '{"name": "a"}' and called() == ["a"]   # another model's replies are its own
+    s = spark.createDataFrame([("x", "X")], "name string, json_summary string").withColumn("json_pretty", F.col("json_summary"))
+    for _ in range(2):
+        assert enrich_prose(s, model, "tell {json_summary}", replies=(path, "m")).first()["status"] == "ok"
+        assert enrich_structured(s, model, "do", replies=(path, "m")).first()["status"] in ("ok", "failed")
+    assert sorted(called()) == ["X", "do", "tell X"]                    # each prompt once; the second one has two lines
+
+
+def test_bad_reply_can_fail_the_job(spark):
+    import pytest
+    from lakesonar.operators.enrich import enrich_structured
+    s = spark.createDataFrame([("x", "{}")], "name string, json_summary string")
+    assert enrich_structured(s, lambda ps: ["no json"] * len(ps), "do").first()["status"] == "failed"
+    with pytest.raises(Exception, match="on_error"):
+        enrich_structured(s, lambda ps: ["no json"] * len(ps), "do", on_error="raise").collect()
+
+
+def test_dimension_is_checked(spark):
+    import pytest
+    from lakesonar.plans.lake_search import answer, check_model
+    idx = spark.createDataFrame([("a", [1.0, 2.0], "m", "t", "{}"), ("b", None, "m", "t", "{}")],
+                                "id string, embedding array<double>, model_id string, enriched_text string, json_summary string")
+    assert check_model(idx, "m") == 2
+    qs = spark.createDataFrame([(1, "x")], "query_id long, query string")
+    with pytest.raises(ValueError, match="dimensions"):
+        answer(qs, idx, embed_fn=lambda ts: [[1.0, 2.0, 3.0] for _ in ts], model_id="m")
+    mixed = spark.createDataFrame([("a", [1.0]), ("b", [1.0, 2.0])], "id string, embedding array<double>")
+    with pytest.raises(ValueError, match="1 to 2"):
+        check_model(mixed)
+
+
+def test_embedding_calls_are_bounded(spark):
+    from lakesonar.operators.embed import EMBED_BATCH, embed_with
+    df = spark.range(500).selectExpr("CAST(id AS string) AS t").coalesce(1)
+    sizes = embed_with(df, "t", lambda ts: [[float(len(ts))] for _ in ts]).selectExpr("embedding[0] AS n").distinct().collect()
+    assert max(r["n"] for r in sizes) == EMBED_BATCH
+
+
 def test_lake_search_end_to_end(spark):
     from lakesonar.plans.lake_search import lake_search, table_questions
     from lakesonar.plans.registry import read_lake
