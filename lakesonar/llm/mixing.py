@@ -8,17 +8,20 @@ hypergeometric splitting tree.
    total, found in closed form from running sums over the sources sorted by
    cap/weight.
 2. Line. Each source's documents are put in a hashed order on a line of words
-   that repeats; the mix takes the first ``round(target)`` words of it, so a
-   source's taken words hit the target and only one document of a source is cut.
-   Positions come from prefix sums over hash buckets: no source, however hot,
-   is sorted or summed in one task.
-3. Blocks and tree. The line is cut into blocks. A binary tree over the output
-   shards splits the vector of per-source block quotas: at a node each block of
-   the urn goes left with probability (left slots open) / (blocks left), which
+   that is passed ``max_repeat`` times. Positions come from prefix sums over ranges
+   of the hash: no source, however hot, is sorted or summed in one task.
+3. Blocks. The line is cut into blocks of whole documents: a block holds the documents that
+   start in its words. A hash permutes a source's blocks; blocks are drawn in that order until their words
+   reach the target, so a source's quota of blocks is exact and its words are the target; the last block is
+   taken as far as the target goes.
+4. Tree. A binary tree over the output shards splits the vector of per-source
+   quotas: at a node each block of the urn goes left with probability
+   (left slots open) / (blocks left), which
    draws the left child's counts from the multivariate hypergeometric
    distribution exactly, in integers. Leaves hold every shard's exact quota.
-4. Draw. A source's blocks in hashed order are dealt to the shards by their leaf
-   quotas (disjoint), and rows get a hashed position in their shard.
+5. Draw. A source's drawn blocks in permuted order are dealt to the shards by their leaf
+   quotas (disjoint), and rows get a hashed position in their shard. A document is in the mix if, and as
+   often as, a block that holds it was dealt.
 
 Only the tree sees one row per node (counts of at most ``max_blocks`` blocks); rows are
 narrow and joined on (source, block).
@@ -37,7 +40,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakesonar.llm.common import fresh, id_text, text_or_empty, unit_hash, write_table
+from lakesonar.llm.common import fresh, id_text, partitions, text_or_empty, unit_hash, write_table
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -73,24 +76,25 @@ def record_key() -> tuple[Column, Column]:
             F.xxhash64(F.lit("mix"), *[F.col(c) for c in reversed(cols)], *[F.col(c).isNull() for c in cols]))
 
 
-def documents_on_line(docs: DataFrame, seed: str, rows_per_bucket: int = 20_000) -> DataFrame:
+def documents_on_line(docs: DataFrame, seed: str) -> DataFrame:
     """Rows (source, doc_id, size, k1, k2, copies, before): ``before`` is the number
     of words in front of the document on its source's line; repeated rows are
-    one row with ``copies``, counted before the shuffle."""
+    one row with ``copies``, counted before the shuffle. The line follows the id's hash; documents that share an
+    id (or have none) are told apart by their other columns, so the ranges that are summed have no hot key."""
+    spark = docs.sparkSession
     items = write_table(docs.groupBy("source", "doc_id", "size", "k1", "k2")
                         .agg(F.count(F.lit(1)).alias("copies")), "mix-items")
-    buckets = max(1, math.ceil(items.count() / rows_per_bucket))
-    keyed = (items.withColumn("_u", unit_hash(F.concat(F.lit(f"{seed}:line:"), id_text())))
-             .withColumn("_b", F.floor(F.col("_u") * buckets)))
+    order = ["_u", "doc_id", "size", "k1"]
+    keyed = items.withColumn("_u", unit_hash(F.concat(F.lit(f"{seed}:line:"), id_text())))
+    ranged = write_table(keyed.repartitionByRange(partitions(spark), *order).withColumn("_b", F.spark_partition_id()), "mix-ranges")
     words = F.col("size") * F.col("copies")
-    sums = keyed.groupBy("source", "_b").agg(F.sum(words).alias("_sum"))
-    start = sums.select("source", "_b", F.coalesce(
+    sums = ranged.groupBy("source", "_b").agg(F.sum(words).alias("_sum"))
+    start = sums.select(F.col("source").alias("_s"), F.col("_b").alias("_b2"), F.coalesce(
         F.sum("_sum").over(Window.partitionBy("source").orderBy("_b")
                            .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
-    s2 = start.select(F.col("source").alias("_s"), F.col("_b").alias("_b2"), "_start")
-    inside = (Window.partitionBy("source", "_b").orderBy("_u", "doc_id", "size", "k1")
+    inside = (Window.partitionBy("source", "_b").orderBy(*order)
               .rowsBetween(Window.unboundedPreceding, -1))
-    return (keyed.join(s2, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_b") == F.col("_b2")))
+    return (ranged.join(start, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_b") == F.col("_b2")))
             .withColumn("before", F.col("_start") + F.coalesce(F.sum(words).over(inside), F.lit(0)))
             .select("source", "doc_id", "size", "k1", "k2", "copies", "before"))
 
@@ -146,15 +150,14 @@ def splitting_tree(quotas: DataFrame, shards: int, seed: str) -> DataFrame:
 
 
 def mix(docs: DataFrame, shards: int = 16, weights: Sequence[float] = WEIGHTS, max_repeat: int = 3,
-        block_words: int = 16_384, max_blocks: int = 65_536, seed: str = "mix") -> DataFrame:
+        block_words: int = 16_384, least_blocks: int = 64, max_blocks: int = 65_536, seed: str = "mix") -> DataFrame:
     """The mix as narrow rows, one for each document (copy) and pass over its source:
     (source, doc_id, k1, k2, size, source_size, target, copy, pass, words, shard,
     position); k1 and k2 are the :func:`record_key`.
 
-    ``words`` of the document are taken in that pass (all but one document of a
-    source: the whole size). A document that is not taken has one row with
-    ``words`` 0 and no shard. Blocks have ``block_words`` words, or more if the
-    total would make over ``max_blocks`` blocks."""
+    ``words`` of the document are taken in that pass (the whole size or none, but for one document of a
+    source). A pass whose block was not drawn has ``words`` 0 and no shard. Blocks hold about ``block_words`` words: fewer in
+    a source that would have under ``least_blocks`` of them, more if the total would make over ``max_blocks``."""
     k1, k2 = record_key()
     sizes = docs.select("source", "doc_id", word_count().alias("size"), k1.alias("k1"), k2.alias("k2"))
     line = write_table(documents_on_line(sizes, seed), "mix-line")
@@ -162,37 +165,44 @@ def mix(docs: DataFrame, shards: int = 16, weights: Sequence[float] = WEIGHTS, m
                          weights, max_repeat)
     total = F.sum("source_size").over(Window.partitionBy(F.lit(0)))
     one = Window.partitionBy(F.lit(0)).orderBy(F.col("source").asc_nulls_last())
-    per = per.withColumns({
+    whole = F.col("source_size") * max_repeat
+    per = write_table(per.withColumns({
         "i": (F.row_number().over(one) - 1).cast("long"),
         "quota": F.floor(F.col("target") + 0.5).cast("long"),
-        "bw": F.greatest(F.lit(block_words), F.ceil(total / F.lit(max_blocks))).cast("long")})
-    per = write_table(per.withColumn("q", F.ceil(F.col("quota") / F.col("bw")).cast("long")), "mix-sources")
+        "bw": F.greatest(F.lit(1), F.least(F.greatest(F.lit(block_words), F.ceil(total * max_repeat / F.lit(max_blocks))),
+                                           F.ceil(whole / F.lit(least_blocks)))).cast("long")}), "mix-sources")
 
-    leaves = splitting_tree(per.select("i", "q"), shards, seed)
+    p = per.select(F.col("source").alias("_s"), "source_size", "target", "i", "quota", "bw")
+    passes = F.sequence(F.lit(0), F.lit(max_repeat - 1))
+    pieces = (line.join(p, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
+              .withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+              .withColumn("pass", F.explode(passes))
+              .withColumn("at", F.col("before") + (F.col("copy") - 1) * F.col("size") + F.col("pass") * F.col("source_size"))
+              .withColumn("block", F.floor(F.col("at") / F.col("bw")).cast("long")))
+
+    blocks = (pieces.filter("size > 0").groupBy("i", "block")
+              .agg(F.sum("size").alias("n"), F.min("at").alias("first"), F.first("quota").alias("quota")))
+    hashed = unit_hash(F.concat_ws(":", F.lit(f"{seed}:block"), F.col("i").cast("string"), F.col("block").cast("string")))
+    order = Window.partitionBy("i").orderBy(hashed, "block")  # a source's blocks: at most max_blocks, not its documents
+    permuted = blocks.withColumns({
+        "_rank": (F.row_number().over(order) - 1).cast("long"),
+        "taken_before": F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
+    drawn = write_table(permuted.filter("taken_before < quota").select("i", "block", "first", "_rank", "taken_before"), "mix-blocks")
+
+    leaves = splitting_tree(drawn.groupBy("i").agg(F.count(F.lit(1)).alias("q")), shards, seed)
     dealt = leaves.withColumn("_to", F.sum("q").over(Window.partitionBy("i").orderBy("shard")))
     draws = dealt.filter("q > 0").select("i", "shard", F.explode(
         F.sequence(F.col("_to") - F.col("q"), F.col("_to") - 1)).alias("_rank"))
-    blocks = per.filter("q > 0").select("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("q") - 1)).alias("block"))
-    hashed = unit_hash(F.concat_ws(":", F.lit(f"{seed}:block"), F.col("i").cast("string"), F.col("block").cast("string")))
-    blocks = blocks.withColumn("_rank", (F.row_number().over(
-        Window.partitionBy("i").orderBy(hashed, "block")) - 1).cast("long"))
-    placed = blocks.join(draws, ["i", "_rank"]).select("i", "block", "shard")
+    placed = drawn.join(draws, ["i", "_rank"]).select("i", "block", "shard", "first", "taken_before")
 
-    p = per.select(F.col("source").alias("_s"), "source_size", "target", "i", "quota", "bw")
-    on_line = (line.join(p, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
-               .withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-               .withColumn("before", F.col("before") + (F.col("copy") - 1) * F.col("size")))
-    passes = F.transform(F.sequence(F.lit(0), F.lit(max_repeat - 1)), lambda k: F.struct(
-        k.alias("pass"), (F.col("before") + k * F.col("source_size")).alias("at"),
-        F.greatest(F.lit(0).cast("long"), F.least(
-            F.col("size"), F.col("quota") - F.col("before") - k * F.col("source_size"))).alias("words")))
-    pieces = (on_line.withColumn("_p", F.explode_outer(F.filter(passes, lambda x: x["words"] > 0)))
-              .withColumns({"pass": F.col("_p.pass"), "words": F.coalesce(F.col("_p.words"), F.lit(0).cast("long")),
-                            "block": F.floor(F.col("_p.at") / F.col("bw"))}))
+    # what the target leaves for the piece in its block; nothing without a shard
+    room = F.col("quota") - F.col("taken_before") - (F.col("at") - F.col("first"))
+    words = F.when(F.col("shard").isNotNull(), F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), room))).otherwise(0)
     place = unit_hash(F.concat_ws(":", F.lit(f"{seed}:row"), id_text(), F.col("copy").cast("string"),
                                   F.col("pass").cast("string")))
-    return (pieces.join(placed, ["i", "block"], "left")
-            .select("source", "doc_id", "k1", "k2", "size", "source_size", "target", "copy", "pass", "words", "shard",
+    return (pieces.join(placed, ["i", "block"], "left").withColumn("words", words)
+            .select("source", "doc_id", "k1", "k2", "size", "source_size", "target", "copy", "pass", "words",
+                    F.when(F.col("words") > 0, F.col("shard")).alias("shard"),
                     F.when(F.col("words") > 0, place).alias("position")))
 
 
@@ -205,27 +215,15 @@ def taken_words(mixed: DataFrame) -> DataFrame:
             .select("doc_id", "size", "source_size", "target", "taken"))
 
 
-def first_words(text: Column, n: Column) -> Column:
-    """The text up to its n-th word; the words then stand one space apart."""
-    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    return F.array_join(F.slice(words, 1, n.cast("int")), " ")
-
-
 def materialize_mix(docs: DataFrame, **params) -> DataFrame:
-    """The mixed corpus with the columns of ``docs``: a document comes as often
-    as it is taken, the one document that a source's quota cuts comes with its
-    first words (``n_chars``, if there, follows the text), and one that is not
-    taken does not come. ``docs`` is read twice; texts are shuffled once, to
-    their takes."""
-    k1, k2, lists, words = fresh(docs, "_k1", "_k2", "_lists", "_words")
-    takes = (mix(docs.select("doc_id", "source", "text"), **params).filter("words > 0")
-             .groupBy("k1", "k2").agg(F.collect_list(F.struct("copy", "pass", "words")).alias(lists))
-             .select(F.col("k1").alias(k1), F.col("k2").alias(k2), F.col(lists)["words"].alias(lists)))
+    """The mixed corpus with the columns of ``docs``, by shard and in the order of the shards' positions: a document comes
+    whole, as often as it is taken. The one document of a source that its target cuts comes if at least half of
+    it is taken. ``docs`` is read twice; texts are shuffled to their takes and to their shards."""
+    k1, k2, shard, position = fresh(docs, "_k1", "_k2", "_shard", "_position")
+    takes = mix(docs.select("doc_id", "source", "text"), **params).filter("words > 0 AND 2 * words >= size").select(
+        F.col("k1").alias(k1), F.col("k2").alias(k2), F.col("shard").alias(shard), F.col("position").alias(position))
     keyed = docs.withColumns(dict(zip((k1, k2), record_key())))
-    rows = (keyed.join(takes, [k1, k2]).dropDuplicates([k1, k2])  # repeated rows: their takes are all in one list
-            .withColumn(words, F.explode(lists)))
-    cut = F.col(words) < word_count()
-    rows = rows.withColumn("text", F.when(cut, first_words(F.col("text"), F.col(words))).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return rows.select(*docs.columns)
+    # repeated rows are one row here, and their takes bring them back
+    rows = keyed.dropDuplicates([k1, k2]).join(takes, [k1, k2])
+    n = partitions(docs.sparkSession)
+    return rows.repartitionByRange(n, shard, position).sortWithinPartitions(shard, position).select(*docs.columns)

@@ -80,12 +80,19 @@ levels AS (SELECT *, ((SELECT sum(s) FROM per)::DOUBLE
              - coalesce(sum(cap) OVER (ORDER BY cap / w, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
              / sum(w) OVER (ORDER BY cap / w, r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lv FROM capped),
 targets AS (SELECT source, s, least(cap, w * (SELECT max(lv) FROM levels)) AS target FROM levels),
-line AS (SELECT d.doc_id, d.size, t.s, t.target, floor(t.target + 0.5)::BIGINT AS quota,
+numbered AS (SELECT *, row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1 AS i, floor(target + 0.5)::BIGINT AS quota,
+  greatest(1, least(greatest(16384, ceil(sum(s) OVER () * 3 / 65536)), ceil(s * 3 / 64)))::BIGINT AS bw FROM targets),
+line AS MATERIALIZED (SELECT row_number() OVER () AS id, d.doc_id, d.size, t.*,
   coalesce(sum(size) OVER (PARTITION BY t.source ORDER BY {unit_sql(f"'{MIX_SEED}:line:' || coalesce(doc_id::VARCHAR, '')")}, doc_id, size
     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
-  FROM d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, s AS source_size, target,
-  list_sum([greatest(0, least(size, quota - before - k * s)) for k in range(0, 3)])::BIGINT AS taken FROM line"""
+  FROM d JOIN numbered t ON d.source IS NOT DISTINCT FROM t.source),
+pieces AS MATERIALIZED (SELECT *, before + k * s AS at_word, ((before + k * s) // bw)::BIGINT AS block FROM line, range(0, 3) x(k) WHERE size > 0),
+blocks AS (SELECT i, block, sum(size) AS n, min(at_word) AS first FROM pieces GROUP BY i, block),
+permuted AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY i ORDER BY
+  {unit_sql(f"'{MIX_SEED}:block:' || i || ':' || block")}, block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS earlier FROM blocks),
+takes AS (SELECT id, sum(greatest(0, least(size, quota - earlier - (at_word - first)))) AS taken
+  FROM pieces JOIN permuted USING (i, block) GROUP BY id)
+SELECT doc_id, size, s AS source_size, target, coalesce(taken, 0)::BIGINT AS taken FROM line LEFT JOIN takes USING (id)"""
 
 
 @query("op10_hypergeometric_mixing", MIX_SQL)

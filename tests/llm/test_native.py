@@ -73,8 +73,9 @@ def test_mix_odd_rows(odd):
     assert mixing.mix(odd.limit(0)).count() == 0
     out = mixing.materialize_mix(odd, shards=4, block_words=5)
     assert out.columns == odd.columns
-    words = sum(len((r.text or "").split()) for r in out.collect())
-    assert abs(words - sum(r.taken for r in got)) == 0
+    pieces = [r for r in mixing.mix(odd, shards=4, block_words=5).collect() if r.words and 2 * r.words >= r.size]
+    whole = Counter(r.size for r in pieces)  # documents come whole
+    assert Counter(n for n in (len((r.text or "").split()) for r in out.collect())) == whole
 
 
 def test_tree_gives_exact_quotas(spark):
@@ -98,6 +99,32 @@ def test_mix_places_blocks_in_disjoint_shards(spark):
     for r in taken:
         per[r.source] += r.words
     assert all(per[r.source] == math.floor(r.target + 0.5) for r in rows)
+    cut = Counter(r.source for r in taken if r.words < r.size)
+    assert not cut or max(cut.values()) == 1                      # a target cuts one document of a source
+    assert len({r.shard for r in rows if r.source == max(per, key=per.get) and r.words}) > 4
+
+
+def test_mix_draws_from_the_whole_line(spark):
+    """Blocks are drawn all over the repeated line, not from its front; shards and positions order the corpus."""
+    docs = spark.range(4000).selectExpr("id AS doc_id", "concat('w ', repeat('x ', CAST(id % 7 AS INT))) AS text", "'a' AS source").unionByName(
+        spark.range(400).selectExpr("id + 9000", "'w w w'", "'b'").toDF("doc_id", "text", "source"))
+    rows = [r for r in mixing.mix(docs, shards=3, block_words=40, seed="s").collect() if r.source == "a"]
+    assert {r["pass"] for r in rows if r.words} == {0, 1, 2}
+    twice = Counter(r.doc_id for r in rows if r.words)
+    assert {0, 1, 2} <= set(twice.values()) | {0} and len(twice) < 4000
+    where = {(r.doc_id, r["pass"]): (r.shard, r.position) for r in mixing.mix(docs, shards=3, block_words=40, seed="s").collect()
+             if r.words and 2 * r.words >= r.size}
+    out = mixing.materialize_mix(docs, shards=3, block_words=40, seed="s").collect()
+    best = [min(p for (d, _), p in where.items() if d == r.doc_id) for r in out[:1]]
+    assert len(out) == len(where) and best[0][0] == 0
+
+
+def test_mix_with_one_id_on_many_documents(spark):
+    docs = spark.range(3000).selectExpr("CASE WHEN id % 2 = 0 THEN NULL ELSE 7 END AS doc_id", "concat('t ', CAST(id AS string)) AS text", "'a' AS source")
+    line = mixing.documents_on_line(docs.withColumns(dict(zip(("k1", "k2"), mixing.record_key()))).withColumn("size", mixing.word_count()), "s")
+    assert sorted(r.before for r in line.collect()) == [2 * i for i in range(3000)]
+    got = mixing.taken_words(mixing.mix(docs)).collect()
+    assert len(got) == 3000 and sum(r.taken for r in got) == 6000
 
 
 # 9 ---
