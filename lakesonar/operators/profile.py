@@ -163,7 +163,17 @@ def has_decimals(items) -> bool:
     return any(isinstance(f.dataType, T.DecimalType) for _, df in items for f in df.schema.fields)
 
 
-def column_stats(vc: DataFrame, decimals: bool = False) -> DataFrame:
+# A table of one narrow row a column is sent to every task up to this many columns.
+MAX_BROADCAST_COLUMNS = 100_000
+
+
+def per_column(df: DataFrame, n_columns: int) -> DataFrame:
+    """A frame of one narrow row for each of ``n_columns`` columns, broadcast within the bound: joined to cells or
+    values it must not bring all those of a column into one task."""
+    return F.broadcast(df) if n_columns <= MAX_BROADCAST_COLUMNS else df
+
+
+def column_stats(vc: DataFrame, n_columns: int, decimals: bool = False) -> DataFrame:
     """Row count, non-null count, exact distinct count, min/max and the sample
     standard deviation (two-pass over distinct values: mean first, then the
     weighted sum of squared deviations) per column."""
@@ -179,7 +189,7 @@ def column_stats(vc: DataFrame, decimals: bool = False) -> DataFrame:
         F.min("tn").alias("min_tn"), F.max("tn").alias("max_tn"), *decimal_extremes(decimals),
         F.sum(wn).alias("_wn"), F.sum(numv * F.col("n")).alias("_sx"))
     mean = first.select(*KEYS, (F.col("_sx") / F.col("_wn")).alias("_mean"))
-    dev = (vc.filter(numv.isNotNull()).join(mean, KEYS)
+    dev = (vc.filter(numv.isNotNull()).join(per_column(mean, n_columns), KEYS)
            .groupBy(*KEYS).agg(F.sum(F.col("n") * (numv - F.col("_mean")) ** 2).alias("_ss")))
     std = F.when(F.col("_wn") > 1, F.sqrt(F.col("_ss") / (F.col("_wn") - 1)))
     return first.join(dev, KEYS, "left").select(
@@ -319,7 +329,7 @@ def approx_parts(items, catalog: DataFrame, n_samples: int = 3,
         stats = stats.checkpoint(eager=True)
     # read twice (threshold, final join): the two reads share one exchange
     # (exchange reuse)
-    thr = stats.select(*KEYS, "_t")
+    thr = per_column(stats.select(*KEYS, "_t"), sum(len(df.columns) for _, df in items))
     cand = (v.select(*KEYS, "present", "value", "vhash", "hp").join(thr, KEYS)
             .filter(F.lit(n_samples > 0) & F.col("present")
                     & (F.col("_t").isNull() | (F.col("hp") <= F.col("_t"))))
@@ -376,10 +386,11 @@ def profile(tables, n_samples: int = 3, exact: bool = True,
     items = _as_items(tables)
     catalog = column_catalog(items)
     mode = "auto" if exact == "auto" else ("exact" if exact else "approx")
+    n_columns = sum(len(df.columns) for _, df in items)
     if mode == "exact":
         cell_df = cells(items, sample_rows)
         vc = value_counts(cell_df, materialize=materialize)
-        stats = column_stats(vc, has_decimals(items))
+        stats = column_stats(vc, n_columns, has_decimals(items))
         distinct = vc.filter(F.col("present")).select(*KEYS, "value", "hkey", "vhash", "n")
         string_keys = catalog.filter(F.col("kind") == "string").select(*KEYS)
         dates = date_detection(distinct.join(string_keys, KEYS, "left_semi"))
