@@ -3,6 +3,10 @@ ranks without a single-task sort, hashes of keys, column names that cannot clash
 
 from __future__ import annotations
 
+import ctypes
+from contextlib import contextmanager
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +32,18 @@ def drop_table(df: DataFrame) -> None:
     hpath.getFileSystem(sc._jsc.hadoopConfiguration()).delete(hpath, True)
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int):
+    """Actions inside send Python tasks at most ``rows`` rows a batch: whole texts make large batches."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 _HELD: dict = {}
 
 
@@ -36,7 +52,13 @@ def held(owner: str, make=None):
     Workers outlive stages, so whatever other operators kept there is dropped first; without
     ``make`` nothing is kept."""
     if owner not in _HELD:
-        _HELD.clear()
+        if _HELD:
+            _HELD.clear()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)  # where the C library has it: freed memory goes back to the system
+            except (AttributeError, OSError):
+                pass
         if make is None:
             return None
         _HELD[owner] = make()

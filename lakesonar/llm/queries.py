@@ -236,7 +236,10 @@ def op8(spark, sf_dir):
 # 7 -------------------------------------------------------------------------
 
 def _reputation_sql() -> str:
-    from lakesonar.llm.reputation import LOWER, RULES, UPPER
+    from lakesonar.llm.reputation import LOWER, RULES, SUFFIXES, UPPER
+    labels = "string_split(host, '.')"
+    pair = f"array_to_string(list_slice({labels}, -2, -1), '.')"
+    double = f"{pair} IN ({', '.join(repr(x) for x in SUFFIXES)})"
     rules = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in RULES)
     strength = "least(greatest(CASE WHEN f > 0 AND q - e > 0 THEN f / (q - e) - 1 ELSE 1000.0 END, 1.0), 1000.0)"
 
@@ -257,7 +260,8 @@ fits AS (SELECT page_id, arg_max(h || pre, length(h || pre)) AS rule, arg_max(v,
   FROM p JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, pre) GROUP BY page_id),
 r AS (SELECT p.*, rule, v FROM p LEFT JOIN fits USING (page_id)),
 hosts AS (SELECT host, coalesce(sum(CASE v WHEN 'allow' THEN 1 WHEN 'block' THEN 0 END), 0)::DOUBLE AS g, count(v)::DOUBLE AS n,
-  string_split(host, '.')[-1] AS suffix, array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') AS domain FROM r GROUP BY host),
+  CASE WHEN {double} THEN {pair} ELSE {labels}[-1] END AS suffix,
+  CASE WHEN {double} THEN array_to_string(list_slice({labels}, -3, -1), '.') ELSE {pair} END AS domain FROM r GROUP BY host),
 top AS (SELECT (sum(g) + 1) / (sum(n) + 2) AS m FROM hosts),{level('x', ['suffix'], ', top p', '')},{
 level('y', ['suffix', 'domain'], 'JOIN x_l p USING (suffix)', '')},{
 level('z', ['suffix', 'domain', 'host'], 'JOIN y_l p USING (suffix, domain)', '')}

@@ -4,8 +4,8 @@ Rules (host, path, verdict) come first: a rule fits its host and all subdomains
 URL's path starts with the rule's; the longest (host and path together) wins. Pages that a rule judges are the
 labelled outcomes (or give an own outcome column). For all other pages the host decides:
 
-* Good and bad outcomes are counted per host, registered domain (the last two labels) and suffix
-  (the last label).
+* Good and bad outcomes are counted per host, registered domain (the suffix and one label more) and suffix
+  (the last label, or the last two where they are one of ``suffixes``, under which anybody registers).
 * At each level a beta-binomial prior is fitted to the level's rates by moments: the rates' variance
   beyond what sampling explains gives the prior's strength, bounded to [1, 1000].
 * Means are shrunk from the top: all pages -> suffix -> registered domain -> host. A host
@@ -37,6 +37,9 @@ RULES = (
     ("com", "/fr/", "allow"),
     ("com", "/de/", "block"),
 )
+# The usual suffixes of two labels.
+SUFFIXES = ("ac.jp", "ac.uk", "co.il", "co.in", "co.jp", "co.kr", "co.nz", "co.uk", "co.za", "com.ar", "com.au", "com.br", "com.cn", "com.hk",
+            "com.mx", "com.my", "com.sg", "com.tr", "com.tw", "com.ua", "gov.au", "gov.uk", "ne.jp", "net.au", "or.jp", "org.au", "org.uk")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -69,12 +72,19 @@ def strength(rates: DataFrame) -> DataFrame:
     return fit.select(F.least(F.greatest(s, F.lit(1.0)), F.lit(1000.0)).alias("s"))
 
 
-def reputations(outcomes: DataFrame) -> DataFrame:
+def registered(host: Column, suffixes: Sequence[str] = SUFFIXES) -> tuple[Column, Column]:
+    """(registered domain, suffix) of a host; a host that is no longer than its suffix is its own domain."""
+    labels = F.split(host, r"\.")
+    last, pair = F.element_at(labels, -1), F.substring_index(host, ".", -2)
+    double = pair.isin(*suffixes) if suffixes else F.lit(False)
+    domain = F.when(double, F.substring_index(host, ".", -3)).otherwise(pair)
+    return domain, F.when(double, pair).otherwise(last)
+
+
+def reputations(outcomes: DataFrame, suffixes: Sequence[str] = SUFFIXES) -> DataFrame:
     """(host, domain, suffix, good, n, mean, sd) for each host of ``outcomes`` (host, good: 1,
     0 or null): the mean and deviation of its beta posterior."""
-    labels = F.split("host", r"\.")
-    suffix = F.element_at(labels, -1)
-    domain = F.when(F.size(labels) > 1, F.concat_ws(".", F.element_at(labels, -2), suffix)).otherwise(suffix)
+    domain, suffix = registered(F.col("host"), suffixes)
     hosts = write_table(outcomes.groupBy("host").agg(
         F.coalesce(F.sum("good"), F.lit(0)).cast("double").alias("g"), F.count("good").cast("double").alias("n"))
         .withColumns({"domain": domain, "suffix": suffix}), "reputation-hosts")
@@ -100,7 +110,8 @@ def reputations(outcomes: DataFrame) -> DataFrame:
 
 
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, outcome: str | None = None,
-          z: float = 1.645, least: float = 0.5, key: str = "page_id", url: str = "url") -> DataFrame:
+          z: float = 1.645, least: float = 0.5, key: str = "page_id", url: str = "url",
+          suffixes: Sequence[str] = SUFFIXES) -> DataFrame:
     """(key, host, path, rule, verdict, mean, bound) for every page."""
     host, path = host_and_path(url)
     narrow = pages.select(F.col(key).alias("_id"), host.alias("host"), path.alias("path"),
@@ -108,7 +119,7 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, outco
     rule, verdict = matching_rule(F.col("host"), F.col("path"), rules)
     ruled = narrow.withColumns({"rule": rule, "_v": verdict})
     by_rule = F.when(F.col("_v").isNotNull(), (F.col("_v") == "allow").cast("int"))
-    rep = reputations(ruled.select("host", (F.coalesce("_own", by_rule) if outcome else by_rule).alias("good")))
+    rep = reputations(ruled.select("host", (F.coalesce("_own", by_rule) if outcome else by_rule).alias("good")), suffixes)
     bound = F.col("mean") - F.lit(z) * F.col("sd")
     return (ruled.join(rep.select("host", "mean", bound.alias("bound")), "host")
             .select(F.col("_id").alias(key), "host", "path", "rule",

@@ -40,7 +40,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lakesonar.llm.common import fresh, held, partitions, text_or_empty, write_table
+from lakesonar.llm.common import arrow_rows, fresh, held, partitions, text_or_empty, write_table
 from lakesonar.session import new_table_path
 
 # An empty entry, a lone line feed, or white space behind the entry's first place (in front, but
@@ -49,6 +49,7 @@ SPACES = r"\x{09}\x{0b}-\x{0d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}
 ODD = rf"^\n?$|[{SPACES}]|.\n"
 SLICE_ROWS = 256  # of ids read back at a time
 SLICE_BYTES = 4 << 20  # of text encoded at a time
+BATCH_ROWS = 1000  # documents sent to a task at a time
 
 
 # encoding ------------------------------------------------------------------
@@ -69,7 +70,7 @@ class Encoder:
     TOGETHER = 200  # new words in one call's text
     MARKS = ".,;:!?"
 
-    def __init__(self, path: str, memo: int = 500_000):
+    def __init__(self, path: str, memo: int = 100_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
@@ -315,8 +316,9 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
             yield pa.RecordBatch.from_arrays([pa.array([record[:-1]], pa.binary())], ["value"])
 
     # a cast from binary keeps the bytes; the writer adds the line feed of each record
-    (ranged.mapInArrow(records, "value binary").select(F.col("value").cast("string"))
-     .write.option("lineSep", "\n").text(path))
+    with arrow_rows(docs.sparkSession, BATCH_ROWS):
+        (ranged.mapInArrow(records, "value binary").select(F.col("value").cast("string"))
+         .write.option("lineSep", "\n").text(path))
 
 
 def read_token_files(spark: SparkSession, path: str, ids: bool = False) -> DataFrame:

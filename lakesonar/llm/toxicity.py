@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from lakesonar.llm.common import held
 
 BITS = 22
+CHUNK = 1 << 18  # nonzeros whose factors the fit holds at a time
 _TERM = re.compile(r"[^\W_]+")
 
 
@@ -88,17 +89,20 @@ def fit(labels: list[int], rows: list[np.ndarray], factors: int = 8, epochs: int
     lengths = np.array([len(r) for r in rows])
     flat = np.concatenate(rows) if lengths.sum() else np.zeros(0, np.int32)
     row = np.repeat(np.arange(len(y)), lengths)
-    pos = np.bincount(flat[y[row] == 1], minlength=2 ** BITS).astype(float)
-    neg = np.bincount(flat[y[row] == 0], minlength=2 ** BITS).astype(float)
+    seen, at = np.unique(flat, return_inverse=True)
+    pos = np.bincount(at[y[row] == 1], minlength=len(seen)).astype(float)
+    neg = np.bincount(at[y[row] == 0], minlength=len(seen)).astype(float)
+    del at
     ratio = likelihood_ratio(pos, neg, n_pos, n_neg)
     good = np.flatnonzero((ratio >= least_ratio) & (pos + neg >= least_rows))
-    kept = np.sort(good[np.lexsort((good, -ratio[good]))][:max_features]).astype(np.int32)
+    kept = np.sort(seen[good[np.lexsort((good, -ratio[good]))][:max_features]]).astype(np.int32)
     if not len(kept):
         return empty
-    slot = np.full(2 ** BITS, -1, np.int64)
+    slot = np.full(2 ** BITS, -1, np.int32)
     slot[kept] = np.arange(len(kept))
     j, on = slot[flat], slot[flat] >= 0
-    j, row = j[on], row[on]
+    j, row = j[on], row[on].astype(np.int32)
+    del flat, on
     order = np.argsort(j, kind="stable")  # nonzeros by feature, for the gradients
     starts = np.searchsorted(j[order], np.arange(len(kept)))
     rng = np.random.default_rng(7)
@@ -110,19 +114,31 @@ def fit(labels: list[int], rows: list[np.ndarray], factors: int = 8, epochs: int
 
     filled, first = np.unique(row, return_index=True)  # nonzeros stand by row
 
-    def sums(x):  # of the nonzeros' values, by row
-        out = np.zeros((len(y), *x.shape[1:]))
-        out[filled] = np.add.reduceat(x, first)
-        return out
-
+    def pieces(bounds):  # runs of whole segments, each of about CHUNK nonzeros, so that no array of all of them by factor is made
+        ends = np.append(bounds[1:], len(j))
+        at = 0
+        while at < len(bounds):
+            to = max(at + 1, int(np.searchsorted(ends, bounds[at] + CHUNK, side="right")))
+            yield slice(at, to), slice(int(bounds[at]), int(ends[to - 1])), bounds[at:to] - bounds[at]
+            at = to
+
+    by_row, by_feature = list(pieces(first)), list(pieces(starts))
+    row_of, j_of = row[order], j[order]
+    s, sq = np.zeros((len(y), factors)), np.zeros(len(y))
+    z = np.zeros(len(y))
     for t in range(1, epochs + 1):
-        s = sums(p["v"][j])
-        z = p["w0"][0] + sums(p["w"][j]) + 0.5 * ((s ** 2).sum(axis=1) - sums((p["v"][j] ** 2).sum(axis=1)))
-        g = weight * (1 / (1 + np.exp(-np.clip(z, -50, 50))) - y)
-        each = g[row]
-        grad = {"w0": np.array([g.sum()]),
-                "w": np.add.reduceat(each[order], starts) + l2 * p["w"] / len(kept),
-                "v": np.add.reduceat((each[:, None] * (s[row] - p["v"][j]))[order], starts) + l2_pairs * p["v"] / len(kept)}
+        for seg, of, cuts in by_row:
+            v = p["v"][j[of]]
+            s[filled[seg]] = np.add.reduceat(v, cuts)
+            sq[filled[seg]] = np.add.reduceat((v ** 2).sum(axis=1), cuts)
+            z[filled[seg]] = np.add.reduceat(p["w"][j[of]], cuts)
+        score = p["w0"][0] + z + 0.5 * ((s ** 2).sum(axis=1) - sq)
+        g = weight * (1 / (1 + np.exp(-np.clip(score, -50, 50))) - y)
+        grad = {"w0": np.array([g.sum()]), "w": l2 * p["w"] / len(kept), "v": l2_pairs * p["v"] / len(kept)}
+        for seg, of, cuts in by_feature:
+            each = g[row_of[of]]
+            grad["w"][seg] += np.add.reduceat(each, cuts)
+            grad["v"][seg] += np.add.reduceat(each[:, None] * (s[row_of[of]] - p["v"][j_of[of]]), cuts)
         for k in p:
             m[k] = 0.9 * m[k] + 0.1 * grad[k]
             u[k] = 0.999 * u[k] + 0.001 * grad[k] ** 2

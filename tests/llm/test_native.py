@@ -185,6 +185,21 @@ def test_reputation_shrinks(spark):
     assert v["one.a.net"].mean > v["one.b.net"].mean and v["few.a.net"].mean < v["one.a.net"].mean
 
 
+def test_hosts_under_a_shared_suffix_are_judged_apart(spark):
+    rows = [(f"bad{i}.co.uk", 0) for i in range(5) for _ in range(20)] + [("good.co.uk", None)] + [(f"fine{i}.uk", 1) for i in range(8) for _ in range(20)]
+    rows += [("www.bad1.co.uk", None), ("x.other.co.uk", 1), ("co.uk", None)] + [("y.other.co.uk", 1)] * 30 + [("z.other.co.uk", None)]
+    df = spark.createDataFrame([(i, f"http://{h}/", g) for i, (h, g) in enumerate(rows)], "page_id long, url string, good int")
+    v = {r.host: r for r in reputation.judge(df, rules=(), outcome="good").collect()}
+    assert v["www.bad1.co.uk"].mean < 0.1 < v["good.co.uk"].mean          # its own domain's outcomes, not all of co.uk as one
+    assert v["z.other.co.uk"].mean > 0.8
+    one = {r.host: r for r in reputation.judge(df, rules=(), outcome="good", suffixes=()).collect()}
+    assert one["www.bad1.co.uk"].mean == one["good.co.uk"].mean           # without the list co.uk is one domain
+    hosts = spark.createDataFrame([("a.b.co.uk",), ("b.co.uk",), ("co.uk",), ("uk",), ("a.b.c",), ("",)], "host string")
+    got = [tuple(r) for r in hosts.select("host", *reputation.registered(F.col("host"))).collect()]
+    assert got == [("a.b.co.uk", "b.co.uk", "co.uk"), ("b.co.uk", "b.co.uk", "co.uk"), ("co.uk", "co.uk", "co.uk"), ("uk", "uk", "uk"),
+                   ("a.b.c", "b.c", "c"), ("", "", "")]
+
+
 def test_query_smoke(spark):
     for name in ("op3_rendezvous_sharding", "op7_bayes_url_filter"):
         assert QUERIES[name](spark, SF).count() > 0
