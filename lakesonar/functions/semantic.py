@@ -1,9 +1,4 @@
-"""Deterministic offline semantic types and descriptions (E5).
-
-The vocabulary follows the enrichment instruction: company, city, number,
-supplier, location, gender, longitude, latitude, url, ip, zip, email; dates
-and free text get ``date`` and ``text``.
-"""
+"""Deterministic offline semantic types and descriptions (E5), by column name, sample and dtype."""
 
 from __future__ import annotations
 

@@ -1,7 +1,6 @@
 """Whole-table column profiling.
 
-Every table becomes a narrow *cell* stream ``(table_name, ordinal, num, ts,
-text)`` via one ``explode`` per row, so the aggregates below are a fixed set
+Every table becomes a narrow *cell* stream (:func:`cells`) via one ``explode`` per row, so the aggregates below are a fixed set
 of expressions whatever the number of tables and columns (small codegen,
 small plans, one job for the whole lake):
 
@@ -201,7 +200,7 @@ def sample_values(distinct: DataFrame, n_samples: int = 3, long_source: DataFram
 
     Long texts travel as their hash; the few chosen ones are fetched in full
     from ``long_source`` (cells with ``keep_long``, of the columns that can
-    hold long texts) by a semi-join against a broadcast of the chosen hashes
+    hold long texts) by a semi-join against the chosen hashes
     (at most ``n_samples`` per column). Everything stays lazy, so a caller
     that selects no samples prunes this branch.
     """

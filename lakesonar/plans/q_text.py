@@ -221,9 +221,6 @@ def q_hash_embedding(spark, sf_dir):
 
 # --- structured and prose enrichment through a model (E1-E4) -----------------
 
-ENRICH_INSTRUCTION = "Fill in the empty texts of this JSON and reply with the JSON alone."
-
-
 def fake_enricher(prompts):
     """Stand-in model for enrichment: wraps a JSON reply in prose with a trailing
     comma; fails when the summary's table name has a length divisible by 3."""
@@ -255,9 +252,9 @@ FROM (SELECT DISTINCT table_name FROM information_schema.columns WHERE table_nam
 def q_enrich_model(spark, sf_dir):
     from lakesonar.operators.enrich import enrich_prose, enrich_structured
     from lakesonar.operators.summary import summarize, summary_json
-    from lakesonar.plans.lake_search import materialize
+    from lakesonar.plans.lake_search import INSTRUCTION, materialize
     s = materialize(summarize(profile(read_lake(spark, sf_dir))))
-    st = enrich_structured(s, fake_enricher, ENRICH_INSTRUCTION, on_error="keep_base")
+    st = enrich_structured(s, fake_enricher, INSTRUCTION, on_error="keep_base")
     st = st.withColumn("model_description", F.get_json_object(
         F.when(F.col("status") == "ok", F.col("enriched_json")), "$.dataset_description"))
     pr = enrich_prose(s.withColumn("json_pretty", summary_json(s, pretty=True)), fake_enricher,
