@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakesonar.sources.inventory import (VALID_FILE_PATTERN, below_root, file_format, lake_source, list_files, source_names,
+from lakesonar.sources.inventory import (VALID_FILE_PATTERN, below_root, lake_source, list_files, source_names,
                                          source_parts)
 from lakesonar.sources.scan import read_files, read_source
 from lakesonar.streaming.stats import (current_file_stats, file_stats, forget_files, merged_profile, next_batch,
