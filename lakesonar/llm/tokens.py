@@ -70,7 +70,7 @@ class Encoder:
     TOGETHER = 200  # new words in one call's text
     MARKS = ".,;:!?"
 
-    def __init__(self, path: str, memo: int = 100_000):
+    def __init__(self, path: str, memo: int = 400_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
