@@ -1,19 +1,19 @@
 """Operator 9: Merkle fingerprints of documents over paragraphs and sections.
 
 A text is split at blank lines into sections, a section at line feeds into
-paragraphs, and a paragraph at single spaces into leaves of ``LEAF_WORDS`` words;
-each split can be undone, so nothing of the text is outside the tree. A leaf is the
-first 32 bits of its md5, a paragraph the md5 of its text, a section the md5 of its
-paragraphs' hashes, the root the md5 of the sections' hashes: equal roots
-mean equal texts, and where roots differ the differing sections, paragraphs and leaves
-locate the edits (:func:`edits`). The fingerprint is the tree as one string,
+paragraphs, and a paragraph into leaves whose ends its content sets: a leaf ends with the space after
+a word that ends in one of ``LEAF_END``, at the latest after ``LEAF_WORDS`` words. A word put
+in changes the leaf it falls into, and the leaves behind keep their hashes. Each split can be
+undone, so nothing of the text is outside the tree. A leaf's hash is the md5 of its text; a paragraph's, a section's
+and the root's the md5 of their children's hashes, joined. Equal roots mean equal
+texts; where roots differ, differing branches lead to the edits (:func:`edits`,
+:func:`first_edit`). The fingerprint is the tree as one string, of the inner nodes and leaves the first 32 bits:
 
-    root ":" section { ";" section },  section = paragraph { "|" paragraph },
-    paragraph = its leaves, 8 hex digits each, joined by ","
+    root ":" section { ";" section }
+    section = hash "=" paragraph { "|" paragraph },  paragraph = hash "~" leaf { "," leaf }
 
-Paragraph and section hashes follow from comparing leaves, so the string holds the
-root and the leaves only. The likeness of two fingerprints is 1 for equal roots,
-else the distinct leaves they share over the larger number of distinct leaves.
+The likeness of two fingerprints is 1 for equal roots, else the distinct leaves they share over the larger number of
+distinct leaves.
 
 Everything is built-in expressions; texts are shuffled once.
 
@@ -24,32 +24,47 @@ descending order; a lone document is its own neighbour; an empty table gives no
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakesonar.llm.common import text_or_empty, with_rank, write_table
 
-LEAF_WORDS = 6
+LEAF_WORDS = 16
+LEAF_END = "[dr.]"
+# up to a word that ends a leaf; else the most words a leaf has; else what is left; an empty paragraph is one empty leaf
+LEAF = (f"(?:[^ ]* ){{0,{LEAF_WORDS - 1}}}?[^ ]*{LEAF_END} |(?:[^ ]* ){{{LEAF_WORDS}}}"
+        f"|(?:[^ ]* ){{1,{LEAF_WORDS - 1}}}\\z|(?:[^ ]* ){{0,{LEAF_WORDS - 1}}}[^ ]+|^$")
+HASH = 8  # hex digits of a node below the root
+TREE = 34  # where the sections start
 
 
-def leaves(paragraph: Column) -> Column:
-    """The leaf hashes of a paragraph."""
-    ws = F.split(paragraph, " ")
-    return F.transform(F.sequence(F.lit(0), F.floor((F.size(ws) - 1) / LEAF_WORDS).cast("int")), lambda i: F.substring(
-        F.md5(F.array_join(F.slice(ws, i * LEAF_WORDS + 1, LEAF_WORDS), " ")), 1, 8))
+def joined(hashes: Column) -> Column:
+    return F.md5(F.array_join(hashes, ""))
 
 
 def fingerprint(text: Column) -> Column:
-    sections = F.split(text, "\n\n")
-    root = F.md5(F.array_join(F.transform(sections, lambda s: F.md5(F.array_join(
-        F.transform(F.split(s, "\n"), F.md5), ""))), ""))
-    tree = F.array_join(F.transform(sections, lambda s: F.array_join(
-        F.transform(F.split(s, "\n"), lambda p: F.array_join(leaves(p), ",")), "|")), ";")
-    return F.concat(root, F.lit(":"), tree)
+    leaves = F.transform(F.split(text, "\n\n"), lambda s: F.transform(F.split(s, "\n"), lambda p: F.transform(
+        F.regexp_extract_all(p, F.lit(LEAF), 0), F.md5)))
+    paragraphs = F.transform(leaves, lambda s: F.transform(s, lambda p: F.struct(joined(p).alias("h"), p.alias("below"))))
+    sections = F.transform(paragraphs, lambda s: F.struct(joined(s["h"]).alias("h"), s.alias("below")))
+
+    def short(h):
+        return F.substring(h, 1, HASH)
+
+    def paragraph(p):
+        return F.concat(short(p["h"]), F.lit("~"), F.array_join(F.transform(p["below"], short), ","))
+
+    def section(s):
+        return F.concat(short(s["h"]), F.lit("="), F.array_join(F.transform(s["below"], paragraph), "|"))
+
+    # as the one element of an array the sections have a name, and are not computed twice
+    return F.transform(F.array(sections), lambda t: F.concat(
+        joined(t["h"]), F.lit(":"), F.array_join(F.transform(t, section), ";")))[0]
 
 
 def leaf_set(fp: Column) -> Column:
-    return F.array_distinct(F.split(F.substring(fp, 34, 2 ** 31 - 1), "[,|;]"))
+    return F.array_distinct(F.split(F.regexp_replace(
+        F.substring(fp, TREE, 2 ** 31 - 1), "[0-9a-f]+=[0-9a-f]+~|[0-9a-f]+~", ""), "[,|;]"))
 
 
 def likeness(fp_a: Column, fp_b: Column) -> Column:
@@ -59,17 +74,58 @@ def likeness(fp_a: Column, fp_b: Column) -> Column:
     return F.when(F.substring(fp_a, 1, 32) == F.substring(fp_b, 1, 32), F.lit(1.0)).otherwise(shared)
 
 
-def edits(fp_a: Column, fp_b: Column) -> Column:
-    """Where two fingerprints differ: array of (section, paragraph, leaf), 0-based,
-    for leaves that are not the same in both (compared place by place)."""
-    def places(fp):
-        return F.flatten(F.flatten(F.transform(F.split(F.substring(fp, 34, 2 ** 31 - 1), ";"), lambda s, i: F.transform(
-            F.split(s, "\\|"), lambda p, j: F.transform(F.split(p, ","), lambda leaf, k: F.struct(
-                i.alias("section"), j.alias("paragraph"), k.alias("leaf"), leaf.alias("hash")))))))
-    a, b = places(fp_a), places(fp_b)
-    differing = F.array_union(F.array_except(a, b), F.array_except(b, a))
-    return F.array_sort(F.array_distinct(F.transform(differing, lambda x: F.struct(
-        x["section"].alias("section"), x["paragraph"].alias("paragraph"), x["leaf"].alias("leaf")))))
+def children(node: Column, level: int) -> Column:
+    """The nodes below the root's tree (level 0), a section (1) or a paragraph (2), each as its part of the fingerprint."""
+    below = F.substring(node, TREE if level == 0 else HASH + 2, 2 ** 31 - 1)
+    return F.split(below, (";", "\\|", ",")[level])
+
+
+def first_edit(fp_a: Column, fp_b: Column) -> Column:
+    """The first differing place of two fingerprints as "section/paragraph/leaf", 0-based (null: equal
+    roots). One branch is followed: at each level the first child whose hash differs or that one side lacks."""
+    def down(a, b, level, path):
+        def step(pair):
+            x, y = pair["x"], pair["y"]
+            at = F.array_position(F.zip_with(x, y, lambda m, n: ~F.substring(m, 1, HASH).eqNullSafe(F.substring(n, 1, HASH))), F.lit(True))
+            return F.struct(at.alias("at"), F.get(x, at.cast("int") - 1).alias("x"), F.get(y, at.cast("int") - 1).alias("y"))
+
+        def onward(found):
+            here = F.concat(path, (found["at"] - 1).cast("string"))
+            if level == 2:
+                return here
+            return F.when(found["x"].isNull() | found["y"].isNull(), here).otherwise(
+                down(found["x"], found["y"], level + 1, F.concat(here, F.lit("/"))))
+        pair = F.array(F.struct(children(a, level).alias("x"), children(b, level).alias("y")))
+        return F.transform(F.transform(pair, step), onward)[0]
+    return F.when(F.substring(fp_a, 1, 32) != F.substring(fp_b, 1, 32), down(fp_a, fp_b, 0, F.lit("")))
+
+
+def edits(pairs: DataFrame, key: str, fp_a: str, fp_b: str) -> DataFrame:
+    """Where the fingerprints ``fp_a`` and ``fp_b`` of a pair differ: (key, side, section, paragraph, leaf), side
+    "a" or "b", places 0-based, for the leaves that only one side has.
+
+    Differing branches alone are followed: the sections whose hash the other side lacks,
+    their paragraphs of which the same holds, and those paragraphs' leaves. A node that differs while
+    all nodes below it occur on the other side too (moved or repeated ones) is given itself, null below.
+    ``key`` names a pair and must be unique."""
+    differ = F.substring(fp_a, 1, 32) != F.substring(fp_b, 1, 32)
+    nodes = pairs.filter(differ).select(F.col(key), F.explode(F.array(
+        F.struct(F.lit("a").alias("side"), F.col(fp_a).alias("node")),
+        F.struct(F.lit("b").alias("side"), F.col(fp_b).alias("node")))).alias("n")).select(key, "n.*")
+    places, out = [], None
+    for level, name in enumerate(("section", "paragraph", "leaf")):
+        parents = nodes
+        below = nodes.select(key, "side", *places, F.posexplode(children(F.col("node"), level)).alias(name, "node"))
+        same = Window.partitionBy(key, F.substring("node", 1, HASH))
+        nodes = write_table(below.withColumn("one", F.min("side").over(same) == F.max("side").over(same))
+                            .filter("one").drop("one"), "merkle-edits")
+        places.append(name)
+        if level:
+            whole = parents.join(nodes, [key, "side", *places[:-1]], "left_anti").select(key, "side", *places[:-1])
+            whole = whole.select(key, "side", *[F.col(c) if c in places[:-1] else F.lit(None).cast("int").alias(c)
+                                                for c in ("section", "paragraph", "leaf")])
+            out = whole if out is None else out.unionByName(whole)
+    return out.unionByName(nodes.select(key, "side", *places))
 
 
 def neighbours(rows: DataFrame) -> DataFrame:
@@ -90,8 +146,8 @@ def join_key(id_: str, th: str) -> Column:
 
 def fingerprint_edits(docs: DataFrame) -> DataFrame:
     """Fingerprints of all documents (doc_id, text), of their edited texts (the last
-    third replaced by the start of the next document in descending ``doc_id`` order), and
-    the likeness to the edited text's and to the next document's fingerprint.
+    third replaced by the start of the next document in descending ``doc_id`` order), the
+    first place where these two differ, and the likeness to the edited text's and to the next document's fingerprint.
 
     Neighbours are found on narrow rows; then each text is shuffled once, to its
     key, and the start of a next document (a third of this one's length) and its
@@ -115,4 +171,5 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
                        fingerprint(F.col("edited")).alias("edited_fingerprint"), "next_fp").select(
         "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
-        likeness(F.col("fingerprint"), F.col("next_fp")).alias("near_next"))
+        likeness(F.col("fingerprint"), F.col("next_fp")).alias("near_next"),
+        first_edit(F.col("fingerprint"), F.col("edited_fingerprint")).alias("first_edit"))

@@ -148,25 +148,45 @@ def op5(spark, sf_dir):
 # 9 -------------------------------------------------------------------------
 
 def _fingerprint_sql(text: str) -> str:
-    leaf = "list_transform(range(0, (len(string_split(p, ' ')) - 1) // 6 + 1), lambda i: substr(md5(array_to_string(list_slice(string_split(p, ' '), i * 6 + 1, i * 6 + 6), ' ')), 1, 8))"
-    return f"""md5(array_to_string([md5(array_to_string([md5(p) for p in string_split(s, chr(10))], '')) for s in string_split({text}, chr(10) || chr(10))], '')) || ':' ||
-  array_to_string([array_to_string([array_to_string({leaf}, ',') for p in string_split(s, chr(10))], '|') for s in string_split({text}, chr(10) || chr(10))], ';')"""
+    from lakesonar.llm.merkle import LEAF
+
+    def joined(hashes):
+        return f"md5(array_to_string({hashes}, ''))"
+    leaves = f"[md5(x) for x in regexp_extract_all(p, '{LEAF}')]"
+    paragraph, lines = joined(leaves), "string_split(s, chr(10))"
+    section, sections = joined(f"[{paragraph} for p in {lines}]"), f"string_split({text}, chr(10) || chr(10))"
+    return f"""{joined(f"[{section} for s in {sections}]")} || ':' || array_to_string([left({section}, 8) || '=' || array_to_string(
+  [left({paragraph}, 8) || '~' || array_to_string([left(h, 8) for h in {leaves}], ',') for p in {lines}], '|') for s in {sections}], ';')"""
 
 
 def _likeness_sql(a: str, b: str) -> str:
-    la, lb = (f"list_distinct(string_split_regex(substr({x}, 34), '[,|;]'))" for x in (a, b))
+    la, lb = (f"list_distinct(regexp_extract_all(regexp_replace(substr({x}, 34), '[0-9a-f]+[=~]', '', 'g'), '[0-9a-f]+'))" for x in (a, b))
     return (f"CASE WHEN left({a}, 32) = left({b}, 32) THEN 1.0::DOUBLE ELSE "
             f"len(list_intersect({la}, {lb}))::DOUBLE / greatest(len({la}), len({lb})) END")
 
 
+def _first_differing_sql(a: str, b: str) -> str:
+    """The 1-based place of the first node that differs in two lists of nodes."""
+    return (f"list_position([left({a}[i], 8) IS DISTINCT FROM left({b}[i], 8) "
+            f"for i in range(1, greatest(len({a}), len({b})) + 1)], true)")
+
+
 MERKLE_SQL = f"""
-WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
-n AS (SELECT doc_id, text, length(text) AS n, coalesce(lead(text) OVER (ORDER BY doc_id DESC NULLS LAST),
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+n AS (SELECT r, doc_id, text, length(text) AS n, coalesce(lead(text) OVER (ORDER BY doc_id DESC NULLS LAST),
   first_value(text) OVER (ORDER BY doc_id DESC NULLS LAST)) AS nxt FROM d),
 e AS (SELECT *, left(text, n - n // 3) || left(nxt, n // 3) AS edited FROM n),
-f AS (SELECT *, {_fingerprint_sql('text')} AS fp, {_fingerprint_sql('edited')} AS ef, {_fingerprint_sql('nxt')} AS nf FROM e)
+f AS MATERIALIZED (SELECT *, {_fingerprint_sql('text')} AS fp, {_fingerprint_sql('edited')} AS ef, {_fingerprint_sql('nxt')} AS nf FROM e),
+s AS (SELECT r, string_split(substr(fp, 34), ';') AS a, string_split(substr(ef, 34), ';') AS b FROM f WHERE left(fp, 32) <> left(ef, 32)),
+s1 AS (SELECT *, {_first_differing_sql('a', 'b')} AS i FROM s),
+p AS (SELECT r, i, string_split(substr(a[i], 10), '|') AS a, string_split(substr(b[i], 10), '|') AS b FROM s1 WHERE i <= least(len(a), len(b))),
+p1 AS (SELECT *, {_first_differing_sql('a', 'b').replace('[i]', '[k]').replace('for i in', 'for k in')} AS j FROM p),
+l AS (SELECT r, i, j, string_split(substr(a[j], 10), ',') AS a, string_split(substr(b[j], 10), ',') AS b FROM p1 WHERE j <= least(len(a), len(b))),
+l1 AS (SELECT r, j, {_first_differing_sql('a', 'b').replace('[i]', '[k]').replace('for i in', 'for k in')} AS m FROM l)
 SELECT doc_id, n::BIGINT AS n_chars, sha256(edited) AS edited_sha256, fp AS fingerprint, ef AS edited_fingerprint,
-  {_likeness_sql('fp', 'ef')} AS near_edited, {_likeness_sql('fp', 'nf')} AS near_next FROM f"""
+  {_likeness_sql('fp', 'ef')} AS near_edited, {_likeness_sql('fp', 'nf')} AS near_next,
+  s1.i - 1 || coalesce('/' || (p1.j - 1) || coalesce('/' || (m - 1), ''), '') AS first_edit
+FROM f LEFT JOIN s1 USING (r) LEFT JOIN p1 USING (r) LEFT JOIN l1 USING (r)"""
 
 
 @query("op9_merkle_fingerprints", MERKLE_SQL)

@@ -149,12 +149,66 @@ def test_merkle_odd_rows(odd):
     assert merkle.fingerprint_edits(odd.limit(0)).count() == 0
 
 
+def plain_fingerprint(text):
+    """The tree word by word, without the operator's pattern."""
+    def md5(x):
+        return hashlib.md5(x.encode()).hexdigest()
+
+    def leaves(paragraph):
+        out, leaf = [], []
+        words = paragraph.split(" ")
+        for i, w in enumerate(words):
+            last = i == len(words) - 1
+            leaf.append(w if last else w + " ")
+            if not last and (w[-1:] in ("d", "r", ".") or len(leaf) == merkle.LEAF_WORDS):
+                out.append("".join(leaf))
+                leaf = []
+        return out + ["".join(leaf)] if "".join(leaf) or not out else out
+    sections, hashes = [], []
+    for s in text.split("\n\n"):
+        ps = [[md5(x) for x in leaves(p)] for p in s.split("\n")]
+        hs = [md5("".join(p)) for p in ps]
+        hashes.append(md5("".join(hs)))
+        sections.append(hashes[-1][:8] + "=" + "|".join(h[:8] + "~" + ",".join(x[:8] for x in p) for h, p in zip(hs, ps)))
+    return md5("".join(hashes)) + ":" + ";".join(sections)
+
+
+def test_merkle_fingerprint_brute(spark, odd):
+    texts = [r[1] or "" for r in ROWS] + ["", " ", "a  ", "word " * 40, "x " * 16, "x " * 17, "end. of der\nd\n\n\n", "é\rd f", "und . ",
+                                          "y" * 100_000, " " * 50_000] + [r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", merkle.fingerprint(F.col("t")).alias("f"))
+    assert [r.f for r in df.collect()] == [plain_fingerprint(t) for t in texts]
+
+
+def test_merkle_word_put_in(spark):
+    text = " ".join(f"w{i * 7919 % 541}{'edrxn'[i % 5]}" for i in range(600))
+    df = spark.createDataFrame([(1, text, "new " + text), (2, text, text.replace(" w", " in w", 301).replace(" in w", " w", 300)),
+                                (3, "x " * 600, "new " + "x " * 600)], "id int, a string, b string")
+    df = df.select("id", *[merkle.fingerprint(F.col(c)).alias(c) for c in "ab"])
+    got = {r.id: r for r in df.select("id", merkle.likeness(F.col("a"), F.col("b")).alias("l"),
+                                      merkle.first_edit(F.col("a"), F.col("b")).alias("e")).collect()}
+    assert 0.9 < got[1].l < 1 and got[1].e == "0/0/0" and 0.9 < got[2].l < 1 and got[2].e.startswith("0/0/")
+    sides = [tuple(r) for r in merkle.edits(df.filter("id < 3"), "id", "a", "b").collect()]
+    assert len([x for x in sides if x[0] == 1]) == 2 and (1, "a", 0, 0, 0) in sides and (1, "b", 0, 0, 0) in sides
+    place = int(got[2].e.rsplit("/", 1)[1])
+    assert sorted(x for x in sides if x[0] == 2) == [(2, "a", 0, 0, place), (2, "b", 0, 0, place)]
+
+
 def test_merkle_edits_locate(spark):
-    df = spark.createDataFrame([("a b\nc d\n\ne f g h i j k l", "a b\nc X\n\ne f g h i j k Y"), ("s", "s"), ("a b", "a  b")], "a string, b string")
-    fa, fb = merkle.fingerprint(F.col("a")), merkle.fingerprint(F.col("b"))
-    got = df.select(merkle.edits(fa, fb).alias("e"), (F.substring(fa, 1, 32) == F.substring(fb, 1, 32)).alias("same")).collect()
-    assert [tuple(x) for x in got[0].e] == [(0, 1, 0), (1, 0, 1)] and not got[0].same
-    assert got[1].e == [] and got[1].same and not got[2].same
+    rows = [(0, "a b\nc d\n\ne f r h i j k l", "a b\nc X\n\ne f r h i j k Y"), (1, "s", "s"), (2, "a b", "a  b"),
+            (3, "p\nq\n\nz", "q\np\n\nz"), (4, "p\n\nq", "p\n\nq\n\nnew"), (5, "p\n\np", "p"), (6, "", "\n")]
+    df = spark.createDataFrame(rows, "id int, a string, b string").select("id", *[merkle.fingerprint(F.col(c)).alias(c) for c in "ab"])
+    got = {i: [] for i in range(7)}
+    for r in merkle.edits(df, "id", "a", "b").collect():
+        got[r.id].append(tuple(r)[1:])
+    assert sorted(got[0]) == [("a", 0, 1, 0), ("a", 1, 0, 1), ("b", 0, 1, 0), ("b", 1, 0, 1)]
+    assert got[1] == [] and sorted(got[2]) == [("a", 0, 0, 0), ("b", 0, 0, 0)]
+    assert sorted(got[3]) == [("a", 0, None, None), ("b", 0, None, None)]   # the same paragraphs, moved
+    assert got[4] == [("b", 2, 0, 0)] and got[5] == []                      # a repeated section has no hash of its own
+    assert sorted(got[6]) == [("a", 0, None, None), ("b", 0, None, None)]
+    first = {r.id: r.e for r in df.select("id", merkle.first_edit(F.col("a"), F.col("b")).alias("e")).collect()}
+    assert first == {0: "0/1/0", 1: None, 2: "0/0/0", 3: "0/0/0", 4: "2", 5: "1", 6: "0/1"}
+    assert merkle.edits(df.limit(0), "id", "a", "b").count() == 0
 
 
 # 7 ---
