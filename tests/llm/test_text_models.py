@@ -151,6 +151,18 @@ def test_decontaminate_same_with_many_automata(spark):
     assert all(t.split() == clean for t in one.values())
 
 
+def test_many_automata_odd_rows(spark):
+    rows = [(1, f"p{i} " * 3 + " ".join(f"q{i}w{k}" for k in range(14))) for i in range(12)]
+    b = spark.createDataFrame(rows + [(None, None), (2, " ")], "item_id long, text string")
+    odd = [(1, None), (1, None), (None, ""), (2, "clean " * 30), (2, "clean " * 30), (3, "Clean, kept.\n" + rows[4][1] + "\n" + "more text here " * 9),
+           (4, rows[5][1]), (None, rows[6][1] + " tail " * 40)]
+    d = spark.createDataFrame([(i, t, 5, "r", "c", "f") for i, t in odd], "doc_id long, text string, n_chars int, _row string, _clean string, _found string")
+    one, many = (sorted(map(str, decontaminate.decontaminate(d, b, automaton_words=n).collect())) for n in (10 ** 6, 40))
+    assert many == one and len(one) == 7
+    assert len(decontaminate.automata(b, 10, 40)) > decontaminate.BATCH
+    assert decontaminate.decontaminate(d.limit(0), b, automaton_words=40).count() == 0
+
+
 def test_repeated_items_make_no_more_automata(spark):
     items = [(1, " ".join(f"a{i}" for i in range(20))), (2, " ".join(f"b{i}" for i in range(20)))]
     b = spark.createDataFrame(items + items[:1] * 50, "item_id long, text string")
