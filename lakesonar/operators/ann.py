@@ -15,7 +15,7 @@ distance of a row to the centroid). A search runs in one or two rounds of the sa
 **Cell join.** Questions are exploded to (question, cell) rows. A cell of more rows than the budget is salted into
 several blocks, a cell that many questions probe gets several chunks of questions, and
 ``cogroup`` on (cell, block, chunk) scores one block against one chunk, each within
-``max_broadcast_bytes``. Only probed cells are read (partition pruning on the written index).
+``max_broadcast_bytes`` and the group budget of exact search. Only probed cells are read (partition pruning on the written index).
 No question passes through the driver, and every group yields at most ``k`` hits a question.
 """
 
@@ -31,7 +31,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakesonar.operators.retrieve import HIT_SCHEMA, MAX_BROADCAST_BYTES, TIE_DECIMALS, _prepare_questions, _score_topk
+from lakesonar.operators.retrieve import HIT_SCHEMA, MAX_BROADCAST_BYTES, TIE_DECIMALS, group_rows, score_group, spread
 from lakesonar.session import new_table_path, ship_package
 
 # The most rows KMeans is fitted on, the most bytes of centroids.
@@ -105,7 +105,7 @@ def cell_join(asked: DataFrame, index: DataFrame, sizes: DataFrame, k: int, metr
               max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
     """Hits of (qid, v, cell) questions among the (id, v, cell) rows of the same cell; ``sizes``
     (cell, n_rows, n_asked) tells how many blocks and chunks a cell is cut into."""
-    per_group = max(1, max_bytes // (8 * max(dim, 1)))
+    per_group = group_rows(max_bytes, dim, k)
     cut = sizes.select("cell", F.ceil(F.col("n_rows") / per_group).cast("int").alias("blocks"),
                        F.ceil(F.col("n_asked") / per_group).cast("int").alias("chunks"))
 
@@ -121,13 +121,12 @@ def cell_join(asked: DataFrame, index: DataFrame, sizes: DataFrame, k: int, metr
             .select("cell", "block", places("chunks").alias("chunk"), "id", "v"))
 
     def run(qpdf, ipdf):
-        if qpdf.empty or ipdf.empty:
-            return pd.DataFrame({f.name: pd.Series(dtype="object") for f in HIT_SCHEMA.fields})
-        ids, mat, sq = _prepare_questions(qpdf["qid"].to_numpy(), qpdf["v"], metric)
-        return _score_topk(ids, mat, sq, k, metric, [ipdf])
+        return score_group(qpdf, ipdf, k, metric)
 
     keys = ["cell", "block", "chunk"]
-    return qs.groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInPandas(run, HIT_SCHEMA)
+    groups = int(cut.agg(F.sum(F.col("blocks").cast("long") * F.col("chunks"))).first()[0] or 0)
+    return (spread(qs, groups, keys).groupBy(*keys)
+            .cogroup(spread(rows, groups, keys).groupBy(*keys)).applyInPandas(run, HIT_SCHEMA))
 
 
 def _best(hits: DataFrame, k: int) -> DataFrame:
