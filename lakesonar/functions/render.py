@@ -103,7 +103,8 @@ def sql_double_text(e: str) -> str:
     """A double without an exponent from 1e-4 up to 1e16, as Python prints it."""
     text = f"CAST({e} AS STRING)"
     plain = f"rtrim('0', CAST(CAST({text} AS DECIMAL(38, 21)) AS STRING))"
-    return (f"(CASE WHEN {text} LIKE '%E%' AND abs({e}) >= 1e-4D AND abs({e}) < 1e16D "
+    # other doubles come without an exponent: the comparisons spare them a second rendering
+    return (f"(CASE WHEN abs({e}) >= 1e-4D AND abs({e}) < 1e16D AND (abs({e}) < 1e-3D OR abs({e}) >= 1e7D) AND {text} LIKE '%E%' "
             f"THEN concat({plain}, CASE WHEN {plain} LIKE '%.' THEN '0' ELSE '' END) ELSE {text} END)")
 
 

@@ -17,7 +17,7 @@ small plans, one job for the whole lake):
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -124,6 +124,12 @@ VALUE_TEXT = (f"coalesce(text, CAST(lnum AS STRING), {sql_double_text('num')}, "
 VALUE_KEY = f"coalesce({VALUE_TEXT}, hkey)"
 
 
+def is_present() -> Column:
+    """Does a cell hold a value? Told without rendering it."""
+    return (F.coalesce("lnum", "num").isNotNull() | F.coalesce("ts", "tn").isNotNull() | F.col("text").isNotNull()
+            | F.col("hkey").isNotNull())
+
+
 def value_counts(cell_df: DataFrame, materialize: bool = True) -> DataFrame:
     """(table_name, ordinal, num, lnum, ts, text, n, value): one row per distinct
     value of each column, NULL included, with its rendered ``value`` text.
@@ -142,7 +148,7 @@ def value_counts(cell_df: DataFrame, materialize: bool = True) -> DataFrame:
         vc.write.parquet(path)
         vc = cell_df.sparkSession.read.parquet(path)
     return (vc.withColumn("value", F.expr(VALUE_TEXT))
-            .withColumn("present", F.col("value").isNotNull() | F.col("hkey").isNotNull())
+            .withColumn("present", is_present())
             .withColumn("vhash", F.coalesce(F.col("hkey"), F.md5(F.col("value")))))
 
 
@@ -195,9 +201,17 @@ def column_stats(vc: DataFrame, n_columns: int, decimals: bool = False) -> DataF
         *KEYS, "n_rows", "n_non_null", "num_unique_values", std.alias("std"), *EXTREMES)
 
 
-def sample_values(distinct: DataFrame, n_samples: int = 3, long_source: DataFrame | None = None) -> DataFrame:
+# Hashes below are low, one in 64. A column with enough low values has its smallest among them, and
+# only they are sorted.
+LOW_HASH = "04"
+
+
+def sample_values(distinct: DataFrame, n_samples: int = 3, long_source: DataFrame | None = None,
+                  n_columns: int | None = None) -> DataFrame:
     """Up to ``n_samples`` distinct values per column, smallest ``md5`` first.
 
+    With ``n_columns`` (the lake's) the values of columns that have enough low hashes are first cut down to these.
+
     Long texts travel as their hash; the few chosen ones are fetched in full
     from ``long_source`` (cells with ``keep_long``, of the columns that can
     hold long texts) by a semi-join against the chosen hashes
@@ -205,6 +219,10 @@ def sample_values(distinct: DataFrame, n_samples: int = 3, long_source: DataFram
     that selects no samples prunes this branch.
     """
     w = Window.partitionBy(*KEYS).orderBy(F.col("vhash"), F.col("value"))
+    if n_columns is not None:
+        enough = distinct.groupBy(*KEYS).agg((F.count_if(F.col("vhash") < LOW_HASH) >= n_samples).alias("_low"))
+        distinct = (distinct.join(per_column(enough, n_columns), KEYS)
+                    .filter(~F.col("_low") | (F.col("vhash") < LOW_HASH)))
     ranked = (distinct.select(*KEYS, "value", "hkey", "vhash")
               .withColumn("rk", F.row_number().over(w))
               .filter(F.col("rk") <= n_samples))
@@ -269,6 +287,22 @@ MD5_CLASSES = 16
 MD5_PREFIX = 15
 
 
+def low_prefix() -> Column:
+    """The number of the first hex digits of a low ``vhash``, null for others."""
+    return F.when(F.col("vhash") < LOW_HASH, F.conv(F.substring("vhash", 1, MD5_PREFIX), 16, 10).cast("long"))
+
+
+def sample_bound(n_samples: int) -> Column:
+    """An aggregate of ``hp`` (:func:`low_prefix`): no sample's prefix is above it. Null if too few
+    classes hold a low value: then any value may be a sample."""
+    classes = max(MD5_CLASSES, 4 * n_samples)
+    cls = F.pmod(F.col("hp"), F.lit(classes))
+    mins = [F.min(F.when(cls == h, F.col("hp"))) for h in range(classes)]
+    if n_samples <= 0:
+        return F.max(F.lit(None).cast("long"))
+    return F.try_element_at(F.array_sort(F.filter(F.array(*mins), lambda x: x.isNotNull())), F.lit(n_samples))
+
+
 def approx_parts(items, catalog: DataFrame, n_samples: int = 3,
                  sample_rows: int | None = None,
                  materialize_stats: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -277,8 +311,8 @@ def approx_parts(items, catalog: DataFrame, n_samples: int = 3,
     Pass 1 is one ``groupBy(table, ordinal)`` over the cells, collapsed
     map-side to one row per column per task (fixed-width buffers only):
     counts, numeric and temporal min/max, ``stddev_samp``, an HLL distinct
-    count, the date-format checks, and per md5 class the smallest md5 prefix
-    (60 bits as a ``bigint``). The ``n``-th smallest class minimum ``T``
+    count, the date-format checks, and per md5 class the smallest low md5 prefix
+    (60 bits as a ``bigint``; one hash in 64 is low, and only those are turned into numbers). The ``n``-th smallest class minimum ``T``
     bounds the ``n`` smallest distinct md5s: at least ``n`` distinct values
     have a prefix ``<= T``, and a value with a larger prefix has a larger md5
     than all of them. Pass 2 keeps only cells with prefix ``<= T`` (a
@@ -296,15 +330,12 @@ def approx_parts(items, catalog: DataFrame, n_samples: int = 3,
     v = (c.withColumn("present", present)
          .withColumn("value", F.expr(VALUE_TEXT))
          .withColumn("vhash", F.coalesce(F.col("hkey"), F.md5(F.col("value"))))
-         .withColumn("hp", F.conv(F.substring("vhash", 1, MD5_PREFIX), 16, 10).cast("long"))
+         .withColumn("hp", low_prefix())
          .withColumn("dv", F.expr("CASE WHEN is_str AND hkey IS NULL THEN text END")))
     # distinct identity on native values (long texts by their md5 key)
     native = F.when(F.col("present"), F.struct(
         "lnum", "num", "ts", "tn", F.when(F.col("hkey").isNull(), F.col("text")).alias("t"), "hkey"))
     numv = F.coalesce(F.col("num"), F.col("lnum").cast("double"))
-    classes = max(MD5_CLASSES, 4 * n_samples)
-    cls = F.pmod(F.col("hp"), F.lit(classes))
-    mins = [F.min(F.when(cls == h, F.col("hp"))) for h in range(classes)]
     nb = "count_if(is_str AND ((text IS NOT NULL AND text <> '') OR hkey IS NOT NULL)) AS nb"
     g = (v.select(*KEYS, "num", "lnum", "ts", "tn", "text", "hkey", "hp", "is_str", "present",
                   *[F.expr(e) for e in _date_parsed("dv")])
@@ -316,9 +347,7 @@ def approx_parts(items, catalog: DataFrame, n_samples: int = 3,
              F.min("lnum").alias("min_lnum"), F.max("lnum").alias("max_lnum"),
              F.min("ts").alias("min_ts"), F.max("ts").alias("max_ts"),
              F.min("tn").alias("min_tn"), F.max("tn").alias("max_tn"), *decimal_extremes(has_decimals(items)),
-             (F.try_element_at(F.array_sort(F.filter(F.array(*mins), lambda x: x.isNotNull())),
-                               F.lit(n_samples)) if n_samples > 0
-              else F.lit(None).cast("long")).alias("_t"),
+             sample_bound(n_samples).alias("_t"),
              *[F.expr(a) for a in [nb] + _date_aggs()]))
     stats = g.selectExpr(*KEYS, "n_rows", "n_non_null", "num_unique_values", "std", *EXTREMES, "_t",
                          *_date_pick())
@@ -392,7 +421,7 @@ def profile(tables, n_samples: int = 3, exact: bool = True,
         stats = column_stats(vc, n_columns, has_decimals(items))
         distinct = vc.filter(F.col("present")).select(*KEYS, "value", "hkey", "vhash", "n")
         string_keys = catalog.filter(F.col("kind") == "string").select(*KEYS)
-        dates = date_detection(distinct.join(string_keys, KEYS, "left_semi"))
+        dates = date_detection(distinct.join(per_column(string_keys, n_columns), KEYS, "left_semi"))
         out = catalog.join(stats.withColumn("distinct_error", F.lit(0.0)), KEYS, "left").join(dates, KEYS, "left")
     elif mode == "auto":
         stats, samples = approx_parts(items, catalog, n_samples, sample_rows, materialize_stats=True)
@@ -415,7 +444,7 @@ def profile(tables, n_samples: int = 3, exact: bool = True,
             long_keys = {(n, i) for n, df in items for i, f in enumerate(df.schema.fields)
                          if kind_of(f.dataType) in ("string", "other")}
         long_src = cells(items, sample_rows, keep_long=True, only=long_keys) if long_keys else None
-        out = out.join(sample_values(distinct, n_samples, long_src), KEYS, "left")
+        out = out.join(sample_values(distinct, n_samples, long_src, n_columns), KEYS, "left")
     else:
         out = out.join(samples, KEYS, "left")
     return described(out)

@@ -13,10 +13,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lakesonar.operators.profile import (EXTREMES, VALUE_KEY, VALUE_TEXT, _date_aggs, _date_parsed, _date_pick, cells,
-                                         column_catalog, decimal_extremes, described, has_decimals)
+                                         column_catalog, decimal_extremes, described, has_decimals, low_prefix, per_column,
+                                         sample_bound)
 from lakesonar.functions.dates import DATE_FORMATS
 from lakesonar.operators.index import _fs
-from lakesonar.session import table_exists
+from lakesonar.session import shared_dir, table_exists
 
 KEYS = ["table_name", "ordinal"]
 
@@ -92,6 +93,7 @@ def file_stats(tables, file, n_samples: int = 3) -> DataFrame:
     present = F.coalesce("lnum", "num").isNotNull() | F.coalesce("ts", "tn").isNotNull() | F.col("text").isNotNull()
     v = (c.withColumn("present", present).withColumn("value", F.expr(VALUE_TEXT))
          .withColumn("vhash", F.coalesce("hkey", F.md5("value")))
+         .withColumn("hp", low_prefix())
          .withColumn("x", F.coalesce("num", F.col("lnum").cast("double")))
          .withColumn("dv", F.expr("CASE WHEN is_str AND hkey IS NULL THEN text END")))
     keys = ["part", *KEYS]
@@ -102,10 +104,15 @@ def file_stats(tables, file, n_samples: int = 3) -> DataFrame:
         F.min("x").alias("min_num"), F.max("x").alias("max_num"), F.min("lnum").alias("min_lnum"), F.max("lnum").alias("max_lnum"),
         F.min("ts").alias("min_ts"), F.max("ts").alias("max_ts"), F.min("tn").alias("min_tn"), F.max("tn").alias("max_tn"),
         *decimal_extremes(has_decimals(items)),
-        F.hll_sketch_agg("vhash", F.lit(SKETCH_LG)).alias("sketch"), *[F.expr(a) for a in [nb, *_date_aggs()]])
-    few = smallest(v.filter("present").select(*keys, "vhash", "value"), keys, n_samples)
+        F.hll_sketch_agg("vhash", F.lit(SKETCH_LG)).alias("sketch"), sample_bound(n_samples).alias("_t"),
+        *[F.expr(a) for a in [nb, *_date_aggs()]])
+    # one row a column and file, read twice: the bound lets about n_samples values a column through to the shuffle
+    shared_dir(stats.sparkSession)
+    stats = stats.checkpoint(eager=True)
+    few = v.filter("present").select(*keys, "vhash", "value", "hp").join(per_column(stats.select(*keys, "_t"), stats.count()), keys)
+    few = smallest(few.filter(F.col("_t").isNull() | (F.col("hp") <= F.col("_t"))), keys, n_samples)
     catalog = column_catalog(items)
-    return (stats.join(few, keys, "left").join(catalog, KEYS)
+    return (stats.drop("_t").join(few, keys, "left").join(catalog, KEYS)
             .withColumnsRenamed({"table_name": "source", "part": "file"}))
 
 
