@@ -29,6 +29,10 @@ from lakesonar.llm.tokens import encode_to_files
 from lakesonar.llm.toxicity import learn, score_column
 from lakesonar.session import ship_package
 
+# Fixed value: words of a generation in the token stage's memo. The workers have run four stages before, whose memory
+# the allocator does not give back in full.
+TOKEN_MEMO = 100_000
+
 ORACLE_SQL = None  # no SQL for the learned score, the fingerprints and the tokenizer: see tests/llm/test_pipeline.py
 
 
@@ -56,7 +60,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship_package(spark)
-    return encode_to_files(docs, tokenizer_path())
+    return encode_to_files(docs, tokenizer_path(), memo=TOKEN_MEMO)
 
 
 STAGES = [

@@ -167,8 +167,11 @@ class Encoder:
         return out
 
 
-def encoder(path: str) -> Encoder:
-    return held(f"tokens {path}", lambda: Encoder(path))
+MEMO = 400_000  # words of a generation
+
+
+def encoder(path: str, memo: int = MEMO) -> Encoder:
+    return held(f"tokens {path} {memo}", lambda: Encoder(path, memo))
 
 
 # blocks --------------------------------------------------------------------
@@ -290,8 +293,9 @@ def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0,
                       block_ids: int = 65_536, planes: str = "byte", level: int = 3,
-                      file_bytes: int = 64 << 20) -> None:
-    """Encode ``docs`` (doc_id, text) and write them as bit-plane files under ``path``."""
+                      file_bytes: int = 64 << 20, memo: int = MEMO) -> None:
+    """Encode ``docs`` (doc_id, text) and write them as bit-plane files under ``path``. A smaller ``memo`` of words
+    takes less memory and more time; the ids are the same."""
     if planes not in ("byte", "bit"):
         raise ValueError("planes is 'byte' or 'bit'")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
@@ -304,7 +308,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     end = np.array([end_id], "<u4").tobytes()
 
     def records(batches):
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, memo)
         out = FileWriter(block_ids, planes, level)
         for batch in batches:
             for part in slices(batch):

@@ -141,3 +141,14 @@ def test_nulls_and_empty_table(spark, tmp_path):
                 assert docs.columns == df.columns
         assert docs.count() >= (2 if n else 0)
         assert n or docs.count() == 0
+
+
+def test_token_stage_takes_the_small_memo(monkeypatch):
+    """The stage's workers hold the memory of earlier stages too: its memo is smaller than operator 6's own."""
+    import corpus_pipeline
+    from lakesonar.llm import tokens
+    got = {}
+    monkeypatch.setattr(corpus_pipeline, "ship_package", lambda spark: None)
+    monkeypatch.setattr(corpus_pipeline, "encode_to_files", lambda docs, path, **k: got.update(k))
+    corpus_pipeline.tokens(None, None, "")
+    assert got["memo"] <= tokens.MEMO // 4
