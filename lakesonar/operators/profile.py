@@ -1,18 +1,17 @@
 """Whole-table column profiling.
 
-Every table becomes a narrow *cell* stream (:func:`cells`) via one ``explode`` per row, so the aggregates below are a fixed set
-of expressions whatever the number of tables and columns (small codegen,
-small plans, one job for the whole lake):
-
-* ``column_stats``: ``groupBy(table, ordinal)`` with row count, non-null
-  count, ``stddev_samp``/``min``/``max`` of numbers and ``min``/``max`` of
-  temporals. Partial aggregation leaves one row per column per task, so the
-  exchange is tiny.
-* ``distinct_values``: ``groupBy(table, ordinal, text)``; map-side partial
-  aggregation collapses hot values (a flag, a constant) before the exchange.
-  Exact distinct counts, samples and string date detection all read this.
-* samples: ``row_number`` by ``md5(value)`` with a group limit; Spark plans a
-  partial top-n before the shuffle, so no column's values meet in one task.
+A profile is made of small plans, each reading only the columns and doing only the work that it needs:
+
+* :func:`column_stats`: one global aggregate for each table (and for each ``WIDE`` columns of it) with
+  counts, spread and extremes on native values, turned into one row per column at its end.
+* :func:`typed_cells`: (column number, value) streams, one for each native type, so that a key holds one
+  value and not a place for every type. :func:`distinct_counts`, :func:`date_formats` and
+  :func:`sample_values` read them; map-side partial aggregation collapses repeated values (a flag, a
+  constant) before their exchanges.
+* :func:`sample_values`: values that cannot be among the smallest ``md5`` of their column are dropped in the scan.
+
+Statistics of files (``streaming/stats.py``) read the generic *cell* stream (:func:`cells`), which
+carries every type and the file.
 """
 
 from __future__ import annotations
@@ -124,34 +123,6 @@ VALUE_TEXT = (f"coalesce(text, CAST(lnum AS STRING), {sql_double_text('num')}, "
 VALUE_KEY = f"coalesce({VALUE_TEXT}, hkey)"
 
 
-def is_present() -> Column:
-    """Does a cell hold a value? Told without rendering it."""
-    return (F.coalesce("lnum", "num").isNotNull() | F.coalesce("ts", "tn").isNotNull() | F.col("text").isNotNull()
-            | F.col("hkey").isNotNull())
-
-
-def value_counts(cell_df: DataFrame, materialize: bool = True) -> DataFrame:
-    """(table_name, ordinal, num, lnum, ts, text, n, value): one row per distinct
-    value of each column, NULL included, with its rendered ``value`` text.
-
-    The only aggregation over raw data: map-side partial aggregation collapses
-    repeated values (a flag, a constant, a value holding a third of the rows)
-    before the exchange. With ``materialize`` the result is written once to the
-    shared folder, because its consumers prune it differently and Spark could
-    not reuse one shuffle for all of them.
-    """
-    vc = (cell_df.groupBy("table_name", "ordinal", "lnum", "num", "ts", "tn", "text", "hkey")
-          .agg(F.count(F.lit(1)).alias("n")))
-    if materialize:
-        from lakesonar.session import new_table_path
-        path = new_table_path(cell_df.sparkSession, "profile-values")
-        vc.write.parquet(path)
-        vc = cell_df.sparkSession.read.parquet(path)
-    return (vc.withColumn("value", F.expr(VALUE_TEXT))
-            .withColumn("present", is_present())
-            .withColumn("vhash", F.coalesce(F.col("hkey"), F.md5(F.col("value")))))
-
-
 def decimal_extremes(decimals: bool) -> list:
     """Aggregates min_dec and max_dec: the texts of the least and largest decimal. Beside the double,
     digits decide (a column's decimals have one scale; negative ones compare the other way round)."""
@@ -178,74 +149,205 @@ def per_column(df: DataFrame, n_columns: int) -> DataFrame:
     return F.broadcast(df) if n_columns <= MAX_BROADCAST_COLUMNS else df
 
 
-def column_stats(vc: DataFrame, n_columns: int, decimals: bool = False) -> DataFrame:
-    """Row count, non-null count, exact distinct count, min/max and the sample
-    standard deviation (two-pass over distinct values: mean first, then the
-    weighted sum of squared deviations) per column."""
-    numv = F.coalesce(F.col("num"), F.col("lnum").cast("double"))
-    nn = F.when(F.col("present"), F.col("n"))
-    wn = F.when(numv.isNotNull(), F.col("n"))
-    first = vc.groupBy(*KEYS).agg(
-        F.sum("n").alias("n_rows"), F.coalesce(F.sum(nn), F.lit(0)).alias("n_non_null"),
-        F.count_if(F.col("present")).alias("num_unique_values"),
-        F.min(numv).alias("min_num"), F.max(numv).alias("max_num"),
-        F.min("lnum").alias("min_lnum"), F.max("lnum").alias("max_lnum"),
-        F.min("ts").alias("min_ts"), F.max("ts").alias("max_ts"),
-        F.min("tn").alias("min_tn"), F.max("tn").alias("max_tn"), *decimal_extremes(decimals),
-        F.sum(wn).alias("_wn"), F.sum(numv * F.col("n")).alias("_sx"))
-    mean = first.select(*KEYS, (F.col("_sx") / F.col("_wn")).alias("_mean"))
-    dev = (vc.filter(numv.isNotNull()).join(per_column(mean, n_columns), KEYS)
-           .groupBy(*KEYS).agg(F.sum(F.col("n") * (numv - F.col("_mean")) ** 2).alias("_ss")))
-    std = F.when(F.col("_wn") > 1, F.sqrt(F.col("_ss") / (F.col("_wn") - 1)))
-    return first.join(dev, KEYS, "left").select(
-        *KEYS, "n_rows", "n_non_null", "num_unique_values", std.alias("std"), *EXTREMES)
-
-
-# Hashes below are low, one in 64. A column with enough low values has its smallest among them, and
-# only they are sorted.
-LOW_HASH = "04"
+# The columns of one global aggregate, so that its code stays small.
+WIDE = 25
+
+
+def _table_literal(name: str) -> str:
+    return "'" + name.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _union(parts: list) -> DataFrame | None:
+    out = None
+    for p in parts:
+        out = p if out is None else out.union(p)
+    return out
+
+
+def _per_column_rows(df: DataFrame, aggs: list[str], structs: list[str]) -> DataFrame:
+    """Global aggregates of a table, as one row per column; none for an empty table."""
+    return (df.selectExpr("count(1) AS n_rows", *aggs).filter("n_rows > 0")
+            .selectExpr(f"inline(array({', '.join(structs)}))"))
+
+
+def column_stats(items) -> DataFrame:
+    """(table_name, ordinal, n_rows, n_non_null, std, extremes, nb): row and value counts, sample standard
+    deviation, min and max of every column in its own type; ``nb``: the non-blank values of a string column."""
+    decimals, parts = has_decimals(items), []
+    for name, df in items:
+        fields = list(enumerate(df.schema.fields))
+        for at in range(0, len(fields), WIDE):
+            aggs, structs = [], []
+            for i, f in fields[at:at + WIDE]:
+                dt, kind = f.dataType, kind_of(f.dataType)
+                x = sql_nan_to_null(quote(f.name), dt)
+                out = dict.fromkeys(["std", *EXTREMES, "nb"], "NULL")
+                aggs.append(f"count({x}) AS n{i}")
+                if kind in ("number", "temporal"):
+                    if kind == "temporal" and not isinstance(dt, T.TimestampType):  # no zone: the session's must not move it
+                        x = f"CAST({x} AS TIMESTAMP_NTZ)"
+                    aggs += [f"min({x}) AS lo{i}", f"max({x}) AS hi{i}"]
+                if kind == "number":
+                    aggs.append(f"stddev_samp(CAST({x} AS DOUBLE)) AS sd{i}")
+                    out |= {"std": f"sd{i}", "min_num": f"lo{i}", "max_num": f"hi{i}"}
+                    if isinstance(dt, INTEGRAL):
+                        out |= {"min_lnum": f"lo{i}", "max_lnum": f"hi{i}"}
+                    elif decimals and not isinstance(dt, T.DoubleType):
+                        out |= {"min_dec": f"lo{i}", "max_dec": f"hi{i}"}
+                elif kind == "temporal":
+                    end = "ts" if isinstance(dt, T.TimestampType) else "tn"
+                    out |= {f"min_{end}": f"lo{i}", f"max_{end}": f"hi{i}"}
+                elif kind == "string":
+                    aggs.append(f"count_if({x} <> '') AS nb{i}")
+                    out["nb"] = f"nb{i}"
+                typed = ", ".join(f"'{c}', CAST({e} AS {STAT_TYPES[c.split('_')[-1]]})" for c, e in out.items())
+                structs.append(f"named_struct('table_name', {_table_literal(name)}, 'ordinal', {i}, 'n_rows', n_rows, "
+                               f"'n_non_null', n{i}, {typed})")
+            if structs:
+                parts.append(_per_column_rows(df, aggs, structs))
+    return _union(parts)
+
+
+STAT_TYPES = {"std": "DOUBLE", "num": "DOUBLE", "lnum": "BIGINT", "ts": "TIMESTAMP", "tn": "TIMESTAMP_NTZ",
+              "dec": "STRING", "nb": "BIGINT"}
+
+
+def approx_counts(items) -> DataFrame:
+    """(table_name, ordinal, num_unique_values) from HLL sketches of native values (long texts by their md5)."""
+    parts = []
+    for name, df in items:
+        fields = list(enumerate(df.schema.fields))
+        for at in range(0, len(fields), WIDE):
+            aggs, structs = [], []
+            for i, f in fields[at:at + WIDE]:
+                native, v = native_value(f)
+                if native == "string" and kind_of(f.dataType) in ("string", "other"):
+                    v = f"CASE WHEN length({v}) > {LONG_TEXT} THEN md5({v}) ELSE {v} END"
+                elif kind_of(f.dataType) == "number" and native == "string":
+                    v = f"CASE WHEN {v} IS NOT NULL THEN named_struct('num', CAST({sql_nan_to_null(quote(f.name), f.dataType)} AS DOUBLE), 't', {v}) END"
+                aggs.append(f"approx_count_distinct({v}) AS u{i}")
+                structs.append(f"named_struct('table_name', {_table_literal(name)}, 'ordinal', {i}, 'num_unique_values', u{i})")
+            if structs:
+                parts.append(_per_column_rows(df, aggs, structs))
+    return _union(parts)
+
+
+def native_value(f: T.StructField) -> tuple[str, str]:
+    """(type, SQL) of the cheap native value that tells a column's values apart."""
+    c, dt = quote(f.name), f.dataType
+    if isinstance(dt, INTEGRAL):
+        return "bigint", f"CAST({c} AS BIGINT)"
+    if isinstance(dt, T.DoubleType):
+        return "double", sql_nan_to_null(c, dt)
+    if isinstance(dt, T.TimestampType):
+        return "timestamp", c
+    if kind_of(dt) == "temporal":  # no zone: the session's must not move it
+        return "timestamp_ntz", f"CAST({c} AS TIMESTAMP_NTZ)"
+    return "string", f"CAST({sql_value_text(c, dt)} AS STRING)"
+
+
+# the text of a native value ``v``
+NATIVE_TEXT = {"bigint": "CAST(v AS STRING)", "double": sql_double_text("v"), "timestamp": sql_iso_text("v"),
+               "timestamp_ntz": sql_local_text("v"), "string": "v"}
+
+
+def column_numbers(items) -> dict[tuple[str, int], int]:
+    """The number of every (table_name, ordinal) in the lake: a short key for its cells."""
+    keys = [(name, i) for name, df in items for i in range(len(df.columns))]
+    return {k: n for n, k in enumerate(keys)}
+
+
+def numbers_frame(items, spark) -> DataFrame:
+    rows = [(n, *k) for k, n in column_numbers(items).items()]
+    return spark.createDataFrame(rows, "col int, table_name string, ordinal int")
+
+
+def typed_cells(items, only: set | None = None, kinds: tuple | None = None) -> dict[str, DataFrame]:
+    """(col, v): the values of every column that are not null, one stream for each native type.
+    ``only``: the (table_name, ordinal) pairs to emit; ``kinds``: the kinds of columns to emit."""
+    number, parts = column_numbers(items), {}
+    for name, df in items:
+        by_type = {}
+        for i, f in enumerate(df.schema.fields):
+            if (only is not None and (name, i) not in only) or (kinds is not None and kind_of(f.dataType) not in kinds):
+                continue
+            native, v = native_value(f)
+            by_type.setdefault(native, []).append(f"named_struct('col', {number[name, i]}, 'v', {v})")
+        for native, structs in by_type.items():
+            parts.setdefault(native, []).append(df.selectExpr(f"inline(array({', '.join(structs)}))"))
+    return {native: _union(ps).filter("v IS NOT NULL") for native, ps in parts.items()}
+
 
+def _distinct(native: str, c: DataFrame) -> DataFrame:
+    """The distinct values of a stream: (col, v), with long texts by their md5 (col, v, hkey)."""
+    if native == "string":
+        c = c.selectExpr("col", f"CASE WHEN length(v) <= {LONG_TEXT} THEN v END AS v",
+                         f"CASE WHEN length(v) > {LONG_TEXT} THEN md5(v) END AS hkey")
+    return c.distinct()
 
-def sample_values(distinct: DataFrame, n_samples: int = 3, long_source: DataFrame | None = None,
-                  n_columns: int | None = None) -> DataFrame:
-    """Up to ``n_samples`` distinct values per column, smallest ``md5`` first.
 
-    With ``n_columns`` (the lake's) the values of columns that have enough low hashes are first cut down to these.
+def distinct_counts(items, only: set | None = None) -> DataFrame | None:
+    """(col, num_unique_values): exact distinct counts. A key is a column's number and one native value."""
+    return _union([_distinct(native, c).groupBy("col").agg(F.count(F.lit(1)).alias("num_unique_values"))
+                   for native, c in typed_cells(items, only).items()])
 
-    Long texts travel as their hash; the few chosen ones are fetched in full
-    from ``long_source`` (cells with ``keep_long``, of the columns that can
-    hold long texts) by a semi-join against the chosen hashes
-    (at most ``n_samples`` per column). Everything stays lazy, so a caller
-    that selects no samples prunes this branch.
+
+# A column of more distinct values than this is cut down to low hashes, of which it is expected to
+# have EXPECTED_LOW (or 8 for each sample asked for, if that is more): with a chance under 1e-15 too few are there.
+MANY_VALUES = 4096
+EXPECTED_LOW = 64
+
+
+def sample_limits(counts: DataFrame, n_samples: int) -> DataFrame:
+    """(col, lim): samples have an ``md5`` under ``lim`` (every md5 is under 'g'), from (col, num_unique_values)."""
+    low = max(EXPECTED_LOW, 8 * n_samples)
+    prefix = F.lower(F.hex((F.lit(2.0 ** 60) * F.lit(float(low)) / F.col("num_unique_values")).cast("long")))
+    return counts.filter("num_unique_values > 0").select("col", F.when(
+        F.col("num_unique_values") > max(MANY_VALUES, 4 * low), F.lpad(prefix, 15, "0")).otherwise("g").alias("lim"))
+
+
+def sample_values(items, counts: DataFrame, n_samples: int = 3) -> DataFrame:
+    """(col, samples): up to ``n_samples`` distinct values per column, smallest ``md5`` first.
+
+    ``counts`` (col, num_unique_values), exact or from sketches, tell the columns of many values. Of these only
+    low hashes leave the scan; the others collapse to their few values in the tasks. Long texts travel as their
+    hash; the few chosen ones are fetched in full by a semi-join of the columns that can hold them.
     """
-    w = Window.partitionBy(*KEYS).orderBy(F.col("vhash"), F.col("value"))
-    if n_columns is not None:
-        enough = distinct.groupBy(*KEYS).agg((F.count_if(F.col("vhash") < LOW_HASH) >= n_samples).alias("_low"))
-        distinct = (distinct.join(per_column(enough, n_columns), KEYS)
-                    .filter(~F.col("_low") | (F.col("vhash") < LOW_HASH)))
-    ranked = (distinct.select(*KEYS, "value", "hkey", "vhash")
-              .withColumn("rk", F.row_number().over(w))
-              .filter(F.col("rk") <= n_samples))
+    n_columns = len(column_numbers(items))
+    limits = per_column(sample_limits(counts, n_samples), n_columns)
+    parts = []
+    for native, c in typed_cells(items).items():
+        text = NATIVE_TEXT[native]
+        low = c.join(limits, "col").filter(f"lim = 'g' OR md5({text}) < lim").select("col", "v")
+        hkey = "hkey" if native == "string" else "CAST(NULL AS STRING) AS hkey"
+        parts.append(_distinct(native, low).selectExpr("col", f"{text} AS value", hkey))
+    w = Window.partitionBy("col").orderBy(F.col("vhash"), F.col("value"))
+    ranked = (_union(parts).withColumn("vhash", F.coalesce("hkey", F.md5("value")))
+              .withColumn("rk", F.row_number().over(w)).filter(F.col("rk") <= n_samples).drop("vhash"))
+    long_source = typed_cells(items, kinds=("string", "other")).get("string")
     if long_source is not None:
-        chosen = ranked.filter(F.col("hkey").isNotNull()).select(*KEYS, "hkey")
-        full = (long_source.filter(F.col("hkey").isNotNull())
-                .join(chosen, KEYS + ["hkey"], "left_semi")
-                .groupBy(*KEYS, "hkey").agg(F.min("text").alias("long_value")))
-        ranked = (ranked.join(full, KEYS + ["hkey"], "left")
-                  .withColumn("value", F.coalesce("value", "long_value")))
-    return ranked.groupBy(*KEYS).agg(
+        chosen = ranked.filter(F.col("hkey").isNotNull()).select("col", "hkey")
+        full = (long_source.filter(f"length(v) > {LONG_TEXT}").withColumn("hkey", F.md5("v"))
+                .join(per_column(chosen, n_columns), ["col", "hkey"], "left_semi")
+                .groupBy("col", "hkey").agg(F.min("v").alias("long_value")))
+        ranked = ranked.join(full, ["col", "hkey"], "left").withColumn("value", F.coalesce("value", "long_value"))
+    return ranked.groupBy("col").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("rk", "value"))),
                     lambda x: x["value"]).alias("samples"))
 
 
+# Hashes below are low, one in 64. A column of a file with enough low values has its smallest among them.
+LOW_HASH = "04"
+
+
 # Every date format starts with a digit and is 4 to 32
 # characters long; other values skip the format regexes.
 DATE_LEN = (4, 32)
+DATE_LIKE = f"length({{e}}) BETWEEN {DATE_LEN[0]} AND {DATE_LEN[1]} AND substr({{e}}, 1, 1) BETWEEN '0' AND '9'"
 
 
 def _date_parsed(value: str = "value") -> list[str]:
-    pre = (f"length({value}) BETWEEN {DATE_LEN[0]} AND {DATE_LEN[1]} "
-           f"AND substr({value}, 1, 1) BETWEEN '0' AND '9'")
+    pre = DATE_LIKE.format(e=value)
     return [f"(CASE WHEN {pre} THEN {sql_parse_with(value, n, r, p)} END) AS p{j}"
             for j, (n, r, p) in enumerate(DATE_FORMATS)]
 
@@ -269,15 +371,22 @@ def _date_pick() -> list[str]:
             f"CAST({lo} AS TIMESTAMP) AS date_min", f"CAST({hi} AS TIMESTAMP) AS date_max"]
 
 
-def date_detection(values: DataFrame) -> DataFrame:
-    """Per string column: the first format that parses every non-blank value (T2),
-    and the parsed min/max under that format (P6). ``values`` has
-    (table_name, ordinal, value, hkey) rows, distinct or not; long texts
-    (``hkey``) are never dates."""
-    nb = "count_if((value IS NOT NULL AND value <> '') OR hkey IS NOT NULL) AS nb"
-    g = (values.selectExpr(*KEYS, "value", "hkey", *_date_parsed())
-         .groupBy(*KEYS).agg(*[F.expr(a) for a in [nb] + _date_aggs()]))
-    return g.selectExpr(*KEYS, *_date_pick())
+def date_formats(items, nonblank: DataFrame) -> DataFrame | None:
+    """(col, date_format, date_min, date_max) of the string columns with a format that parses every non-blank
+    value (T2), the first of them, with the parsed min/max under it (P6). ``nonblank``: (col, nb), the number of
+    non-blank values. Only values that may be dates leave the scan, and each distinct one is parsed once."""
+    c = typed_cells(items, kinds=("string",)).get("string")
+    if c is None:
+        return None
+    values = c.filter(DATE_LIKE.format(e="v")).groupBy("col", "v").agg(F.count(F.lit(1)).alias("n"))
+    parsed = ", ".join(f"named_struct('f', {j}, 'p', {sql_parse_with('v', n, r, p)})"
+                       for j, (n, r, p) in enumerate(DATE_FORMATS))
+    fits = (values.selectExpr("col", "n", f"inline(array({parsed}))").filter("p IS NOT NULL")
+            .groupBy("col", "f").agg(F.sum("n").alias("ok"), F.min("p").alias("lo"), F.max("p").alias("hi")))
+    names = ", ".join(f"'{n}'" for n, _, _ in DATE_FORMATS)
+    return (fits.join(nonblank, "col").filter("ok = nb")
+            .groupBy("col").agg(F.min(F.struct("f", "lo", "hi")).alias("d"))
+            .selectExpr("col", f"element_at(array({names}), d.f + 1) AS date_format", "d.lo AS date_min", "d.hi AS date_max"))
 
 
 # The least number of md5 classes whose minima bound the sample
@@ -303,69 +412,6 @@ def sample_bound(n_samples: int) -> Column:
     return F.try_element_at(F.array_sort(F.filter(F.array(*mins), lambda x: x.isNotNull())), F.lit(n_samples))
 
 
-def approx_parts(items, catalog: DataFrame, n_samples: int = 3,
-                 sample_rows: int | None = None,
-                 materialize_stats: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Approximate mode: (stats, samples) with no per-value shuffle.
-
-    Pass 1 is one ``groupBy(table, ordinal)`` over the cells, collapsed
-    map-side to one row per column per task (fixed-width buffers only):
-    counts, numeric and temporal min/max, ``stddev_samp``, an HLL distinct
-    count, the date-format checks, and per md5 class the smallest low md5 prefix
-    (60 bits as a ``bigint``; one hash in 64 is low, and only those are turned into numbers). The ``n``-th smallest class minimum ``T``
-    bounds the ``n`` smallest distinct md5s: at least ``n`` distinct values
-    have a prefix ``<= T``, and a value with a larger prefix has a larger md5
-    than all of them. Pass 2 keeps only cells with prefix ``<= T`` (a
-    broadcast of one row per column), removes duplicates map-side and picks
-    the samples exactly as the exact mode does. In expectation about ``n``
-    distinct values per column pass the filter, so the second exchange is
-    tiny too, even when one value fills a third of the rows. Only
-    ``num_unique_values`` is approximate.
-    """
-    c = cells(items, sample_rows, keep_long=True)
-    present = (F.col("lnum").isNotNull() | F.col("num").isNotNull() | F.col("ts").isNotNull() | F.col("tn").isNotNull()
-               | F.col("text").isNotNull())
-    # counts, HLL and date checks read native values; the rendered value and
-    # its md5 feed only the sample threshold and pass 2
-    v = (c.withColumn("present", present)
-         .withColumn("value", F.expr(VALUE_TEXT))
-         .withColumn("vhash", F.coalesce(F.col("hkey"), F.md5(F.col("value"))))
-         .withColumn("hp", low_prefix())
-         .withColumn("dv", F.expr("CASE WHEN is_str AND hkey IS NULL THEN text END")))
-    # distinct identity on native values (long texts by their md5 key)
-    native = F.when(F.col("present"), F.struct(
-        "lnum", "num", "ts", "tn", F.when(F.col("hkey").isNull(), F.col("text")).alias("t"), "hkey"))
-    numv = F.coalesce(F.col("num"), F.col("lnum").cast("double"))
-    nb = "count_if(is_str AND ((text IS NOT NULL AND text <> '') OR hkey IS NOT NULL)) AS nb"
-    g = (v.select(*KEYS, "num", "lnum", "ts", "tn", "text", "hkey", "hp", "is_str", "present",
-                  *[F.expr(e) for e in _date_parsed("dv")])
-         .groupBy(*KEYS).agg(
-             F.count(F.lit(1)).alias("n_rows"), F.count_if("present").alias("n_non_null"),
-             F.approx_count_distinct(native).alias("num_unique_values"),
-             F.stddev_samp(numv).alias("std"),
-             F.min(numv).alias("min_num"), F.max(numv).alias("max_num"),
-             F.min("lnum").alias("min_lnum"), F.max("lnum").alias("max_lnum"),
-             F.min("ts").alias("min_ts"), F.max("ts").alias("max_ts"),
-             F.min("tn").alias("min_tn"), F.max("tn").alias("max_tn"), *decimal_extremes(has_decimals(items)),
-             sample_bound(n_samples).alias("_t"),
-             *[F.expr(a) for a in [nb] + _date_aggs()]))
-    stats = g.selectExpr(*KEYS, "n_rows", "n_non_null", "num_unique_values", "std", *EXTREMES, "_t",
-                         *_date_pick())
-    if materialize_stats:                   # one row per column
-        from lakesonar.session import shared_dir
-        shared_dir(stats.sparkSession)
-        stats = stats.checkpoint(eager=True)
-    # read twice (threshold, final join): the two reads share one exchange
-    # (exchange reuse)
-    thr = per_column(stats.select(*KEYS, "_t"), sum(len(df.columns) for _, df in items))
-    cand = (v.select(*KEYS, "present", "value", "vhash", "hp").join(thr, KEYS)
-            .filter(F.lit(n_samples > 0) & F.col("present")
-                    & (F.col("_t").isNull() | (F.col("hp") <= F.col("_t"))))
-            .groupBy(*KEYS, "vhash").agg(F.min("value").alias("value"))
-            .withColumn("hkey", F.lit(None).cast("string")))
-    return stats.drop("_t"), sample_values(cand, n_samples)
-
-
 # The most that a distinct count of approximate mode is off (three standard errors of the
 # default sketch, 5% each), as a share of the count.
 APPROX_ERROR = 0.15
@@ -376,25 +422,20 @@ APPROX_ERROR = 0.15
 AUTO_RATIO_BAND = 0.1
 
 
-def exact_near_threshold(items, catalog: DataFrame, stats: DataFrame,
-                         sample_rows: int | None = None) -> DataFrame:
+def exact_near_threshold(items, columns: DataFrame) -> DataFrame:
     """Replace sketch distinct counts by exact ones for the string columns
     whose category/string decision could flip under the sketch's error. Only
     those columns are read again (their keys are metadata, at most one per
     column), and their distinct values are counted with map-side partial
     aggregation."""
     ratio = F.col("num_unique_values") / F.col("n_rows")
-    near = (stats.join(catalog.filter(F.col("kind") == "string").select(*KEYS),
-                       KEYS, "left_semi")
-            .filter((F.col("n_rows") > 0) & (F.abs(ratio - F.lit(CATEGORY_RATIO)) <= AUTO_RATIO_BAND)))
+    near = (columns.filter((F.col("kind") == "string") & (F.col("n_rows") > 0))
+            .filter(F.abs(ratio - F.lit(CATEGORY_RATIO)) <= AUTO_RATIO_BAND))
     keys = {(r[0], r[1]) for r in near.select(*KEYS).collect()}
     if not keys:
-        return stats
-    c = cells(items, sample_rows, only=keys)
-    exact_counts = (c.select(*KEYS, F.expr(VALUE_KEY).alias("k")).filter(F.col("k").isNotNull())
-                    .distinct().groupBy(*KEYS)
-                    .agg(F.count(F.lit(1)).alias("_exact")))
-    return (stats.join(exact_counts, KEYS, "left")
+        return columns
+    exact = distinct_counts(items, keys).withColumnRenamed("num_unique_values", "_exact")
+    return (columns.join(exact, "col", "left")
             .withColumns({"num_unique_values": F.coalesce("_exact", "num_unique_values"),
                           "distinct_error": F.when(F.col("_exact").isNotNull(), 0.0).otherwise(F.col("distinct_error"))})
             .drop("_exact"))
@@ -407,46 +448,44 @@ def profile(tables, n_samples: int = 3, exact: bool = True,
     ``tables`` is a dict or list of (name, DataFrame). ``sample_rows=None``
     profiles whole tables; an integer reproduces the reference's row limit.
     ``exact=False`` takes distinct counts from HLL sketches and runs without
-    the per-value shuffle (``approx_parts``); everything else stays exact.
+    the per-value shuffle (``approx_counts``); everything else stays exact.
     ``exact="auto"`` does the same but counts exactly the string columns whose
     category decision is near the threshold (``exact_near_threshold``).
+    With ``materialize`` (and always in "auto") the statistics, one row a column, are written once to the
+    shared folder: dates and samples read them.
     """
     items = _as_items(tables)
     catalog = column_catalog(items)
-    mode = "auto" if exact == "auto" else ("exact" if exact else "approx")
-    n_columns = sum(len(df.columns) for _, df in items)
-    if mode == "exact":
-        cell_df = cells(items, sample_rows)
-        vc = value_counts(cell_df, materialize=materialize)
-        stats = column_stats(vc, n_columns, has_decimals(items))
-        distinct = vc.filter(F.col("present")).select(*KEYS, "value", "hkey", "vhash", "n")
-        string_keys = catalog.filter(F.col("kind") == "string").select(*KEYS)
-        dates = date_detection(distinct.join(per_column(string_keys, n_columns), KEYS, "left_semi"))
-        out = catalog.join(stats.withColumn("distinct_error", F.lit(0.0)), KEYS, "left").join(dates, KEYS, "left")
-    elif mode == "auto":
-        stats, samples = approx_parts(items, catalog, n_samples, sample_rows, materialize_stats=True)
-        stats = stats.withColumn("distinct_error", F.lit(APPROX_ERROR))
-        stats = exact_near_threshold(items, catalog, stats, sample_rows)
-        out = catalog.join(stats, KEYS, "left")
+    spark = catalog.sparkSession
+    if materialize or exact == "auto":
+        from lakesonar.session import shared_dir
+        shared_dir(spark)
+    if sample_rows is not None:
+        items = [(name, df.limit(sample_rows)) for name, df in items]
+        if materialize:  # the same rows for every step
+            items = [(name, df.checkpoint(eager=True)) for name, df in items]
+    n_columns = len(column_numbers(items))
+    out = (catalog.join(F.broadcast(numbers_frame(items, spark)), KEYS)
+           .join(column_stats(items), KEYS, "left"))
+    if exact and exact != "auto":
+        out = out.join(distinct_counts(items), "col", "left").withColumn("distinct_error", F.lit(0.0))
+    else:
+        out = out.join(approx_counts(items), KEYS, "left").withColumn("distinct_error", F.lit(APPROX_ERROR))
+    if materialize or exact == "auto":
+        out = out.checkpoint(eager=True)
+    counts = out.select("col", "num_unique_values")
+    dates = date_formats(items, per_column(out.filter("nb > 0").select("col", "nb"), n_columns))
+    if exact == "auto":
+        out = exact_near_threshold(items, out)
+    if dates is None:
+        out = out.selectExpr("*", "CAST(NULL AS STRING) AS date_format", "CAST(NULL AS TIMESTAMP) AS date_min",
+                             "CAST(NULL AS TIMESTAMP) AS date_max")
     else:
-        stats, samples = approx_parts(items, catalog, n_samples, sample_rows)
-        out = catalog.join(stats.withColumn("distinct_error", F.lit(APPROX_ERROR)), KEYS, "left")
+        out = out.join(dates, "col", "left")
     if n_samples <= 0:                     # no samples asked for: no sample work at all
         out = out.withColumn("samples", F.lit(None).cast("array<string>"))
-    elif mode == "exact":
-        # re-read only the columns that hold long texts: from the written value
-        # counts when materialised (a small filtered scan, one key per column),
-        # else every string and nested column (known from the schema)
-        if materialize:
-            long_keys = {(r[0], r[1]) for r in vc.filter(F.col("hkey").isNotNull())
-                         .select(*KEYS).distinct().collect()}
-        else:
-            long_keys = {(n, i) for n, df in items for i, f in enumerate(df.schema.fields)
-                         if kind_of(f.dataType) in ("string", "other")}
-        long_src = cells(items, sample_rows, keep_long=True, only=long_keys) if long_keys else None
-        out = out.join(sample_values(distinct, n_samples, long_src, n_columns), KEYS, "left")
     else:
-        out = out.join(samples, KEYS, "left")
+        out = out.join(sample_values(items, counts, n_samples), "col", "left")
     return described(out)
 
 
