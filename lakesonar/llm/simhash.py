@@ -108,7 +108,8 @@ def edges_of(fps: DataFrame, radius: int, block: int) -> DataFrame:
     chunks = F.ceil(F.col("n") / block).cast("int")
     mine = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
     others = F.filter(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: (F.col("chunks") == 1) | (j != F.col("mine")))
-    grouped = (rows.join(buckets, ["t", "k"]).withColumn("chunks", chunks).withColumn("mine", mine)
+    # a merge join: Spark sizes the rows as if each were still one fingerprint and would broadcast all of them
+    grouped = (rows.join(buckets.hint("merge"), ["t", "k"]).withColumn("chunks", chunks).withColumn("mine", mine)
                .withColumn("other", F.explode(others))
                .select("t", "k", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "fp"))
     keys = ["t", "k", "i", "j"]
