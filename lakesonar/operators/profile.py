@@ -123,18 +123,6 @@ VALUE_TEXT = (f"coalesce(text, CAST(lnum AS STRING), {sql_double_text('num')}, "
 VALUE_KEY = f"coalesce({VALUE_TEXT}, hkey)"
 
 
-def decimal_extremes(decimals: bool) -> list:
-    """Aggregates min_dec and max_dec: the texts of the least and largest decimal. Beside the double,
-    digits decide (a column's decimals have one scale; negative ones compare the other way round)."""
-    if not decimals:
-        return [F.lit(None).cast("string").alias(c) for c in ("min_dec", "max_dec")]
-    digits = F.when(F.col("num") < 0, F.translate("text", "0123456789", "9876543210")).otherwise(F.col("text"))
-    order = F.struct("num", F.length("text") * F.signum("num"), digits)
-    is_dec = F.col("num").isNotNull() & F.col("text").isNotNull()
-    return [pick(F.when(is_dec, F.col("text")), F.when(is_dec, order)).alias(c)
-            for c, pick in (("min_dec", F.min_by), ("max_dec", F.max_by))]
-
-
 def has_decimals(items) -> bool:
     return any(isinstance(f.dataType, T.DecimalType) for _, df in items for f in df.schema.fields)
 
@@ -246,9 +234,14 @@ def native_value(f: T.StructField) -> tuple[str, str]:
     return "string", f"CAST({sql_value_text(c, dt)} AS STRING)"
 
 
-# the text of a native value ``v``
-NATIVE_TEXT = {"bigint": "CAST(v AS STRING)", "double": sql_double_text("v"), "timestamp": sql_iso_text("v"),
-               "timestamp_ntz": sql_local_text("v"), "string": "v"}
+def native_text(native: str, e: str) -> str:
+    """SQL of the text of a native value."""
+    make = {"bigint": "CAST({} AS STRING)".format, "double": sql_double_text, "timestamp": sql_iso_text,
+            "timestamp_ntz": sql_local_text, "string": str}
+    return make[native](e)
+
+
+NATIVE_TEXT = {native: native_text(native, "v") for native in ("bigint", "double", "timestamp", "timestamp_ntz", "string")}
 
 
 def column_numbers(items) -> dict[tuple[str, int], int]:
@@ -262,19 +255,23 @@ def numbers_frame(items, spark) -> DataFrame:
     return spark.createDataFrame(rows, "col int, table_name string, ordinal int")
 
 
-def typed_cells(items, only: set | None = None, kinds: tuple | None = None) -> dict[str, DataFrame]:
+def typed_cells(items, only: set | None = None, kinds: tuple | None = None, part_col: str | None = None) -> dict[str, DataFrame]:
     """(col, v): the values of every column that are not null, one stream for each native type.
-    ``only``: the (table_name, ordinal) pairs to emit; ``kinds``: the kinds of columns to emit."""
+    ``only``: the (table_name, ordinal) pairs to emit; ``kinds``: the kinds of columns to emit; ``part_col``: a
+    column of every table carried on each value as ``part``, in front (not a column of the lake)."""
     number, parts = column_numbers(items), {}
+    carry = [f"CAST({quote(part_col)} AS STRING) AS part"] if part_col else []
     for name, df in items:
         by_type = {}
         for i, f in enumerate(df.schema.fields):
             if (only is not None and (name, i) not in only) or (kinds is not None and kind_of(f.dataType) not in kinds):
                 continue
+            if f.name == part_col:
+                continue
             native, v = native_value(f)
             by_type.setdefault(native, []).append(f"named_struct('col', {number[name, i]}, 'v', {v})")
         for native, structs in by_type.items():
-            parts.setdefault(native, []).append(df.selectExpr(f"inline(array({', '.join(structs)}))"))
+            parts.setdefault(native, []).append(df.selectExpr(*carry, f"inline(array({', '.join(structs)}))"))
     return {native: _union(ps).filter("v IS NOT NULL") for native, ps in parts.items()}
 
 
@@ -299,11 +296,12 @@ EXPECTED_LOW = 64
 
 
 def sample_limits(counts: DataFrame, n_samples: int) -> DataFrame:
-    """(col, lim): samples have an ``md5`` under ``lim`` (every md5 is under 'g'), from (col, num_unique_values)."""
+    """(col, lim): samples have an ``md5`` under ``lim`` (every md5 is under 'g'), from (col, num_unique_values);
+    other columns stay."""
     low = max(EXPECTED_LOW, 8 * n_samples)
     prefix = F.lower(F.hex((F.lit(2.0 ** 60) * F.lit(float(low)) / F.col("num_unique_values")).cast("long")))
-    return counts.filter("num_unique_values > 0").select("col", F.when(
-        F.col("num_unique_values") > max(MANY_VALUES, 4 * low), F.lpad(prefix, 15, "0")).otherwise("g").alias("lim"))
+    return counts.filter("num_unique_values > 0").withColumn("lim", F.when(
+        F.col("num_unique_values") > max(MANY_VALUES, 4 * low), F.lpad(prefix, 15, "0")).otherwise("g")).drop("num_unique_values")
 
 
 def sample_values(items, counts: DataFrame, n_samples: int = 3) -> DataFrame:
@@ -336,29 +334,12 @@ def sample_values(items, counts: DataFrame, n_samples: int = 3) -> DataFrame:
                     lambda x: x["value"]).alias("samples"))
 
 
-# Hashes below are low, one in 64. A column of a file with enough low values has its smallest among them.
-LOW_HASH = "04"
-
-
 # Every date format starts with a digit and is 4 to 32
 # characters long; other values skip the format regexes.
 DATE_LEN = (4, 32)
 DATE_LIKE = f"length({{e}}) BETWEEN {DATE_LEN[0]} AND {DATE_LEN[1]} AND substr({{e}}, 1, 1) BETWEEN '0' AND '9'"
 
 
-def _date_parsed(value: str = "value") -> list[str]:
-    pre = DATE_LIKE.format(e=value)
-    return [f"(CASE WHEN {pre} THEN {sql_parse_with(value, n, r, p)} END) AS p{j}"
-            for j, (n, r, p) in enumerate(DATE_FORMATS)]
-
-
-def _date_aggs() -> list[str]:
-    aggs = []
-    for j in range(len(DATE_FORMATS)):
-        aggs += [f"count(p{j}) AS ok{j}", f"min(p{j}) AS lo{j}", f"max(p{j}) AS hi{j}"]
-    return aggs
-
-
 def _date_pick() -> list[str]:
     """The first format whose parsed count equals the non-blank count ``nb``."""
     fmt = lo = hi = "NULL"
@@ -389,29 +370,6 @@ def date_formats(items, nonblank: DataFrame) -> DataFrame | None:
             .selectExpr("col", f"element_at(array({names}), d.f + 1) AS date_format", "d.lo AS date_min", "d.hi AS date_max"))
 
 
-# The least number of md5 classes whose minima bound the sample
-# threshold in approximate mode (there are four for each sample asked for, so
-# that enough classes hold a value), and the md5 prefix (hex digits) compared.
-MD5_CLASSES = 16
-MD5_PREFIX = 15
-
-
-def low_prefix() -> Column:
-    """The number of the first hex digits of a low ``vhash``, null for others."""
-    return F.when(F.col("vhash") < LOW_HASH, F.conv(F.substring("vhash", 1, MD5_PREFIX), 16, 10).cast("long"))
-
-
-def sample_bound(n_samples: int) -> Column:
-    """An aggregate of ``hp`` (:func:`low_prefix`): no sample's prefix is above it. Null if too few
-    classes hold a low value: then any value may be a sample."""
-    classes = max(MD5_CLASSES, 4 * n_samples)
-    cls = F.pmod(F.col("hp"), F.lit(classes))
-    mins = [F.min(F.when(cls == h, F.col("hp"))) for h in range(classes)]
-    if n_samples <= 0:
-        return F.max(F.lit(None).cast("long"))
-    return F.try_element_at(F.array_sort(F.filter(F.array(*mins), lambda x: x.isNotNull())), F.lit(n_samples))
-
-
 # The most that a distinct count of approximate mode is off (three standard errors of the
 # default sketch, 5% each), as a share of the count.
 APPROX_ERROR = 0.15
